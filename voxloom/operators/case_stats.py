@@ -213,11 +213,12 @@ def slice_index(slices: DataFrame, labelled: DataFrame) -> DataFrame:
 def background_sample(index: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
     """All labelled slices, and per case ``int(share * labelled)`` background slices by seeded hash.
 
-    Sampling is the feature here.  The order is a 64-bit hash split into buckets, so the
-    cut-off rank is found from bucket counts and only one bucket per case is ranked.
+    Sampling is the feature here.  The order is a multiplicative hash, distinct within a
+    case, cut into ranges: the cut-off is found from range counts, and only the rows of
+    one range are ever ranked together.
     """
-    order = F.abs(F.xxhash64(F.lit(seed), "case_id", "z"))
-    rows = index.withColumn("_h", order).withColumn("_b", F.expr("cast(_h % 256 as int)"))
+    order = (F.col("z").cast("long") * 2654435761 + F.col("case_id").cast("long") * 40503 + seed * 7919) % 4294967296
+    rows = index.withColumn("_h", order).withColumn("_b", F.expr("cast(_h div 16777216 as int)"))
     quota = rows.groupBy("case_id").agg(F.floor(F.sum("has_airway") * F.lit(share)).alias("_quota"))
     back = rows.where("has_airway = 0")
     sizes = back.groupBy("case_id", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -123,16 +123,17 @@ def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]
         .select(*keys, "n", value)
 
 
-def prune_slices(runs: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+def prune_slices(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), factor: int = 8,
+                 slack: int = 50, min_fill: float = 0.5) -> DataFrame:
     """Drop slices whose area explodes past the typical one and that sprawl or are sparse."""
     profile = cut(slice_profile(runs, keys))
     typical = rank_pick(profile, "area", F.expr("n div 2"), keys).select(*keys, F.col("area").alias("med"))
     judged = attach(profile, typical, list(keys))
     dims = runs.select(*keys, "z", *DIMS).distinct()
     leaked = judged.join(dims, [*keys, "z"]).where(
-        (F.col("area") > 8 * F.col("med") + 50)
+        (F.col("area") > factor * F.col("med") + slack)
         & ((F.col("width") > F.expr("nx div 2")) | (F.col("height") > F.expr("ny div 2"))
-           | (F.col("area") / (F.col("width") * F.col("height")) < 0.5))).select(*keys, "z")
+           | (F.col("area") / (F.col("width") * F.col("height")) < min_fill))).select(*keys, "z")
     return runs.join(leaked, [*keys, "z"], "left_anti")
 
 
