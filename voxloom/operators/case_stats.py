@@ -26,24 +26,34 @@ def running(df: DataFrame, group: list[str], value: str, weights: list[str], wid
                                    .alias(f"before_{w}") for w in weights]))
 
 
+def series_names(metrics: DataFrame, most: int = 64) -> list[str]:
+    """The compared series, a handful by design; more than ``most`` is refused, not cut off."""
+    names = [r["series"] for r in metrics.select("series").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} series")
+    return sorted(names)
+
+
+def by_case(metrics: DataFrame, names: list[str], value: str = "dice") -> DataFrame:
+    """A row per case, a column per series: one aggregation instead of joins on the key."""
+    return metrics.groupBy("case_id").agg(
+        *[F.max(F.when(F.col("series") == s, F.col(value))).alias(f"{value}_{s}") for s in names])
+
+
 def paired(metrics: DataFrame, value: str = "dice") -> DataFrame:
     """Ordered pairs of series on the cases they share: (pair, case_id, a, b)."""
-    a = metrics.select("case_id", F.col("series").alias("sa"), F.col(value).alias("a"))
-    b = metrics.select("case_id", F.col("series").alias("sb"), F.col(value).alias("b"))
-    return a.join(b, "case_id").where("sa < sb").select(
-        F.concat_ws(" vs ", "sa", "sb").alias("pair"), "case_id", "a", "b")
+    names = series_names(metrics)
+    pairs = F.array(*[F.struct(F.lit(f"{p} vs {q}").alias("pair"), F.col(f"{value}_{p}").alias("a"),
+                               F.col(f"{value}_{q}").alias("b"))
+                      for i, p in enumerate(names) for q in names[i + 1:]])
+    return (by_case(metrics, names, value).select("case_id", F.explode(pairs).alias("s"))
+            .where(F.col("s.a").isNotNull() & F.col("s.b").isNotNull())
+            .select("s.pair", "case_id", "s.a", "s.b"))
 
 
 def shared_cases(metrics: DataFrame) -> DataFrame:
-    """Cases present in every series, one row each, a column per series score.
-
-    One conditional aggregation replaces a chain of key joins.
-    """
-    names = sorted(r["series"] for r in metrics.select("series").distinct().limit(64).collect())
-    wide = metrics.groupBy("case_id").agg(
-        *[F.max(F.when(F.col("series") == s, F.col("dice"))).alias(f"dice_{s}") for s in names],
-        F.count_distinct("series").alias("_n"))
-    return wide.where(F.col("_n") == len(names)).drop("_n")
+    """Cases present in every series, a column per series score."""
+    return by_case(metrics, series_names(metrics)).na.drop()
 
 
 def case_summary(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
@@ -146,19 +156,21 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
 
 
 def failed_sets(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Failed cases of each series pair compared as sets."""
-    failed = metrics.where(F.col("dice") < limit).select("case_id", "series").distinct()
-    names = metrics.select("series").distinct()
-    sizes = names.join(failed.groupBy("series").agg(F.count(F.lit(1)).alias("k")), "series", "left") \
-        .select("series", F.coalesce("k", F.lit(0)).alias("k"))
-    both = (failed.withColumnRenamed("series", "sa").join(failed.withColumnRenamed("series", "sb"), "case_id")
-            .where("sa < sb").groupBy("sa", "sb").agg(F.count(F.lit(1)).alias("shared")))
-    grid = sizes.select(F.col("series").alias("sa"), F.col("k").alias("n_a")).join(
-        sizes.select(F.col("series").alias("sb"), F.col("k").alias("n_b")), F.col("sa") < F.col("sb"))
-    return grid.join(both, ["sa", "sb"], "left").select(
-        F.concat_ws(" vs ", "sa", "sb").alias("pair"), "n_a", "n_b", F.coalesce("shared", F.lit(0)).alias("n_shared"),
-        ((F.col("n_a") == F.col("n_b")) & (F.coalesce("shared", F.lit(0)) == F.col("n_a"))).alias("equal"),
-        (F.coalesce("shared", F.lit(0)) == 0).alias("disjoint"))
+    """Failed cases of each series pair compared as sets, in two aggregations."""
+    names = series_names(metrics)
+
+    def failed(s: str) -> Column:
+        return F.coalesce(F.col(f"dice_{s}") < limit, F.lit(False))
+
+    pairs = [(p, q) for i, p in enumerate(names) for q in names[i + 1:]]
+    sums = by_case(metrics, names).agg(
+        *[F.sum(failed(s).cast("long")).alias(f"k_{s}") for s in names],
+        *[F.sum((failed(p) & failed(q)).cast("long")).alias(f"both_{p}_{q}") for p, q in pairs])
+    rows = F.array(*[F.struct(F.lit(f"{p} vs {q}").alias("pair"), F.col(f"k_{p}").alias("n_a"), F.col(f"k_{q}").alias("n_b"),
+                              F.col(f"both_{p}_{q}").alias("n_shared")) for p, q in pairs])
+    return sums.select(F.explode(rows).alias("s")).select(
+        "s.*", ((F.col("s.n_a") == F.col("s.n_b")) & (F.col("s.n_shared") == F.col("s.n_a"))).alias("equal"),
+        (F.col("s.n_shared") == 0).alias("disjoint"))
 
 
 def relative_to_first(df: DataFrame, by: str, order: str, seconds: str) -> DataFrame:

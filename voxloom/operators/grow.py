@@ -32,11 +32,12 @@ def intersect(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("case_id",))
 
 
 def within(vox: DataFrame, runs: DataFrame, flag: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Mark voxel rows that lie in a run mask (lines meet once; runs of a line are disjoint)."""
-    spans = runs.select(*keys, "z", "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"))
-    hit = vox.join(spans, [*keys, "z", "y"]).where(F.col("x").between(F.col("_a"), F.col("_b"))) \
-        .select(*keys, "x", "y", "z", F.lit(True).alias(flag))
-    return vox.join(hit, [*keys, "x", "y", "z"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    """Mark voxel rows that lie in a run mask (lines meet once; a voxel is in at most one run)."""
+    spans = runs.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "z", "y")], F.col("x0").alias("_a"), F.col("x1").alias("_b"))
+    same = F.col("x").between(F.col("_a"), F.col("_b"))
+    for k in (*keys, "z", "y"):
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return vox.join(spans, same, "left").select(*vox.columns, F.col("_a").isNotNull().alias(flag))
 
 
 def interior2d(runs: DataFrame, bbox: DataFrame | None = None, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:

@@ -15,11 +15,11 @@ def downsample2(slices: DataFrame, keys: tuple[str, ...] = ("case_id",), slab: i
     The fine dims stay on the row as ``fx, fy, fz`` for the way back up.
     """
     near = with_z_neighbours(slices, 1, "data", keys, slab).where(
-        (F.col("z") % 2 == 0) & (F.col("z") + 1 < F.col("nz")))
+        (F.col("z") % 2 == 0) & (F.col("z") + 1 < F.col("nz")) & (F.col("nx") >= 2) & (F.col("ny") >= 2))
     half = {n: F.expr(f"cast({n} div 2 as int)") for n in DIMS}
 
     def cell(i: Column) -> Column:
-        p = F.floor(i / half["nx"]) * 2 * F.col("nx") + (i % half["nx"]) * 2
+        p = F.floor(i / half["nx"]) * 2 * F.col("nx") + (i % half["nx"]) * 2  # first of the four
         total = F.lit(0.0)
         for plane in ("data", "data_p1"):
             for dy in (0, 1):
@@ -27,10 +27,11 @@ def downsample2(slices: DataFrame, keys: tuple[str, ...] = ("case_id",), slab: i
                     total = total + F.get(F.col(plane), (p + dy * F.col("nx") + dx).cast("int"))
         return total * 0.125
 
-    data = F.transform(F.sequence(F.lit(0), half["nx"] * half["ny"] - 1), cell)
-    return near.where((F.col("nx") >= 2) & (F.col("ny") >= 2)).select(
+    # Pooled before the dims are renamed: inside a lambda a name may bind to a new alias.
+    pooled = near.withColumn("_pool", F.transform(F.sequence(F.lit(0), half["nx"] * half["ny"] - 1), cell))
+    return pooled.select(
         *keys, F.expr("cast(z div 2 as int)").alias("z"),
-        *[half[n].alias(n) for n in DIMS], data.alias("data"),
+        *[half[n].alias(n) for n in DIMS], F.col("_pool").alias("data"),
         *[F.col(n).alias(f) for n, f in zip(DIMS, ("fx", "fy", "fz"))])
 
 

@@ -76,7 +76,7 @@ def eligible(vox: DataFrame, p: WavefrontParams, keys: tuple[str, ...]) -> DataF
     return vox.where(F.col("roi") & open_).select(
         *keys, *DIMS, linear_index(F.col("x"), F.col("y"), F.col("z"), F.col("nx"), F.col("ny")).alias("idx"),
         F.col("hu").cast("double").alias("hu"), "hard",
-        (F.col("vness") >= p.vmin).alias("tubular"), "seed")
+        (F.col("vness") >= p.vmin).alias("tubular"), "x", "y", "z")
 
 
 def _grow_in_task(p: WavefrontParams):
@@ -186,10 +186,10 @@ def wavefront_grow(vox: DataFrame, seeds: DataFrame, p: WavefrontParams = Wavefr
 
     Returns the kept voxels with the layer each was reached in.
     """
-    start = seeds.select(*keys, "x", "y", "z").distinct().withColumn("_seed", F.lit(True))
-    marked = vox.join(start, [*keys, "x", "y", "z"], "left") \
-        .withColumn("seed", F.coalesce("_seed", F.lit(False)))
-    cells = cut(eligible(marked, p, keys))
+    open_ = eligible(vox, p, keys)
+    start = seeds.select(*keys, "x", "y", "z").distinct()
+    cells = open_.join(start.withColumn("seed", F.lit(True)), [*keys, "x", "y", "z"], "left")
+    cells = cut(cells.select(*keys, *DIMS, "idx", "hu", "hard", "tubular", F.coalesce("seed", F.lit(False)).alias("seed")))
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sized = attach(cells, sizes, list(keys))
     schema = T.StructType([*[cells.schema[k] for k in keys], *[cells.schema[d] for d in DIMS],

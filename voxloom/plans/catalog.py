@@ -513,7 +513,7 @@ def q_log_extract(spark, d):
 def q_ablation(spark, d):
     parsed = logs.parse_logs(log_lines(spark, d), ["case_id", "series"])
     return logs.ablation_means(parsed, "series").select(
-        "series", *[F.round(c, 6).alias(c) for c in ("mean_infer_s", "mean_total_s", "mean_dice")])
+        "series", *[F.round(c, 8).alias(c) for c in ("mean_infer_s", "mean_total_s", "mean_dice")])
 
 
 @query
@@ -533,7 +533,7 @@ def q_paired_cases(spark, d):
 @query
 def q_case_summary(spark, d):
     return S.case_summary(case_metrics(spark, d), 0.95).select(
-        "series", "n", F.round("mean_dice", 6).alias("mean_dice"), F.round("median_dice", 6).alias("median_dice"),
+        "series", "n", F.round("mean_dice", 8).alias("mean_dice"), F.round("median_dice", 6).alias("median_dice"),
         "n_below", "n_ok")
 
 

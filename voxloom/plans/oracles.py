@@ -437,10 +437,10 @@ def cases(name: str, select: str, *ctes: str) -> None:
 LOGS = ("lg AS (SELECT *, CAST(floor(total_s * 1000) AS BIGINT) AS t, CAST(round(dice * 10000) AS BIGINT) AS s FROM m)")
 cases("q_log_extract", "SELECT case_id, series, case_id + 1 AS nz, s / 10000.0::DOUBLE AS dice, n AS pred_voxels, n + 7 AS gt_voxels, (t // 8) / 1000.0::DOUBLE AS load_s, "
       "(t // 2) / 1000.0::DOUBLE AS infer_s, t / 1000.0::DOUBLE AS total_s FROM lg", LOGS)
-cases("q_ablation", "SELECT series, round(avg((t // 2) / 1000.0::DOUBLE), 6) AS mean_infer_s, round(avg(t / 1000.0::DOUBLE), 6) AS mean_total_s, round(avg(s / 10000.0::DOUBLE), 6) AS mean_dice FROM lg GROUP BY series", LOGS)
+cases("q_ablation", "SELECT series, round(avg((t // 2) / 1000.0::DOUBLE), 8) AS mean_infer_s, round(avg(t / 1000.0::DOUBLE), 8) AS mean_total_s, round(avg(s / 10000.0::DOUBLE), 8) AS mean_dice FROM lg GROUP BY series", LOGS)
 SQL["q_monitor_stats"] = ("SELECT round(avg(q::DOUBLE), 6) AS sm_mean, max(q::DOUBLE) AS sm_max, round(avg(2.0::DOUBLE * q), 6) AS mem_mean FROM (SELECT CAST(trunc(l_quantity) AS INT) AS q FROM lineitem) WHERE q <> 1 AND q % 7 <> 0")
 cases("q_paired_cases", "SELECT case_id, max(dice) FILTER (series = 'A') AS \"dice_A\", max(dice) FILTER (series = 'N') AS \"dice_N\", max(dice) FILTER (series = 'R') AS \"dice_R\" FROM m GROUP BY case_id HAVING count(DISTINCT series) = 3")
-cases("q_case_summary", "SELECT series, count(*) AS n, round(avg(dice), 6) AS mean_dice, round(median(dice), 6) AS median_dice, count(*) FILTER (dice < 0.95) AS n_below, count(*) FILTER (dice >= 0.95) AS n_ok FROM m GROUP BY series")
+cases("q_case_summary", "SELECT series, count(*) AS n, round(avg(dice), 8) AS mean_dice, round(median(dice), 6) AS median_dice, count(*) FILTER (dice < 0.95) AS n_below, count(*) FILTER (dice >= 0.95) AS n_ok FROM m GROUP BY series")
 cases("q_timing_ci", "SELECT series, n, round(a, 6) AS mean_s, round(s, 6) AS std_s, round(lo, 6) AS min_s, round(hi, 6) AS max_s, round(a - 1.96 * s / sqrt(n), 6) AS lo_s, round(a + 1.96 * s / sqrt(n), 6) AS hi_s "
       "FROM (SELECT series, count(*) AS n, avg(total_s) AS a, stddev_pop(total_s) AS s, min(total_s) AS lo, max(total_s) AS hi FROM m GROUP BY series)")
 cases("q_stage_breakdown", "SELECT series, stage, round(k * t, 6) AS mean_s, round(k * t / t, 6) AS share FROM (SELECT series, avg(total_s) AS t FROM m GROUP BY series), "

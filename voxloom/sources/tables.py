@@ -28,7 +28,7 @@ def number_within(df: DataFrame, group: str, order: str, out: str, total: str,
     and only rows of one chunk are ever ordered together, so a group that holds a
     third of all rows is still spread over many tasks.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    chunked = df.withColumn("_chunk", F.expr(f"{order} div {chunk}"))
     sizes = chunked.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(
