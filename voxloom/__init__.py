@@ -1,3 +1,10 @@
 """voxloom: volumetric (3-D array) analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Ship the small Python helpers with each job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,8 @@ size of the case it comes from.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -160,7 +162,9 @@ def score_slices(slices: DataFrame, scorer: Scorer, size: int = 256, batch: int
     return near.mapInArrow(score, schema)
 
 
-_SESSIONS: dict[str, object] = {}
+def worker_cache() -> dict:
+    """A dictionary that outlives single tasks in a reused Python worker."""
+    return sys.modules.setdefault("_voxloom_worker", types.ModuleType("_voxloom_worker")).__dict__
 
 
 class OnnxScorer:
@@ -170,11 +174,11 @@ class OnnxScorer:
         self.path, self.providers = path, providers
 
     def __call__(self, tensor: np.ndarray) -> np.ndarray:
-        session = _SESSIONS.get(self.path)
+        cache = worker_cache()
+        session = cache.get(self.path)
         if session is None:
             import onnxruntime
-            session = _SESSIONS[self.path] = onnxruntime.InferenceSession(
-                self.path, providers=list(self.providers))
+            session = cache[self.path] = onnxruntime.InferenceSession(self.path, providers=list(self.providers))
         spec = session.get_inputs()[0]
         half = spec.type == "tensor(float16)"
         out = session.run(None, {spec.name: tensor.astype(np.float16 if half else np.float32)})[0]
