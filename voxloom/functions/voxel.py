@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 HU_CLAMP = (-1024.0, 600.0)
 MODEL_HU_RANGE = (-1000.0, 600.0)
 EFFECT_SIZE_LIMITS = (0.147, 0.33, 0.474)
+THIRD_TURN = 2.0943951023931953  # 2*pi/3
 
 
 def clamp(v: Column, lo: float, hi: float) -> Column:
@@ -109,10 +110,8 @@ def with_eigenvalues(df: DataFrame, h: tuple[str, ...], out: tuple[str, str, str
     det = A * (B * C - G * G) - D * (D * C - G * E) + E * (D * G - B * E)
     step = step.select("*", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), det * 0.5))) / 3.0)
                        .alias(p + "phi"))
-    # Fixed value: 2*pi/3.
-    third = 2.0943951023931953
     step = step.select("*", (q + 2.0 * col("s") * F.cos(col("phi"))).alias(p + "r1"),
-                       (q + 2.0 * col("s") * F.cos(col("phi") + third)).alias(p + "r3"))
+                       (q + 2.0 * col("s") * F.cos(col("phi") + THIRD_TURN)).alias(p + "r3"))
     diagonal = col("off") == 0
     step = step.select(
         "*", F.when(diagonal, a).otherwise(col("r1")).alias(p + "l1"),
@@ -131,11 +130,3 @@ def with_eigenvalues(df: DataFrame, h: tuple[str, ...], out: tuple[str, str, str
     keep = df.columns
     return step.select(*keep, pick(col("lo")).alias(out[0]),
                        pick(6 - col("lo") - col("hi")).alias(out[1]), pick(col("hi")).alias(out[2]))
-
-
-def tube_response(e1: Column, e2: Column, e3: Column) -> tuple[Column, Column]:
-    """Shape part and squared strength of the dark-tube measure (alpha = beta = 0.5)."""
-    dark = (e2 > 0) & (e3 > 0)
-    ra, rb = F.abs(e2) / F.abs(e3), F.abs(e1) / F.sqrt(F.abs(e2 * e3))
-    shape = (1.0 - F.exp(-(ra * ra) / 0.5)) * F.exp(-(rb * rb) / 0.5)
-    return F.when(dark, shape), F.when(dark, e1 * e1 + e2 * e2 + e3 * e3)

@@ -12,13 +12,15 @@ each slab is smoothed by a few vectorised NumPy lines in an Arrow group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.functions.voxel import gaussian_taps, tube_response, with_eigenvalues
+from voxloom.functions.voxel import THIRD_TURN, gaussian_taps
 from voxloom.session import attach
 from voxloom.sources.tables import DIMS
 
@@ -105,46 +107,57 @@ def _planes(volume: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(volume) + 1, dtype=np.int32) * width), flat)
 
 
-def smooth(slices: DataFrame, kernels: dict[str, list[list[float]]], axes: str = "xyz",
-           neighbours: bool = False, keys: tuple[str, ...] = ("case_id",), slab: int = SLAB,
-           data: str = "data", carry: bool = False) -> DataFrame:
-    """Separable smoothing of slice rows; one output array per named kernel.
+def per_slab(slices: DataFrame, names: list[str], halo: int, compute: Callable[..., dict[str, np.ndarray]],
+             keys: tuple[str, ...] = ("case_id",), slab: int = SLAB, data: str = "data",
+             carry: bool = False) -> DataFrame:
+    """Run ``compute(volume, z, own, nz)`` on each slab with its halo; keep the slab's own slices.
 
-    ``kernels`` maps a name to one or more tap lists applied in turn (more than one
-    gives the incremental, scale-to-scale form).  With ``neighbours`` the smoothed
-    slices below and above come along, so differences need no further shuffle;
-    ``carry`` keeps the input slice as well.
+    ``volume`` is float64 ``[z, y, x]``, ``own`` the positions to answer for.  One array
+    column per name comes back, next to the dims (and the input slice with ``carry``).
     """
-    reach = max(sum(len(t) // 2 for t in chain) for chain in kernels.values())
-    halo = (reach if "z" in axes else 0) + (1 if neighbours else 0)
-    names = [n + s for n in kernels for s in (("", "_m1", "_p1") if neighbours else ("",))]
     fields = [slices.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("z", *DIMS)]
     if carry:
         fields.append(slices.schema[data])
     schema = T.StructType(fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
     heads = [f.name for f in fields]
 
-    def smooth_slab(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("z").combine_chunks()
         z = group.column("z").to_numpy()
         nx, ny, nz = (group.column(d)[0].as_py() for d in DIMS)
         own = np.flatnonzero(z // slab == group.column("slab")[0].as_py())
-        base = group.column(data).chunk(0).flatten().to_numpy(zero_copy_only=False) \
+        volume = group.column(data).chunk(0).flatten().to_numpy(zero_copy_only=False) \
             .astype(np.float64).reshape(len(z), ny, nx)
+        out = compute(volume, z, own, nz)
         columns = {c: group.column(c).take(pa.array(own)) for c in heads}
-        for name, chain in kernels.items():
-            volume = base
-            for taps in chain:
-                for axis in axes:
-                    volume = _along(volume, taps, "zyx".index(axis))
-            shifts = {"": 0, "_m1": -1, "_p1": 1} if neighbours else {"": 0}
-            for suffix, dz in shifts.items():
-                rows = np.clip(z[own] + dz, 0, nz - 1) - z[0]
-                columns[name + suffix] = _planes(volume[rows])
-        return pa.table(columns)
+        return pa.table(columns | {n: _planes(out[n]) for n in names})
 
     placed = with_halo(slices.select(*keys, "z", *DIMS, data), halo, slab)
-    return placed.groupBy(*keys, "slab").applyInArrow(smooth_slab, schema)
+    return placed.groupBy(*keys, "slab").applyInArrow(run, schema)
+
+
+def _smoothed(volume: np.ndarray, chain: list[list[float]], axes: str = "xyz") -> np.ndarray:
+    for taps in chain:
+        for axis in axes:
+            volume = _along(volume, taps, "zyx".index(axis))
+    return volume
+
+
+def reach_of(kernels: dict[str, list[list[float]]]) -> int:
+    return max(sum(len(t) // 2 for t in chain) for chain in kernels.values())
+
+
+def smooth(slices: DataFrame, kernels: dict[str, list[list[float]]], axes: str = "xyz",
+           keys: tuple[str, ...] = ("case_id",), slab: int = SLAB, data: str = "data") -> DataFrame:
+    """Separable smoothing of slice rows; one output array per named kernel.
+
+    ``kernels`` maps a name to one or more tap lists applied in turn (more than one
+    gives the incremental, scale-to-scale form).
+    """
+    def compute(volume, z, own, nz):
+        return {n: _smoothed(volume, chain, axes)[own] for n, chain in kernels.items()}
+
+    return per_slab(slices, list(kernels), reach_of(kernels) if "z" in axes else 0, compute, keys, slab, data)
 
 
 def gaussian(slices: DataFrame, radius: int = 2, sigma: float = 1.0, **kw) -> DataFrame:
@@ -163,39 +176,66 @@ def scale_kernels(sigmas: tuple[float, ...], incremental: bool) -> dict[str, lis
     return chains
 
 
+def _tubes(volume: np.ndarray, z: np.ndarray, own: np.ndarray, nz: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shape part and squared strength of the dark-tube measure on the own slices (0 elsewhere)."""
+    planes = {dz: volume[np.clip(z[own] + dz, 0, nz - 1) - z[0]] for dz in (-1, 0, 1)}
+
+    def v(dx: int = 0, dy: int = 0, dz: int = 0) -> np.ndarray:
+        p = planes[dz]
+        p = p if not dy else np.take(p, np.clip(np.arange(p.shape[1]) + dy, 0, p.shape[1] - 1), 1)
+        return p if not dx else np.take(p, np.clip(np.arange(p.shape[2]) + dx, 0, p.shape[2] - 1), 2)
+
+    c2 = 2.0 * v()
+    a, b, c = ((v(**{k: 1}) - c2 + v(**{k: -1})) * scale for k in ("dx", "dy", "dz"))
+    d, e, f = (0.25 * (v(**{i: 1, j: 1}) - v(**{i: -1, j: 1}) - v(**{i: 1, j: -1}) + v(**{i: -1, j: -1})) * scale
+               for i, j in (("dx", "dy"), ("dx", "dz"), ("dy", "dz")))
+    off = d * d + e * e + f * f
+    q = (a + b + c) / 3.0
+    s = np.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2.0 * off) / 6.0)
+    inv = np.divide(1.0, s, out=np.zeros_like(s), where=s > 0)
+    A, B, C, D, E, G = (m * inv for m in (a - q, b - q, c - q, d, e, f))
+    half = (A * (B * C - G * G) - D * (D * C - G * E) + E * (D * G - B * E)) * 0.5
+    phi = np.arccos(np.clip(half, -1.0, 1.0)) / 3.0
+    r1, r3 = q + 2.0 * s * np.cos(phi), q + 2.0 * s * np.cos(phi + THIRD_TURN)
+    roots = np.where(off == 0, np.stack([a, b, c]), np.stack([r1, 3.0 * q - r1 - r3, r3]))
+    e1, e2, e3 = np.take_along_axis(roots, np.argsort(np.abs(roots), axis=0, kind="stable"), 0)
+    dark = (e2 > 0) & (e3 > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ra, rb = np.abs(e2) / np.abs(e3), np.abs(e1) / np.sqrt(np.abs(e2 * e3))
+        shape = (1.0 - np.exp(-(ra * ra) / 0.5)) * np.exp(-(rb * rb) / 0.5)
+    return np.where(dark, shape, 0.0), np.where(dark, e1 * e1 + e2 * e2 + e3 * e3, 0.0)
+
+
 def vesselness(slices: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0),
                incremental: bool = False, keys: tuple[str, ...] = ("case_id",),
                slab: int = SLAB, carry: bool = False) -> DataFrame:
     """Multi-scale dark-tube measure in [0, 1]: voxel rows with ``vness``.
 
-    All scales ride in one slice row, so there is one shuffle.  The only global
-    quantity, the largest structure strength per key and scale, is a partial
-    aggregate attached back by a size-checked broadcast.  ``carry`` adds the input as ``hu``.
+    Each slab is smoothed at all scales and reduced to two numbers per voxel and scale,
+    in one shuffle.  (As columns, three scales of eigenvalues make generated methods
+    too long for the JIT, about ten times slower.)  The only global quantity, the
+    largest structure strength per key and scale, is taken slice by slice without
+    exploding voxels and comes back by a size-checked broadcast.  ``carry`` adds ``hu``.
     """
     kernels = scale_kernels(sigmas, incremental)
-    near = smooth(slices, kernels, neighbours=True, keys=keys, slab=slab, carry=carry)
-    planes = [n + s for n in kernels for s in ("", "_m1", "_p1")] + (["data"] if carry else [])
-    vox = positions(near, planes, list(keys))
-    extra = ["hu"] if carry else []
-    if carry:
-        vox = vox.withColumn("hu", at("data"))
-    for i, (name, sigma) in enumerate(zip(kernels, sigmas)):
-        h = hessian(name + "_m1", name, name + "_p1", sigma * sigma)
-        vox = vox.select("*", *[c.alias(f"{n}{i}") for n, c in h.items()])
-    out = vox.drop(*planes, "value")
-    for i in range(len(sigmas)):
-        names = tuple(f"{n}{i}" for n in ("hxx", "hyy", "hzz", "hxy", "hxz", "hyz"))
-        e = (f"ea{i}", f"eb{i}", f"ec{i}")
-        out = with_eigenvalues(out, names, e).drop(*names)
-        shape, strength = tube_response(*(F.col(n) for n in e))
-        out = out.select("*", shape.alias(f"shape{i}"), strength.alias(f"str{i}")).drop(*e)
-    top = out.groupBy(*keys).agg(*[F.max(f"str{i}").alias(f"top{i}") for i in range(len(sigmas))])
-    scored = attach(out, top, list(keys))
+    count = range(len(sigmas))
+
+    def compute(volume, z, own, nz):
+        out = {}
+        for i, (chain, sigma) in enumerate(zip(kernels.values(), sigmas)):
+            out[f"shape{i}"], out[f"str{i}"] = _tubes(_smoothed(volume, chain), z, own, nz, sigma * sigma)
+        return out
+
+    planes = [f"{n}{i}" for i in count for n in ("shape", "str")]
+    parts = per_slab(slices, planes, reach_of(kernels) + 1, compute, keys, slab, carry=carry)
+    top = parts.groupBy(*keys).agg(*[F.max(F.array_max(f"str{i}")).alias(f"top{i}") for i in count])
+    extra = ["data"] if carry else []
+    vox = positions(attach(parts, top, list(keys)), [*planes, *extra], [*keys, *[f"top{i}" for i in count]])
     # c is half the largest strength S, so 2*c*c = S*S/2.
-    parts = [F.coalesce(F.col(f"shape{i}") * (1.0 - F.exp(-F.col(f"str{i}") / (0.5 * F.col(f"top{i}")))),
-                        F.lit(0.0)) for i in range(len(sigmas))]
-    best = F.greatest(F.lit(0.0), *parts)
-    return scored.select(*keys, "x", "y", "z", *DIMS, *extra, best.alias("vness"))
+    scores = [F.when(F.col(f"top{i}") > 0, at(f"shape{i}") * (
+        1.0 - F.exp(-at(f"str{i}") / (0.5 * F.col(f"top{i}"))))).otherwise(F.lit(0.0)) for i in count]
+    hu = [at("data").alias("hu")] if carry else []
+    return vox.select(*keys, "x", "y", "z", *DIMS, *hu, F.greatest(F.lit(0.0), *scores).alias("vness"))
 
 
 def slice_triplet(slices: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:

@@ -51,8 +51,20 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The slice table, derived once for queries that pass over it several times.
+
+    A real deployment reads such a table; here it has to be made from the vectors.
+    """
+    return cut(volume(spark, d))
+
+
 def mask(spark: SparkSession, d: str, thr: int) -> DataFrame:
-    return N.to_runs(voxels(spark, d).where(F.col("hu") <= thr))
+    return run_mask(voxels(spark, d), thr)
+
+
+def run_mask(vox: DataFrame, thr: int) -> DataFrame:
+    return N.to_runs(vox.where(F.col("hu") <= thr))
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +76,11 @@ def prob_voxels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def body(spark: SparkSession, d: str) -> DataFrame:
-    return M.body_bbox(voxels(spark, d), -400.0, 1)
+    return tissue_box(voxels(spark, d))
+
+
+def tissue_box(vox: DataFrame) -> DataFrame:
+    return M.body_bbox(vox, -400.0, 1)
 
 
 def xyz(runs: DataFrame, *more: str) -> DataFrame:
@@ -123,7 +139,8 @@ def q_linear_index(spark, d):
 
 @query
 def q_mask_and(spark, d):
-    return xyz(G.intersect(mask(spark, d, -500), N.dilate(mask(spark, d, -620), 1)))
+    vox = to_voxels(stored(spark, d))
+    return xyz(G.intersect(run_mask(vox, -500), N.dilate(run_mask(vox, -620), 1)))
 
 
 @query
@@ -145,14 +162,15 @@ def q_upsample(spark, d):
 
 @query
 def q_relaxed_envelope(spark, d):
-    vox = prob_voxels(spark, d)
+    vox = with_prob(to_voxels(stored(spark, d)))
     core = N.to_runs(vox.where(V.above(F.col("prob"), 0.6)))
     return xyz(G.relaxed_envelope(vox, core, 1, 0.45))
 
 
 @query
 def q_exterior2d(spark, d):
-    return xyz(G.interior2d(mask(spark, d, -500), body(spark, d)))
+    vox = to_voxels(stored(spark, d))
+    return xyz(G.interior2d(run_mask(vox, -500), tissue_box(vox)))
 
 
 @query
@@ -366,34 +384,40 @@ def q_lut_apply(spark, d):
 
 @query
 def q_axis_seeds(spark, d):
-    return D.axis_seeds(mask(spark, d, -550), body(spark, d), 0.3)
+    vox = to_voxels(stored(spark, d))
+    return D.axis_seeds(run_mask(vox, -550), tissue_box(vox), 0.3)
 
 
 @query
 def q_axis_seeds_robust(spark, d):
-    return D.axis_seeds_robust(mask(spark, d, -600), body(spark, d))
+    vox = to_voxels(stored(spark, d))
+    return D.axis_seeds_robust(run_mask(vox, -600), tissue_box(vox))
 
 
 @query
 def q_gate_cc(spark, d):
-    return xyz(G.gate_components(prob_voxels(spark, d), body(spark, d)))
+    vox = with_prob(to_voxels(stored(spark, d)))
+    return xyz(G.gate_components(vox, tissue_box(vox)))
 
 
 @query
 def q_gate_cc_closed(spark, d):
     p = G.GateParams(lo=0.45, hi=0.55, relax_margin=1, relax_lo=0.4, model_thr=0.55, close_margin=1)
-    return xyz(G.gate_components(prob_voxels(spark, d), body(spark, d), p))
+    vox = with_prob(to_voxels(stored(spark, d)))
+    return xyz(G.gate_components(vox, tissue_box(vox), p))
 
 
 @query
 def q_hybrid(spark, d):
     p = G.HybridParams(0.5, 0.4, -530.0, -490.0, 1.7)
-    return xyz(G.hybrid_grow(prob_voxels(spark, d), body(spark, d), p))
+    vox = with_prob(to_voxels(stored(spark, d)))
+    return xyz(G.hybrid_grow(vox, tissue_box(vox), p))
 
 
 @query
 def q_rescue(spark, d):
-    found, seeds = Q.rescue_sweep(voxels(spark, d), body(spark, d), TUBE)
+    vox = to_voxels(stored(spark, d))
+    found, seeds = Q.rescue_sweep(vox, tissue_box(vox), TUBE)
     return seeds.join(found.select("case_id", "thr", "voxels"), "case_id")
 
 
@@ -409,14 +433,17 @@ def q_pyramid(spark, d):
     p = G.PyramidParams(coarse_low=-800.0, coarse_high=-490.0, adaptive=True, cap_share=0.05, step=4.0, dilate=3,
                         body_thr=AIR["body_thr"], core_frac=AIR["core_frac"], air_k=AIR["k"],
                         air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")))
-    return xyz(G.pyramid_mask(volume(spark, d), mask(spark, d, -500), body(spark, d), p))
+    slices = stored(spark, d)
+    vox = to_voxels(slices)
+    return xyz(G.pyramid_mask(slices, run_mask(vox, -500), tissue_box(vox), p))
 
 
 @query
 def q_wavefront(spark, d):
-    vox = voxels(spark, d).select(*XYZ, *DIMS, "hu", (F.col("hu") <= -560).alias("hard"),
-                                  F.lit(True).alias("roi"), ((-F.col("hu") - 480) / 100.0).alias("vness"))
-    seeds = voxels(spark, d).where("z % 8 = 0 and x in (3, 4) and y in (3, 4)").select(*XYZ)
+    base = to_voxels(stored(spark, d))
+    vox = base.select(*XYZ, *DIMS, "hu", (F.col("hu") <= -560).alias("hard"), F.lit(True).alias("roi"),
+                      ((-F.col("hu") - 480) / 100.0).alias("vness"))
+    seeds = base.where("z % 8 = 0 and x in (3, 4) and y in (3, 4)").select(*XYZ)
     p = W.WavefrontParams(thr_trunk=-540.0, thr_periph=-505.0, max_level=6, vmin=0.2, leak_factor=1.5, leak_base=40,
                           leak_ratio=0.5, cap_base=60, hu_abs_max=-500.0)
     return W.wavefront_grow(vox, seeds, p).select(*XYZ, "level")
@@ -440,7 +467,7 @@ def q_classical(spark, d):
                   air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")),
                   tube=(("thresholds", TUBE.thresholds), ("min_size", 4), ("min_length", 2), ("min_aspect", 1.0)),
                   wavefront=(("thr_trunk", -540.0), ("hu_abs_max", -490.0)))
-    return xyz(segment(volume(spark, d), cfg))
+    return xyz(segment(stored(spark, d), cfg))
 
 
 # --- tiles -----------------------------------------------------------------------------------

@@ -52,13 +52,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._materialised = True
+    return done
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise a summary once; say whether it is small enough to broadcast."""
-    small = cut(df)
-    return small, small.count() <= max_rows
+    """Materialise a summary once (unless it already is); say whether it may be broadcast."""
+    small = df if getattr(df, "_materialised", False) else cut(df)
+    if not hasattr(small, "_rows"):
+        small._rows = small.count()
+    return small, small._rows <= max_rows
 
 
 def attach(df: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner",

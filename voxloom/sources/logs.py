@@ -73,7 +73,7 @@ def parse_logs(logs: DataFrame, keys: list[str], drop_failed: bool = True) -> Da
     t = F.col("text")
     scores = F.regexp_extract_all(t, F.lit(r"Dice=([0-9.]+)"), F.lit(1))
     out = logs.select(
-        *keys, _number(F.coalesce(F.element_at(F.filter(scores, lambda s: s != ""), -1), F.lit("")), "double").alias("dice"),
+        *keys, _number(F.coalesce(F.try_element_at(F.filter(scores, lambda s: s != ""), F.lit(-1)), F.lit("")), "double").alias("dice"),
         _number(F.regexp_extract(t, r"dims=\d+x\d+x(\d+)", 1), "int").alias("nz"),
         _number(F.regexp_extract(t, r"pred=(\d+)\s+gt=\d+", 1), "long").alias("pred_voxels"),
         _number(F.regexp_extract(t, r"pred=\d+\s+gt=(\d+)", 1), "long").alias("gt_voxels"),
