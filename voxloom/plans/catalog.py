@@ -463,7 +463,7 @@ def q_safety_rules(spark, d):
 @query
 def q_classical(spark, d):
     cfg = resolve("classical", band_lo=-800.0, band_hi=-500.0, body_thr=-400.0, roi_margin=1, coarse_low=-800.0,
-                  dilate=3, thr_periph=-505.0, vmin=0.0001, core_frac=0.9, air_k=0.5, rescue_min=40, pyramid_floor=20,
+                  dilate=3, cap_share=0.05, feedback_step=4.0, thr_periph=-505.0, vmin=0.0001, core_frac=0.9, air_k=0.5, rescue_min=40, pyramid_floor=20,
                   air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")),
                   tube=(("thresholds", TUBE.thresholds), ("min_size", 4), ("min_length", 2), ("min_aspect", 1.0)),
                   wavefront=(("thr_trunk", -540.0), ("hu_abs_max", -490.0)))

@@ -73,6 +73,8 @@ class SegmentConfig:
     coarse_high: float = -960.0
     core_frac: float = 0.30
     air_k: float = 2.5
+    cap_share: float = 0.012
+    feedback_step: float = 25.0
     vmin: float = 0.03
     thr_periph: float = -820.0
     max_level: int = 60
@@ -102,7 +104,8 @@ class SegmentConfig:
 
     def pyramid_params(self) -> PyramidParams:
         return PyramidParams(self.coarse_low, self.coarse_high, self.adaptive, self.feedback, self.guards,
-                             self.core_frac, self.air_k, self.body_thr, dilate=self.dilate, air=self.air)
+                             self.core_frac, self.air_k, self.body_thr, self.cap_share, self.feedback_step,
+                             dilate=self.dilate, air=self.air)
 
     def wavefront_params(self) -> WavefrontParams:
         base = WavefrontParams(thr_periph=self.thr_periph, vmin=self.vmin, max_level=self.max_level)
