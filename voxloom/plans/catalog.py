@@ -44,6 +44,7 @@ FEEDBACK = G.PyramidParams(coarse_low=-800.0, coarse_high=-490.0, adaptive=False
 AIR = dict(body_thr=-520.0, k=0.5, core_frac=0.9, air_ceiling=-480.0, grad_max=20.0, limits=(-560.0, -470.0),
            fallback=-500.0, few=10)
 PATCH, STRIDE = 5, 3
+UNIT = (-1024.0, 0.0)  # a power-of-two range, so model inputs are exact in single precision
 
 
 def query(fn: Query) -> Query:
@@ -494,8 +495,8 @@ def _ramp(tensor):
 
 @query
 def q_score_tiles(spark, d):
-    out = T.score_tiles(volume(spark, d), _ramp, PATCH, STRIDE)
-    return to_voxels(out, "prob").select(*XYZ, F.round(F.col("prob").cast("double"), 3).alias("prob"))
+    out = T.score_tiles(volume(spark, d), _ramp, PATCH, STRIDE, *UNIT)
+    return to_voxels(out, "prob").select(*XYZ, F.col("prob").cast("double").alias("prob"))
 
 
 def _channels(tensor):
@@ -506,8 +507,8 @@ def _channels(tensor):
 
 @query
 def q_score_slices(spark, d):
-    out = T.score_slices(volume(spark, d), _channels, size=8)
-    return to_voxels(out, "prob").select(*XYZ, F.round(F.col("prob").cast("double"), 4).alias("prob"))
+    out = T.score_slices(volume(spark, d), _channels, 8, 16, *UNIT)
+    return to_voxels(out, "prob").select(*XYZ, F.col("prob").cast("double").alias("prob"))
 
 
 # --- case analytics --------------------------------------------------------------------------

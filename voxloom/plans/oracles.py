@@ -419,10 +419,10 @@ vox("q_tile_starts", f"SELECT case_id, CAST(a.s AS INT) AS z_lo, CAST(b.s AS INT
 HELD = (f"FROM vox v JOIN ts a ON a.n = v.nz AND v.z BETWEEN a.s AND a.s + {Q.PATCH - 1} JOIN ts b ON b.n = 8 AND v.y BETWEEN b.s AND b.s + {Q.PATCH - 1} "
         f"JOIN ts c ON c.n = 8 AND v.x BETWEEN c.s AND c.s + {Q.PATCH - 1}")
 vox("q_overlap_avg", f"SELECT case_id, x, y, z, CAST(count(*) AS INT) AS hits, round(avg(((x - c.s) + 2 * (y - b.s) + 4 * (z - a.s)) / 64.0::DOUBLE), 9) AS prob {HELD} GROUP BY case_id, x, y, z", STARTS)
-vox("q_score_tiles", "SELECT case_id, x, y, z, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-l))), 3) AS prob FROM (SELECT v.*, "
-    f"(hu + 1000) / 1600.0::DOUBLE * 4 + ((x - c.s) + 2 * (y - b.s) + 4 * (z - a.s)) / 16.0::DOUBLE - 2 AS l {HELD}) GROUP BY case_id, x, y, z", STARTS)
-vox("q_score_slices", f"SELECT c.case_id, c.x, c.y, c.z, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-((({nb(0, 0, -1)} + 2 * c.v - {nb(0, 0, 1)}) + 2000) / 1600.0::DOUBLE))), 4) AS prob "
-    + near("v0", [(0, 0, -1), (0, 0, 1)]), V0)
+vox("q_score_tiles", "SELECT case_id, x, y, z, CAST(CAST(avg(CAST(CAST(exp(l - greatest(l, 0)) / (exp(0 - greatest(l, 0)) + exp(l - greatest(l, 0))) AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS prob FROM (SELECT v.*, "
+    f"(hu + 1024) / 1024.0::DOUBLE * 4 + ((x - c.s) + 2 * (y - b.s) + 4 * (z - a.s)) / 16.0::DOUBLE - 2 AS l {HELD}) GROUP BY case_id, x, y, z", STARTS)
+vox("q_score_slices", "SELECT case_id, x, y, z, CAST(CAST(exp(l - greatest(l, 0)) / (exp(0 - greatest(l, 0)) + exp(l - greatest(l, 0))) AS FLOAT) AS DOUBLE) AS prob FROM ("
+    f"SELECT c.case_id, c.x, c.y, c.z, ({nb(0, 0, -1)} + 2 * c.v - {nb(0, 0, 1)} + 2048) / 1024.0::DOUBLE AS l " + near("v0", [(0, 0, -1), (0, 0, 1)]) + ")", V0)
 
 # --- case analytics --------------------------------------------------------------------------
 METRICS = """m AS MATERIALIZED (SELECT case_id, series, n, round(1 - d / (100.0::DOUBLE * n), 4) AS dice, q / n::DOUBLE AS total_s FROM (
