@@ -25,7 +25,7 @@ def test_six_types_round_trip(spark, tmp_path, gz):
         want[i] = v * 2.0 - 7
         # The name says nothing about compression: content decides.
         write(tmp_path / f"scan_{i}.nii{'' if i % 2 else '.gz'}", v, code, gz, 2.0, -7.0)
-    rows = VF.read_volumes(spark, str(tmp_path)).collect()
+    rows = VF.read_volumes(spark, str(tmp_path), part_bytes=40).collect()
     assert len(rows) == 18 and {(r.nx, r.ny, r.nz) for r in rows} == {(5, 4, 3)}
     for r in rows:
         assert np.allclose(r.data, want[r.case_id][r.z].ravel()) and abs(r.dz - 1.5) < 1e-6

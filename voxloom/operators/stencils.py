@@ -25,6 +25,7 @@ from voxloom.session import attach
 from voxloom.sources.tables import DIMS
 
 SLAB = 32
+CHUNK_VOXELS = 1 << 18
 
 
 def with_halo(slices: DataFrame, halo: int, slab: int = SLAB) -> DataFrame:
@@ -222,8 +223,11 @@ def vesselness(slices: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0),
 
     def compute(volume, z, own, nz):
         out = {}
+        step = max(1, CHUNK_VOXELS // volume[0].size)      # bounds the temporaries, whatever the plane
         for i, (chain, sigma) in enumerate(zip(kernels.values(), sigmas)):
-            out[f"shape{i}"], out[f"str{i}"] = _tubes(_smoothed(volume, chain), z, own, nz, sigma * sigma)
+            soft = _smoothed(volume, chain)
+            pieces = [_tubes(soft, z, own[k:k + step], nz, sigma * sigma) for k in range(0, len(own), step)]
+            out[f"shape{i}"], out[f"str{i}"] = (np.concatenate(p) for p in zip(*pieces))
         return out
 
     planes = [f"{n}{i}" for i in count for n in ("shape", "str")]

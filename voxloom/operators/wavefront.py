@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.voxel import linear_index, with_decoded
-from voxloom.session import attach, cut
+from voxloom.session import BROADCAST_ROWS, attach, cut
 from voxloom.sources.tables import DIMS
 
-TASK_VOXELS = 20_000_000
+TASK_VOXELS = 4_000_000
 SLOTS = 5
 
 
@@ -137,7 +137,7 @@ def _grow_by_layers(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...])
                 .select(*ident, *DIMS))
     kept = front.select(*ident, *DIMS, F.lit(0).alias("level"))
     seen = front.select(*ident)
-    depth = 0
+    depth, width = 0, front.count()
     nx, ny, plane = F.col("nx").cast("long"), F.col("ny"), F.col("nx").cast("long") * F.col("ny")
     x, y = F.col("idx") % nx, F.expr("(idx div nx) % ny")
     moves = F.array_compact(F.array(
@@ -147,7 +147,10 @@ def _grow_by_layers(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...])
     while True:
         depth += 1
         reach = front.select(*keys, F.explode(moves).alias("idx")).distinct()
-        near = cells.join(reach, ident, "left_semi").join(seen, ident, "left_anti")
+        if 6 * width <= BROADCAST_ROWS:
+            # A counted, small front goes to the voxels: both big frames are only scanned.
+            reach = F.broadcast(reach)
+        near = cells.join(reach, ident, "left_semi").join(seen.join(reach, ident, "left_semi"), ident, "left_anti")
         relaxed = soft & (F.col("hu") <= p.ceiling(depth))
         closed = [k for k, b in book.items() if b["closed"]]
         if closed:
@@ -159,6 +162,7 @@ def _grow_by_layers(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...])
             F.count(F.lit(1)).alias("n"), F.sum(F.col("hard").cast("long")).alias("h")).collect()}
         if not sizes:
             break
+        width = sum(n for n, _ in sizes.values())
         burst = []
         for k, (n, h) in sizes.items():
             b = book[k]

@@ -1,8 +1,8 @@
 """Volume files (348-byte header, then voxels; plain or gzip) as slice rows, and back.
 
-Files are listed and fetched by Spark's own ``binaryFile`` source, so any file system
-Spark can reach works and files are spread over tasks.  A file is decoded slice by
-slice as a stream: a gzip member cannot be split, but it is never held decompressed.
+Files are listed by Spark; tasks then read them directly.  A plain file is split into
+ranges of slices, so one huge volume is still read by many tasks.  A gzip file cannot be
+split, but it is decoded as a stream and never held whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,24 +47,36 @@ class VolumeError(ValueError):
     """A file that is not a readable volume."""
 
 
-def _stream(content: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """Plain bytes in pieces; gzip is recognised by its first bytes, not by the name."""
-    if content[:2] != GZIP_MAGIC:
-        for i in range(0, len(content), chunk):
-            yield content[i:i + chunk]
+def _open(path: str):
+    """Input file on any file system pyarrow reaches (local, HDFS, object stores)."""
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+    fs, name = pafs.FileSystem.from_uri(uri)
+    return fs.open_input_file(name)
+
+
+def _stream(file, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """Bytes in pieces; gzip is recognised by its first bytes, not by the name."""
+    pieces = iter(lambda: file.read(chunk), b"")
+    first = next(pieces, b"")
+    if first[:2] != GZIP_MAGIC:
+        yield first
+        yield from pieces
         return
-    rest = content
-    while rest:
-        member = zlib.decompressobj(31)
-        pending = rest
-        while not member.eof:
-            out = member.decompress(pending, chunk)
-            pending = member.unconsumed_tail
-            if out:
-                yield out
-            elif not pending and not member.eof:
+    member, pending = zlib.decompressobj(31), first
+    while pending:
+        out = member.decompress(pending, chunk)
+        if out:
+            yield out
+        pending = member.unconsumed_tail
+        if member.eof:
+            pending = member.unused_data or next(pieces, b"")
+            if pending[:2] != GZIP_MAGIC:
+                return
+            member = zlib.decompressobj(31)
+        elif not pending:
+            pending = next(pieces, b"")
+            if not pending:
                 raise VolumeError("truncated gzip data")
-        rest = member.unused_data if member.unused_data[:2] == GZIP_MAGIC else b""
 
 
 class _Reader:
@@ -94,43 +106,92 @@ def parse_header(h: bytes) -> dict:
             "slope": slope if slope != 0 else 1.0, "inter": inter}
 
 
-def read_slices(content: bytes, label: bool = False) -> Iterator[tuple[dict, int, np.ndarray]]:
-    """(header, z, float32 slice) in z order."""
-    reader = _Reader(_stream(content))
-    head = parse_header(reader.take(HEADER_BYTES))
+def voxel_type(head: dict, label: bool) -> np.dtype:
     code = (LABEL_TYPES if label else IMAGE_TYPES).get(head["type"])
     if code is None:
         raise VolumeError(f"unsupported voxel type {head['type']}")
-    reader.take(max(0, head["offset"] - HEADER_BYTES))
-    dtype, plane = np.dtype(code), head["nx"] * head["ny"]
-    for z in range(head["nz"]):
-        raw = np.frombuffer(reader.take(plane * dtype.itemsize), dtype)
-        if label:
-            data = (raw != 0) if head["type"] == 4 else raw.view(np.uint8)
-            yield head, z, data.astype(np.float32)
+    return np.dtype(code)
+
+
+def decode_plane(raw: bytes, dtype: np.dtype, head: dict, label: bool) -> np.ndarray:
+    stored = np.frombuffer(raw, dtype)
+    if not label:
+        return stored.astype(np.float32) * np.float32(head["slope"]) + np.float32(head["inter"])
+    return ((stored != 0) if head["type"] == 4 else stored.view(np.uint8)).astype(np.float32)
+
+
+def read_part(path: str, z0: int, z1: int, label: bool) -> Iterator[tuple[dict, int, np.ndarray]]:
+    """(header, z, float32 slice) for z0 <= z < z1.
+
+    A plain file is read from the first wanted byte on; gzip can only be read through.
+    """
+    with _open(path) as file:
+        packed = file.read(2) == GZIP_MAGIC
+        file.seek(0)
+        reader = _Reader(_stream(file))
+        head = parse_header(reader.take(HEADER_BYTES))
+        dtype = voxel_type(head, label)
+        plane = head["nx"] * head["ny"] * dtype.itemsize
+        skip = max(0, head["offset"] - HEADER_BYTES)
+        if packed:
+            reader.take(skip)
+            for _ in range(z0):
+                reader.take(plane)
         else:
-            yield head, z, raw.astype(np.float32) * np.float32(head["slope"]) + np.float32(head["inter"])
+            file.seek(HEADER_BYTES + skip + z0 * plane)
+            reader = _Reader(_stream_plain(file))
+        for z in range(z0, min(z1, head["nz"])):
+            yield head, z, decode_plane(reader.take(plane), dtype, head, label)
+
+
+def _stream_plain(file, chunk: int = 1 << 20) -> Iterator[bytes]:
+    return iter(lambda: file.read(chunk), b"")
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """File names by Spark's own listing; contents are not fetched here."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "content")
+    return reader.load(path).select("path")
 
 
 def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: str | None = None,
-                 skip_bad: bool = False) -> DataFrame:
+                 skip_bad: bool = False, part_bytes: int = 64 << 20) -> DataFrame:
     """Slice rows ``case_id, path, z, nx, ny, nz, dx, dy, dz, data``.
 
-    ``label`` reads masks (stored values, no rescale).  Bad files raise, or with
-    ``skip_bad`` give no rows.
+    A first pass reads headers and plans parts: plain files are split into ranges of
+    slices of about ``part_bytes``, gzip files (which cannot be split) are one part.
+    Parts are then spread over tasks and decoded as streams.  ``label`` reads masks
+    (stored values, no rescale).  Bad files raise, or with ``skip_bad`` give no rows
+    from the bad place on.
     """
+    part_schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("z0", T.IntegerType()),
+                                T.StructField("z1", T.IntegerType())])
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                try:
+                    with _open(name) as file:
+                        packed = file.read(2) == GZIP_MAGIC
+                        file.seek(0)
+                        head = parse_header(_Reader(_stream(file)).take(HEADER_BYTES))
+                    size = head["nx"] * head["ny"] * voxel_type(head, label).itemsize
+                except (VolumeError, zlib.error) as error:
+                    if skip_bad:
+                        continue
+                    raise VolumeError(f"{name}: {error}") from error
+                step = head["nz"] if packed else max(1, part_bytes // size)
+                starts = np.arange(0, head["nz"], step, dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "path": [name] * len(starts), "z0": pa.array(starts), "z1": pa.array(starts + np.int32(step))})
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for name, z0, z1 in zip(*(batch.column(c).to_pylist() for c in ("path", "z0", "z1"))):
                 try:
-                    for head, z, data in read_slices(content.as_py(), label):
+                    for head, z, data in read_part(name, z0, z1, label):
                         row = {"path": [name], "z": pa.array([z], pa.int32())}
                         row |= {d: pa.array([head[d]], pa.int32()) for d in DIMS}
                         row |= {s: pa.array([head[s]], pa.float32()) for s in ("dx", "dy", "dz")}
@@ -139,24 +200,28 @@ def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: s
                     if not skip_bad:
                         raise VolumeError(f"{name}: {error}") from error
 
-    stem = F.regexp_replace("path", r"\.nii(\.gz)?$", "")
-    return _files(spark, path, pattern).mapInArrow(decode, VOLUME_SCHEMA) \
-        .select(case_of(stem).alias("case_id"), "*")
+    parts = _files(spark, path, pattern).mapInArrow(plan, part_schema).repartition("path", "z0")
+    return parts.mapInArrow(decode, VOLUME_SCHEMA).select(case_of(_stem()).alias("case_id"), "*")
+
+
+def _stem() -> Column:
+    return F.regexp_replace("path", r"\.nii(\.gz)?$", "")
 
 
 def read_headers(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """One row per file: ``case_id, path, header, nx, ny, nz``."""
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = _Reader(_stream(content.as_py())).take(HEADER_BYTES)
+            for name in batch.column("path").to_pylist():
+                with _open(name) as file:
+                    raw = _Reader(_stream(file)).take(HEADER_BYTES)
                 head = parse_header(raw)
                 yield pa.RecordBatch.from_pydict({
                     "path": [name], "header": pa.array([raw], pa.binary()),
                     **{d: pa.array([head[d]], pa.int32()) for d in DIMS}})
 
-    stem = F.regexp_replace("path", r"\.nii(\.gz)?$", "")
-    return _files(spark, path, pattern).mapInArrow(heads, HEADER_SCHEMA).select(case_of(stem).alias("case_id"), "*")
+    return _files(spark, path, pattern).mapInArrow(heads, HEADER_SCHEMA) \
+        .select(case_of(_stem()).alias("case_id"), "*")
 
 
 def make_header(nx: int, ny: int, nz: int, code: int = 2, spacing=(1.0, 1.0, 1.0), slope: float = 1.0,
