@@ -15,11 +15,11 @@ def arrays(spark, runs, ms):
     return brute.as_masks(N.to_voxels(runs), ms)
 
 
-@pytest.mark.parametrize("m", [1, 2])
-def test_dilate_erode_close(spark, m):
+@pytest.mark.parametrize("m,slab", [(1, 32), (2, 32), (1, 2), (2, 1)])
+def test_dilate_erode_close(spark, m, slab):
     ms = masks()
     runs = brute.runs_frame(spark, ms)
-    wide, slim, shut = (arrays(spark, f(runs, m), ms) for f in (N.dilate, N.erode, N.close))
+    wide, slim, shut = (arrays(spark, f(runs, m, slab=slab), ms) for f in (N.dilate, N.erode, N.close))
     again = arrays(spark, N.close(N.close(runs, m), m), ms)
     for k, mask in ms.items():
         assert (wide[k] == brute.box(mask, m)).all() and not (mask & ~wide[k]).any()

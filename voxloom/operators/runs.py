@@ -1,16 +1,19 @@
 """Masks as runs: one row per maximal x-interval of set voxels on a (z, y) line.
 
-A run frame is 10-50x smaller than the voxels it stands for, dilation along x is
-free on it, and every grouping below is bounded by one image line.  Set algebra
-along a line is one sweep over interval ends (``cover``): dilation keeps points
-covered at least once by the shifted lines, erosion keeps points covered by all.
+A run frame is 10-50x smaller than the voxels it stands for.  Set algebra is one sweep
+over interval ends per image line (``cover``); box morphology rasterises one slab of
+runs at a time and turns the result back into runs, so it moves runs, not voxels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxloom.operators.stencils import SLAB, with_halo
 from voxloom.sources.tables import DIMS
 
 BRICK_Z, BRICK_Y = 32, 512
@@ -55,37 +58,65 @@ def cover(spans: DataFrame, line: list[str], need: Column) -> DataFrame:
             .withColumnRenamed("at", "x0").drop("w", "_in", "_was"))
 
 
-def _spread(runs: DataFrame, axis: str, margin: int, keys: tuple[str, ...], erode: bool) -> DataFrame:
-    n = F.col("nx" if axis == "x" else "ny" if axis == "y" else "nz")
-    a = F.col(axis)
-    moved = runs.withColumn(axis, F.explode(F.sequence(
-        F.greatest(a - margin, F.lit(0)), F.least(a + margin, n - 1))))
-    need = (F.least(a + margin, n - 1) - F.greatest(a - margin, F.lit(0)) + 1) if erode else F.lit(1)
-    return cover(moved, [*keys, "z", "y"], need).select(*keys, "z", "y", "x0", "x1", *DIMS)
-
-
-def dilate(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Box dilation: x by widening runs, y and z by one sweep each."""
-    if margin <= 0:
-        return runs
-    wide = (runs.select(*keys, "z", "y", F.greatest(F.col("x0") - margin, F.lit(0)).alias("x0"),
-                        F.least(F.col("x1") + margin, F.col("nx") - 1).alias("x1"), *DIMS))
-    return _spread(_spread(wide, "y", margin, keys, False), "z", margin, keys, False)
-
-
-def erode(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+def _raster(z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    turns = np.zeros((*shape[:2], shape[2] + 1), np.int16)
+    np.add.at(turns, (z, y, x0), 1)
+    np.add.at(turns, (z, y, x1 + 1), -1)
+    return turns.cumsum(axis=2, dtype=np.int16)[:, :, :-1] > 0
+
+
+def _box(mask: np.ndarray, margin: int, erode: bool) -> np.ndarray:
+    """Box filter by running counts, axis by axis; windows are clipped, so outside never counts against."""
+    for axis in (2, 1, 0):
+        n = mask.shape[axis]
+        counts = np.concatenate([np.zeros_like(np.take(mask, [0], axis), dtype=np.int32),
+                                 mask.cumsum(axis=axis, dtype=np.int32)], axis=axis)
+        hi, lo = np.minimum(np.arange(n) + margin, n - 1) + 1, np.maximum(np.arange(n) - margin, 0)
+        held = np.take(counts, hi, axis) - np.take(counts, lo, axis)
+        width = (hi - lo).reshape([-1 if k == axis else 1 for k in range(3)])
+        mask = held == width if erode else held > 0
+    return mask
+
+
+def _morph(runs: DataFrame, steps: list[tuple[int, bool]], keys: tuple[str, ...], slab: int) -> DataFrame:
+    """Apply box filters (margin, erode) in turn, slab by slab, in one shuffle of runs."""
+    halo = sum(m for m, _ in steps)
+    fields = [runs.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("z", "y", "x0", "x1", *DIMS)]
+
+    def work(group: pa.Table) -> pa.Table:
+        z, y, x0, x1 = (group.column(c).to_numpy() for c in ("z", "y", "x0", "x1"))
+        nx, ny, nz = (group.column(d)[0].as_py() for d in DIMS)
+        start = group.column("slab")[0].as_py() * slab
+        low, stop = max(start - halo, 0), min(start + slab, nz)
+        mask = _raster(z - low, y, x0, x1, (min(stop + halo, nz) - low, ny, nx))
+        for margin, erode_ in steps:
+            mask = _box(mask, margin, erode_)
+        own = np.pad(mask[start - low:stop - low], ((0, 0), (0, 0), (1, 1))).astype(np.int8)
+        turn = np.diff(own, axis=2)
+        oz, oy, first = np.nonzero(turn == 1)
+        last = np.nonzero(turn == -1)[2] - 1
+        columns = {k: pa.array([group.column(k)[0].as_py()] * len(oz), group.schema.field(k).type) for k in keys}
+        for name, values in zip(("z", "y", "x0", "x1"), (oz + start, oy, first, last)):
+            columns[name] = pa.array(values.astype(np.int32))
+        return pa.table(columns | {d: pa.array(np.full(len(oz), v, np.int32)) for d, v in zip(DIMS, (nx, ny, nz))})
+
+    placed = with_halo(runs.select(*keys, "z", "y", "x0", "x1", *DIMS), halo, slab)
+    return placed.groupBy(*keys, "slab").applyInArrow(work, T.StructType(fields))
+
+
+def dilate(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",), slab: int = SLAB) -> DataFrame:
+    """Box dilation: every voxel within ``margin`` of the mask on all axes."""
+    return _morph(runs, [(margin, False)], keys, slab) if margin > 0 else runs
+
+
+def erode(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",), slab: int = SLAB) -> DataFrame:
     """Box erosion; everything outside the volume counts as set."""
-    if margin <= 0:
-        return runs
-    x0 = F.when(F.col("x0") == 0, 0).otherwise(F.col("x0") + margin)
-    x1 = F.when(F.col("x1") == F.col("nx") - 1, F.col("x1")).otherwise(F.col("x1") - margin)
-    slim = runs.select(*keys, "z", "y", x0.alias("x0"), x1.alias("x1"), *DIMS).where("x0 <= x1")
-    return _spread(_spread(slim, "y", margin, keys, True), "z", margin, keys, True)
+    return _morph(runs, [(margin, True)], keys, slab) if margin > 0 else runs
 
 
-def close(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Morphological closing: dilation, then erosion."""
-    return erode(dilate(runs, margin, keys), margin, keys)
+def close(runs: DataFrame, margin: int, keys: tuple[str, ...] = ("case_id",), slab: int = SLAB) -> DataFrame:
+    """Morphological closing: dilation, then erosion, in the same slab pass."""
+    return _morph(runs, [(margin, False), (margin, True)], keys, slab) if margin > 0 else runs
 
 
 def upsample2(runs: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
