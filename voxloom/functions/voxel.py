@@ -55,7 +55,8 @@ def argmax2(l0: Column, l1: Column) -> Column:
 def hist_bin(v: Column, lo: float, hi: float, n: int) -> Column:
     """Truncate, then clamp into [0, n-1]; out-of-range values land in the end bins."""
     pos = (v - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(float(n))
-    return F.least(F.greatest(pos.cast("int"), F.lit(0)), F.lit(n - 1))
+    near = F.least(F.greatest(pos, F.lit(-1.0)), F.lit(float(n)))      # keeps the cast in range
+    return F.least(F.greatest(near.cast("int"), F.lit(0)), F.lit(n - 1))
 
 
 def linear_index(x: Column, y: Column, z: Column, nx: Column, ny: Column) -> Column:
