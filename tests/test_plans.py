@@ -211,3 +211,29 @@ def test_presets():
         resolve("unheard-of")
     with pytest.raises(ValueError):
         resolve("gate", no_such_setting=1)
+
+
+def test_model_maps_come_back_on_the_stored_grid(spark):
+    from pyspark.sql import functions as F
+    from voxloom.plans.segment import with_model
+    v = np.add.outer(np.add.outer(-40.0 * np.arange(9), -10.0 * np.arange(10)), 5.0 * np.arange(11)) - 300
+    s = brute.slices_frame(spark, {0: v}).select("*", F.lit(0.8).alias("dx"), F.lit(0.7).alias("dy"), F.lit(2.0).alias("dz"))
+
+    def ramp(tensor):
+        p = np.clip(tensor[:, 0].astype(np.float64), 1e-6, 1 - 1e-6)
+        return np.stack([np.zeros_like(p), np.log(p / (1 - p))], axis=1)
+
+    unit = np.clip((np.clip(v, -1000, 600) + 1000) / 1600, 1e-6, 1)
+    for cfg in (resolve("gate", patch=8, stride=6), resolve("gate", patch=16, stride=12, spacing=(0.6, 0.6, 1.0))):
+        rows = with_model(s, cfg, ramp).collect()
+        assert sorted(r.z for r in rows) == list(range(9))
+        for r in rows:
+            assert np.allclose(r.prob, unit[r.z].ravel(), atol=1e-5)
+
+
+def test_plans_are_usable_from_sql(spark):
+    from voxloom.sources.tables import register_views
+    v = volumes()
+    register_views(vox=brute.voxel_frame(spark, v))
+    got = {r.case_id: r.n for r in spark.sql("SELECT case_id, count(*) n FROM vox WHERE hu <= -500 GROUP BY case_id").collect()}
+    assert got == {k: int((a <= -500).sum()) for k, a in v.items()}

@@ -157,6 +157,8 @@ def components(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), volumetric
         runs = brick_columns(runs, bz, by)
     schema = T.StructType([*runs.schema.fields, T.StructField("local", T.LongType())])
     labelled = cut(runs.groupBy(*brick).applyInArrow(_brick_labeller(volumetric), schema))
+    if not volumetric and labelled.where("by > 0").isEmpty():
+        return labelled.withColumn("label", F.col("local"))     # no slice spans two bricks
     edges = _facing(labelled, keys, "y", by)
     if volumetric:
         edges = edges.unionByName(_facing(labelled, keys, "z", bz))

@@ -154,7 +154,7 @@ def feedback_trunk(coarse: DataFrame, thr: DataFrame, p: PyramidParams = Pyramid
     room = F.floor((F.col("thr") - F.col("value")) / F.lit(p.step))
     cand = (vox.where((F.col("value") >= p.coarse_low) & (room >= 0))
             .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.least(room, F.lit(tries - 1)).cast("int")))))
-    inner = cut(interior2d(to_runs(cand, attempt), None, attempt))
+    inner = interior2d(to_runs(cand, attempt), None, attempt)
     trunk = cut(seeded(inner, axis_seeds(inner, None, keys=attempt), None, attempt))
     cells = coarse.where("z = 0").select(*keys, F.floor(
         F.lit(p.cap_share) * F.col("nx").cast("long") * F.col("ny") * F.col("nz")).alias("cap"))
@@ -184,7 +184,7 @@ def pyramid_constraint(slices: DataFrame, p: PyramidParams = PyramidParams(),
         thr = coarse.where("z = 0").select(*keys, F.lit(p.coarse_high).alias("thr"))
     trunk, _ = feedback_trunk(coarse, thr, p, keys)
     if p.feedback:
-        trunk = prune_slices(cut(trunk), keys)
+        trunk = prune_slices(trunk, keys)
     wide = dilate(trunk, (p.dilate + 1) // 2, keys)
     fine = coarse.where("z = 0").select(*keys, "fx", "fy", "fz")
     return upsample2(attach(wide, fine, list(keys)), keys)

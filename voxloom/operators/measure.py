@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.voxel import above
 from voxloom.operators.resample import downsample2
 from voxloom.operators.stencils import gradient, positions, with_z_neighbours
-from voxloom.session import attach, cut
+from voxloom.session import attach
 from voxloom.sources.tables import DIMS
 
 BBOX = ["bx0", "bx1", "by0", "by1", "bz0", "bz1"]
@@ -126,7 +126,7 @@ def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]
 def prune_slices(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), factor: int = 8,
                  slack: int = 50, min_fill: float = 0.5) -> DataFrame:
     """Drop slices whose area explodes past the typical one and that sprawl or are sparse."""
-    profile = cut(slice_profile(runs, keys))
+    profile = slice_profile(runs, keys)
     typical = rank_pick(profile, "area", F.expr("n div 2"), keys).select(*keys, F.col("area").alias("med"))
     judged = attach(profile, typical, list(keys))
     dims = runs.select(*keys, "z", *DIMS).distinct()

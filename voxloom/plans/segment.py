@@ -17,6 +17,7 @@ from voxloom.operators.grow import (SPAN, gate_components, hybrid_grow, interior
                                     pyramid_constraint, seeded, within)
 from voxloom.operators.lut import LutSpec, lut_apply
 from voxloom.operators.measure import body_bbox, dice
+from voxloom.operators.resample import resampled_size, trilinear
 from voxloom.operators.rescue import rescue_sweep
 from voxloom.operators.runs import dilate, to_runs, voxel_count
 from voxloom.operators.seeds import axis_seeds, axis_seeds_robust
@@ -26,14 +27,25 @@ from voxloom.operators.wavefront import wavefront_grow
 from voxloom.plans.presets import SegmentConfig
 from voxloom.plans.rules import decide
 from voxloom.session import attach, cut
-from voxloom.sources.tables import DIMS
+from voxloom.sources.tables import DIMS, to_slices
 
 KEYS = ("case_id",)
 
 
 def with_model(slices: DataFrame, cfg: SegmentConfig, scorer: Scorer) -> DataFrame:
-    """Add the probability slice ``prob`` from a tile or slice model."""
-    if cfg.slice_model:
+    """Add the probability slice ``prob`` from a tile or slice model.
+
+    With a target spacing (needs ``dx, dy, dz`` on the slices) the volume is resampled
+    for the model and the probabilities are resampled back to the stored grid.
+    """
+    if all(s > 0 for s in cfg.spacing):
+        size = tuple(resampled_size(F.col(f"n{a}"), F.col(f"d{a}"), s) for a, s in zip("xyz", cfg.spacing))
+        model_grid = to_slices(trilinear(slices, size))
+        scored = score_tiles(model_grid, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi)
+        native = slices.where("z = 0").select("case_id", *[F.col(d).alias(f"to_{d}") for d in DIMS])
+        back = trilinear(attach(scored, native, ["case_id"]), tuple(F.col(f"to_{d}") for d in DIMS))
+        scored = to_slices(back)
+    elif cfg.slice_model:
         scored = score_slices(slices, scorer, batch=cfg.batch, lo=cfg.model_hu_lo, hi=cfg.model_hu_hi)
     else:
         scored = score_tiles(slices, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi)
@@ -75,7 +87,7 @@ def segment(slices: DataFrame, cfg: SegmentConfig, lut: DataFrame | None = None)
         return gate_components(joint_voxels(slices), bbox, cfg.gate_params())
     if not cfg.pyramid and not cfg.prob_hardset:
         full = _candidate(slices, cfg, lut)
-        inner = cut(interior2d(full, bbox) if cfg.use_roi else interior3d(full))
+        inner = interior2d(full, bbox) if cfg.use_roi else interior3d(full)
         mask = seeded(inner, axis_seeds(inner, bbox))
         return _after_growth(slices, hu, bbox, mask, None, cfg)
     if cfg.pyramid:
@@ -104,7 +116,7 @@ def _rescued(hu: DataFrame, bbox: DataFrame | None, cases: DataFrame, cfg: Segme
     found, seeds = rescue_sweep(weak, bbox, cfg.rescue_params())
     loose = attach(weak, found.select(*KEYS, "thr"), list(KEYS)) \
         .where(F.col("hu") <= F.col("thr") + F.lit(cfg.rescue_slack))
-    inner = cut(interior2d(to_runs(loose), bbox))
+    inner = interior2d(to_runs(loose), bbox)
     return seeded(inner, seeds.unionByName(axis_seeds(inner, bbox)))
 
 

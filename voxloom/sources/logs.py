@@ -96,6 +96,10 @@ def monitor_stats(lines: DataFrame, sm: int = 2, mem: int = 3) -> DataFrame:
     return rows.agg(F.avg("sm").alias("sm_mean"), F.max("sm").alias("sm_max"), F.avg("mem").alias("mem_mean"))
 
 
+def write_history(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("loss", T.DoubleType()),
                            T.StructField("val_dice", T.DoubleType())])

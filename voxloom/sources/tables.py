@@ -62,6 +62,19 @@ def to_voxels(slices: DataFrame, value: str = "hu", data: str = "data",
                     "z", *DIMS, *keep, value))
 
 
+def to_slices(vox: DataFrame, value: str = "value", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Voxel rows of dense slices back to slice rows; a group is one slice."""
+    cell = F.struct((F.col("y") * F.col("nx") + F.col("x")).alias("p"), F.col(value).alias("v"))
+    return (vox.groupBy(*keys, "z", *DIMS).agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+            .select(*keys, "z", *DIMS, F.transform("_c", lambda c: c["v"]).alias("data")))
+
+
+def register_views(**frames: DataFrame) -> None:
+    """Make frames available to SQL by name."""
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices_from_embeddings(table(spark, sf_dir, "embeddings"))
 
