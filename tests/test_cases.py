@@ -132,3 +132,13 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark):
     from voxloom.session import cut
     df = cut(spark.range(3))
     assert df.count() == 3 and spark.sparkContext.getCheckpointDir()
+
+
+def test_attach_is_the_same_join_with_and_without_broadcast(spark):
+    from voxloom.session import attach
+    big = spark.range(200).select((F.col("id") % 7).alias("k"), "id")
+    per = big.groupBy("k").agg(F.count("*").alias("n")).where("k < 5")
+    for how in ("inner", "left"):
+        small, plain = (attach(big, per, ["k"], how, max_rows=m) for m in (100, 0))
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.voxel import hist_bin
+from voxloom.session import BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,9 @@ def lut_apply(vox: DataFrame, lut: DataFrame, spec: LutSpec = LutSpec(), value:
     base = vox.columns
     out = vox.select("*", *axis(F.col(value), spec.imin, spec.imax, spec.ibins, "i"),
                      *axis(F.col(grad), 0.0, spec.gmax, spec.gbins, "g"))
-    table = F.broadcast(lut.select("gbin", "ibin", "prob"))
+    table = lut.select("gbin", "ibin", "prob")
+    if spec.ibins * spec.gbins <= BROADCAST_ROWS:       # one row per bin at most
+        table = F.broadcast(table)
     for g in "01":
         for i in "01":
             corner = table.select(F.col("gbin").alias(f"_g{g}"), F.col("ibin").alias(f"_i{i}"),
