@@ -102,21 +102,15 @@ def label(name: str, among: str, extra: str = "") -> str:
     more, pick, same = (f", {extra}", f", c.{extra}", f" AND c.{extra} = r.{extra}") if extra else ("", "", "")
     return (f"{name}_r(case_id, x, y, z{more}, origin) AS (SELECT case_id, x, y, z{more}, CAST(z AS BIGINT) * 64 + y * 8 + x FROM {among} UNION "
             f"SELECT c.case_id, c.x, c.y, c.z{pick}, r.origin FROM {name}_r r, {STEP3}, {among} c WHERE c.case_id = r.case_id "
-            f"AND c.x = r.x + o.dx AND c.y = r.y + o.dy AND c.z = r.z + o.dz{same} AND CAST(c.z AS BIGINT) * 64 + c.y * 8 + c.x > r.origin), "
+            f"AND c.x = r.x + o.dx AND c.y = r.y + o.dy AND c.z = r.z + o.dz{same}), "
             f"{name} AS MATERIALIZED (SELECT case_id, x, y, z{more}, min(origin) AS label FROM {name}_r GROUP BY ALL)")
 
 
-# Flooding only upwards from an origin can miss detours below it, so labels are merged to a fixpoint
-# by also flooding downwards: the general form floods everywhere.
-def full_label(name: str, among: str, extra: str = "") -> str:
-    return label(name, among, extra).replace(" AND CAST(c.z AS BIGINT) * 64 + c.y * 8 + c.x > r.origin", "")
-
-
 STATS = ("st AS (SELECT case_id{more}, label, count(*) AS size, sum(x) AS sum_x, sum(y) AS sum_y, sum(z) AS sum_z, min(x) AS min_x, max(x) AS max_x, "
          "min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM lab GROUP BY case_id{more}, label)")
-vox("q_components", "SELECT * FROM lab", member("m", "hu <= -550"), full_label("lab", "m"), recursive=True)
+vox("q_components", "SELECT * FROM lab", member("m", "hu <= -550"), label("lab", "m"), recursive=True)
 vox("q_component_stats", "SELECT case_id, label, size, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y, CAST(sum_z AS BIGINT) AS sum_z, "
-    "min_x, max_x, min_y, max_y, min_z, max_z FROM st", member("m", "hu <= -550"), full_label("lab", "m"), STATS.format(more=""), recursive=True)
+    "min_x, max_x, min_y, max_y, min_z, max_z FROM st", member("m", "hu <= -550"), label("lab", "m"), STATS.format(more=""), recursive=True)
 
 
 def tube(window: str) -> str:
@@ -130,7 +124,7 @@ def tube(window: str) -> str:
 
 
 vox("q_component_rank", "SELECT case_id, label, size, round(score, 6) AS score FROM tb QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, label) = 1",
-    member("m", "hu <= -560"), full_label("lab", "m"), STATS.format(more=""),
+    member("m", "hu <= -560"), label("lab", "m"), STATS.format(more=""),
     "win AS (SELECT DISTINCT case_id, 0 AS wx0, 7 AS wx1, 0 AS wy0, 7 AS wy1, 0 AS wz0, 1000 AS wz1 FROM vox)", tube("win"), recursive=True)
 vox("q_region_grow", "SELECT * FROM f", member("m", "hu <= -500"),
     "e AS MATERIALIZED (SELECT * FROM m WHERE z = 0 AND x IN (3, 4) AND y IN (3, 4))", flood("f", "e", "m"), recursive=True)
@@ -398,7 +392,7 @@ vox("q_rescue", "SELECT case_id, z, y, x, thr, voxels FROM (SELECT lab.*, size A
     "QUALIFY row_number() OVER (PARTITION BY case_id, z ORDER BY d2, y, x) = 1", BBOX, WINDOW, RWIN,
     f"m AS MATERIALIZED (SELECT v.case_id, x, y, z, thr FROM vox v JOIN win USING (case_id), (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in T.thresholds)}]) AS thr) "
     "WHERE hu <= thr AND x BETWEEN wx0 AND wx1 AND y BETWEEN wy0 AND wy1 AND z BETWEEN wz0 AND wz1)",
-    full_label("lab", "m", "thr"), STATS.format(more=", thr"), tube("win"),
+    label("lab", "m", "thr"), STATS.format(more=", thr"), tube("win"),
     "pick AS MATERIALIZED (SELECT case_id, thr, label, size, sum_x / size::DOUBLE AS cx, sum_y / size::DOUBLE AS cy FROM tb QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY thr, score DESC, label) = 1)",
     recursive=True)
 P = Q.FEEDBACK
