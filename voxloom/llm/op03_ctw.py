@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import buffers, slices, stash, stretch_hashes, whole
 from .op06_exact import AT, located
 
-DEPTH = 4
+DEPTH = 5
 #: Rows of a file that make a block.
 BLOCK_DOCS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
