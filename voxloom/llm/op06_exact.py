@@ -18,6 +18,8 @@ no rows give no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +31,18 @@ BATCH_BYTES = 64 << 30
 AT = ["_file", "_row"]
 
 
+_PLAIN = re.compile(r"[\s:+-]*(Project|Filter|SubqueryAlias|Relation)\b")
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """Add file and row number of each row; a frame that does not come from files is stored first."""
-    for name in AT:
+    """Add file and row number of each row; only a frame read from files as it is has them, others are stored first."""
+    for name in (*AT, "_metadata"):
         if name in docs.columns:
             docs = docs.withColumnRenamed(name, f"{name}_given")
-    here = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    if "_metadata" not in docs.columns:
-        plan = docs._jdf.queryExecution().analyzed().toString()
-        if plan.startswith("Relation ["):
-            return docs.select("*", *here)
-        return stash(docs, "docs").select("*", *here)
-    given = stash(docs.withColumnRenamed("_metadata", "_metadata_given"), "docs")
-    return given.select("*", *here)
+    plan = docs._jdf.queryExecution().analyzed().toString().strip().splitlines()
+    if not all(_PLAIN.match(line) for line in plan) or "Relation" not in plan[-1] or "parquet" not in plan[-1]:
+        docs = stash(docs, "docs")
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def _final_state(spark: SparkSession, marks: DataFrame, path: str, per_batch: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ from .op04_ids import ids_report
 from .op05_topk import search
 from .op06_exact import dedup_report
 from .op07_quality import resample
+from .op08_jaccard import near_report
 from .op09_urls import filter_urls, rule_table
 from .op10_bpe import bpe_report
 
@@ -46,6 +47,10 @@ def op7_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
@@ -56,4 +61,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_repeated_spans, op2_mix_sources, op3_context_tree, op4_simple8b_ids, op5_top_products,
-                            op6_exact_dedup, op7_quality_sample, op9_url_filter, op10_byte_bpe)}
+                            op6_exact_dedup, op7_quality_sample, op8_near_copies, op9_url_filter, op10_byte_bpe)}
