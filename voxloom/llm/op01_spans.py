@@ -25,6 +25,7 @@ from .common import stash
 
 #: Behind the white space that follows a full stop, and at the start of lines.
 BORDER = r"(?<=[.!?]\s{1,8})(?!\s)|(?<=\n)(?!\s)"
+BLANK = " \t\n\r\f\v"
 LEAST_CHARS, LONG_CHARS = 120, 240
 
 
@@ -34,7 +35,7 @@ def sentences(text: Column) -> Column:
 
 def runs(docs: DataFrame, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
     """Runs of all documents: doc_id, first and last sentence, two hashes."""
-    cut = docs.where("text is not null").select("doc_id", F.transform(sentences(F.col("text")), F.trim).alias("_s"))
+    cut = docs.where("text is not null").select("doc_id", F.transform(sentences(F.col("text")), lambda s: F.btrim(s, F.lit(BLANK))).alias("_s"))
     # Per sentence its length and hashes; then, per start, the running length decides where the run ends.
     marks = cut.select("doc_id", F.transform("_s", lambda s: F.struct(
         F.length(s).alias("n"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("b"), s).alias("b"))).alias("_m"))
@@ -85,8 +86,9 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with the sentences of repeated runs taken out of ``text``."""
     ranges = removed_ranges(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct("sentence_from", "sentence_to")).alias("_cut"))
-    kept = F.filter(sentences(F.col("text")), lambda s, i: ~F.exists(
+    kept = F.filter(sentences(F.col("_doc.text")), lambda s, i: ~F.exists(
         F.col("_cut"), lambda r: (r["sentence_from"] <= i) & (i <= r["sentence_to"])))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    joined = docs.join(ranges, docs["doc_id"].eqNullSafe(ranges["_id"]), "left")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_cut").isNull(), F.col("_doc.text")).otherwise(F.array_join(kept, ""))
+    # The row travels as one struct, so its column names cannot clash.
+    joined = docs.select(F.struct("*").alias("_doc")).join(ranges, F.col("_doc.doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select(*[text.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])

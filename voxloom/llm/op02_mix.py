@@ -115,9 +115,11 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
     _, plan = plan_mix(docs, seed=seed, **how)
-    keyed = docs.select("*", *_source(), draw(seed).alias("_u"))
-    taken = bring(keyed, plan, ["_s", "_none"]).withColumn("_copies", _copies())
+    # The row travels as one struct, so its column names cannot clash with those of the plan.
+    keyed = docs.select(F.struct("*").alias("_doc"), *_source(), draw(seed).alias("_u"),
+                        (~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("_bare"))
+    taken = bring(keyed, plan, ["_s", "_none"])
     # Documents without words weigh nothing; they stay once.
-    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    times = F.when(bare, F.lit(1)).otherwise(F.col("_copies"))
-    return taken.where(times > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    times = F.when(F.col("_bare"), F.lit(1)).otherwise(_copies())
+    return (taken.withColumn("_times", times).where("_times > 0")
+            .select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_i")).select("_doc.*"))
