@@ -286,6 +286,8 @@ def test_near_copies_against_brute_force(docs):
 def test_large_buckets_and_prefix_groups(spark, monkeypatch):
     monkeypatch.setattr(op08_jaccard, "PART_ROWS", 5)
     monkeypatch.setattr(op08_jaccard, "TILE_ROWS", 3)
+    monkeypatch.setattr(op08_jaccard, "SMALL_ROWS", 4)
+    monkeypatch.setattr(op08_jaccard, "HUB_ROWS", 2)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     rows = []

@@ -33,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, folded, mixed, slices, stash, stretch_hashes, word_bounds
+from .common import bring, buffers, folded, mixed, slices, stash, stretch_hashes, word_bounds
 from .links import components
 from .op06_exact import AT, located
 
 CELL_BITS = 20
 #: Members of a bucket's part; rows of a comparison.
 PART_ROWS, TILE_ROWS = 4096, 512
+#: Buckets under so many members are compared many at a time.
+SMALL_ROWS = 48
+#: Members that a hub is held against in one task.
+HUB_ROWS = 2000
 #: Ids that may be broadcast to fetch texts.
 FETCH_ROWS = 500_000
 
@@ -110,6 +114,10 @@ def sketch(shingles: np.ndarray) -> bytes:
                        bitorder="little").tobytes()
 
 
+def _digest(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _signatures(words: int, num: int, den: int, cells, bits: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(cells.value, np.uint32)
@@ -119,7 +127,7 @@ def _signatures(words: int, num: int, den: int, cells, bits: int, keep: list[str
                 sets = shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words)
                 n, one, two, prefixes, sketches = [], [], [], [], []
                 for s in sets:
-                    digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                    digest = _digest(s)
                     length = len(s) + (num * len(s)) // -den + 1 if len(s) else 0
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))[:length]
                     n.append(len(s))
@@ -138,16 +146,42 @@ def _signatures(words: int, num: int, den: int, cells, bits: int, keep: list[str
     return run
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle: those whose shingle another group has, with their part of the bucket and all parts it meets."""
-    token, gid, pos = (np.zeros(0, np.int64) for _ in range(3))
+def _fit(num: int, den: int, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that share those at positions i and j can be similar enough, by size and position."""
+    sizes = den * np.minimum(n, m) >= num * np.maximum(n, m)
+    least = -(-num * (n + m) // (num + den))
+    return sizes & (np.minimum(i, j) + np.minimum(n - i, m - j) >= least)
+
+
+def _lags(key: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places with equal keys, one distance after another, where keys are sorted and the rows wanted."""
+    for lag in range(1, SMALL_ROWS):
+        i = np.flatnonzero((key[lag:] == key[:-lag]) & wanted[lag:])
+        if not len(i):
+            return
+        yield i, i + lag
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of stretches of equal keys."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return first, np.diff(np.append(first, len(key)))
 
-    def out(token, gid, pos):
-        new = np.concatenate(([True], token[1:] != token[:-1]))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(token)))
+
+def _meeting(num: int, den: int):
+    """Rows sorted by shingle: those whose shingle a group shares that may fit, with its part of the bucket and all parts it meets.
+
+    A group of several classes (``many``) meets itself on its first shingle.
+    """
+    names = ("token", "gid", "pos", "n", "many")
+
+    def out(token, gid, pos, n, many):
+        first, size = _bounds(token)
         per_row = np.repeat(size, size)
-        keep = per_row > 1
+        keep = (per_row >= SMALL_ROWS) | ((many > 0) & (pos == 0))
+        for i, j in _lags(token, per_row < SMALL_ROWS):
+            fit = _fit(num, den, n[i], n[j], pos[i], pos[j])
+            keep[i[fit]] = keep[j[fit]] = True
         if not keep.any():
             return
         place = np.arange(len(token)) - np.repeat(first, size)
@@ -160,15 +194,19 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "token": token[r], "low": np.minimum(m, o).astype(np.int32), "high": np.maximum(m, o).astype(np.int32),
                 "part": m.astype(np.int32), "gid": gid[r], "pos": pos[r].astype(np.int32)})
-    for batch in batches:
-        token, gid, pos = (np.concatenate((x, batch.column(c).to_numpy().astype(np.int64)))
-                           for x, c in ((token, "token"), (gid, "gid"), (pos, "pos")))
-        if len(token) and token[0] != token[-1]:
-            cut = int(np.searchsorted(token, token[-1]))
-            yield from out(token[:cut], gid[:cut], pos[:cut])
-            token, gid, pos = token[cut:], gid[cut:], pos[cut:]
-    if len(token):
-        yield from out(token, gid, pos)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.zeros(0, np.int64) for c in names}
+        for batch in batches:
+            held = {c: np.concatenate((held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))) for c in names}
+            token = held["token"]
+            if len(token) and token[0] != token[-1]:
+                cut = int(np.searchsorted(token, token[-1]))
+                yield from out(*(held[c][:cut] for c in names))
+                held = {c: held[c][cut:] for c in names}
+        if len(held["token"]):
+            yield from out(*held.values())
+    return run
 
 
 def _fold(sketches: list[bytes], words: int) -> np.ndarray:
@@ -181,111 +219,156 @@ def _fold(sketches: list[bytes], words: int) -> np.ndarray:
     return out
 
 
+def _nearest(up: np.ndarray, down: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the nearest ``down`` of each ``up``."""
+    order = np.lexsort((down, d, up))
+    return order[np.concatenate(([True], up[order][1:] != up[order][:-1]))] if len(order) else order
+
+
 def _pairs(num: int, den: int, every: bool):
-    """Buckets one after another: pairs (a, b) of different components that the filters leave, with the sketch distance.
+    """Pairs (a, b) of different components that the filters leave, with the distance of their sketches.
 
-    Unless ``every``, of each member only the nearest partner in a component with a smaller number.
+    Unless ``every``, of each member only the nearest partner in a component with a smaller
+    number.  Small buckets are compared many at a time; of a large one, tile by tile.
     """
-    def bucket(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        n, pos, sid, root, part = (t[c].to_numpy().astype(np.int64) for c in ("n", "pos", "sid", "root", "part"))
-        sketches = t["sketch"].to_pylist()
-        crossing = part.min() != part.max()
-        best_d, best_j = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
-        for a in range(0, len(n), TILE_ROWS):
-            i = slice(a, a + TILE_ROWS)
-            for b in range(a, len(n), TILE_ROWS):
-                j = slice(b, b + TILE_ROWS)
-                if den * n[i].max() < num * n[j].min():   # sorted by size: no later tile fits either
-                    break
-                small, large = n[i][:, None], n[j][None, :]
-                total = small + large
-                least = -(-num * total // (num + den))
-                may = (den * np.minimum(small, large) >= num * np.maximum(small, large)) & (root[i][:, None] != root[j][None, :])
-                if crossing:
-                    may &= part[i][:, None] != part[j][None, :]
-                x, y = pos[i][:, None], pos[j][None, :]
-                may &= np.minimum(x, y) + np.minimum(small - x, large - y) >= least
-                if a == b:
-                    may &= np.arange(may.shape[0])[:, None] < np.arange(may.shape[1])[None, :]
-                p, q = np.nonzero(may)
-                if not len(p):
-                    continue
-                width = min(min(len(s) for s in sketches[i]), min(len(s) for s in sketches[j])) // 8
-                left, right = _fold(sketches[i], width), _fold(sketches[j], width)
-                for c in range(0, len(p), 100_000):
-                    pp, qq = p[c:c + 100_000], q[c:c + 100_000]
-                    apart = np.bitwise_count(left[pp] ^ right[qq]).sum(axis=1).astype(np.int64)
-                    fine = apart <= (total[pp, qq] - 2 * least[pp, qq])
-                    u, v, d = pp[fine] + a, qq[fine] + b, apart[fine]
-                    if every:
-                        if len(u):
-                            yield pa.RecordBatch.from_pydict({"a": np.minimum(sid[u], sid[v]), "b": np.maximum(sid[u], sid[v]), "d": d})
-                        continue
-                    up = np.where(root[u] > root[v], u, v)
-                    down = np.where(root[u] > root[v], v, u)
-                    order = np.lexsort((sid[down], d, up))
-                    first = order[np.concatenate(([True], up[order][1:] != up[order][:-1]))] if len(order) else order
-                    better = d[first] < best_d[up[first]]
-                    best_d[up[first][better]], best_j[up[first][better]] = d[first][better], down[first][better]
-        if not every:
-            has = np.flatnonzero(best_j >= 0)
-            if len(has):
-                yield pa.RecordBatch.from_pydict({"a": sid[has], "b": sid[best_j[has]], "d": best_d[has]})
+    def told(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(i):
+            return
+        u, v = t["sid"][i], t["sid"][j]
+        if every:
+            u, v = np.minimum(u, v), np.maximum(u, v)
+        else:
+            over = t["root"][i] > t["root"][j]
+            u, v = np.where(over, u, v), np.where(over, v, u)
+            best = _nearest(u, v, d)
+            u, v, d = u[best], v[best], d[best]
+        yield pa.RecordBatch.from_pydict({"a": u, "b": v, "d": d})
+
+    def apart(t, sketches, folded8, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs (i, j), those whose sketches differ in few enough bits, and the number of bits."""
+        n, m = t["n"][i], t["n"][j]
+        most = n + m - 2 * -(-num * (n + m) // (num + den))
+        d = np.bitwise_count(folded8[i] ^ folded8[j]).sum(axis=1).astype(np.int64)
+        near = d <= most
+        i, j, d, most = i[near], j[near], d[near], most[near]
+        for k in np.flatnonzero((t["n"][i] > 1024) & (t["n"][j] > 1024)).tolist():
+            x, y = sketches[i[k]].as_py(), sketches[j[k]].as_py()
+            width = min(len(x), len(y)) // 8
+            d[k] = np.bitwise_count(_fold([x], width) ^ _fold([y], width)).sum()
+        near = d <= most
+        return i[near], j[near], d[near]
+
+    def compare(t: dict[str, np.ndarray], sketches: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, sorted by key, size and class."""
+        first, size = _bounds(t["key"])
+        per_row = np.repeat(size, size)
+        folded8 = _fold8(sketches)
+        found: list[tuple] = []
+
+        def may(i, j):
+            ok = (t["root"][i] != t["root"][j]) & ((t["low"][i] == t["high"][i]) | (t["part"][i] != t["part"][j]))
+            i, j = i[ok], j[ok]
+            ok = _fit(num, den, t["n"][i], t["n"][j], t["pos"][i], t["pos"][j])
+            return apart(t, sketches, folded8, i[ok], j[ok])
+        for i, j in _lags(t["key"], per_row < SMALL_ROWS):
+            found.append(may(i, j))
+        for f, m in zip(first[size >= SMALL_ROWS].tolist(), size[size >= SMALL_ROWS].tolist(), strict=True):
+            for a in range(f, f + m, TILE_ROWS):
+                rows = np.arange(a, min(a + TILE_ROWS, f + m))
+                for b in range(a, f + m, TILE_ROWS):
+                    cols = np.arange(b, min(b + TILE_ROWS, f + m))
+                    if den * t["n"][rows[-1]] < num * t["n"][cols[0]]:    # sorted by size: no later tile fits either
+                        break
+                    i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+                    upper = i < j
+                    found.append(may(i[upper], j[upper]))
+                    if sum(len(x[0]) for x in found) > 200_000:
+                        yield from told(t, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                        found.clear()
+        if found:
+            yield from told(t, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
+
+        def arrays(table: pa.Table) -> tuple[dict[str, np.ndarray], pa.Array]:
+            t = {c: table[c].to_numpy().astype(np.int64) for c in ("token", "low", "high", "part", "pos", "sid", "n", "root")}
+            change = np.zeros(len(t["token"]), bool)
+            for c in ("token", "low", "high"):
+                change[1:] |= t[c][1:] != t[c][:-1]
+            t["key"] = np.cumsum(change)
+            return t, table["sketch"].combine_chunks() if isinstance(table["sketch"], pa.ChunkedArray) else table["sketch"]
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("token", "low", "high")]
-            change = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                here = tuple(int(k[a]) for k in keys)
-                if here != key and held:
-                    yield from bucket(pa.Table.from_batches(held))
-                    held = []
-                key = here
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from bucket(pa.Table.from_batches(held))
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 20_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            t, sketches = arrays(table)
+            cut = int(np.searchsorted(t["key"], t["key"][-1]))
+            if cut:
+                yield from compare({c: x[:cut] for c, x in t.items()}, sketches.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from compare(*arrays(pa.Table.from_batches(held).combine_chunks()))
     return run
 
 
-def _sets(words: int):
+def _fold8(sketches: pa.Array) -> np.ndarray:
+    """All sketches folded to 512 bits."""
+    if isinstance(sketches, pa.ChunkedArray):
+        sketches = pa.concat_arrays(sketches.chunks)
+    sizes = np.diff(np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset:sketches.offset + len(sketches) + 1])
+    if (sizes == 64).all():
+        at = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset]
+        return np.frombuffer(sketches.buffers()[2], np.uint64, count=8 * len(sketches), offset=int(at)).reshape(-1, 8)
+    return _fold(sketches.to_pylist(), 8)
+
+
+def _judge(words: int, num: int, den: int):
+    """Rows sorted by hub, the hub's text before those of its members: links whose whole sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
+            hubs, members, salts = (batch.column(c).to_numpy() for c in ("hub", "member", "salt"))
+            wanted = np.stack([batch.column(c).to_numpy() for c in ("d1", "d2")], axis=1)
             for a, b in slices(offsets):
-                sets = shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words)
-                digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-                wanted = zip(batch.column("d1")[a:b].to_pylist(), batch.column("d2")[a:b].to_pylist(), strict=True)
-                fit = [i for i, (d, w) in enumerate(zip(digests, wanted, strict=True)) if tuple(d.tolist()) == w]
-                yield pa.RecordBatch.from_pydict({"sid": batch.column("sid").slice(a, b - a).take(pa.array(fit, pa.int64())),
-                                                  "shingles": pa.array([sets[i].view(np.int64) for i in fit], pa.list_(pa.int64()))})
+                u, v = [], []
+                for k, s in enumerate(shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words), a):
+                    if (_digest(s) != wanted[k]).any():
+                        continue                     # another row with the id of the one asked for
+                    if members[k] == hubs[k]:
+                        hub, own = (hubs[k], salts[k]), s
+                    elif hub == (hubs[k], salts[k]):
+                        common = len(np.intersect1d(own, s, assume_unique=True))
+                        if den * common >= num * (len(own) + len(s) - common):
+                            u.append(members[k])
+                            v.append(hubs[k])
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
     return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) whose whole sets are similar enough; only the texts that are asked for are read."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    one = stash(classes.join(asked, "sid").select("sid", F.col("first_id").alias("_id"), "d1", "d2"), "asked")
-    small = one.count() <= FETCH_ROWS
-    fetched = docs.select("doc_id", "text").join(F.broadcast(one) if small else one, F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = stash(fetched.select("sid", "d1", "d2", "text").mapInArrow(_sets(words), "sid long, shingles array<long>")
-                 .dropDuplicates(["sid"]), "sets")
-    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * den >= (F.size("x") + F.size("y") - common) * num).select(
-        F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: int = 2) -> DataFrame:
+    """Pairs (u, v) whose whole sets are similar enough.
+
+    Only texts that are asked for are read; each travels to the hubs (b) it is held
+    against, and a hub with many members is salted.
+    """
+    busy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("salts"))
+    salted = pairs.join(busy, "b").select(
+        F.col("b").alias("hub"), F.col("a").alias("member"), (F.pmod(F.xxhash64("a"), F.col("salts"))).cast("int").alias("salt"))
+    hubs = busy.select(F.col("b").alias("hub"), F.col("b").alias("member"),
+                       F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    one = classes.select(F.col("sid").alias("member"), F.col("first_id").alias("_id"), "d1", "d2")
+    asked = stash(salted.unionByName(hubs).join(one, "member"), "asked")
+    small = asked.count() <= FETCH_ROWS
+    fetched = docs.select("doc_id", "text").join(F.broadcast(asked) if small else asked, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return (fetched.select("hub", "salt", "member", "d1", "d2", "text").withColumn("_last", F.col("member") != F.col("hub"))
+            .repartition("hub", "salt").sortWithinPartitions("hub", "salt", "_last").drop("_last")
+            .mapInArrow(_judge(words, num, den), "u long, v long").distinct())
+
+
+def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: int = 1) -> DataFrame:
     """Of located rows: _file, _row, doc_id, n_shingles, root (a number of the component, null without shingles), component_id."""
     spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(cell_counts(rows, words).tobytes())
@@ -296,18 +379,24 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: in
     classes = stash(marks.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         .withColumn("sid", F.monotonically_increasing_id()), "classes")
-    # Classes of one prefix and size are one group; it stands in the join for all its members.
-    grouped = stash(classes.groupBy("n", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q")).agg(
-        F.min("sid").alias("gid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")), "groups")
-    member = classes.select("sid", "n", "sketch", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q")).join(
-        grouped.select("n", "_p", "_q", "gid"), ["n", "_p", "_q"]).select("gid", "sid", "n", "sketch")
-    # Also members of one group are candidates: their first shingle brings them together.
-    tokens = grouped.select("gid", F.posexplode("prefix").alias("pos", "token"))
-    twice = grouped.where("members > 1").select("gid", F.lit(-1).alias("pos"), F.element_at("prefix", 1).alias("token"))
-    met = tokens.unionByName(twice).repartition("token").sortWithinPartitions("token", "gid").mapInArrow(
-        _meeting, "token long, low int, high int, part int, gid long, pos int")
-    meeting = stash(met.where("pos >= 0").join(member, "gid").select("token", "low", "high", "part", "pos", "sid", "n", "sketch"),
-                    "meeting")
+    # Classes of one prefix and size are one group; its first class stands in the join for all.
+    keyed = classes.select("sid", "n", "sketch", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q"))
+    grouped = keyed.groupBy("n", "_p", "_q").agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("members"))
+    shared = stash(grouped.where("members > 1").select("n", "_p", "_q", "gid"), "groups")
+    n_shared = shared.count()
+    inside = stash(bring(keyed, shared, ["n", "_p", "_q"], rows=n_shared).select("sid", "gid"), "members")
+    n_inside = inside.count()
+    others = inside.where("sid <> gid").select("sid")
+    heads = bring(bring(classes.select("sid", "n", "prefix"), others, ["sid"], "left_anti", n_inside),
+                  shared.select(F.col("gid").alias("sid"), F.lit(1).alias("many")), ["sid"], "left", n_shared)
+    tokens = heads.select(F.col("sid").alias("gid"), "n", F.coalesce("many", F.lit(0)).alias("many"),
+                          F.posexplode("prefix").alias("pos", "token"))
+    met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _meeting(num, den), "token long, low int, high int, part int, gid long, pos int")
+    spread = bring(met, inside.withColumnRenamed("sid", "_member"), ["gid"], "left", n_inside).withColumn(
+        "sid", F.coalesce("_member", "gid"))
+    meeting = stash(spread.join(classes.select("sid", "n", "sketch"), "sid").select(
+        "token", "low", "high", "part", "pos", "sid", "n", "sketch"), "meeting")
     roots, links = None, None
     for turn in range(rounds + 1):
         every = turn == rounds
@@ -320,7 +409,7 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: in
                 .repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "sid")
                 .mapInArrow(_pairs(num, den, every), "a long, b long, d long"))
         pairs = near.select("a", "b").distinct() if every else near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        new = stash(_verified(stash(pairs, "pairs"), rows, classes, words, num, den), "links")
+        new = stash(_verified(stash(pairs.select("a", "b"), "pairs"), rows, classes, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         roots = stash(components(links), "roots")
     of_class = classes.select("sid", "d1", "d2", "n", "first_id").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
