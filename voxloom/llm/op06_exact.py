@@ -23,9 +23,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stash, whole
+from .common import bring, shared_path, stash, whole
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without room set aside in advance: with many partitions each store is small.
+STORE = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Bytes of fingerprints that one micro-batch takes in.
 BATCH_BYTES = 64 << 30
 AT = ["_file", "_row"]
@@ -48,9 +51,9 @@ def located(docs: DataFrame) -> DataFrame:
 def _final_state(spark: SparkSession, marks: DataFrame, path: str, per_batch: dict[str, str]) -> DataFrame:
     """Run the stream over the stored fingerprints to their end; the state left behind, as a table."""
     checkpoint = shared_path(spark, "dedup-stream")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(marks.schema).options(**per_batch).parquet(path)
         kept = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"),
@@ -63,10 +66,11 @@ def _final_state(spark: SparkSession, marks: DataFrame, path: str, per_batch: di
         return stash(left.select(F.col("key.digest").alias("digest"), F.col("value")[count].alias("group_size"),
                                  F.col("value")[stays].alias("_stays")), "state")
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def _decide(docs: DataFrame, per_batch: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +88,7 @@ def _decide(docs: DataFrame, per_batch: dict[str, str]) -> tuple[DataFrame, Data
     state = _final_state(spark, marks, path, per_batch)
     decided = marks.join(state, "digest")
     hits = state.where("group_size > 1")
-    texts = rows.select("doc_id", digest, whole("text").alias("_text"), *AT).join(hits, "digest")
+    texts = stash(bring(rows.select("doc_id", digest, whole("text").alias("_text"), *AT), hits, ["digest"]), "hits")
     mine = F.struct("doc_id", *AT).eqNullSafe(F.col("_stays"))
     stays = texts.where(mine).select("digest", F.col("_text").alias("_stay_text"))
     clash = texts.where(~mine).join(stays, "digest").where(F.col("_text") != F.col("_stay_text")).select("digest")
