@@ -40,7 +40,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

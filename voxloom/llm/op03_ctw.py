@@ -42,7 +42,7 @@ from .op06_exact import AT, located
 
 DEPTH = 5
 #: Rows of a file that make a block.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 8192
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = 10   # the end byte; never inside a word
 _END_WORD = 0   # the hash that stands for the end token
@@ -325,7 +325,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_docs: int = BLOCK_DOCS) ->
         "last", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("log_w")).toPandas()
     prices = model.mapInArrow(_priced(depth, Top(tops)), "key long, kind int, value float")
     counts = sums.where("kind = 1").select("key", "kind", F.col("n").cast("float").alias("value"))
-    known = tally.select("block", "kind", "key").join(stash(prices.unionByName(counts), "prices"), ["kind", "key"])
+    known = tally.select("block", "kind", "key").join(prices.unionByName(counts), ["kind", "key"])
     nothing = {"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "held_out": F.lit(None).cast("boolean")}
     both = known.select("block", "kind", "key", "value", *[v.alias(k) for k, v in nothing.items()]).unionByName(rows.select(
         "block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("float").alias("value"),
