@@ -87,40 +87,33 @@ def axis_seeds(mask, frac=0.10):
 
 
 def wavefront(hu, vness, hard, roi, seeds, p):
-    """Layered growth, voxel by voxel, straight from the rules."""
-    state, level = np.zeros(hu.shape, int), {}
-    front = []
-    for s in seeds:
-        if state[s] == 0 and roi[s] and (hard[s] or (hu[s] <= p.ceiling(0) and hu[s] <= p.hu_abs_max and vness[s] >= p.vmin)):
-            state[s], level[s] = 1, 0
-            front.append(s)
-    cap, added, off = int(p.leak_ratio * int((hard & roi).sum())) + p.cap_base, 0, False
-    slots, stored, depth = [0.0] * 5, 0, 0
-    while front:
-        depth += 1
-        layer = []
-        for z, y, x in front:
-            for dx, dy, dz in STEPS:
-                q = (z + dz, y + dy, x + dx)
-                if not all(0 <= a < n for a, n in zip(q, hu.shape)) or state[q] or not roi[q]:
-                    continue
-                if not hard[q] and (off or hu[q] > p.ceiling(depth) or vness[q] < p.vmin or hu[q] > p.hu_abs_max):
-                    continue
-                state[q] = 2
-                layer.append(q)
-        base = sum(slots[:stored]) / stored if stored else 0.0
-        if len(layer) > p.leak_base and (base <= 0 or len(layer) > p.leak_factor * base):
-            for q in layer:
-                state[q] = 1 if hard[q] else 3
-            layer = [q for q in layer if hard[q]]
+    """Layered growth as sets: what a layer reaches, what of it may stay, what is shut out for good."""
+    cells = {tuple(c) for c in np.argwhere(roi).tolist()}
+    sure = {c for c in cells if hard[c]}
+
+    def passes(cell, depth):
+        return hu[cell] <= min(p.ceiling(depth), p.hu_abs_max) and vness[cell] >= p.vmin
+
+    def around(cell):
+        return {(cell[0] + dz, cell[1] + dy, cell[2] + dx) for dx, dy, dz in STEPS}
+
+    layers = [{c for c in map(tuple, seeds) if c in cells and (c in sure or passes(c, 0))}]
+    shut, soft, room = set(), 0, int(p.leak_ratio * len(sure)) + p.cap_base
+    while layers[-1]:
+        taken = set().union(*layers) | shut
+        reach = (set().union(*map(around, layers[-1])) & cells) - taken
+        layer = {c for c in reach if c in sure or (soft <= room and passes(c, len(layers)))}
+        past = [len(x) for x in layers[1:]]
+        usual = [*past[-1:], *past[1:5]] if len(past) > 5 else past
+        mean = sum(usual) / len(usual) if usual else 0.0
+        if len(layer) > p.leak_base and (mean == 0 or len(layer) > p.leak_factor * mean):
+            shut |= layer - sure
+            layer &= sure
         else:
-            for q in layer:
-                state[q] = 1
-            added += sum(not hard[q] for q in layer)
-            off = off or added > cap
-        slots[stored % 5] = float(len(layer))
-        stored = min(stored + 1, 5)
-        for q in layer:
-            level[q] = depth
-        front = layer
-    return state == 1, level
+            soft += len(layer - sure)
+        layers.append(layer)
+    level = {c: depth for depth, layer in enumerate(layers) for c in layer}
+    mask = np.zeros(hu.shape, bool)
+    for c in level:
+        mask[c] = True
+    return mask, level

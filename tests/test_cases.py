@@ -53,6 +53,7 @@ def test_log_files(spark, tmp_path):
     (tmp_path / "run_30.log").write_text(log_text("4.740", "0.6932"))
     (tmp_path / "run_100.log").write_text(log_text(None, "0.5000"))
     (tmp_path / "run_7.log").write_text(log_text())
+    (tmp_path / "run_8.log").write_text(log_text(None, "0.91."))
     raw = logs.read_logs(spark, str(tmp_path)).withColumn("case_id", logs.case_of(F.col("path")))
     rows = {r.case_id: r for r in logs.parse_logs(raw, ["case_id"]).orderBy("case_id").collect()}
     assert list(rows) == [30, 100]
@@ -60,6 +61,8 @@ def test_log_files(spark, tmp_path):
     assert (r.nz, r.dice, r.pred_voxels, r.gt_voxels, r.load_s, r.eval_s, r.other_s, r.total_s, r.infer_s) == \
         (300, 0.6932, 10, 12, 0.195, 0.295, 0.010, 4.74, None)
     assert rows[100].total_s is None and rows[100].dice == 0.5
+    with pytest.raises(Exception, match="no case number in"):
+        spark.createDataFrame([("/a/case30.log",)], "path string").select(logs.case_of(F.col("path"))).collect()
     out = str(tmp_path / "csv")
     logs.write_results(spark.createDataFrame([(3, 4, 5, 6)], logs.CASE_DIMS), out)
     assert logs.read_results(spark, out, logs.CASE_DIMS).collect()[0].asDict() == {"case_id": 3, "nx": 4, "ny": 5, "nz": 6}
@@ -82,10 +85,19 @@ def test_split_is_seeded_and_disjoint():
     assert len(S.split_cases(ids[:19], 0.2, rounding=int)[1]) == 3
 
 
-def test_more_series_than_allowed_is_refused(spark):
-    df = spark.range(70).select((F.col("id") % 3).alias("case_id"), F.col("id").cast("string").alias("series"), F.lit(0.5).alias("dice"))
-    with pytest.raises(ValueError):
-        S.paired(df)
+def test_any_number_of_series(spark):
+    df = spark.range(210).select((F.col("id") % 3).cast("int").alias("case_id"), F.format_string("s%02d", F.expr("id div 3")).alias("series"),
+                                 (F.col("id") / 210).alias("dice"))
+    got = S.paired(df)
+    assert got.count() == 3 * 70 * 69 // 2 and got.select("pair").distinct().count() == 70 * 69 // 2
+    assert S.shared_cases(df).count() == 210
+    partly = df.where("series <> 's07' or case_id <> 1")
+    assert {r.case_id for r in S.shared_cases(partly).collect()} == {0, 2}
+    sets = {r.pair: r for r in S.failed_sets(partly, 0.2).collect()}
+    assert len(sets) == 70 * 69 // 2
+    assert (sets["s00 vs s01"].n_a, sets["s00 vs s01"].n_shared, sets["s00 vs s01"].equal) == (3, 3, True)
+    assert (sets["s00 vs s07"].n_b, sets["s00 vs s07"].n_shared, sets["s00 vs s07"].equal) == (2, 2, False)
+    assert sets["s00 vs s69"].disjoint and sets["s00 vs s69"].n_b == 0
 
 
 def voxels(spark, n, shift=0):

@@ -80,3 +80,15 @@ def test_bridge_joins_two_blobs(spark):
 
 def test_case_without_voxels_has_no_components(spark):
     assert C.components(brute.runs_frame(spark, {0: np.zeros((2, 2, 2), bool)})).count() == 0
+
+
+def test_chains_take_logarithmically_many_steps(spark, monkeypatch):
+    steps = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: steps.append(1) or cut(df))
+    for n in (8, 64, 512):
+        steps.clear()
+        chain = spark.range(n).selectExpr("0 AS case_id", "id AS u", "id + 1 AS v")
+        roots = C.component_roots(chain, finish_rows=0)
+        assert {r.node: r.root for r in roots.collect()} == dict.fromkeys(range(n + 1), 0)
+        assert len(steps) <= np.log2(n) + 6

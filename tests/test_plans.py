@@ -179,6 +179,10 @@ def test_score_of_equal_empty_disjoint_masks(spark):
     got = {r.case_id: (r.pred, r.gt, r.inter, r.dice) for r in score(one, two).collect()}
     assert got == {0: (2, 2, 2, 1.0), 1: (2, 1, 0, 0.0)}
     assert {r.case_id: r.dice for r in score(two, one).collect()} == {0: 1.0, 1: 0.0}
+    nothing = brute.runs_frame(spark, {0: np.zeros((2, 3, 4), bool)})
+    dims = spark.createDataFrame([(0, 4, 3, 2), (5, 4, 3, 2)], "case_id int, nx int, ny int, nz int")
+    assert {r.case_id: r.dice for r in score(nothing, nothing, dims).collect()} == {0: 1.0, 5: 1.0}
+    assert {r.case_id: r.dice for r in score(one, nothing, dims, dims.where("case_id < 5")).collect()} == {0: 0.0}
     empty = spark.createDataFrame([(0, 0, 0, 0)], "case_id int, p int, g int, z int")
     assert M.dice_of_flags(empty, empty.p > 0, empty.g > 0).first().dice == 1.0
 
@@ -193,6 +197,12 @@ def test_safety_rules_in_order(spark):
                    7: "anchored", 8: "anchored", 9: "wavefront"}
 
 
+def test_a_table_configuration_needs_its_table(spark):
+    from voxloom.plans.segment import segment
+    with pytest.raises(ValueError, match="table"):
+        segment(brute.slices_frame(spark, {0: np.zeros((3, 4, 5))}), resolve("classical", lut=True))
+
+
 def test_presets():
     for name in PRESETS:
         resolve(name)

@@ -50,10 +50,20 @@ def test_slab_depth_does_not_matter(spark, slab):
     assert np.allclose(pooled, v[:10, :6, :4].reshape(5, 2, 3, 2, 2, 2).mean((1, 3, 5)))
 
 
-def test_taps_are_limited_and_normalised():
-    assert abs(sum(gaussian_taps(16, 5.0)) - 1) < 1e-12
+def test_taps_of_any_radius_are_normalised():
+    for radius, sigma in ((1, 0.3), (16, 5.0), (40, 12.0)):
+        assert len(gaussian_taps(radius, sigma)) == 2 * radius + 1 and abs(sum(gaussian_taps(radius, sigma)) - 1) < 1e-12
     with pytest.raises(ValueError):
-        gaussian_taps(17, 1.0)
+        gaussian_taps(0, 1.0)
+
+
+def test_wide_kernels_are_not_cut(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-700, -300, (30, 9, 8)).astype(float)
+    taps = K.scale_kernels((8.0,), False)["s0"][0]
+    assert len(taps) == 2 * 24 + 1
+    got = cube(to_voxels(K.smooth(brute.slices_frame(spark, {0: v}), {"smoothed": [taps]}, slab=7), "v", "smoothed"), "v", v.shape)
+    assert np.allclose(got, smooth(v, taps))
 
 
 @pytest.mark.parametrize("n,patch,stride,want", [

@@ -44,8 +44,40 @@ def test_bad_files(spark, tmp_path):
     with pytest.raises(Exception, match="early|unsupported|truncated|bad dims"):
         VF.read_volumes(spark, str(tmp_path)).count()
     write(tmp_path / "a_5.nii", np.ones((2, 2, 2)), 2, True)
-    rows = VF.read_volumes(spark, str(tmp_path), skip_bad=True).collect()
-    assert {r.case_id for r in rows} <= {1, 5} and sum(r.case_id == 5 for r in rows) == 2
+    write(tmp_path / "a_6.nii.gz", np.ones((3, 2, 2)), 4, True, cut=3)
+    rows = VF.read_volumes(spark, str(tmp_path), skip_bad=True, part_bytes=8).collect()
+    assert [r.case_id for r in rows] == [5, 5]     # all slices of a file or none
+    bad = {os.path.basename(r.path): r.reason for r in VF.rejected_volumes(spark, str(tmp_path)).collect()}
+    assert set(bad) == {"a_1.nii", "a_2.nii", "a_3.nii", "a_4.nii", "a_6.nii.gz"} and "3 bytes early" in bad["a_1.nii"]
+
+
+def test_case_numbers_are_needed_and_unique(spark, tmp_path):
+    write(tmp_path / "scan7.nii", np.ones((1, 2, 2)), 4, False)
+    with pytest.raises(Exception, match="no case number in"):
+        VF.read_volumes(spark, str(tmp_path)).count()
+    for folder in "ab":
+        (tmp_path / "two" / folder).mkdir(parents=True)
+        write(tmp_path / "two" / folder / "s_1.nii", np.ones((1, 2, 2)), 4, False)
+    with pytest.raises(Exception, match="case 1 is in"):
+        VF.read_volumes(spark, str(tmp_path / "two" / "*"))
+
+
+def test_every_mask_is_written_once(spark, tmp_path):
+    n = 200
+    heads = spark.range(0, n, 1, 16).selectExpr("cast(id AS int) AS case_id", "cast(null AS binary) AS header", "3 AS nx", "2 AS ny", "2 AS nz")
+    runs = spark.range(0, n, 1, 16).selectExpr("cast(id AS int) AS case_id", "1 AS z", "0 AS y", "0 AS x0", "cast(id % 3 AS int) AS x1",
+                                               "3 AS nx", "2 AS ny", "2 AS nz")
+    out = str(tmp_path / "masks")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = VF.write_masks(runs, heads, out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = {f for f in os.listdir(out) if f.startswith("mask_")}
+    assert names == {f"mask_{i}.nii.gz" for i in range(n)}
+    times = {f: os.stat(f"{out}/{f}").st_mtime_ns for f in names}
+    assert {r.case_id: r.voxels for r in done.collect()} == {i: i % 3 + 1 for i in range(n)} and done.count() == n
+    assert {f: os.stat(f"{out}/{f}").st_mtime_ns for f in names} == times
 
 
 def test_labels_accept_plain_and_gzip_but_not_every_type(spark, tmp_path):
@@ -70,7 +102,7 @@ def test_mask_files(spark, tmp_path):
     out = str(tmp_path / "out")
     done = {r.case_id: r.voxels for r in VF.write_masks(brute.runs_frame(spark, ms), heads, out).collect()}
     assert done == {k: int(m.sum()) for k, m in ms.items()}
-    assert sorted(os.listdir(out)) == ["mask_1.nii.gz", "mask_2.nii.gz", "mask_3.nii.gz"]
+    assert sorted(os.listdir(out)) == ["_manifest", "mask_1.nii.gz", "mask_2.nii.gz", "mask_3.nii.gz"]
     back = VF.read_volumes(spark, out, label=True).collect()
     for r in back:
         assert (np.array(r.data).reshape(r.ny, r.nx) == ms[r.case_id][r.z]).all()

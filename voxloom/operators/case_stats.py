@@ -7,8 +7,12 @@ over the bucket totals.
 
 from __future__ import annotations
 
+from math import erfc, sqrt
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.voxel import effect_size
 
@@ -26,34 +30,28 @@ def running(df: DataFrame, group: list[str], value: str, weights: list[str], wid
                                    .alias(f"before_{w}") for w in weights]))
 
 
-def series_names(metrics: DataFrame, most: int = 64) -> list[str]:
-    """The compared series, a handful by design; more than ``most`` is refused, not cut off."""
-    names = [r["series"] for r in metrics.select("series").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} series")
-    return sorted(names)
-
-
-def by_case(metrics: DataFrame, names: list[str], value: str = "dice") -> DataFrame:
-    """A row per case, a column per series: one aggregation instead of joins on the key."""
-    return metrics.groupBy("case_id").agg(
-        *[F.max(F.when(F.col("series") == s, F.col(value))).alias(f"{value}_{s}") for s in names])
+def _one_value(metrics: DataFrame, value: str) -> DataFrame:
+    return metrics.groupBy("case_id", "series").agg(F.max(value).alias(value)).where(F.col(value).isNotNull())
 
 
 def paired(metrics: DataFrame, value: str = "dice") -> DataFrame:
-    """Ordered pairs of series on the cases they share: (pair, case_id, a, b)."""
-    names = series_names(metrics)
-    pairs = F.array(*[F.struct(F.lit(f"{p} vs {q}").alias("pair"), F.col(f"{value}_{p}").alias("a"),
-                               F.col(f"{value}_{q}").alias("b"))
-                      for i, p in enumerate(names) for q in names[i + 1:]])
-    return (by_case(metrics, names, value).select("case_id", F.explode(pairs).alias("s"))
-            .where(F.col("s.a").isNotNull() & F.col("s.b").isNotNull())
-            .select("s.pair", "case_id", "s.a", "s.b"))
+    """Ordered pairs of series on the cases they share: (pair, case_id, a, b).
+
+    An equi-join on the case, whatever the number of series.
+    """
+    one = _one_value(metrics, value)
+    p = one.select("case_id", F.col("series").alias("p"), F.col(value).alias("a"))
+    q = one.select("case_id", F.col("series").alias("q"), F.col(value).alias("b"))
+    return p.join(q, "case_id").where("p < q").select(F.concat_ws(" vs ", "p", "q").alias("pair"), "case_id", "a", "b")
 
 
-def shared_cases(metrics: DataFrame) -> DataFrame:
-    """Cases present in every series, a column per series score."""
-    return by_case(metrics, series_names(metrics)).na.drop()
+def shared_cases(metrics: DataFrame, value: str = "dice") -> DataFrame:
+    """Rows (case_id, series, value) of the cases that every series has."""
+    one = _one_value(metrics, value)
+    total = one.select(F.lit(0).alias("_all"), "series").groupBy("_all").agg(F.countDistinct("series").alias("_total"))
+    whole = one.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)) \
+        .join(F.broadcast(total), "_all").where("_n = _total").select("case_id")      # one row is broadcast
+    return one.join(whole, "case_id", "left_semi").select("case_id", "series", value)
 
 
 def case_summary(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
@@ -134,21 +132,14 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
                        ((w - n * (n + 1) / 4.0) / sd).alias("z"))
 
 
-def two_sided_p(z: Column) -> Column:
-    """2 * (1 - Phi(|z|)) by the complementary-error continued fraction / series, in columns.
+@F.pandas_udf(T.DoubleType())
+def _tail(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: None if v is None or v != v else erfc(abs(v) / sqrt(2.0)))
 
-    Uses the rational approximation of erfc with relative error below 1.2e-7, which
-    keeps its relative accuracy in the far tail.
-    """
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.5 * x)
-    # Published Chebyshev coefficients of the approximation.
-    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-                    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        poly = F.lit(c) + t * poly
-    return F.least(t * F.exp(-x * x + poly), F.lit(1.0))
+
+def two_sided_p(z: Column) -> Column:
+    """2 * (1 - Phi(|z|)) by the C library's erfc, over Arrow batches: one value a pair of series."""
+    return _tail(z.cast("double"))
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -156,21 +147,19 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
 
 
 def failed_sets(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Failed cases of each series pair compared as sets, in two aggregations."""
-    names = series_names(metrics)
-
-    def failed(s: str) -> Column:
-        return F.coalesce(F.col(f"dice_{s}") < limit, F.lit(False))
-
-    pairs = [(p, q) for i, p in enumerate(names) for q in names[i + 1:]]
-    sums = by_case(metrics, names).agg(
-        *[F.sum(failed(s).cast("long")).alias(f"k_{s}") for s in names],
-        *[F.sum((failed(p) & failed(q)).cast("long")).alias(f"both_{p}_{q}") for p, q in pairs])
-    rows = F.array(*[F.struct(F.lit(f"{p} vs {q}").alias("pair"), F.col(f"k_{p}").alias("n_a"), F.col(f"k_{q}").alias("n_b"),
-                              F.col(f"both_{p}_{q}").alias("n_shared")) for p, q in pairs])
-    return sums.select(F.explode(rows).alias("s")).select(
-        "s.*", ((F.col("s.n_a") == F.col("s.n_b")) & (F.col("s.n_shared") == F.col("s.n_a"))).alias("equal"),
-        (F.col("s.n_shared") == 0).alias("disjoint"))
+    """Failed cases of each series pair compared as sets: sizes, common cases, equal, disjoint."""
+    one = _one_value(metrics, "dice").withColumn("failed", (F.col("dice") < limit).cast("long"))
+    sizes = one.groupBy("series").agg(F.sum("failed").alias("k")).withColumn("_all", F.lit(0))
+    p = sizes.select("_all", F.col("series").alias("p"), F.col("k").alias("n_a"))
+    q = sizes.select("_all", F.col("series").alias("q"), F.col("k").alias("n_b"))
+    bad = one.where("failed = 1").select("case_id", "series")
+    both = (bad.withColumnRenamed("series", "p").join(bad.withColumnRenamed("series", "q"), "case_id").where("p < q")
+            .groupBy("p", "q").agg(F.count(F.lit(1)).alias("n_shared")))
+    # Every pair of series is a row of the answer; cases only meet where both failed.
+    named = p.join(q, "_all").where("p < q").join(both, ["p", "q"], "left").select(
+        F.concat_ws(" vs ", "p", "q").alias("pair"), "n_a", "n_b", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
+    return named.select("*", ((F.col("n_a") == F.col("n_b")) & (F.col("n_shared") == F.col("n_a"))).alias("equal"),
+                        (F.col("n_shared") == 0).alias("disjoint"))
 
 
 def relative_to_first(df: DataFrame, by: str, order: str, seconds: str) -> DataFrame:

@@ -102,13 +102,21 @@ def _resolve(edges: pa.Table, keys: tuple[str, ...]) -> pa.Table:
 
 
 def _contract(edges: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """One round: every node adopts its smallest neighbour's choice; edges follow."""
+    """One round: every node adopts its smallest neighbour, choices are followed to their end, edges follow.
+
+    Following doubles the distance each time, so a chain of n nodes takes about log2(n)
+    joins and is one node after the round.
+    """
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    hook = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).select(
-        *keys, F.col("u").alias("node"), F.least("u", "m").alias("up"))
-    jump = cut(hook.join(hook.select(*keys, F.col("node").alias("up"), F.col("up").alias("root")),
-                         [*keys, "up"], "left")
-               .select(*keys, "node", F.coalesce("root", "up").alias("root")))
+    jump = cut(both.groupBy(*keys, "u").agg(F.min("v").alias("m")).select(
+        *keys, F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    while True:
+        up = jump.select(*keys, F.col("node").alias("root"), F.col("root").alias("_next"))
+        step = cut(jump.join(up, [*keys, "root"], "left").select(
+            *keys, "node", F.coalesce("_next", "root").alias("root"), (F.col("_next") < F.col("root")).alias("_moved")))
+        jump = step.drop("_moved")
+        if step.where("_moved").isEmpty():
+            break
     for end in ("u", "v"):
         edges = edges.join(jump.select(*keys, F.col("node").alias(end), "root"), [*keys, end]) \
             .drop(end).withColumnRenamed("root", end)

@@ -85,8 +85,12 @@ def dice_of_flags(vox: DataFrame, pred: Column, truth: Column,
     return sums.withColumn("dice", dice_score(F.col("inter"), F.col("pred"), F.col("gt")))
 
 
-def dice(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Overlap score of two run masks: matching lines meet once, spans are intersected."""
+def dice(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("case_id",), cases: DataFrame | None = None) -> DataFrame:
+    """Overlap score of two run masks: matching lines meet once, spans are intersected.
+
+    A case without a run in either mask has no rows here; ``cases`` (the keys of all
+    cases) gives those their score of 1.
+    """
     length = (F.col("x1") - F.col("x0") + 1).cast("long")
     sizes = pred.select(*keys, length.alias("p"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("i")) \
         .unionByName(truth.select(*keys, F.lit(0).cast("long").alias("p"), length.alias("g"),
@@ -96,16 +100,20 @@ def dice(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("case_id",)
     both = a.join(b, [*keys, "z", "y"]).where("a0 <= b1 and b0 <= a1").select(
         *keys, F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("g"),
         (F.least("a1", "b1") - F.greatest("a0", "b0") + 1).cast("long").alias("i"))
+    if cases is not None:
+        none = [F.lit(0).cast("long").alias(c) for c in "pgi"]
+        sizes = sizes.unionByName(cases.select(*keys, *none))
     sums = sizes.unionByName(both).groupBy(*keys).agg(
         F.sum("p").alias("pred"), F.sum("g").alias("gt"), F.sum("i").alias("inter"))
     return sums.withColumn("dice", dice_score(F.col("inter"), F.col("pred"), F.col("gt")))
 
 
-def slice_profile(runs: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Area and bounding width and height of each non-empty slice."""
+def slice_profile(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Area and bounding width and height of each non-empty slice; ``carry`` keeps grid sizes."""
     return runs.groupBy(*keys, "z").agg(
         F.sum(F.col("x1") - F.col("x0") + 1).alias("area"),
-        (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
+        (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
+        *[F.first(c).alias(c) for c in carry])
 
 
 def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]) -> DataFrame:
@@ -126,11 +134,9 @@ def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]
 def prune_slices(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), factor: int = 8,
                  slack: int = 50, min_fill: float = 0.5) -> DataFrame:
     """Drop slices whose area explodes past the typical one and that sprawl or are sparse."""
-    profile = slice_profile(runs, keys)
+    profile = slice_profile(runs, keys, ("nx", "ny"))
     typical = rank_pick(profile, "area", F.expr("n div 2"), keys).select(*keys, F.col("area").alias("med"))
-    judged = attach(profile, typical, list(keys))
-    dims = runs.select(*keys, "z", *DIMS).distinct()
-    leaked = judged.join(dims, [*keys, "z"]).where(
+    leaked = attach(profile, typical, list(keys)).where(
         (F.col("area") > factor * F.col("med") + slack)
         & ((F.col("width") > F.expr("nx div 2")) | (F.col("height") > F.expr("ny div 2"))
            | (F.col("area") / (F.col("width") * F.col("height")) < min_fill))).select(*keys, "z")

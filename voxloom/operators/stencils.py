@@ -170,7 +170,7 @@ def scale_kernels(sigmas: tuple[float, ...], incremental: bool) -> dict[str, lis
     chains, chain, before = {}, [], 0.0
     for i, sigma in enumerate(sigmas):
         step = (sigma ** 2 - before ** 2) ** 0.5 if incremental else sigma
-        taps = gaussian_taps(min(16, max(1, int(np.ceil(3 * step)))), step)
+        taps = gaussian_taps(max(1, int(np.ceil(3 * step))), step)
         chain = [*chain, taps] if incremental else [taps]
         before = sigma
         chains[f"s{i}"] = chain

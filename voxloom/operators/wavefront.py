@@ -88,11 +88,11 @@ def _grow_in_task(p: WavefrontParams):
         soft = group.column("tubular").to_numpy().astype(bool) & (hu <= p.hu_abs_max)
         nx, ny = group.column("nx")[0].as_py(), group.column("ny")[0].as_py()
         x, y = idx % nx, idx // nx % ny
-        state = np.zeros(idx.size, np.int8)          # 0 free, 1 kept, 3 rejected for good
+        kept, shut = np.zeros(idx.size, bool), np.zeros(idx.size, bool)
         level = np.zeros(idx.size, np.int32)
         front = np.flatnonzero(group.column("seed").to_numpy().astype(bool)
                                & (hard | (soft & (hu <= p.ceiling(0)))))
-        state[front] = 1
+        kept[front] = True
         cap, added, closed = int(p.leak_ratio * hard.sum()) + p.cap_base, 0, False
         recent, depth = Baseline(), 0
         while front.size:
@@ -104,22 +104,22 @@ def _grow_in_task(p: WavefrontParams):
                 spot = np.minimum(np.searchsorted(idx, want), idx.size - 1)
                 steps.append(spot[idx[spot] == want])
             near = np.unique(np.concatenate(steps))
-            near = near[state[near] == 0]
+            near = near[~(kept | shut)[near]]
             relaxed = soft[near] & (hu[near] <= p.ceiling(depth)) & (not closed)
             layer = near[hard[near] | relaxed]
             if recent.explodes(layer.size, p):
-                state[layer[~hard[layer]]] = 3
+                shut[layer[~hard[layer]]] = True
                 layer = layer[hard[layer]]
             else:
                 added += int((~hard[layer]).sum())
                 closed = closed or added > cap
-            state[layer], level[layer] = 1, depth
+            kept[layer], level[layer] = True, depth
             recent.store(layer.size)
             front = layer
-        kept = np.flatnonzero(state == 1)
-        return group.take(pa.array(kept)).select([c for c in group.column_names if c not in
+        rows = np.flatnonzero(kept)
+        return group.take(pa.array(rows)).select([c for c in group.column_names if c not in
                                                   ("hu", "hard", "tubular", "seed")]) \
-            .append_column("level", pa.array(level[kept], pa.int32()))
+            .append_column("level", pa.array(level[rows], pa.int32()))
     return grow
 
 

@@ -184,6 +184,12 @@ def q_components(spark, d):
     return xyz(C.components(mask(spark, d, -550)), "label")
 
 
+@query
+def q_components_bricks(spark, d):
+    """The same labels from bricks of 2 slices by 3 lines, contracted to the end: many borders, no finishing step."""
+    return xyz(C.components(mask(spark, d, -550).drop("bz", "by"), bz=2, by=3, finish_rows=0), "label")
+
+
 @query
 def q_component_stats(spark, d):
     return C.component_stats(C.components(mask(spark, d, -550)))
@@ -555,7 +561,8 @@ def q_monitor_stats(spark, d):
 
 @query
 def q_paired_cases(spark, d):
-    return S.shared_cases(case_metrics(spark, d))
+    return S.shared_cases(case_metrics(spark, d)).groupBy("case_id").pivot("series", ["A", "N", "R"]).agg(F.max("dice")) \
+        .withColumnsRenamed({"A": "dice_A", "N": "dice_N", "R": "dice_R"})
 
 
 @query

@@ -8,8 +8,8 @@ computes it.
 
 from __future__ import annotations
 
-from voxloom.functions.voxel import gaussian_taps
-from voxloom.operators.stencils import scale_kernels
+import math
+
 from voxloom.plans import catalog as Q
 
 S_CTE = """s AS (SELECT label AS case_id, embedding AS e,
@@ -108,7 +108,8 @@ def label(name: str, among: str, extra: str = "") -> str:
 
 STATS = ("st AS (SELECT case_id{more}, label, count(*) AS size, sum(x) AS sum_x, sum(y) AS sum_y, sum(z) AS sum_z, min(x) AS min_x, max(x) AS max_x, "
          "min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM lab GROUP BY case_id{more}, label)")
-vox("q_components", "SELECT * FROM lab", member("m", "hu <= -550"), label("lab", "m"), recursive=True)
+for _name in ("q_components", "q_components_bricks"):
+    vox(_name, "SELECT * FROM lab", member("m", "hu <= -550"), label("lab", "m"), recursive=True)
 vox("q_component_stats", "SELECT case_id, label, size, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y, CAST(sum_z AS BIGINT) AS sum_z, "
     "min_x, max_x, min_y, max_y, min_z, max_z FROM st", member("m", "hu <= -550"), label("lab", "m"), STATS.format(more=""), recursive=True)
 
@@ -175,6 +176,12 @@ def line_pass(name: str, of: str, axis: str, taps: list[float], col: str = "v")
 V0 = "v0 AS MATERIALIZED (SELECT case_id, x, y, z, nz, CAST(hu AS DOUBLE) AS v FROM vox)"
 
 
+def bell(radius: int, sigma: float) -> list[float]:
+    """Weights of a sampled bell, from its definition and not from the engine."""
+    raw = [math.e ** (-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [w / sum(raw) for w in raw]
+
+
 def smooth3(taps: list[float], start: str = "v0", tag: str = "g") -> list[str]:
     return [line_pass(f"{tag}x", start, "x", taps), line_pass(f"{tag}y", f"{tag}x", "y", taps), line_pass(f"{tag}z", f"{tag}y", "z", taps)]
 
@@ -182,7 +189,7 @@ def smooth3(taps: list[float], start: str = "v0", tag: str = "g") -> list[str]:
 vox("q_gauss_x", "SELECT case_id, x, y, z, v FROM gx", V0, line_pass("gx", "v0", "x", Q.DYADIC))
 vox("q_gauss3d", "SELECT case_id, x, y, z, v FROM gz", V0, *smooth3(Q.DYADIC))
 vox("q_gauss_threshold", "SELECT case_id, x, y, z FROM gz WHERE v BETWEEN -520 AND -505", V0, *smooth3(Q.DYADIC))
-vox("q_validate_gauss", "SELECT case_id, x, y, z, round(v, 6) AS v FROM gz", V0, *smooth3(gaussian_taps(2, 1.0)))
+vox("q_validate_gauss", "SELECT case_id, x, y, z, round(v, 6) AS v FROM gz", V0, *smooth3(bell(2, 1.0)))
 
 
 def cell(x: str, y: str, z: str) -> str:
@@ -250,9 +257,11 @@ vox("q_eigen3", "SELECT case_id, x, y, z, round(e1, 5) AS e1, round(e2, 5) AS e2
 def vesselness(incremental: bool) -> None:
     sigmas = (1.0, 2.0, 3.0)
     parts, scores = [V0], []
-    for i, (chain, sigma) in enumerate(zip(scale_kernels(sigmas, incremental).values(), sigmas)):
+    for i, sigma in enumerate(sigmas):
+        # Direct, or on from the scale before by the width that is missing in squares.
+        steps = [(s ** 2 - (sigmas[k - 1] ** 2 if k else 0)) ** 0.5 for k, s in enumerate(sigmas[:i + 1])] if incremental else [sigma]
         start = "v0"
-        for j, taps in enumerate(chain):
+        for j, taps in enumerate(bell(math.ceil(3 * step), step) for step in steps):
             parts += smooth3(taps, start, f"g{i}{j}")
             start = f"g{i}{j}z"
         parts += [hess_of(start, f"h{i}", sigma * sigma), eigen_of(f"h{i}", f"e{i}")]
@@ -449,12 +458,11 @@ RANKS = ("rk AS MATERIALIZED (SELECT pair, d, rank() OVER (PARTITION BY pair ORD
          "FROM (SELECT pair, round(a - b, 4) AS d FROM pr) WHERE d <> 0), "
          "sm AS MATERIALIZED (SELECT pair, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_pos, coalesce(sum(r) FILTER (d < 0), 0) AS w_neg, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY pair)")
 cases("q_rank_biserial", "SELECT pair, n, w_pos, w_neg, round((w_pos - w_neg) / (w_pos + w_neg), 9) AS rank_biserial FROM sm", PAIRS, RANKS)
-_C = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-_POLY = "0.17087277::DOUBLE"
-for _c in reversed(_C[:-1]):
-    _POLY = f"({_c}::DOUBLE + t * {_POLY})"
-cases("q_wilcoxon", f"SELECT pair, n, w, round(zz, 6) AS z, round(least(t * exp(-xx * xx + {_POLY}), 1.0::DOUBLE), 5) AS p FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * xx) AS t FROM (SELECT *, abs(zz) / sqrt(2.0::DOUBLE) AS xx FROM ("
-      "SELECT pair, n, least(w_pos, w_neg) AS w, (least(w_pos, w_neg) - n::DOUBLE * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS zz FROM sm)))", PAIRS, RANKS)
+# erf by Simpson's rule on 1000 strips.
+_ERF = ("2.0::DOUBLE / sqrt(pi()) * xx / 3000.0::DOUBLE * (SELECT sum((CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+        "* exp(-(i * xx / 1000.0::DOUBLE) * (i * xx / 1000.0::DOUBLE))) FROM range(0, 1001) AS strips(i))")
+cases("q_wilcoxon", f"SELECT pair, n, w, round(zz, 6) AS z, round(1.0::DOUBLE - {_ERF}, 5) + 0.0 AS p FROM (SELECT *, abs(zz) / sqrt(2.0::DOUBLE) AS xx FROM ("
+      "SELECT pair, n, least(w_pos, w_neg) AS w, (least(w_pos, w_neg) - n::DOUBLE * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS zz FROM sm))", PAIRS, RANKS)
 cases("q_failed_sets", "SELECT a.series || ' vs ' || b.series AS pair, a.k AS n_a, b.k AS n_b, len(list_intersect(a.f, b.f)) AS n_shared, list_sort(a.f) = list_sort(b.f) AS equal, len(list_intersect(a.f, b.f)) = 0 AS disjoint FROM fs a JOIN fs b ON a.series < b.series",
       "fs AS MATERIALIZED (SELECT series, coalesce(list(case_id) FILTER (dice < 0.95), []) AS f, count(*) FILTER (dice < 0.95) AS k FROM m GROUP BY series)")
 SQL["q_pair_semi"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"

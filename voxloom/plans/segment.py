@@ -66,7 +66,9 @@ def joint_voxels(slices: DataFrame) -> DataFrame:
 
 def _candidate(slices: DataFrame, cfg: SegmentConfig, lut: DataFrame | None) -> DataFrame:
     smooth = gaussian(slices, cfg.radius, cfg.sigma)
-    if cfg.lut and lut is not None:
+    if cfg.lut and lut is None:
+        raise ValueError("this configuration looks voxels up in a trained table; give it one")
+    if cfg.lut:
         vox = lut_apply(gradient_magnitude(smooth, "smoothed"), lut, LutSpec())
         return to_runs(vox.where(F.col("p") >= cfg.prob_thresh))
     return to_runs(positions(smooth, ["smoothed"], list(KEYS)).where(in_band(F.col("value"), cfg.band_lo, cfg.band_hi)))
@@ -167,8 +169,12 @@ def _after_growth(slices: DataFrame, hu: DataFrame, bbox: DataFrame | None, grow
 
 def score(mask: DataFrame, truth: DataFrame, dims: DataFrame | None = None,
           truth_dims: DataFrame | None = None) -> DataFrame:
-    """Overlap per case; cases whose grids differ are left out, not mis-scored."""
+    """Overlap per case; cases whose grids differ are left out, not mis-scored.
+
+    With the grid sizes of the cases (``dims``) also cases that are empty in both masks get their row.
+    """
+    cases = None if dims is None else dims.select("case_id").distinct()
     if dims is not None and truth_dims is not None:
-        same = dims.join(truth_dims, ["case_id", *DIMS], "left_semi").select("case_id")
-        mask, truth = (m.join(same, "case_id", "left_semi") for m in (mask, truth))
-    return dice(mask, truth)
+        cases = dims.join(truth_dims, ["case_id", *DIMS], "left_semi").select("case_id").distinct()
+        mask, truth = (m.join(cases, "case_id", "left_semi") for m in (mask, truth))
+    return dice(mask, truth, cases=cases)

@@ -51,33 +51,46 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def case_of(path: Column) -> Column:
-    """Case number in a file name: the digits after the last underscore of the stem."""
-    return F.regexp_extract(path, r"_(\d+)[^/_]*$", 1).try_cast("int")
+    """Case number in a file name: the digits behind its last underscore.  A name without one is an error, not a null id."""
+    tail = F.substring_index(F.element_at(F.split(path, "/"), -1), "_", -1)
+    number = F.split(tail, r"\D")[0].try_cast("int")
+    return F.when(number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("no case number in "), path)).cast("int"))
 
 
-def _number(found: Column, kind: str) -> Column:
-    return F.when(found != "", found).cast(kind)
+def settings(text: Column) -> Column:
+    """Every ``name=value`` of a text, in order."""
+    each = F.filter(F.split(text, r"\s+"), lambda w: F.contains(w, F.lit("=")))
+    return F.transform(each, lambda w: F.struct(F.substring_index(w, "=", 1).alias("name"),
+                                                F.substring_index(w, "=", -1).alias("value")))
 
 
-def timing(text: Column, label: str) -> Column:
-    quoted = "".join("\\" + c if c in "()/" else c for c in label)
-    return _number(F.regexp_extract(text, rf"(?m)^\s*{quoted}\s*:\s*([0-9]+\.[0-9]+)", 1), "double")
+def measures(text: Column) -> Column:
+    """Every line ``label : number …`` of a text, in order."""
+    lines = F.filter(F.split(text, "\n"), lambda line: F.contains(line, F.lit(":")))
+    return F.transform(lines, lambda line: F.struct(
+        F.trim(F.substring_index(line, ":", 1)).alias("name"),
+        F.split(F.trim(F.substring_index(line, ":", -1)), r"\s+")[0].alias("value")))
+
+
+def last(entries: Column, name: str) -> Column:
+    """The value last given to a name, as text; null if there is none."""
+    return F.try_element_at(F.filter(entries, lambda e: e["name"] == name), F.lit(-1))["value"]
 
 
 def parse_logs(logs: DataFrame, keys: list[str], drop_failed: bool = True) -> DataFrame:
-    """Scores, sizes and stage seconds from log text, all by built-in regex functions.
+    """Scores, sizes and stage seconds from log text.
 
-    The last printed score counts.  A log with a score or a total is kept, one with
-    neither is dropped.
+    A text is read as two lists, of settings and of measures; the columns are looked up
+    in them and the last value of a name counts.  A value that is no number is null.  A
+    log with a score or a total is kept, one with neither is dropped.
     """
-    t = F.col("text")
-    scores = F.regexp_extract_all(t, F.lit(r"Dice=([0-9.]+)"), F.lit(1))
-    out = logs.select(
-        *keys, _number(F.coalesce(F.try_element_at(F.filter(scores, lambda s: s != ""), F.lit(-1)), F.lit("")), "double").alias("dice"),
-        _number(F.regexp_extract(t, r"dims=\d+x\d+x(\d+)", 1), "int").alias("nz"),
-        _number(F.regexp_extract(t, r"pred=(\d+)\s+gt=\d+", 1), "long").alias("pred_voxels"),
-        _number(F.regexp_extract(t, r"pred=\d+\s+gt=(\d+)", 1), "long").alias("gt_voxels"),
-        *[timing(t, label).alias(c) for label, c in TIMINGS.items()])
+    read = logs.select(*keys, settings(F.col("text")).alias("_set"), measures(F.col("text")).alias("_measured"))
+    size = F.get(F.split(last(F.col("_set"), "dims"), "x"), 2)
+    out = read.select(
+        *keys, last(F.col("_set"), "Dice").try_cast("double").alias("dice"), size.try_cast("int").alias("nz"),
+        last(F.col("_set"), "pred").try_cast("long").alias("pred_voxels"),
+        last(F.col("_set"), "gt").try_cast("long").alias("gt_voxels"),
+        *[last(F.col("_measured"), label).try_cast("double").alias(c) for label, c in TIMINGS.items()])
     return out.where(F.col("total_s").isNotNull() | F.col("dice").isNotNull()) if drop_failed else out
 
 

@@ -149,11 +149,51 @@ def _stream_plain(file, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    """File names by Spark's own listing; contents are not fetched here."""
+    """File names by Spark's own listing; contents are not fetched here.
+
+    Two files with one case number would merge further on, so they are refused.
+    """
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path")
+    files = reader.load(path).select("path")
+    twice = (files.groupBy(case_of(_stem()).alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("one"),
+                                                                  F.max("path").alias("other")).where("n > 1").first())
+    if twice:
+        raise VolumeError(f"case {twice['case_id']} is in {twice['one']} and in {twice['other']}")
+    return files
+
+
+def check_file(name: str, label: bool, through: bool) -> tuple[dict, bool]:
+    """Header, and whether the file is gzip.  Plain files must be long enough; ``through`` decodes gzip ones to their end."""
+    with _open(name) as file:
+        packed = file.read(2) == GZIP_MAGIC
+        file.seek(0)
+        reader = _Reader(_stream(file))
+        head = parse_header(reader.take(HEADER_BYTES))
+        plane = head["nx"] * head["ny"] * voxel_type(head, label).itemsize
+        skip = max(0, head["offset"] - HEADER_BYTES)
+        if not packed:
+            short = HEADER_BYTES + skip + plane * head["nz"] - file.size()
+            if short > 0:
+                raise VolumeError(f"file ends {short} bytes early")
+        elif through:
+            reader.take(skip)
+            for _ in range(head["nz"]):
+                reader.take(plane)
+    return head, packed
+
+
+def rejected_volumes(spark: SparkSession, path: str, label: bool = False, pattern: str | None = None) -> DataFrame:
+    """(path, reason) of the files that ``read_volumes`` leaves out with ``skip_bad``."""
+    def reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                try:
+                    check_file(name, label, True)
+                except (VolumeError, zlib.error) as error:
+                    yield pa.RecordBatch.from_pydict({"path": [name], "reason": [str(error)]})
+    return _files(spark, path, pattern).repartition("path").mapInArrow(reasons, "path string, reason string")
 
 
 def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: str | None = None,
@@ -163,8 +203,8 @@ def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: s
     A first pass reads headers and plans parts: plain files are split into ranges of
     slices of about ``part_bytes``, gzip files (which cannot be split) are one part.
     Parts are then spread over tasks and decoded as streams.  ``label`` reads masks
-    (stored values, no rescale).  Bad files raise, or with ``skip_bad`` give no rows
-    from the bad place on.
+    (stored values, no rescale).  Bad files raise; with ``skip_bad`` they give no rows at
+    all (gzip files are then decoded twice) and ``rejected_volumes`` lists them.
     """
     part_schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("z0", T.IntegerType()),
                                 T.StructField("z1", T.IntegerType())])
@@ -173,15 +213,12 @@ def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: s
         for batch in batches:
             for name in batch.column("path").to_pylist():
                 try:
-                    with _open(name) as file:
-                        packed = file.read(2) == GZIP_MAGIC
-                        file.seek(0)
-                        head = parse_header(_Reader(_stream(file)).take(HEADER_BYTES))
-                    size = head["nx"] * head["ny"] * voxel_type(head, label).itemsize
+                    head, packed = check_file(name, label, skip_bad)
                 except (VolumeError, zlib.error) as error:
                     if skip_bad:
                         continue
                     raise VolumeError(f"{name}: {error}") from error
+                size = head["nx"] * head["ny"] * voxel_type(head, label).itemsize
                 step = head["nz"] if packed else max(1, part_bytes // size)
                 starts = np.arange(0, head["nz"], step, dtype=np.int32)
                 yield pa.RecordBatch.from_pydict({
@@ -197,8 +234,7 @@ def read_volumes(spark: SparkSession, path: str, label: bool = False, pattern: s
                         row |= {s: pa.array([head[s]], pa.float32()) for s in ("dx", "dy", "dz")}
                         yield pa.RecordBatch.from_pydict({**row, "data": pa.array([data], pa.list_(pa.float32()))})
                 except (VolumeError, zlib.error) as error:
-                    if not skip_bad:
-                        raise VolumeError(f"{name}: {error}") from error
+                    raise VolumeError(f"{name}: {error}") from error
 
     parts = _files(spark, path, pattern).mapInArrow(plan, part_schema).repartition("path", "z0")
     return parts.mapInArrow(decode, VOLUME_SCHEMA).select(case_of(_stem()).alias("case_id"), "*")
@@ -244,7 +280,10 @@ def make_header(nx: int, ny: int, nz: int, code: int = 2, spacing=(1.0, 1.0, 1.0
 
 
 def write_masks(runs: DataFrame, headers: DataFrame, out: str) -> DataFrame:
-    """Write one gzip mask file per case; returns ``case_id, file, voxels``.
+    """Write one gzip mask file per case, now; returns the stored manifest ``case_id, file, voxels``.
+
+    The manifest is written by the same job, to ``_manifest`` beside the masks, so each
+    mask is written once whatever is done with the result.
 
     Rows reach the writer sorted by case, slice and line, and each file is written as
     a stream of slices, so memory is one slice however large the case.  A file gets
@@ -274,7 +313,9 @@ def write_masks(runs: DataFrame, headers: DataFrame, out: str) -> DataFrame:
         if current:
             yield current.finish()
 
-    return ordered.mapInArrow(write, schema)
+    manifest = f"{out.rstrip('/')}/_manifest"
+    ordered.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
+    return ordered.sparkSession.read.schema(schema).parquet(manifest)
 
 
 class _MaskFile:
