@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bring, buffers, ragged, shared_path, slices, stash, whole, word_bounds
+from .common import bring, buffers, folded, ragged, shared_path, slices, stash, whole, word_bounds
 from .segments import by_text, encode_pieces, per_worker, views
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -119,15 +119,47 @@ class Words:
         self.digest = hashlib.sha256(text.encode()).hexdigest()
         self.text = spark.sparkContext.broadcast(text)
 
-    def encode_batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ready(self):
         def make():
             from tokenizers import Tokenizer
-            return Tokenizer.from_str(self.text.value)
-        tokenizer, memory = per_worker(("words", self.digest), make)
+            made = Tokenizer.from_str(self.text.value)
+            ends = np.zeros(max(made.get_vocab().values()) + 1, bool)
+            ends[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
+            return made, ends, [t.content.encode() for t in made.get_added_tokens_decoder().values()]
+        return per_worker(("words", self.digest), make)
 
-        def encode(texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (tokenizer, ends, special), memory = self.ready()
+
+        def each(texts: list[str]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            """Words of letters in one go, told apart by the marks of word ends; others on their own."""
+            plain = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha()]
+            out: list = [None] * len(texts)
+            if plain:
+                ids = each([" ".join([texts[i] for i in plain])])[0]
+                cut = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+                if len(cut) == len(plain) + 1 and cut[-1] == len(ids):
+                    for i, a, b in zip(plain, cut[:-1], cut[1:], strict=True):
+                        out[i] = ids[a:b]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, ids in zip(rest, each([texts[i] for i in rest]), strict=True):
+                out[i] = ids
+            return out
         starts, stops, per_text = word_bounds(raw, offsets)
+        low = folded(raw).tobytes()
+        # The tokenizer lowers all letters and cuts between letters and signs; so do we, for fewer distinct pieces.
+        # Not where a dot above could make the capital dotted I, whose small letter is two characters.
+        if not any(mark in low for mark in (*[m.lower() for m in special], "\u0307".encode())):
+            raw = folded(raw)
+            letter = (raw >= 97) & (raw <= 122)
+            sign = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57))
+            border = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & (raw[:-1] != 39) & letter[1:])) + 1
+            border = border[np.searchsorted(offsets, border, side="left") == np.searchsorted(offsets, border, side="right")]
+            starts, stops = np.sort(np.concatenate((starts, border))), np.sort(np.concatenate((stops, border)))
+            per_text = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
         ids, counts = encode_pieces(raw, starts, stops, encode, memory)
         return ids, by_text(counts, per_text)
 

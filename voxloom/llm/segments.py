@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -20,7 +21,7 @@ LONG = 64
 _workers: dict[tuple, tuple] = {}
 
 
-def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, dict[int, np.ndarray]]:
+def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, dict[int, list[int]]]:
     """A tokenizer and its memory of pieces, made once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if key not in _workers:
@@ -29,25 +30,26 @@ def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, dict[int
 
 
 def encode_pieces(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode: Callable[[list[str]], list[list[int]]],
-                  memory: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+                  memory: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces one after another, and the number of ids of each piece."""
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     marks, first, place = np.unique(stretch_hashes(raw, starts, stops), return_index=True, return_inverse=True)
     if len(memory) > MEMORY:
         memory.clear()
-    known = [memory.get(m) for m in marks.tolist()]
+    marks = marks.tolist()
+    known = list(map(memory.get, marks))
     new = [i for i, ids in enumerate(known) if ids is None]
-    data = raw.tobytes()
+    data, first, last = raw.tobytes(), starts[first].tolist(), stops[first].tolist()
     for a in range(0, len(new), 4096):
         part = new[a:a + 4096]
-        texts = [data[starts[first[i]]:stops[first[i]]].decode() for i in part]
+        texts = [data[first[i]:last[i]].decode() for i in part]
         for i, text, ids in zip(part, texts, encode(texts), strict=True):
-            known[i] = np.array(ids, np.uint32)
+            known[i] = ids
             if len(text) <= LONG:
-                memory[int(marks[i])] = known[i]
-    sizes = np.array([len(x) for x in known])
-    flat = np.concatenate(known)
+                memory[marks[i]] = ids
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    flat = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
     counts = sizes[place]
     return flat[ragged(begin[place], counts)], counts
