@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bring, n_words, stash, uniform
 
 #: Documents of a bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def draw(seed: int) -> Column:
