@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.voxel import THIRD_TURN, gaussian_taps
-from voxloom.session import attach
+from voxloom.session import attach, cut
 from voxloom.sources.tables import DIMS
 
 SLAB = 32
@@ -231,7 +231,8 @@ def vesselness(slices: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0),
         return out
 
     planes = [f"{n}{i}" for i in count for n in ("shape", "str")]
-    parts = per_slab(slices, planes, reach_of(kernels) + 1, compute, keys, slab, carry=carry)
+    # Kept, as they are read twice: for the largest strength and for the scores.
+    parts = cut(per_slab(slices, planes, reach_of(kernels) + 1, compute, keys, slab, carry=carry))
     top = parts.groupBy(*keys).agg(*[F.max(F.array_max(f"str{i}")).alias(f"top{i}") for i in count])
     extra = ["data"] if carry else []
     vox = positions(attach(parts, top, list(keys)), [*planes, *extra], [*keys, *[f"top{i}" for i in count]])
