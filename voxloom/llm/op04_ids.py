@@ -34,6 +34,8 @@ from .segments import by_text, encode_pieces, per_worker, views
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 BLOCK_IDS = 1024
+#: Distinct words whose ids a Python worker keeps, about 200 MB.
+WORDS_KEPT = 600_000
 #: Items and bits of a word by selector 1 to 14; selector 15 marks an escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
           (2, 30), (1, 60))
@@ -160,7 +162,7 @@ class Words:
             border = border[np.searchsorted(offsets, border, side="left") == np.searchsorted(offsets, border, side="right")]
             starts, stops = np.sort(np.concatenate((starts, border))), np.sort(np.concatenate((stops, border)))
             per_text = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-        ids, counts = encode_pieces(raw, starts, stops, encode, memory)
+        ids, counts = encode_pieces(raw, starts, stops, encode, memory, WORDS_KEPT)
         return ids, by_text(counts, per_text)
 
 

@@ -30,12 +30,12 @@ def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, dict[int
 
 
 def encode_pieces(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode: Callable[[list[str]], list[list[int]]],
-                  memory: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+                  memory: dict[int, list[int]], most: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces one after another, and the number of ids of each piece."""
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     marks, first, place = np.unique(stretch_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-    if len(memory) > MEMORY:
+    if len(memory) > most:
         memory.clear()
     marks = marks.tolist()
     known = list(map(memory.get, marks))
