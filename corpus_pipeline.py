@@ -9,7 +9,7 @@ from voxloom.llm.common import stash, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality sample leaves out go."""
+    """Documents whose own quality weight is under the threshold go."""
     return op07_quality.accept(docs, table(spark, sf_dir, "labels"))
 
 

@@ -8,6 +8,7 @@ from math import log10
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.llm import op01_spans, op02_mix, op03_ctw, op06_exact, op07_quality, op08_jaccard
 from voxloom.llm.common import table
@@ -260,6 +261,28 @@ def test_quality_of_awkward_rows(spark, odd, none):
     assert op07_quality.resample(none, labels).count() == 0 and op07_quality.accept(none, labels).count() == 0
 
 
+def test_quality_stage_has_no_quota(spark):
+    """Whatever share of the rows is bad, the clean ones stay and the labelled-bad ones go."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    good, bad = (docs.join(labels.where(f"quality = {q}"), "doc_id", "left_semi") for q in (1, 0))
+    more = bad
+    for i in range(1, 12):
+        more = more.unionByName(bad.withColumn("doc_id", F.col("doc_id") + 1_000_000 * i).withColumn("text", F.concat("text", F.lit(f" x{i}"))))
+    for clean, junk in ((good, bad.limit(3)), (good, more)):
+        kept = {r.doc_id for r in op07_quality.accept(clean.unionByName(junk), labels).collect()}
+        ids = {r.doc_id for r in clean.collect()}
+        assert len(kept & ids) >= 0.99 * len(ids) and len(kept - ids) <= 0.01 * junk.count()
+    assert op07_quality.accept(good, labels).count() == good.count()
+
+
+def test_quality_threshold_by_hand():
+    mean = np.array([-2.0, -1.0, 0.0, 0.5])
+    assert op07_quality.best_cut(mean, np.array([0, 0, 3, 2]), np.array([4, 1, 0, 0])) == -0.5
+    assert op07_quality.best_cut(mean, np.array([1, 0, 3, 2]), np.array([0, 0, 0, 0])) == float("-inf")
+    assert op07_quality.best_cut(mean, np.array([5, 0, 0, 0]), np.array([0, 0, 0, 2])) == float("-inf")
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000])
 def test_kth_largest(spark, k):
     keys = spark.range(1000).selectExpr("cast(id * 7919 % 1000 div 3 AS double) * 1.5 - 20 AS key")

@@ -1,4 +1,4 @@
-"""Quality by importance resampling: hashed n-gram models of good and of raw text, Gumbel top-k.
+"""Quality by importance resampling: hashed n-gram models of good and of raw text, Gumbel top-k or a threshold.
 
 Texts are cut into tokens: words (letters, digits, everything beyond ASCII) and runs of
 other signs; a token equal to the one before it becomes a repeat mark.  Unigrams and
@@ -7,14 +7,22 @@ labelled good, the raw model in all documents; a document's log weight is the su
 log(target / raw) over its n-grams.  Adding Gumbel noise and keeping the k largest draws k
 documents without replacement in proportion to their weights.
 
+Without a size to draw, each document is decided by itself: it stays if its mean log weight
+per n-gram reaches a threshold, however many others do.  The threshold is fitted on the
+labelled documents: it has the least sum of the share of good ones lost and the share of bad
+ones kept, in the middle of the widest gap that has it.  While it is fitted, a good document's
+own n-grams are taken out of the target model.
+
 The raw model counts the whole corpus.  The target model is fitted on at most
-``most_labels`` labelled documents, chosen by hash of the id.  The k-th largest key is
+``most_labels`` documents labelled good, chosen by hash of the id, the threshold on as many
+of either kind.  The k-th largest key is
 found by counting keys in ever narrower ranges; nothing is sorted as a whole.
 
-Cases: null and empty texts have weight 0, so noise alone decides; rows equal in id and
-text share their key, and all rows at the cut stay; labels without a document, repeated
-or null change nothing; without good labels nothing is known and everything stays; no
-rows give no rows.
+Cases: null and empty texts have weight 0, so noise alone decides, and a mean of 0 for the
+threshold; rows equal in id and text share their key, and all rows at the cut stay; labels
+without a document, repeated or null change nothing; an id labelled both ways is good;
+without good labels nothing is known and everything stays, as it does against the threshold
+without bad ones; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -79,19 +87,49 @@ def _scorer(ratio: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            weight = np.zeros(batch.num_rows)
+            weight, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for a, b in slices(offsets):
                 grams, text = features(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], len(ratio))
                 weight[a:b] = np.bincount(text, ratio[grams], minlength=b - a)
+                many[a:b] = np.bincount(text, minlength=b - a)
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(weight), pa.array(many)],
+                                             [*keep, "log_weight", "n_grams"])
+    return score
+
+
+def _unseen(raw_counts: np.ndarray, target_counts: np.ndarray):
+    """Mean log weights of labelled texts; a good one is held against the target model without itself."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = len(raw_counts)
+        base, total = np.log(raw_counts / raw_counts.sum()), target_counts.sum()
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            good = batch.column("good").to_numpy(zero_copy_only=False)
+            mean = np.zeros(batch.num_rows)
+            for a, b in slices(offsets):
+                grams, text = features(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], buckets)
+                pairs, times = np.unique(text * buckets + grams, return_counts=True)
+                text, gram = pairs // buckets, pairs % buckets
+                many = np.bincount(text, times, minlength=b - a)
+                own = good[a:b][text]
+                weight = np.log((target_counts[gram] - own * times) / (total - own * many[text])) - base[gram]
+                mean[a:b] = np.bincount(text, times * weight, minlength=b - a) / np.maximum(many, 1)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(weight)], [*keep, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(mean)], [*keep, "mean"])
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = MOST_LABELS) -> np.ndarray | None:
-    """log(target / raw) of each bucket; None without a good document."""
-    good = (labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).withColumn("_good", F.lit(True)))
+def known(labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
+    """doc_id and good: labelled documents, at most ``most_labels`` of either kind."""
+    each = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
+    kinds = [each.where(F.col("good") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels) for kind in (True, False)]
+    return kinds[0].unionByName(kinds[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = MOST_LABELS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts of each bucket in the raw and in the target model, from 1 on; None without a good document."""
+    good = known(labels, most_labels).where("good").select("doc_id", F.lit(True).alias("_good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select(
         "text", F.coalesce("_good", F.lit(False)).alias("good"))
     counted = (marked.mapInArrow(_counter(buckets), "bucket long, raw long, good long")
@@ -99,9 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
     raw, target = np.ones(buckets), np.ones(buckets)
     raw[counted["bucket"]] += counted["raw"]
     target[counted["bucket"]] += counted["good"]
-    if not counted["good"].sum():
-        return None
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return (raw, target) if counted["good"].sum() else None
+
+
+def threshold(docs: DataFrame, labels: DataFrame, raw: np.ndarray, target: np.ndarray, most_labels: int = MOST_LABELS) -> float:
+    """Least mean log weight of a document that stays; minus infinity where the labels tell nothing."""
+    marked = docs.select("doc_id", "text").join(F.broadcast(known(labels, most_labels)), "doc_id").select("good", "text")
+    means = marked.mapInArrow(_unseen(raw, target), "good boolean, mean double")
+    steps = means.groupBy(F.round("mean", 3).alias("mean")).agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("mean")
+    return best_cut(steps["mean"].to_numpy(), steps["good"].to_numpy(), steps["bad"].to_numpy())
+
+
+def best_cut(mean: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """Of ascending means and how many good and bad ones have each: the cut that loses and passes the least."""
+    if not good.sum() or not bad.sum():
+        return float("-inf")
+    wrong = np.cumsum(good)[:-1] / good.sum() + 1 - np.cumsum(bad)[:-1] / bad.sum()
+    if not len(wrong) or wrong.min() >= 1:
+        return float("-inf")
+    least = np.flatnonzero(np.isclose(wrong, wrong.min(), rtol=0, atol=1e-12))
+    at = least[np.argmax(mean[least + 1] - mean[least])]
+    return float(mean[at] + mean[at + 1]) / 2
 
 
 def kth_largest(keys: DataFrame, k: int, few: int = FEW) -> float:
@@ -125,17 +182,14 @@ def kth_largest(keys: DataFrame, k: int, few: int = FEW) -> float:
             return float(np.sort(last.to_numpy())[::-1][k - 1])
 
 
-def weigh(docs: DataFrame, labels: DataFrame, seed: int = 7, buckets: int = BUCKETS, most_labels: int = MOST_LABELS,
-          also: tuple[str, ...] = ()) -> DataFrame | None:
-    """doc_id, the columns ``also``, log_weight and key (log weight plus Gumbel noise), stored."""
-    ratio = fit(docs, labels, buckets, most_labels)
-    if ratio is None:
-        return None
+def weigh(docs: DataFrame, raw: np.ndarray, target: np.ndarray, seed: int = 7, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``also``, log_weight, n_grams and key (log weight plus Gumbel noise), stored."""
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     noise = -F.log(-F.log(uniform(F.lit(seed), F.col("doc_id"), F.col("text"))))
     rows = docs.select("doc_id", *also, noise.alias("_noise"), "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    scored = rows.mapInArrow(_scorer(ratio), f"{kinds}, log_weight double")
-    return stash(scored.select("doc_id", *also, "log_weight", (F.col("log_weight") + F.col("_noise")).alias("key")), "weights")
+    scored = rows.mapInArrow(_scorer(ratio), f"{kinds}, log_weight double, n_grams long")
+    return stash(scored.select("doc_id", *also, "log_weight", "n_grams", (F.col("log_weight") + F.col("_noise")).alias("key")), "weights")
 
 
 def share_of_good(labels: DataFrame) -> float:
@@ -143,27 +197,40 @@ def share_of_good(labels: DataFrame) -> float:
     return row[0] or 0.0
 
 
+def _decided(docs: DataFrame, labels: DataFrame, keep_share: float | None, seed: int = 7, buckets: int = BUCKETS,
+             most_labels: int = MOST_LABELS, also: tuple[str, ...] = ()) -> DataFrame | None:
+    """The weights and whether each row stays; None without a good document."""
+    model = fit(docs, labels, buckets, most_labels)
+    if model is None:
+        return None
+    keys = weigh(docs, *model, seed, also)
+    if keep_share is None:
+        mean = F.col("log_weight") / F.greatest("n_grams", F.lit(1))
+        return keys.withColumn("stays", mean >= F.lit(threshold(docs, labels, *model, most_labels)))
+    k = round(keys.count() * keep_share)
+    return keys.withColumn("stays", F.col("key") >= F.lit(kth_largest(keys, k) if k else float("inf")))
+
+
 def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None, **how) -> DataFrame:
-    """The sample: doc_id, log_weight, key.  Its size is ``keep_share`` (else the labels' share of good ones) of all rows."""
-    keys = weigh(docs, labels, **how)
-    if keys is None:
+    """doc_id, log_weight, key of the rows that stay: a sample of ``keep_share`` of all rows, else those that reach the threshold."""
+    decided = _decided(docs, labels, keep_share, **how)
+    if decided is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"))
-    return keys.where(F.col("key") >= F.lit(_cut(keys, labels, keep_share)))
+    return decided.where("stays").select("doc_id", "log_weight", "key")
 
 
-def _cut(keys: DataFrame, labels: DataFrame, keep_share: float | None) -> float:
-    k = round(keys.count() * (share_of_good(labels) if keep_share is None else keep_share))
-    return kth_largest(keys, k) if k else float("inf")
+def quota_sample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The sample whose size is the labels' share of good documents of all rows."""
+    return resample(docs, labels, share_of_good(labels), **how)
 
 
 def accept(docs: DataFrame, labels: DataFrame, keep_share: float | None = None, **how) -> DataFrame:
-    """The rows of ``docs`` in the sample; each row meets its own key again by id and hash of the text."""
+    """The rows of ``docs`` that stay; each row meets its own weight again by its place."""
     from .op06_exact import AT, located
     rows = located(docs)
-    keys = weigh(rows, labels, also=tuple(AT), **how)
-    if keys is None:
+    decided = _decided(rows, labels, keep_share, also=tuple(AT), **how)
+    if decided is None:
         return docs
-    drop = keys.where(F.col("key") < F.lit(_cut(keys, labels, keep_share))).select(*AT)
-    kept = rows.join(drop, AT, "left_anti")
+    kept = rows.join(decided.where(~F.col("stays")).select(*AT), AT, "left_anti")
     names = [c for c in kept.columns if c not in AT]
     return kept.select(*[F.col(c).alias(g) for c, g in zip(names, docs.columns, strict=True)])

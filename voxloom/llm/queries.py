@@ -13,7 +13,7 @@ from .op03_ctw import score
 from .op04_ids import ids_report
 from .op05_topk import search
 from .op06_exact import dedup_report
-from .op07_quality import resample
+from .op07_quality import quota_sample
 from .op08_jaccard import near_report
 from .op09_urls import filter_urls, rule_table
 from .op10_bpe import bpe_report
@@ -44,7 +44,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quota_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
