@@ -276,6 +276,27 @@ def test_quality_stage_has_no_quota(spark):
     assert op07_quality.accept(good, labels).count() == good.count()
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_quality_counts_a_text_once(spark, monkeypatch, most):
+    """Copies of a clean text change no weight, whichever way the copies are found."""
+    monkeypatch.setattr(op07_quality, "BROADCAST_ROWS", most)
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents").dropDuplicates(["text"]), table(spark, sf, "labels")
+    good = labels.where("quality = 1")
+    clean = docs.join(labels, "doc_id", "left_anti").join(op07_quality.resample(docs, labels).select("doc_id"), "doc_id").orderBy("doc_id").limit(1)
+    copies = clean.crossJoin(spark.range(150)).withColumn("doc_id", F.col("id") + 1_000_000).drop("id")
+    plain_weights, weights = (
+        {r.doc_id: round(r.log_weight, 6) for r in op07_quality.resample(d, labels, keep_share=1.0).collect()}
+        for d in (docs, docs.unionByName(copies)))
+    assert {d: w for d, w in weights.items() if d < 1_000_000} == plain_weights
+    assert {w for d, w in weights.items() if d >= 1_000_000} == {plain_weights[clean.first().doc_id]}
+    first = good.join(docs, "doc_id").orderBy("doc_id").select(*docs.columns).limit(1)
+    twice = docs.unionByName(first.withColumn("doc_id", F.lit(1_000_000).cast("long")))
+    both = labels.unionByName(labels.limit(1).withColumn("doc_id", F.lit(1_000_000).cast("long")).withColumn("quality", F.lit(1).cast(labels.schema["quality"].dataType)))
+    again = {r.doc_id: round(r.log_weight, 6) for r in op07_quality.resample(twice, both, keep_share=1.0).collect()}
+    assert {d: w for d, w in again.items() if d < 1_000_000} == plain_weights
+
+
 def test_quality_threshold_by_hand():
     mean = np.array([-2.0, -1.0, 0.0, 0.5])
     assert op07_quality.best_cut(mean, np.array([0, 0, 3, 2]), np.array([4, 1, 0, 0])) == -0.5

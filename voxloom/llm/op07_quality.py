@@ -3,8 +3,9 @@
 Texts are cut into tokens: words (letters, digits, everything beyond ASCII) and runs of
 other signs; a token equal to the one before it becomes a repeat mark.  Unigrams and
 bigrams are hashed into buckets.  The target model counts the buckets in documents
-labelled good, the raw model in all documents; a document's log weight is the sum of
-log(target / raw) over its n-grams.  Adding Gumbel noise and keeping the k largest draws k
+labelled good, the raw model in all documents, each distinct text once (by SHA-256; good if a
+copy is); a document's log weight is the sum of log(target / raw) over its n-grams, the same
+for every copy.  Adding Gumbel noise and keeping the k largest draws k
 documents without replacement in proportion to their weights.
 
 Without a size to draw, each document is decided by itself: it stays if its mean log weight
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, slices, stash, stretch_hashes, uniform
+from .common import BROADCAST_ROWS, buffers, mixed, slices, stash, stretch_hashes, uniform, whole
 
 BUCKETS = 1 << 14
 #: Good documents that the target model is fitted on, at most.
@@ -127,12 +128,33 @@ def known(labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
     return kinds[0].unionByName(kinds[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = MOST_LABELS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Counts of each bucket in the raw and in the target model, from 1 on; None without a good document."""
-    good = known(labels, most_labels).where("good").select("doc_id", F.lit(True).alias("_good"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select(
-        "text", F.coalesce("_good", F.lit(False)).alias("good"))
-    counted = (marked.mapInArrow(_counter(buckets), "bucket long, raw long, good long")
+def distinct_texts(rows: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> tuple[DataFrame, DataFrame]:
+    """Of located rows: (text, good) of each distinct text, and (text, good) of each distinct labelled one.
+
+    Copies meet as digests only.  While the repeated texts are few they are broadcast and the
+    texts stay where they are; beyond, each text meets the place of the copy that counts.
+    """
+    from .op06_exact import AT
+    # A place's number tells copies apart; should two copies share one, both count.
+    mark = rows.select("doc_id", "text", F.unhex(F.sha2(whole("text"), 256)).alias("digest"), F.xxhash64(*AT).alias("place"))
+    marked = mark.join(F.broadcast(known(labels, most_labels)), "doc_id", "left")
+    once = stash(marked.groupBy("digest").agg(
+        F.min("place").alias("place"), F.coalesce(F.max("good"), F.lit(False)).alias("good"),
+        F.count("good").alias("known"), F.count(F.lit(1)).alias("copies")), "texts")
+    several = once.where("copies > 1").select("digest", F.col("place").alias("_first"), F.col("good").alias("_good"),
+                                              F.col("known").alias("_known"))
+    if several.count() <= BROADCAST_ROWS:
+        first = marked.join(F.broadcast(several), "digest", "left").where("_first is null or _first = place").select(
+            "text", F.coalesce("_good", "good", F.lit(False)).alias("good"),
+            (F.coalesce("_known", F.lit(0)) + F.col("good").isNotNull().cast("int") > 0).alias("known"))
+    else:
+        first = mark.join(once, ["digest", "place"]).select("text", "good", (F.col("known") > 0).alias("known"))
+    return first.select("text", "good"), first.where("known").select("text", "good")
+
+
+def fit(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts of each bucket in the raw and in the target model, from 1 on; None without a good text."""
+    counted = (texts.select("text", "good").mapInArrow(_counter(buckets), "bucket long, raw long, good long")
                .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas())
     raw, target = np.ones(buckets), np.ones(buckets)
     raw[counted["bucket"]] += counted["raw"]
@@ -140,10 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
     return (raw, target) if counted["good"].sum() else None
 
 
-def threshold(docs: DataFrame, labels: DataFrame, raw: np.ndarray, target: np.ndarray, most_labels: int = MOST_LABELS) -> float:
+def threshold(labelled: DataFrame, raw: np.ndarray, target: np.ndarray) -> float:
     """Least mean log weight of a document that stays; minus infinity where the labels tell nothing."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(known(labels, most_labels)), "doc_id").select("good", "text")
-    means = marked.mapInArrow(_unseen(raw, target), "good boolean, mean double")
+    means = labelled.select("good", "text").mapInArrow(_unseen(raw, target), "good boolean, mean double")
     steps = means.groupBy(F.round("mean", 3).alias("mean")).agg(
         F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("mean")
     return best_cut(steps["mean"].to_numpy(), steps["good"].to_numpy(), steps["bad"].to_numpy())
@@ -197,23 +218,25 @@ def share_of_good(labels: DataFrame) -> float:
     return row[0] or 0.0
 
 
-def _decided(docs: DataFrame, labels: DataFrame, keep_share: float | None, seed: int = 7, buckets: int = BUCKETS,
+def _decided(rows: DataFrame, labels: DataFrame, keep_share: float | None, seed: int = 7, buckets: int = BUCKETS,
              most_labels: int = MOST_LABELS, also: tuple[str, ...] = ()) -> DataFrame | None:
-    """The weights and whether each row stays; None without a good document."""
-    model = fit(docs, labels, buckets, most_labels)
+    """The weights of located rows and whether each stays; None without a good document."""
+    texts, labelled = distinct_texts(rows, labels, most_labels)
+    model = fit(texts, buckets)
     if model is None:
         return None
-    keys = weigh(docs, *model, seed, also)
+    keys = weigh(rows, *model, seed, also)
     if keep_share is None:
         mean = F.col("log_weight") / F.greatest("n_grams", F.lit(1))
-        return keys.withColumn("stays", mean >= F.lit(threshold(docs, labels, *model, most_labels)))
+        return keys.withColumn("stays", mean >= F.lit(threshold(labelled, *model)))
     k = round(keys.count() * keep_share)
     return keys.withColumn("stays", F.col("key") >= F.lit(kth_largest(keys, k) if k else float("inf")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None, **how) -> DataFrame:
     """doc_id, log_weight, key of the rows that stay: a sample of ``keep_share`` of all rows, else those that reach the threshold."""
-    decided = _decided(docs, labels, keep_share, **how)
+    from .op06_exact import located
+    decided = _decided(located(docs.select("doc_id", "text")), labels, keep_share, **how)
     if decided is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"))
     return decided.where("stays").select("doc_id", "log_weight", "key")
