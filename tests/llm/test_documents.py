@@ -60,6 +60,35 @@ def test_spans_inside_one_document(spark):
     assert got == plain.kept_sentences([(1, text)], 80, 240)[1] and got.count("the first of two") == 1
 
 
+def runs_from_both_ends(text, least, long):
+    s = [x.strip(plain.BLANK) for x in plain.sentences(text)]
+    out = {(i, i) for i in range(len(s)) if len(s[i]) >= long}
+    for i in range(len(s)):
+        out |= set([(i, j) for j in range(i + 1, len(s)) if sum(map(len, s[i:j + 1])) >= least][:1])
+        out |= set([(j, i) for j in range(i - 1, -1, -1) if sum(map(len, s[j:i + 1])) >= least][:1])
+    return [(i, j, "\0".join(s[i:j + 1])) for i, j in sorted(out)]
+
+
+@pytest.mark.parametrize("near", [1, 6])
+def test_spans_from_both_ends_against_brute_force(spark, docs, monkeypatch, near):
+    monkeypatch.setattr(op01_spans, "NEAR", near)
+    monkeypatch.setattr(plain, "spans", runs_from_both_ends)
+    some = docs.where("n_chars < 6000 and doc_id is not null")
+    texts = [(r.doc_id, r.text) for r in some.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.text for r in op01_spans.remove_repeats(some, both_ends=True).collect()}
+    assert got == plain.kept_sentences(texts, op01_spans.LEAST_CHARS, op01_spans.LONG_CHARS)
+    assert any(got[d] != t for d, t in texts)
+
+
+def test_spans_reach_the_end_of_a_shared_passage(spark):
+    long, short = "A" + "b" * 257 + ". ", "C" + "d" * 174 + ". "
+    lines = ["First of three is here and it takes some room on the line. ", "Second is a bit more. ", "Third ends the passage, and is not long either, but enough for two. "]
+    for passage in (long + short, short + long, long + long.upper(), "".join(lines), "".join(lines[:2]) + short):
+        rows = [(i, f"Own start {i}. {passage}Own end {i} of this text.") for i in range(3)]
+        got = {r.doc_id: r.text for r in op01_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), both_ends=True).collect()}
+        assert got == {0: rows[0][1]} | {i: f"Own start {i}. Own end {i} of this text." for i in (1, 2)}
+
+
 # --- mixing ---
 
 def test_mix_targets_against_brute_force(spark, docs):

@@ -3,7 +3,10 @@
 Texts are cut into sentences behind ``. ! ?`` and at line ends; the pieces put together
 are the text again.  From every sentence starts one run: the fewest sentences, two at
 least, that reach ``least_chars`` signs; a single sentence of ``long_chars`` is a run by
-itself.  Equal runs anywhere share a hash of 128 bits.  Of each repeated run the first
+itself.  With ``both_ends``, as the query has it, a long sentence also starts a run with its
+neighbours, and at every sentence ends one too: the fewest, two at least, that reach
+``least_chars``.  Then every sentence of a repeated stretch of two or more sentences and
+``least_chars`` signs lies in a run that does not leave the stretch.  Equal runs anywhere share a hash of 128 bits.  Of each repeated run the first
 place in the order of (doc_id, sentence) stays; sentences under any other are removed.
 
 Runs meet in an aggregation on 64 bits that counts before it shuffles, so a run that
@@ -27,27 +30,38 @@ from .common import stash
 BORDER = r"(?<=[.!?]\s{1,8})(?!\s)|(?<=\n)(?!\s)"
 BLANK = " \t\n\r\f\v"
 LEAST_CHARS, LONG_CHARS = 120, 240
+#: Sentences that are looked at first for the end of a run.
+NEAR = 6
 
 
 def sentences(text: Column) -> Column:
     return F.filter(F.split(text, BORDER), lambda s: s != "")
 
 
-def runs(docs: DataFrame, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
+def runs(docs: DataFrame, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS, both_ends: bool = False) -> DataFrame:
     """Runs of all documents: doc_id, first and last sentence, two hashes."""
     cut = docs.where("text is not null").select("doc_id", F.transform(sentences(F.col("text")), lambda s: F.btrim(s, F.lit(BLANK))).alias("_s"))
-    # Per sentence its length and hashes; then, per start, the running length decides where the run ends.
+    # Per sentence its length and hashes; then, per start, the running length decides where runs end.
     marks = cut.select("doc_id", F.transform("_s", lambda s: F.struct(
         F.length(s).alias("n"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("b"), s).alias("b"))).alias("_m"))
-    each = marks.select("doc_id", F.explode(F.expr(
-        f"transform(_m, (m, i) -> aggregate(slice(_m, i + 1, {_reach(least_chars)}), "
-        "named_struct('first', i, 'last', i - 1, 'n', 0, 'a', cast(0 as bigint), 'b', cast(0 as bigint)), "
-        f"(r, x) -> CASE WHEN (r.n >= {least_chars} AND r.last > i) OR (r.last = i AND r.n >= {long_chars}) THEN r "
-        "ELSE named_struct('first', i, 'last', r.last + 1, 'n', r.n + x.n, "
-        "'a', xxhash64(r.a, x.a), 'b', xxhash64(r.b, x.b)) END))")).alias("r"))
-    full = ((F.col("r.n") >= least_chars) & (F.col("r.last") > F.col("r.first"))) | (F.col("r.n") >= long_chars)
-    return each.where(full).select("doc_id", F.col("r.first").alias("first"), F.col("r.last").alias("last"),
-                                   F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+    if both_ends:    # a run from i ends where it is the first of its start, or the last start of its end
+        done = f"{{r}}.last > i AND {{r}}.n - m.n >= {least_chars}"
+        ends = f"(r.last = i OR r.n < {least_chars} OR r.n + x.n - m.n < {least_chars})"
+    else:
+        done, ends = "size({r}.runs) > 0", "true"
+    none = ("named_struct('last', i - 1, 'n', 0, 'a', cast(0 as bigint), 'b', cast(0 as bigint), "
+            "'runs', cast(array() as array<struct<first:int,last:int,a:bigint,b:bigint>>))")
+    step = (f"(r, x) -> CASE WHEN {done.format(r='r')} THEN r ELSE named_struct('last', r.last + 1, 'n', r.n + x.n, "
+            "'a', xxhash64(r.a, x.a), 'b', xxhash64(r.b, x.b), 'runs', "
+            f"CASE WHEN (r.last < i AND x.n >= {long_chars}) OR (r.last >= i AND r.n + x.n >= {least_chars} AND {ends}) THEN "
+            "concat(r.runs, array(named_struct('first', i, 'last', r.last + 1, 'a', xxhash64(r.a, x.a), 'b', xxhash64(r.b, x.b)))) "
+            "ELSE r.runs END) END")
+    # Most runs end within a few sentences; only the others look further.
+    near = f"aggregate(slice(_m, i + 1, {NEAR}), {none}, {step})"
+    far = f"aggregate(slice(_m, i + 1 + {NEAR}, {_reach(least_chars)}), q, {step})"
+    found = (f"transform(_m, (m, i) -> transform(array({near}), q -> CASE WHEN ({done.format(r='q')}) OR i + {NEAR} >= size(_m) "
+             f"THEN q ELSE {far} END)[0].runs)")
+    return marks.select("doc_id", F.explode(F.flatten(F.expr(found))).alias("r")).select("doc_id", "r.*")
 
 
 def _reach(least_chars: int) -> int:

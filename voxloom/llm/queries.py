@@ -20,7 +20,7 @@ from .op10_bpe import bpe_report
 
 
 def op1_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_ranges(table(spark, sf_dir, "documents"))
+    return removed_ranges(table(spark, sf_dir, "documents"), both_ends=True)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
