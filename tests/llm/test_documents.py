@@ -376,6 +376,19 @@ def test_large_buckets_and_prefix_groups(spark, monkeypatch):
         assert got == dict(enumerate(plain.groups(sets, 85, 100)))
 
 
+def test_links_inside_components_are_counted(spark, docs):
+    base = [f"w{i}" for i in range(100)]
+    made = [(i, " ".join([*base, *(f"x{i}y{j}" for j in range(i))])) for i in (0, 1, 2, 3, 18)]
+    rows = made + [(30, made[1][1]), (31, made[1][1]), (40, "alone here"), (41, None), (42, ""), (43, "")]
+    for frame, num in ((spark.createDataFrame(rows, "doc_id long, text string"), 85), (docs, 50)):
+        texts = [(r.doc_id, r.text) for r in frame.collect()]
+        sets = [plain.shingles(t, 4) for _, t in texts]
+        want = {d: sum(100 * len(s & o) >= num * len(s | o) for j, o in enumerate(sets) if j != i and s and o)
+                for i, ((d, _), s) in enumerate(zip(texts, sets, strict=True))}
+        got = {r.doc_id: r.n_links for r in op08_jaccard.near_report(frame, 4, num, 100).collect()}
+        assert got == want and max(want.values()) > 1
+
+
 def test_near_copies_of_awkward_rows(odd, none):
     rows = plain.awkward()
     got = op08_jaccard.near_report(odd)

@@ -16,6 +16,9 @@ hold the first one it shares with a near copy.
   only verify each member's likeliest partner of another component; the last round
   verifies every pair between different components that the filters leave.  Pairs inside
   a component need no check, so no link between components is lost.
+* Where links are counted (``count_links``), there is one round and it verifies every pair
+  of classes that the filters leave, inside components too.  A document's number of links
+  is the sum of the sizes of the classes linked to its own, and the other rows of its own.
 
 Shingles are 64-bit hashes.  Cases: null texts and texts without words have no shingles
 and stay alone; fewer words than a shingle are one shingle; equal texts share a
@@ -368,8 +371,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             .mapInArrow(_judge(words, num, den), "u long, v long").distinct())
 
 
-def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: int = 1) -> DataFrame:
-    """Of located rows: _file, _row, doc_id, n_shingles, root (a number of the component, null without shingles), component_id."""
+def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: int = 1,
+         count_links: bool = False) -> DataFrame:
+    """Of located rows: _file, _row, doc_id, n_shingles, root (a number of the component, null without shingles), component_id.
+
+    With ``count_links`` also n_links, the number of other rows that are similar enough; ``rounds`` has no use then.
+    """
+    rounds = 0 if count_links else rounds
     spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(cell_counts(rows, words).tobytes())
     keep = ["doc_id", *AT]
@@ -377,7 +385,8 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: in
         _signatures(words, num, den, cells, CELL_BITS, keep),
         "doc_id long, _file string, _row long, n int, d1 long, d2 long, prefix array<long>, sketch binary"), "marks")
     classes = stash(marks.where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+        F.count(F.lit(1)).alias("copies"))
         .withColumn("sid", F.monotonically_increasing_id()), "classes")
     # Classes of one prefix and size are one group; its first class stands in the join for all.
     keyed = classes.select("sid", "n", "sketch", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q"))
@@ -412,18 +421,27 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: in
         new = stash(_verified(stash(pairs.select("a", "b"), "pairs"), rows, classes, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         roots = stash(components(links), "roots")
-    of_class = classes.select("sid", "d1", "d2", "n", "first_id").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+    of_class = classes.select("sid", "d1", "d2", "n", "first_id", "copies").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
     of_class = of_class.withColumn("root", F.coalesce("root", "sid"))
     names = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of_class.join(names, "root").select("d1", "d2", "n", "component_id", "root")
+    counted = [F.lit(None).cast("long").alias("n_links")]
+    if count_links:
+        ends = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        ends = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        linked = ends.join(classes.select(F.col("sid").alias("v"), F.col("copies").alias("_more")), "v").groupBy(
+            F.col("u").alias("sid")).agg(F.sum("_more").alias("_linked"))
+        of_class = of_class.join(linked, "sid", "left")
+        counted = [(F.coalesce("_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")]
+    named = of_class.join(names, "root").select("d1", "d2", "n", "component_id", "root", *counted)
     done = marks.select(*keep, "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    links_of = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return done.select(*AT, "doc_id", F.col("n").cast("long").alias("n_shingles"), "root",
-                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *links_of)
 
 
 def near_report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, **how) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
-    return link(located(docs), words, num, den, **how).select("doc_id", "n_shingles", "component_id")
+    """One row a document: doc_id, n_shingles, component_id, n_links (other rows that are similar enough)."""
+    return link(located(docs), words, num, den, count_links=True, **how).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, **how) -> DataFrame:
