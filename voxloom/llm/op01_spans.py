@@ -71,7 +71,7 @@ def _reach(least_chars: int) -> int:
 
 def repeats(docs: DataFrame, **how) -> DataFrame:
     """Runs that are not the first of their kind: doc_id, first, last, first_doc_id."""
-    found = runs(docs, **how)
+    found = stash(runs(docs, **how), "runs")
     often = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
     hits = stash(found.join(often, "a"), "repeats")
     holder = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"),
