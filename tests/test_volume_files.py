@@ -111,6 +111,23 @@ def test_mask_files(spark, tmp_path):
     assert len(raw) == 352 + ms[1].size and raw[344:348] == VF.MAGIC and VF.parse_header(raw)["type"] == 2
 
 
+def test_runs_without_a_header_are_an_error(spark, tmp_path):
+    ms = {1: np.ones((1, 1, 2), bool), 2: np.ones((1, 1, 7), bool)}
+    for k in (1, 2):
+        out = str(tmp_path / f"out{k}")
+        heads = spark.createDataFrame([(k, None, ms[k].shape[2], 1, 1)], "case_id int, header binary, nx int, ny int, nz int")
+        with pytest.raises(Exception, match="has runs but no header row"):
+            VF.write_masks(brute.runs_frame(spark, ms).coalesce(1), heads, out)
+        assert not [f for f in os.listdir(out) if f.endswith(".part")] if os.path.isdir(out) else True
+        assert not os.path.exists(f"{out}/mask_{3 - k}.nii.gz")
+    twice = spark.createDataFrame([(1, None, 2, 1, 1)] * 2, "case_id int, header binary, nx int, ny int, nz int")
+    with pytest.raises(Exception, match="more than one header row"):
+        VF.write_masks(brute.runs_frame(spark, {1: ms[1]}), twice, str(tmp_path / "twice"))
+    small = spark.createDataFrame([(2, None, 3, 1, 1)], "case_id int, header binary, nx int, ny int, nz int")
+    with pytest.raises(Exception, match="outside its grid"):
+        VF.write_masks(brute.runs_frame(spark, {2: ms[2]}), small, str(tmp_path / "grid"))
+
+
 def test_training_slices(spark):
     v = np.linspace(-1200, 800, 2 * 4 * 6).reshape(2, 4, 6)
     m = (v > 0).astype(float)

@@ -289,7 +289,9 @@ def write_masks(runs: DataFrame, headers: DataFrame, out: str) -> DataFrame:
     a stream of slices, so memory is one slice however large the case.  A file gets
     its final name only when complete, so a retried task never leaves half a file.
     ``headers`` has one row per case (``case_id, header, nx, ny, nz``; null header =
-    make one); cases without runs get an empty mask.
+    make one); cases without runs get an empty mask.  Runs of a case without a header
+    row, a second header row for a case, and runs outside the header's grid are errors: no file
+    of that case is left, and no other case's file takes its runs.
     """
     none = F.lit(None)
     head = headers.select("case_id", F.lit(-1).alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x0"),
@@ -301,17 +303,31 @@ def write_masks(runs: DataFrame, headers: DataFrame, out: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("case_id", "z", "y", "x0", "x1", *DIMS, "header")]
-            for case, z, y, x0, x1, nx, ny, nz, header in zip(*cols):
-                if z == -1:
-                    if current:
-                        yield current.finish()
-                    current = _MaskFile(out, case, nx, ny, nz, header)
-                elif current:
-                    current.add(z, y, x0, x1)
-        if current:
-            yield current.finish()
+        try:
+            for batch in batches:
+                case = batch.column("case_id").to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero(np.concatenate(([True], case[1:] != case[:-1]))).tolist() if len(case) else []
+                for a, b in zip(cuts, [*cuts[1:], len(case)]):
+                    part = batch.slice(a, b - a)
+                    heads = int((part.column("z").to_numpy() == -1).sum())
+                    if heads:
+                        if heads > 1 or (current and current.case == case[a]):
+                            raise ValueError(f"case {case[a]} has more than one header row")
+                        if current:
+                            done, current = current.finish(), None
+                            yield done
+                        nx, ny, nz, header = (part.column(c)[0].as_py() for c in (*DIMS, "header"))
+                        current = _MaskFile(out, int(case[a]), nx, ny, nz, header)
+                        part = part.slice(1)
+                    elif current is None or current.case != case[a]:
+                        raise ValueError(f"case {case[a]} has runs but no header row")
+                    current.add_all(*(part.column(c).to_numpy() for c in ("z", "y", "x0", "x1")))
+            if current:
+                done, current = current.finish(), None
+                yield done
+        finally:
+            if current:
+                current.drop()
 
     manifest = f"{out.rstrip('/')}/_manifest"
     ordered.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
@@ -337,11 +353,25 @@ class _MaskFile:
         self.plane[:] = 0
         self.z += 1
 
-    def add(self, z: int, y: int, x0: int, x1: int) -> None:
-        while self.z < z:
-            self.next_slice()
-        self.plane[y, x0:x1 + 1] = 1
-        self.voxels += x1 - x0 + 1
+    def add_all(self, z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> None:
+        """Runs in the order of their slices; a slice's runs are painted together."""
+        ny, nx = self.plane.shape
+        if len(z) and (min(z.min(), y.min(), x0.min()) < 0 or z.max() >= self.nz or y.max() >= ny or x1.max() >= nx or (x1 < x0).any()):
+            raise ValueError(f"case {self.case} has runs outside its grid")
+        cuts = np.flatnonzero(np.concatenate(([True], z[1:] != z[:-1]))) if len(z) else z
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(z)]):
+            while self.z < z[a]:
+                self.next_slice()
+            length = x1[a:b].astype(np.int64) - x0[a:b] + 1
+            ends = np.cumsum(length)
+            at = np.arange(ends[-1]) + np.repeat(y[a:b].astype(np.int64) * nx + x0[a:b] - (ends - length), length)
+            self.plane.reshape(-1)[at] = 1
+            self.voxels += int(ends[-1])
+
+    def drop(self) -> None:
+        """Leave no half-written part behind."""
+        self.file.close()
+        self.fs.delete_file(self.part)
 
     def finish(self) -> pa.RecordBatch:
         while self.z < self.nz:
