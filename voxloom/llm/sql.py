@@ -21,18 +21,18 @@ WITH parsed AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 cut AS (
   SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM parsed),
-both AS (
+hosts AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut),
 rules(verdict, rule_host, rule_path) AS (VALUES {_RULES}),
 best AS (
   SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(verdict, length(rule_host || rule_path)) AS verdict
-  FROM (SELECT DISTINCT host, path FROM both) JOIN rules
+  FROM (SELECT DISTINCT host, path FROM hosts) JOIN rules
     ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL)
-SELECT page_id, both.host, both.path, rule, coalesce(verdict, 'allow') AS verdict
-FROM both LEFT JOIN best USING (host, path)
+SELECT page_id, hosts.host, hosts.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM hosts LEFT JOIN best USING (host, path)
 """
 
 #: The draw of the mix is the engine's own hash, so SQL has no say in it.
