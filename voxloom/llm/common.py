@@ -7,6 +7,7 @@ computed twice.  The files go when the driver's JVM ends.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -96,27 +97,6 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-#: Odd, so it has an inverse modulo 2**64, which lets a running sum serve as a hash of any stretch.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    step = base % (1 << 64)
-    while done < n:
-        more = min(done, n - done)
-        out[done:done + more] = out[:more] * np.uint64(step)
-        done += more
-        step = step * step % (1 << 64)
-    return out
-
-
-_TABLES: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finisher: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(33))
@@ -126,14 +106,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Longer stretches are hashed one by one by a cryptographic hash.
+LONG_BYTES = 64
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros past the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 def stretch_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte stretches; equal bytes give equal hashes wherever they lie."""
-    n = len(raw) + 1
-    if len(_TABLES["up"]) < n:
-        _TABLES["up"], _TABLES["down"] = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-    running = np.zeros(n, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _TABLES["up"][:n - 1], out=running[1:])
-    return mixed((running[stops] - running[starts]) * _TABLES["down"][starts] + (stops - starts).astype(np.uint64))
+    """64-bit hashes of byte stretches; equal bytes give equal hashes wherever they lie.
+
+    Eight bytes at a time go through the finisher, which starts from the length; no sum of
+    bytes is formed, so texts that differ only in the order of their parts stay apart.
+    """
+    sizes = (stops - starts).astype(np.int64)
+    out = mixed(sizes.astype(np.uint64) * _ODD + np.uint64(1))
+    eights = _eights(raw)
+    live = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES))
+    at, left, h = starts[live], sizes[live], out[live]
+    while len(live):
+        h = mixed((h ^ (eights[at] & _KEEP[np.minimum(left, 8)])) * _ODD)
+        more = left > 8
+        done = live[~more]
+        out[done] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    long = np.flatnonzero(sizes > LONG_BYTES)
+    if len(long):
+        data = memoryview(raw.tobytes())
+        out[long] = [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little")
+                     for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+    return out
+
+
+def same_stretches(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, others: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each stretch are those of the other one beside it."""
+    sizes = stops - starts
+    out = sizes == ends - others
+    eights = _eights(raw)
+    live = np.flatnonzero(out & (sizes > 0) & (starts != others))
+    a, b, left = starts[live], others[live], sizes[live]
+    while len(live):
+        keep = _KEEP[np.minimum(left, 8)]
+        equal = (eights[a] & keep) == (eights[b] & keep)
+        out[live[~equal]] = False
+        more = equal & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+        if len(live) < 16:      # a few long ones
+            data = memoryview(raw.tobytes())
+            for i in live.tolist():
+                out[i] = data[starts[i]:stops[i]] == data[others[i]:ends[i]]
+            break
+    return out
 
 
 _SPACE = np.zeros(256, bool)

@@ -18,6 +18,7 @@ another by hash and text; a null id comes first; no rows give an empty file.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,18 +30,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bring, buffers, folded, ragged, shared_path, slices, stash, whole, word_bounds
-from .segments import by_text, encode_pieces, per_worker, views
+from .segments import by_text, encode_pieces, four_bytes, per_worker, views
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 BLOCK_IDS = 1024
 #: Distinct words whose ids a Python worker keeps, about 200 MB.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
 #: Items and bits of a word by selector 1 to 14; selector 15 marks an escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
           (2, 30), (1, 60))
 ESCAPE = 15
+#: Words of letters up to U+00FF: each gives at least one token, so as many ends as words tell where each word ends.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _COUNTS = np.array([0, *[n for n, _ in WIDTHS], 1], np.int64)
+_BITS = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id takes, up to 64."""
+    out = _BITS[(ids & np.uint64(0xFFFF)).astype(np.int64)]
+    for shift in (16, 32, 48):
+        wide = np.flatnonzero(ids >> np.uint64(shift))
+        if not len(wide):
+            break
+        out[wide] = np.maximum(out[wide], _BITS[((ids[wide] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)] + np.uint8(shift)
+                               * ((ids[wide] >> np.uint64(shift)) & np.uint64(0xFFFF) > 0))
+    return out
+
+
+def _selectors(widths: np.ndarray, block: int) -> np.ndarray:
+    """Of each place the selector of the word that would start there, by the widest of the next 2, 3, … ids of its block."""
+    n = len(widths)
+    side = np.full((-(-n // block), block + WIDTHS[0][0]), 255, np.uint8)
+    full = n // block
+    side[:full, :block] = widths[:full * block].reshape(full, block)
+    if n % block:
+        side[full, :n % block] = widths[full * block:]
+    doubled = {1: side}
+
+    def widest(count: int) -> np.ndarray:
+        """Maximum over ``count`` ids from each place on; 255 where the block ends before."""
+        power = 1 << (count.bit_length() - 1)
+        while max(doubled) < power:
+            k = max(doubled)
+            doubled[2 * k] = np.maximum(doubled[k], np.pad(doubled[k][:, k:], ((0, 0), (0, k)), constant_values=255))
+        base, k = doubled[power], count - power
+        return np.maximum(base[:, :block], base[:, k:block + k])
+    out = np.full((len(side), block), ESCAPE, np.uint8)
+    for s in range(len(WIDTHS), 0, -1):              # wide to narrow: the last that fits holds most
+        count, bits = WIDTHS[s - 1]
+        out[widest(count) <= bits] = s
+    return out.reshape(-1)[:n]
 
 
 def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,44 +90,33 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    escaped = ids >= np.uint64(1 << 60)
-    escapes = ids[escaped]
-    values = ids.copy()
-    values[escaped] = np.arange(len(escapes), dtype=np.uint64)
-    left = block - np.arange(n) % block             # ids to the end of the block
-    left = np.minimum(left, n - np.arange(n))
-    selector = np.full(n, len(WIDTHS), np.int8)
-    for s in range(len(WIDTHS) - 1, 0, -1):          # wide to narrow: the last that fits holds most
-        count, bits = WIDTHS[s - 1]
-        wide = (values >> np.uint64(bits) != 0) | escaped
-        stop = np.minimum.accumulate(np.where(wide, np.arange(n), n)[::-1])[::-1]
-        room = np.minimum(stop - np.arange(n), left) >= count
-        if not room.any() and not (~wide).any():
-            break
-        selector[room] = s
-    selector[escaped] = ESCAPE
+    widths = _widths(ids)
+    escaped = widths > 60
+    escapes, values = ids[escaped], ids
+    if len(escapes):
+        values = ids.copy()
+        values[escaped] = np.arange(len(escapes), dtype=np.uint64)
+    selector = _selectors(widths, block)
     jump = _COUNTS[selector]
     at = np.arange(0, n, block)
     end = np.minimum(at + block, n)
-    steps, owner = [], []
-    live = np.arange(len(at))
-    while len(live):
-        here = at[live]
-        steps.append(here)
-        owner.append(live)
-        at[live] = here + jump[here]
-        live = live[at[live] < end[live]]
-    starts, owner = np.concatenate(steps), np.concatenate(owner)
-    order = np.argsort(starts, kind="stable")
-    starts, owner = starts[order], owner[order]
+    begins = np.zeros(n, bool)
+    while len(at):                                   # one word of every block at a time
+        begins[at] = True
+        at = at + jump[at]
+        live = at < end
+        at, end = at[live], end[live]
+    starts = np.flatnonzero(begins)
     kind = selector[starts]
     words = kind.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(kind):
+    for s in np.unique(kind).tolist():
         rows = np.flatnonzero(kind == s)
         count, bits = (1, 60) if s == ESCAPE else WIDTHS[s - 1]
+        first, word = starts[rows], words[rows]
         for i in range(count):
-            words[rows] |= values[starts[rows] + i] << np.uint64(i * bits)
-    return words, np.searchsorted(owner, np.arange(len(end))).astype(np.int32), escapes
+            word |= values[first + i] << np.uint64(i * bits)
+        words[rows] = word
+    return words, np.searchsorted(starts, np.arange(0, n, block)).astype(np.int32), escapes
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -133,22 +163,23 @@ class Words:
     def encode_batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         (tokenizer, ends, special), memory = self.ready()
 
-        def each(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def each(texts: list[bytes]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-        def encode(texts: list[str]) -> list[list[int]]:
+        def encode(texts: list[bytes]) -> list[bytes]:
             """Words of letters in one go, told apart by the marks of word ends; others on their own."""
-            plain = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha()]
+            plain = [i for i, t in enumerate(texts) if t.isalpha() or _LETTERS(t)]
             out: list = [None] * len(texts)
             if plain:
-                ids = each([" ".join([texts[i] for i in plain])])[0]
-                cut = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
-                if len(cut) == len(plain) + 1 and cut[-1] == len(ids):
+                ids = np.array(each([b" ".join([texts[i] for i in plain])])[0], np.uint32)
+                cut = np.flatnonzero(ends[ids]) + 1
+                if len(cut) == len(plain) and cut[-1] == len(ids):
+                    data, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
                     for i, a, b in zip(plain, cut[:-1], cut[1:], strict=True):
-                        out[i] = ids[a:b]
+                        out[i] = data[a:b]
             rest = [i for i, ids in enumerate(out) if ids is None]
             for i, ids in zip(rest, each([texts[i] for i in rest]), strict=True):
-                out[i] = ids
+                out[i] = four_bytes(ids)
             return out
         starts, stops, per_text = word_bounds(raw, offsets)
         low = folded(raw).tobytes()

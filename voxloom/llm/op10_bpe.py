@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import _SPACE, buffers, slices
-from .segments import by_text, encode_pieces, per_worker, views
+from .segments import Memory, by_text, encode_pieces, four_bytes, per_worker, views
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -87,10 +88,11 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.append(starts[1:], n), per_text
 
 
-def encode_batch(raw: np.ndarray, offsets: np.ndarray, tokenizer, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(raw: np.ndarray, offsets: np.ndarray, tokenizer, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each."""
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(texts: list[bytes]) -> list[bytes]:
+        made = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [four_bytes(e.ids) for e in made]
     data = raw.tobytes()
     starts, stops, per_text = pieces(raw, offsets)
     if any(mark in data for mark in _ODD):
@@ -122,7 +124,10 @@ class Codec:
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Add ids (array of int) and offsets (first byte of each token) to the columns of ``docs``."""
+    """Add ids (array of int) and offsets (first byte of each token) to the columns of ``docs``.
+
+    Columns of these names that ``docs`` has already are kept as ids_given and offsets_given.
+    """
     codec = Codec(docs.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +143,10 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (ids, first)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "ids", "offsets"])
-    plain = docs.drop("ids", "offsets")
+    plain = docs
+    for name in ("ids", "offsets"):
+        if name in plain.columns:
+            plain = plain.withColumnRenamed(name, f"{name}_given")
     return plain.mapInArrow(run, _ddl(plain) + ", ids array<int>, offsets array<int>")
 
 
@@ -182,4 +190,4 @@ def bpe_report(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                                    for x in views(got, counts)],
                     "decoded_sha256": [hashlib.sha256(back[p:q]).hexdigest()
                                        for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]})
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

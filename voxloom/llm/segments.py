@@ -7,49 +7,87 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 
-from .common import ragged, stretch_hashes
+from .common import LONG_BYTES, ragged, same_stretches, stretch_hashes
 
-#: Distinct pieces whose ids a Python worker keeps; beyond, it starts anew.
+#: Distinct pieces whose ids a Python worker keeps, half of them in the newer of two generations.
 MEMORY = 300_000
-#: Longer pieces are not kept.
-LONG = 64
 
 _workers: dict[tuple, tuple] = {}
 
 
-def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, dict[int, list[int]]]:
+class Memory:
+    """Ids (four bytes each) of pieces by their bytes, in two generations: what is used again moves to the newer one, the older is dropped."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, pieces: list[bytes], most: int) -> list[bytes | None]:
+        if 2 * len(self.new) > most:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, pieces))
+        if self.old:
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                ids = self.old.get(pieces[i])
+                if ids is not None:
+                    found[i] = self.new[pieces[i]] = ids
+        return found
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, Memory]:
     """A tokenizer and its memory of pieces, made once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if key not in _workers:
-        _workers[key] = (make(), {})
+        _workers[key] = (make(), Memory())
     return _workers[key]
 
 
-def encode_pieces(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode: Callable[[list[str]], list[list[int]]],
-                  memory: dict[int, list[int]], most: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces one after another, and the number of ids of each piece."""
+def distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct stretch, and the number of each stretch's distinct one.
+
+    Hashes bring equal stretches together; their bytes are then compared, and those of
+    other bytes than the first of their hash are told apart by the bytes themselves.
+    """
+    _, first, place = np.unique(stretch_hashes(raw, starts, stops), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_stretches(raw, starts, stops, starts[first[place]], stops[first[place]]))
+    if len(odd):
+        own: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            piece = raw[starts[i]:stops[i]].tobytes()
+            if piece not in own:
+                own[piece] = len(first) + len(extra)
+                extra.append(i)
+            place[i] = own[piece]
+        first = np.concatenate((first, extra))
+    return first, place
+
+
+def four_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
+
+
+def encode_pieces(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode: Callable[[list[bytes]], list[bytes]],
+                  memory: Memory, most: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces one after another, and the number of ids of each piece; ``encode`` gives four bytes an id."""
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    marks, first, place = np.unique(stretch_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-    if len(memory) > most:
-        memory.clear()
-    marks = marks.tolist()
-    known = list(map(memory.get, marks))
+    first, place = distinct(raw, starts, stops)
+    data = raw.tobytes()
+    found = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+    known = memory.get(found, most)
     new = [i for i, ids in enumerate(known) if ids is None]
-    data, first, last = raw.tobytes(), starts[first].tolist(), stops[first].tolist()
-    for a in range(0, len(new), 4096):
-        part = new[a:a + 4096]
-        texts = [data[first[i]:last[i]].decode() for i in part]
-        for i, text, ids in zip(part, texts, encode(texts), strict=True):
+    for a in range(0, len(new), 8192):
+        part = new[a:a + 8192]
+        for i, ids in zip(part, encode([found[i] for i in part]), strict=True):
             known[i] = ids
-            if len(text) <= LONG:
-                memory[marks[i]] = ids
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
+            if len(found[i]) <= LONG_BYTES:
+                memory.new[found[i]] = ids
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+    flat = np.frombuffer(b"".join(known), np.uint32)
     begin = np.cumsum(sizes) - sizes
     counts = sizes[place]
     return flat[ragged(begin[place], counts)], counts
