@@ -356,11 +356,16 @@ def test_near_copies_against_brute_force(docs):
         assert got == want
 
 
-def test_large_buckets_and_prefix_groups(spark, monkeypatch):
-    monkeypatch.setattr(op08_jaccard, "PART_ROWS", 5)
-    monkeypatch.setattr(op08_jaccard, "TILE_ROWS", 3)
-    monkeypatch.setattr(op08_jaccard, "SMALL_ROWS", 4)
-    monkeypatch.setattr(op08_jaccard, "HUB_ROWS", 2)
+def links_of(sets: list[frozenset], num: int, den: int) -> list[int]:
+    return [sum(den * len(s & o) >= num * len(s | o) for j, o in enumerate(sets) if j != i and s and o) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("part,shingles,tile,small,held,fetch", [
+    (5, 10 ** 6, 3, 4, 10 ** 6, 10 ** 6), (4096, 150, 512, 2, 1, 0), (7, 500, 2, 48, 300, 10 ** 6)])
+def test_large_buckets_and_prefix_groups(spark, monkeypatch, part, shingles, tile, small, held, fetch):
+    for name, value in (("PART_ROWS", part), ("PART_SHINGLES", shingles), ("TILE_ROWS", tile), ("SMALL_ROWS", small),
+                        ("HELD_SHINGLES", held), ("FETCH_ROWS", fetch)):
+        monkeypatch.setattr(op08_jaccard, name, value)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -370,10 +375,44 @@ def test_large_buckets_and_prefix_groups(spark, monkeypatch):
             w[j] = f"v{rng.integers(0, 6)}"
         rows.append((i, " ".join(w)))
     sets = [plain.shingles(t, 4) for _, t in rows]
-    for rounds in (0, 1, 2):
-        got = {r.doc_id: r.component_id for r in op08_jaccard.near_report(
-            spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds).collect()}
-        assert got == dict(enumerate(plain.groups(sets, 85, 100)))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in op08_jaccard.near_report(
+        spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == dict(enumerate(zip(plain.groups(sets, 85, 100), links_of(sets, 85, 100), strict=True)))
+
+
+def test_output_is_linear_in_a_group(spark):
+    """Rows that the verifying tasks give: bounded by members and buckets, whatever the number of pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    made = {}
+    for m in (100, 200, 400):
+        rows = [(i, " ".join(f"z{i}" if k == int(rng.integers(0, 200)) else w for k, w in enumerate(base))) for i in range(m)]
+        stored, keep = {}, op08_jaccard.stash
+
+        def count(df, name="stash", stored=stored, keep=keep):
+            out = keep(df, name)
+            stored[name] = max(stored.get(name, 0), out.count())
+            return out
+        op08_jaccard.stash = count
+        try:
+            got = op08_jaccard.near_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        finally:
+            op08_jaccard.stash = keep
+        sets = [plain.shingles(t, 4) for _, t in rows]
+        assert [r.n_links for r in sorted(got, key=lambda r: r.doc_id)] == links_of(sets, 85, 100)
+        made[m] = max(stored["links"], stored["hopeful"])
+    assert made[400] < 6 * made[100]
+
+
+def test_shared_values_of_lists():
+    rng = np.random.default_rng(6)
+    lists = [np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(60)]
+    made = op08_jaccard.Lists(np.concatenate(lists), np.array([len(x) for x in lists]))
+    i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    want = [len(np.intersect1d(lists[a], lists[b])) for a, b in zip(i, j, strict=True)]
+    assert made.shared(i, j).tolist() == want and made._single(i, j).tolist() == want
+    assert made._table(np.arange(60), np.arange(60)).reshape(-1).tolist() == want
+    assert op08_jaccard.Lists(np.zeros(0, np.uint64), np.zeros(3, np.int64)).shared(np.array([0]), np.array([2])).tolist() == [0]
 
 
 def test_links_inside_components_are_counted(spark, docs):

@@ -9,16 +9,17 @@ hold the first one it shares with a near copy.
 * The order takes counts from a table of 2**20 hash cells over all documents: of bounded
   size and broadcast.  Any order is right; this one keeps passages that many documents
   share out of the prefixes.
-* Members that share a prefix shingle meet in a bucket.  Buckets over 4096 are cut into
-  parts which meet two by two.  Inside, sizes, positions and parity sketches (a lower
-  bound of the difference of two sets) are filters that lose nothing.
-* What is left is verified on whole sets.  As components are asked for, the first rounds
-  only verify each member's likeliest partner of another component; the last round
-  verifies every pair between different components that the filters leave.  Pairs inside
-  a component need no check, so no link between components is lost.
-* Where links are counted (``count_links``), there is one round and it verifies every pair
-  of classes that the filters leave, inside components too.  A document's number of links
-  is the sum of the sizes of the classes linked to its own, and the other rows of its own.
+* Members that share a prefix shingle meet in a bucket.  Buckets of many members or many
+  shingles are cut into parts which meet two by two.  A first pass over the buckets holds
+  sizes, positions, parity sketches (a lower bound of the difference of two sets) and the
+  shingles ahead against each other and leaves the members that may have a partner there.
+* Only those fetch their whole sets and meet again.  A pair of classes is verified in the
+  bucket of the first shingle it shares and nowhere else, so it counts once.  A task gives
+  one row a member: the documents linked to it there, and a root of a spanning forest of
+  its links.  So output and shuffle grow with members and buckets, never with pairs, and
+  still every pair that the filters leave is verified.
+* A document's number of links is the sum of the sizes of the classes linked to its own,
+  and the other rows of its own.
 
 Shingles are 64-bit hashes.  Cases: null texts and texts without words have no shingles
 and stay alone; fewer words than a shingle are one shingle; equal texts share a
@@ -36,19 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bring, buffers, folded, mixed, slices, stash, stretch_hashes, word_bounds
+from .common import bring, buffers, folded, mixed, ragged, slices, stash, stretch_hashes, word_bounds
 from .links import components
 from .op06_exact import AT, located
 
 CELL_BITS = 20
-#: Members of a bucket's part; rows of a comparison.
-PART_ROWS, TILE_ROWS = 4096, 512
+#: Members and shingles of a bucket's part; rows of a comparison; shingles that a task verifies at once.
+PART_ROWS, PART_SHINGLES, TILE_ROWS, HELD_SHINGLES = 4096, 4_000_000, 512, 2_000_000
 #: Buckets under so many members are compared many at a time.
 SMALL_ROWS = 48
-#: Members that a hub is held against in one task.
-HUB_ROWS = 2000
-#: Ids that may be broadcast to fetch texts.
-FETCH_ROWS = 500_000
+#: Classes whose numbers may be broadcast to fetch their texts.
+FETCH_ROWS = 100_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -132,15 +131,12 @@ def _signatures(words: int, num: int, den: int, cells, bits: int, keep: list[str
                 for s in sets:
                     digest = _digest(s)
                     length = len(s) + (num * len(s)) // -den + 1 if len(s) else 0
-                    order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))[:length]
                     n.append(len(s))
                     one.append(digest[0])
                     two.append(digest[1])
-                    prefixes.append(s[order].view(np.int64))
+                    prefixes.append(_ordered(s, counts, bits)[:length].view(np.int64))
                     sketches.append(sketch(s))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)),
-                    pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+                lists = _list_array(prefixes)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(n, pa.int32()), pa.array(one, pa.int64()),
@@ -172,7 +168,7 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meeting(num: int, den: int):
-    """Rows sorted by shingle: those whose shingle a group shares that may fit, with its part of the bucket and all parts it meets.
+    """Rows sorted by shingle: those whose shingle a group shares that may fit, with the number of parts of the bucket.
 
     A group of several classes (``many``) meets itself on its first shingle.
     """
@@ -181,22 +177,18 @@ def _meeting(num: int, den: int):
     def out(token, gid, pos, n, many):
         first, size = _bounds(token)
         per_row = np.repeat(size, size)
-        keep = (per_row >= SMALL_ROWS) | ((many > 0) & (pos == 0))
+        keep = (per_row >= SMALL_ROWS) | ((many > 1) & (pos == 0))
         for i, j in _lags(token, per_row < SMALL_ROWS):
             fit = _fit(num, den, n[i], n[j], pos[i], pos[j])
             keep[i[fit]] = keep[j[fit]] = True
         if not keep.any():
             return
-        place = np.arange(len(token)) - np.repeat(first, size)
-        parts, part = -(-per_row[keep] // PART_ROWS), place[keep] // PART_ROWS
-        row = np.repeat(np.flatnonzero(keep), parts)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        mine = np.repeat(part, parts)
-        for a in range(0, len(row), 100_000):
-            r, m, o = row[a:a + 100_000], mine[a:a + 100_000], other[a:a + 100_000]
-            yield pa.RecordBatch.from_pydict({
-                "token": token[r], "low": np.minimum(m, o).astype(np.int32), "high": np.maximum(m, o).astype(np.int32),
-                "part": m.astype(np.int32), "gid": gid[r], "pos": pos[r].astype(np.int32)})
+        parts = np.maximum(-(-np.add.reduceat(many * keep, first) // PART_ROWS),
+                           -(-np.add.reduceat(many * n * keep, first) // PART_SHINGLES))
+        row = np.flatnonzero(keep)
+        yield pa.RecordBatch.from_pydict({
+            "token": token[row], "gid": gid[row], "pos": pos[row].astype(np.int32),
+            "parts": np.maximum(np.repeat(parts, size)[row], 1).astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(0, np.int64) for c in names}
@@ -222,33 +214,156 @@ def _fold(sketches: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def _nearest(up: np.ndarray, down: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the nearest ``down`` of each ``up``."""
-    order = np.lexsort((down, d, up))
-    return order[np.concatenate(([True], up[order][1:] != up[order][:-1]))] if len(order) else order
-
+def _fold8(sketches: pa.Array) -> np.ndarray:
+    """All sketches folded to 512 bits."""
+    if isinstance(sketches, pa.ChunkedArray):
+        sketches = pa.concat_arrays(sketches.chunks)
+    sizes = np.diff(np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset:sketches.offset + len(sketches) + 1])
+    if (sizes == 64).all():
+        at = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset]
+        return np.frombuffer(sketches.buffers()[2], np.uint64, count=8 * len(sketches), offset=int(at)).reshape(-1, 8)
+    return _fold(sketches.to_pylist(), 8)
 
-def _pairs(num: int, den: int, every: bool):
-    """Pairs (a, b) of different components that the filters leave, with the distance of their sketches.
 
-    Unless ``every``, of each member only the nearest partner in a component with a smaller
-    number.  Small buckets are compared many at a time; of a large one, tile by tile.
+class Lists:
+    """Lists of distinct values; how many values two of them share."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        known, self.item = np.unique(values, return_inverse=True)
+        self.kinds, self.sizes = max(1, len(known)), sizes
+        self.at = np.cumsum(sizes) - sizes
+        self.codes = np.sort(np.repeat(np.arange(len(sizes)), sizes) * self.kinds + self.item)
+
+    def _single(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Each value of the shorter list is looked up among those of the longer."""
+        swap = self.sizes[i] > self.sizes[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out = np.zeros(len(i), np.int64)
+        ends = np.cumsum(self.sizes[i])
+        a = 0
+        while a < len(i) and len(self.codes):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, side="right")))
+            size = self.sizes[i[a:b]]
+            wanted = np.repeat(j[a:b], size) * self.kinds + self.item[ragged(self.at[i[a:b]], size)]
+            place = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            hits = np.concatenate(([0], np.cumsum(self.codes[place] == wanted)))
+            stop = np.cumsum(size)
+            out[a:b] = hits[stop] - hits[stop - size]
+            a = b
+        return out
+
+    def _table(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """All rows against all columns: products of 0/1 tables of the values that both sides have."""
+        sides = []
+        for lists in (rows, cols):
+            items = self.item[ragged(self.at[lists], self.sizes[lists])]
+            sides.append((np.repeat(np.arange(len(lists)), self.sizes[lists]), items))
+        has = [np.bincount(items, minlength=self.kinds) > 0 for _, items in sides]
+        shared = np.flatnonzero(has[0] & has[1])
+        number = np.full(self.kinds, -1, np.int64)
+        number[shared] = np.arange(len(shared))
+        entries = []
+        for owner, items in sides:
+            place = number[items]
+            order = np.argsort(place, kind="stable")
+            order = order[np.searchsorted(place[order], 0):]
+            entries.append((owner[order], place[order]))
+        out = np.zeros((len(rows), len(cols)), np.float32)
+        for a in range(0, len(shared), 4096):
+            width = min(4096, len(shared) - a)
+            tables = []
+            for (owner, place), lists in zip(entries, (rows, cols), strict=True):
+                p, q = np.searchsorted(place, (a, a + width))
+                t = np.zeros((len(lists), width), np.float32)
+                t[owner[p:q], place[p:q] - a] = 1
+                tables.append(t)
+            out += tables[0] @ tables[1].T
+        return out
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Number of values that lists i and j share, pair by pair."""
+        if len(i) >= 2048:
+            rows, a = np.unique(i, return_inverse=True)
+            cols, b = np.unique(j, return_inverse=True)
+            if max(len(rows), len(cols)) <= TILE_ROWS and 8 * len(i) >= len(rows) * len(cols):
+                return np.rint(self._table(rows, cols)[a, b]).astype(np.int64)
+        return self._single(i, j)
+
+
+def _longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists of longs, one list after another, and the length of each."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(offsets).astype(np.int64)
+
+
+def _couples(t: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same bucket, sorted by size, that fit by part, size and position."""
+    first, size = _bounds(t["key"])
+    per_row = np.repeat(size, size)
+
+    def may(i, j):
+        ok = (t["sid"][i] != t["sid"][j]) & ((t["low"][i] == t["high"][i]) | (t["part"][i] != t["part"][j]))
+        i, j = i[ok], j[ok]
+        ok = _fit(num, den, t["n"][i], t["n"][j], t["pos"][i], t["pos"][j])
+        return i[ok], j[ok]
+    for i, j in _lags(t["key"], per_row < SMALL_ROWS):
+        yield may(i, j)
+    for f, m in zip(first[size >= SMALL_ROWS].tolist(), size[size >= SMALL_ROWS].tolist(), strict=True):
+        for a in range(f, f + m, TILE_ROWS):
+            rows = np.arange(a, min(a + TILE_ROWS, f + m))
+            for b in range(a, f + m, TILE_ROWS):
+                cols = np.arange(b, min(b + TILE_ROWS, f + m))
+                if den * t["n"][rows[-1]] < num * t["n"][cols[0]]:    # sorted by size: no later tile fits either
+                    break
+                i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+                upper = i < j
+                yield may(i[upper], j[upper])
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], enough) -> Iterator[tuple[dict, pa.Table]]:
+    """Sorted batches put together to whole buckets: long columns as arrays, with ``key`` numbering the buckets.
+
+    A row that repeats a class within its bucket is dropped.
     """
-    def told(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(i):
-            return
-        u, v = t["sid"][i], t["sid"][j]
-        if every:
-            u, v = np.minimum(u, v), np.maximum(u, v)
-        else:
-            over = t["root"][i] > t["root"][j]
-            u, v = np.where(over, u, v), np.where(over, v, u)
-            best = _nearest(u, v, d)
-            u, v, d = u[best], v[best], d[best]
-        yield pa.RecordBatch.from_pydict({"a": u, "b": v, "d": d})
-
-    def apart(t, sketches, folded8, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pairs (i, j), those whose sketches differ in few enough bits, and the number of bits."""
+    held: list[pa.RecordBatch] = []
+
+    def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+        t = {c: table[c].to_numpy().astype(np.int64) for c in names}
+        change = np.zeros(len(table), bool)
+        for c in ("token", "low", "high"):
+            change[1:] |= t[c][1:] != t[c][:-1]
+        t["key"] = np.cumsum(change)
+        return t
+
+    def sound(t: dict[str, np.ndarray], table: pa.Table):
+        again = np.zeros(len(table), bool)
+        again[1:] = (t["key"][1:] == t["key"][:-1]) & (t["sid"][1:] == t["sid"][:-1])
+        if again.any():
+            t, table = {c: x[~again] for c, x in t.items()}, table.filter(pa.array(~again)).combine_chunks()
+        return t, table
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if not enough(held):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        t = arrays(table)
+        cut = int(np.searchsorted(t["key"], t["key"][-1]))
+        if cut:
+            yield sound({c: x[:cut] for c, x in t.items()}, table.slice(0, cut).combine_chunks())
+            held = table.slice(cut).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield sound(arrays(table), table)
+
+
+def _hopeful(num: int, den: int):
+    """Rows of buckets with a partner by size, position and sketch, none of the shingles ahead of it shared."""
+    names = ("token", "low", "high", "part", "pos", "sid", "n")
+
+    def apart(t, sketches, folded8, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs (i, j), those whose sketches differ in few enough bits."""
         n, m = t["n"][i], t["n"][j]
         most = n + m - 2 * -(-num * (n + m) // (num + den))
         d = np.bitwise_count(folded8[i] ^ folded8[j]).sum(axis=1).astype(np.int64)
@@ -259,195 +374,164 @@ def _pairs(num: int, den: int, every: bool):
             width = min(len(x), len(y)) // 8
             d[k] = np.bitwise_count(_fold([x], width) ^ _fold([y], width)).sum()
         near = d <= most
-        return i[near], j[near], d[near]
-
-    def compare(t: dict[str, np.ndarray], sketches: pa.Array) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, sorted by key, size and class."""
-        first, size = _bounds(t["key"])
-        per_row = np.repeat(size, size)
-        folded8 = _fold8(sketches)
-        found: list[tuple] = []
-
-        def may(i, j):
-            ok = (t["root"][i] != t["root"][j]) & ((t["low"][i] == t["high"][i]) | (t["part"][i] != t["part"][j]))
-            i, j = i[ok], j[ok]
-            ok = _fit(num, den, t["n"][i], t["n"][j], t["pos"][i], t["pos"][j])
-            return apart(t, sketches, folded8, i[ok], j[ok])
-        for i, j in _lags(t["key"], per_row < SMALL_ROWS):
-            found.append(may(i, j))
-        for f, m in zip(first[size >= SMALL_ROWS].tolist(), size[size >= SMALL_ROWS].tolist(), strict=True):
-            for a in range(f, f + m, TILE_ROWS):
-                rows = np.arange(a, min(a + TILE_ROWS, f + m))
-                for b in range(a, f + m, TILE_ROWS):
-                    cols = np.arange(b, min(b + TILE_ROWS, f + m))
-                    if den * t["n"][rows[-1]] < num * t["n"][cols[0]]:    # sorted by size: no later tile fits either
-                        break
-                    i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
-                    upper = i < j
-                    found.append(may(i[upper], j[upper]))
-                    if sum(len(x[0]) for x in found) > 200_000:
-                        yield from told(t, *(np.concatenate(x) for x in zip(*found, strict=True)))
-                        found.clear()
-        if found:
-            yield from told(t, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        return i[near], j[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def arrays(table: pa.Table) -> tuple[dict[str, np.ndarray], pa.Array]:
-            t = {c: table[c].to_numpy().astype(np.int64) for c in ("token", "low", "high", "part", "pos", "sid", "n", "root")}
-            change = np.zeros(len(t["token"]), bool)
-            for c in ("token", "low", "high"):
-                change[1:] |= t[c][1:] != t[c][:-1]
-            t["key"] = np.cumsum(change)
-            return t, table["sketch"].combine_chunks() if isinstance(table["sketch"], pa.ChunkedArray) else table["sketch"]
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 20_000:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            t, sketches = arrays(table)
-            cut = int(np.searchsorted(t["key"], t["key"][-1]))
-            if cut:
-                yield from compare({c: x[:cut] for c, x in t.items()}, sketches.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held and sum(b.num_rows for b in held):
-            yield from compare(*arrays(pa.Table.from_batches(held).combine_chunks()))
+        for t, table in _whole_buckets(batches, names, lambda held: sum(b.num_rows for b in held) >= 20_000):
+            sketches = table["sketch"].chunk(0)
+            folded8, ahead = _fold8(sketches), Lists(*_longs(table["ahead"].chunk(0)))
+            hope = np.zeros(len(table), bool)
+            for i, j in _couples(t, num, den):
+                i, j = apart(t, sketches, folded8, i, j)
+                new = ~hope[i] | ~hope[j]
+                i, j = i[new], j[new]
+                if len(i):
+                    sole = ahead.shared(i, j) == 0
+                    hope[i[sole]] = hope[j[sole]] = True
+            row = np.flatnonzero(hope)
+            yield pa.RecordBatch.from_pydict({c: t[c][row].astype(np.int64 if c in ("token", "sid") else np.int32)
+                                              for c in names[:-1]})
     return run
 
 
-def _fold8(sketches: pa.Array) -> np.ndarray:
-    """All sketches folded to 512 bits."""
-    if isinstance(sketches, pa.ChunkedArray):
-        sketches = pa.concat_arrays(sketches.chunks)
-    sizes = np.diff(np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset:sketches.offset + len(sketches) + 1])
-    if (sizes == 64).all():
-        at = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset]
-        return np.frombuffer(sketches.buffers()[2], np.uint64, count=8 * len(sketches), offset=int(at)).reshape(-1, 8)
-    return _fold(sketches.to_pylist(), 8)
+def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (smallest numbers) of the trees after links i-j are added."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j = i[open_], j[open_]
+        np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _verified(num: int, den: int):
+    """Rows of buckets with whole sets: per member the rows linked to it here, and a member that its links lead to."""
+    names = ("token", "low", "high", "part", "pos", "sid", "n", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def enough(held: list[pa.RecordBatch]) -> bool:
+            return sum(b.column("shingles").flatten().__len__() for b in held) >= HELD_SHINGLES
+        for t, table in _whole_buckets(batches, names, enough):
+            values, sizes = _longs(table["shingles"].chunk(0))
+            sets = Lists(values, sizes)
+            ahead = Lists(values[ragged(sets.at, t["pos"])], t["pos"])
+            linked, root = np.zeros(len(table), np.int64), np.arange(len(table))
+            for i, j in _couples(t, num, den):
+                sole = ahead.shared(i, j) == 0
+                i, j = i[sole], j[sole]
+                both = sets.shared(i, j)
+                ok = den * both >= num * (t["n"][i] + t["n"][j] - both)
+                i, j = i[ok], j[ok]
+                np.add.at(linked, i, t["copies"][j])
+                np.add.at(linked, j, t["copies"][i])
+                root = _forest(root, i, j)
+            row = np.flatnonzero(linked)
+            yield pa.RecordBatch.from_pydict({"u": t["sid"][row], "linked": linked[row], "v": t["sid"][root[row]]})
+    return run
 
 
-def _judge(words: int, num: int, den: int):
-    """Rows sorted by hub, the hub's text before those of its members: links whose whole sets are similar enough."""
+def _sets(words: int, cells, bits: int):
+    """Whole sets in the order of all shingles, of the texts that are those of their class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
+        counts = np.frombuffer(cells.value, np.uint32)
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            hubs, members, salts = (batch.column(c).to_numpy() for c in ("hub", "member", "salt"))
             wanted = np.stack([batch.column(c).to_numpy() for c in ("d1", "d2")], axis=1)
             for a, b in slices(offsets):
-                u, v = [], []
+                rows, lists = [], []
                 for k, s in enumerate(shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words), a):
-                    if (_digest(s) != wanted[k]).any():
-                        continue                     # another row with the id of the one asked for
-                    if members[k] == hubs[k]:
-                        hub, own = (hubs[k], salts[k]), s
-                    elif hub == (hubs[k], salts[k]):
-                        common = len(np.intersect1d(own, s, assume_unique=True))
-                        if den * common >= num * (len(own) + len(s) - common):
-                            u.append(members[k])
-                            v.append(hubs[k])
-                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    if (_digest(s) == wanted[k]).all():
+                        rows.append(k)
+                        lists.append(_ordered(s, counts, bits).view(np.int64))
+                part = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), _list_array(lists)],
+                                                 ["sid", "copies", "shingles"])
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) whose whole sets are similar enough.
+def _ordered(shingles: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Rarest first."""
+    return shingles[np.lexsort((shingles, counts[(shingles >> np.uint64(64 - bits)).astype(np.int64)]))]
 
-    Only texts that are asked for are read; each travels to the hubs (b) it is held
-    against, and a hub with many members is salted.
-    """
-    busy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(busy, "b").select(
-        F.col("b").alias("hub"), F.col("a").alias("member"), (F.pmod(F.xxhash64("a"), F.col("salts"))).cast("int").alias("salt"))
-    hubs = busy.select(F.col("b").alias("hub"), F.col("b").alias("member"),
-                       F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    one = classes.select(F.col("sid").alias("member"), F.col("first_id").alias("_id"), "d1", "d2")
-    asked = stash(salted.unionByName(hubs).join(one, "member"), "asked")
-    small = asked.count() <= FETCH_ROWS
-    fetched = docs.select("doc_id", "text").join(F.broadcast(asked) if small else asked, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return (fetched.select("hub", "salt", "member", "d1", "d2", "text").withColumn("_last", F.col("member") != F.col("hub"))
-            .repartition("hub", "salt").sortWithinPartitions("hub", "salt", "_last").drop("_last")
-            .mapInArrow(_judge(words, num, den), "u long, v long").distinct())
 
+def _list_array(lists: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)),
+                                    pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
 
-def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5, rounds: int = 1,
-         count_links: bool = False) -> DataFrame:
-    """Of located rows: _file, _row, doc_id, n_shingles, root (a number of the component, null without shingles), component_id.
 
-    With ``count_links`` also n_links, the number of other rows that are similar enough; ``rounds`` has no use then.
-    """
-    rounds = 0 if count_links else rounds
+def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """Of located rows: _file, _row, doc_id, n_shingles, root (a number of the component, null without shingles),
+    component_id, n_links (the number of other rows that are similar enough)."""
     spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(cell_counts(rows, words).tobytes())
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     keep = ["doc_id", *AT]
     marks = stash(rows.select(*keep, "text").mapInArrow(
         _signatures(words, num, den, cells, CELL_BITS, keep),
         "doc_id long, _file string, _row long, n int, d1 long, d2 long, prefix array<long>, sketch binary"), "marks")
+    spot = F.xxhash64(*AT)
     classes = stash(marks.where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
-        F.count(F.lit(1)).alias("copies"))
+        F.min("doc_id").alias("first_id"), F.min(spot).alias("spot"), F.first("prefix").alias("prefix"),
+        F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
         .withColumn("sid", F.monotonically_increasing_id()), "classes")
     # Classes of one prefix and size are one group; its first class stands in the join for all.
-    keyed = classes.select("sid", "n", "sketch", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q"))
+    keyed = classes.select("sid", "n", F.xxhash64("prefix").alias("_p"), F.hash("prefix").alias("_q"))
     grouped = keyed.groupBy("n", "_p", "_q").agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("members"))
-    shared = stash(grouped.where("members > 1").select("n", "_p", "_q", "gid"), "groups")
+    shared = stash(grouped.where("members > 1"), "groups")
     n_shared = shared.count()
     inside = stash(bring(keyed, shared, ["n", "_p", "_q"], rows=n_shared).select("sid", "gid"), "members")
     n_inside = inside.count()
     others = inside.where("sid <> gid").select("sid")
     heads = bring(bring(classes.select("sid", "n", "prefix"), others, ["sid"], "left_anti", n_inside),
-                  shared.select(F.col("gid").alias("sid"), F.lit(1).alias("many")), ["sid"], "left", n_shared)
-    tokens = heads.select(F.col("sid").alias("gid"), "n", F.coalesce("many", F.lit(0)).alias("many"),
+                  shared.select(F.col("gid").alias("sid"), F.col("members").alias("many")), ["sid"], "left", n_shared)
+    tokens = heads.select(F.col("sid").alias("gid"), "n", F.coalesce("many", F.lit(1)).alias("many"),
                           F.posexplode("prefix").alias("pos", "token"))
     met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(
-        _meeting(num, den), "token long, low int, high int, part int, gid long, pos int")
+        _meeting(num, den), "token long, gid long, pos int, parts int")
+    # Groups are opened before a bucket is cut into parts; each part meets each part.
+    part = F.pmod(F.xxhash64("sid"), "parts").cast("int")
     spread = bring(met, inside.withColumnRenamed("sid", "_member"), ["gid"], "left", n_inside).withColumn(
-        "sid", F.coalesce("_member", "gid"))
-    meeting = stash(spread.join(classes.select("sid", "n", "sketch"), "sid").select(
-        "token", "low", "high", "part", "pos", "sid", "n", "sketch"), "meeting")
-    roots, links = None, None
-    for turn in range(rounds + 1):
-        every = turn == rounds
-        if roots is None:
-            labelled = meeting.withColumn("root", F.col("sid"))
-        else:
-            labelled = meeting.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
-                "root", F.coalesce("root", "sid"))
-        near = (labelled.select("token", "low", "high", "part", "pos", "sid", "n", "sketch", "root")
-                .repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "sid")
-                .mapInArrow(_pairs(num, den, every), "a long, b long, d long"))
-        pairs = near.select("a", "b").distinct() if every else near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        new = stash(_verified(stash(pairs.select("a", "b"), "pairs"), rows, classes, words, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = stash(components(links), "roots")
-    of_class = classes.select("sid", "d1", "d2", "n", "first_id", "copies").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-    of_class = of_class.withColumn("root", F.coalesce("root", "sid"))
+        "sid", F.coalesce("_member", "gid")).withColumn("part", part).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "token", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "pos", "sid")
+    bucket = ["token", "low", "high"]
+    meeting = spread.join(classes.select("sid", "n", "sketch", "prefix"), "sid").select(
+        *bucket, "part", "pos", "sid", "n", "sketch", F.slice("prefix", 1, F.col("pos")).alias("ahead"))
+    hopeful = stash(meeting.repartition(*bucket).sortWithinPartitions(*bucket, "n", "sid").mapInArrow(
+        _hopeful(num, den), "token long, low int, high int, part int, pos int, sid long"), "hopeful")
+    asked = stash(hopeful.select("sid").distinct().join(classes.select("sid", "copies", "d1", "d2", "spot"), "sid"), "asked")
+    small = asked.count() <= FETCH_ROWS
+    sets = stash(rows.select(spot.alias("spot"), "text").join(F.broadcast(asked) if small else asked, "spot").select(
+        "sid", "copies", "d1", "d2", "text").mapInArrow(_sets(words, cells, CELL_BITS), "sid long, copies long, shingles array<long>"),
+        "sets")
+    found = stash(hopeful.join(sets, "sid").select(*bucket, "part", "pos", "sid", F.size("shingles").alias("n"), "copies", "shingles")
+                  .repartition(*bucket).sortWithinPartitions(*bucket, "n", "sid")
+                  .mapInArrow(_verified(num, den), "u long, linked long, v long"), "links")
+    roots = stash(components(found.select("u", "v")), "roots")
+    linked = found.groupBy(F.col("u").alias("sid")).agg(F.sum("linked").alias("_linked"))
+    of_class = classes.select("sid", "d1", "d2", "n", "first_id", "copies").join(
+        roots.withColumnRenamed("id", "sid"), "sid", "left").join(linked, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    counted = [F.lit(None).cast("long").alias("n_links")]
-    if count_links:
-        ends = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        ends = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        linked = ends.join(classes.select(F.col("sid").alias("v"), F.col("copies").alias("_more")), "v").groupBy(
-            F.col("u").alias("sid")).agg(F.sum("_more").alias("_linked"))
-        of_class = of_class.join(linked, "sid", "left")
-        counted = [(F.coalesce("_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")]
-    named = of_class.join(names, "root").select("d1", "d2", "n", "component_id", "root", *counted)
+    named = of_class.join(names, "root").select(
+        "d1", "d2", "n", "component_id", "root", (F.coalesce("_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     done = marks.select(*keep, "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    links_of = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return done.select(*AT, "doc_id", F.col("n").cast("long").alias("n_shingles"), "root",
-                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *links_of)
+                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, **how) -> DataFrame:
+def near_report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, n_links (other rows that are similar enough)."""
-    return link(located(docs), words, num, den, count_links=True, **how).select("doc_id", "n_shingles", "component_id", "n_links")
+    return link(located(docs), words, num, den).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, **how) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of the smallest id stays."""
     rows = located(docs)
-    linked = stash(link(rows, words, num, den, **how), "linked")
+    linked = stash(link(rows, words, num, den), "linked")
     first = linked.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *AT)).alias("_s"))
     stay = first.select("_s._file", "_s._row").unionByName(linked.where("root is null").select(*AT))
