@@ -11,8 +11,9 @@ hold the first one it shares with a near copy.
   share out of the prefixes.
 * Members that share a prefix shingle meet in a bucket.  Buckets of many members or many
   shingles are cut into parts which meet two by two.  A first pass over the buckets holds
-  sizes, positions, parity sketches (a lower bound of the difference of two sets) and the
-  shingles ahead against each other and leaves the members that may have a partner there.
+  sizes, positions and parity sketches (a lower bound of the difference of two sets) against
+  each other and leaves the members that may have a partner there.  A second pass drops
+  those whose partners all share one of their first such buckets with them, too.
 * Only those fetch their whole sets and meet again.  A pair of classes is verified in the
   bucket of the first shingle it shares and nowhere else, so it counts once.  A task gives
   one row a member: the documents linked to it there, and a root of a spanning forest of
@@ -44,6 +45,8 @@ from .op06_exact import AT, located
 CELL_BITS = 20
 #: Members and shingles of a bucket's part; rows of a comparison; shingles that a task verifies at once.
 PART_ROWS, PART_SHINGLES, TILE_ROWS, HELD_SHINGLES = 4096, 4_000_000, 512, 2_000_000
+#: First buckets of a member that the second pass knows.
+LEAD = 16
 #: Buckets under so many members are compared many at a time.
 SMALL_ROWS = 48
 #: Classes whose numbers may be broadcast to fetch their texts.
@@ -358,8 +361,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], en
         yield sound(arrays(table), table)
 
 
-def _hopeful(num: int, den: int):
-    """Rows of buckets with a partner by size, position and sketch, none of the shingles ahead of it shared."""
+def _hopeful(num: int, den: int, leads: bool):
+    """Rows of buckets with a partner by size, position and sketch; with ``leads`` one that shares none of those with it."""
     names = ("token", "low", "high", "part", "pos", "sid", "n")
 
     def apart(t, sketches, folded8, i, j) -> tuple[np.ndarray, np.ndarray]:
@@ -379,15 +382,17 @@ def _hopeful(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, table in _whole_buckets(batches, names, lambda held: sum(b.num_rows for b in held) >= 20_000):
             sketches = table["sketch"].chunk(0)
-            folded8, ahead = _fold8(sketches), Lists(*_longs(table["ahead"].chunk(0)))
+            folded8 = _fold8(sketches)
+            ahead = Lists(*_longs(table["leads"].chunk(0))) if leads else None
             hope = np.zeros(len(table), bool)
             for i, j in _couples(t, num, den):
                 i, j = apart(t, sketches, folded8, i, j)
                 new = ~hope[i] | ~hope[j]
                 i, j = i[new], j[new]
-                if len(i):
+                if leads and len(i):
                     sole = ahead.shared(i, j) == 0
-                    hope[i[sole]] = hope[j[sole]] = True
+                    i, j = i[sole], j[sole]
+                hope[i] = hope[j] = True
             row = np.flatnonzero(hope)
             yield pa.RecordBatch.from_pydict({c: t[c][row].astype(np.int64 if c in ("token", "sid") else np.int32)
                                               for c in names[:-1]})
@@ -498,10 +503,15 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFra
         "_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "token", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "pos", "sid")
     bucket = ["token", "low", "high"]
-    meeting = spread.join(classes.select("sid", "n", "sketch", "prefix"), "sid").select(
-        *bucket, "part", "pos", "sid", "n", "sketch", F.slice("prefix", 1, F.col("pos")).alias("ahead"))
-    hopeful = stash(meeting.repartition(*bucket).sortWithinPartitions(*bucket, "n", "sid").mapInArrow(
-        _hopeful(num, den), "token long, low int, high int, part int, pos int, sid long"), "hopeful")
+    rows_of, light = "token long, low int, high int, part int, pos int, sid long", classes.select("sid", "n", "sketch")
+
+    def hopeful_of(meeting: DataFrame, *leads: str) -> DataFrame:
+        given = meeting.select(*bucket, "part", "pos", "sid", "n", "sketch", *leads).repartition(*bucket)
+        return stash(given.sortWithinPartitions(*bucket, "n", "sid").mapInArrow(_hopeful(num, den, bool(leads)), rows_of), "hopeful")
+    first = hopeful_of(spread.join(light, "sid"))
+    leads = first.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "token"))), 1, LEAD).alias("_lead"))
+    before = F.transform(F.filter("_lead", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    hopeful = hopeful_of(first.join(leads.join(light, "sid"), "sid").withColumn("leads", before), "leads")
     asked = stash(hopeful.select("sid").distinct().join(classes.select("sid", "copies", "d1", "d2", "spot"), "sid"), "asked")
     small = asked.count() <= FETCH_ROWS
     sets = stash(rows.select(spot.alias("spot"), "text").join(F.broadcast(asked) if small else asked, "spot").select(
