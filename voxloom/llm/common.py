@@ -176,9 +176,9 @@ def folded(raw: np.ndarray) -> np.ndarray:
     return _FOLD[raw]
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the words of all texts, and the number of words of each text."""
-    inside = ~_SPACE[raw]
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the words of all texts, and the number of words of each text; ``outside`` tells bytes between words."""
+    inside = ~outside[raw]
     first = np.zeros(len(raw), bool)
     first[offsets[:-1][offsets[:-1] < len(raw)]] = True
     before = np.concatenate(([False], inside[:-1])) if len(raw) else inside

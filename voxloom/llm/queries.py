@@ -17,6 +17,9 @@ from .op07_quality import quota_sample
 from .op08_jaccard import near_report
 from .op09_urls import filter_urls, rule_table
 from .op10_bpe import bpe_report
+from .op11_trie import trie_report
+from .op12_licenses import scan
+from .op13_negatives import mine, shifted_labels
 
 
 def op1_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_repeated_spans, op2_mix_sources, op3_context_tree, op4_simple8b_ids, op5_top_products,
-                            op6_exact_dedup, op7_quality_sample, op8_near_copies, op9_url_filter, op10_byte_bpe)}
+                            op6_exact_dedup, op7_quality_sample, op8_near_copies, op9_url_filter, op10_byte_bpe, op11_prefix_trie,
+                            op12_licenses, op13_hard_negatives)}
