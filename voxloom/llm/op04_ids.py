@@ -35,6 +35,8 @@ from .segments import by_text, encode_pieces, four_bytes, per_worker, views
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 BLOCK_IDS = 1024
+#: Bytes of text that one row of a file holds.
+RUN_BYTES = 700_000
 #: Distinct words whose ids a Python worker keeps, about 200 MB.
 WORDS_KEPT = 1_000_000
 #: Items and bits of a word by selector 1 to 14; selector 15 marks an escape.
@@ -217,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
         part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, RUN_BYTES):
                 ids, counts = with_end(*words_of.encode_batch(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), end_id)
                 words, blocks, escapes = pack(ids)
                 yield pa.RecordBatch.from_pydict({

@@ -9,6 +9,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .common import LONG_BYTES, ragged, same_stretches, stretch_hashes
 
@@ -46,12 +47,13 @@ def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, Memory]:
 
 
 def distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct stretch, and the number of each stretch's distinct one.
+    """The first place of each distinct stretch, and the number of each stretch's distinct one.
 
     Hashes bring equal stretches together; their bytes are then compared, and those of
     other bytes than the first of their hash are told apart by the bytes themselves.
     """
-    _, first, place = np.unique(stretch_hashes(raw, starts, stops), return_index=True, return_inverse=True)
+    place = pa.array(stretch_hashes(raw, starts, stops)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.flatnonzero(place > np.concatenate(([-1], np.maximum.accumulate(place)[:-1])))
     odd = np.flatnonzero(~same_stretches(raw, starts, stops, starts[first[place]], stops[first[place]]))
     if len(odd):
         own: dict[bytes, int] = {}
