@@ -10,15 +10,14 @@ hold the first one it shares with a near copy.
   size and broadcast.  Any order is right; this one keeps passages that many documents
   share out of the prefixes.
 * Members that share a prefix shingle meet in a bucket.  Buckets of many members or many
-  shingles are cut into parts which meet two by two.  A first pass over the buckets holds
-  sizes, positions and parity sketches (a lower bound of the difference of two sets) against
-  each other and leaves the members that may have a partner there.  A second pass drops
-  those whose partners all share one of their first such buckets with them, too.
-* Only those fetch their whole sets and meet again.  A pair of classes is verified in the
-  bucket of the first shingle it shares and nowhere else, so it counts once.  A task gives
-  one row a member: the documents linked to it there, and a root of a spanning forest of
-  its links.  So output and shuffle grow with members and buckets, never with pairs, and
-  still every pair that the filters leave is verified.
+  shingles are cut into parts which meet two by two.  Sizes, positions and parity sketches
+  (a lower bound of the difference of two sets) are filters that lose nothing; pairs that
+  pass are not given but joined to trees, an edge a member at most.
+* The trees of all buckets make families.  Two similar documents are always of one family,
+  so only families fetch whole sets, each once, and verify their pairs; large families are
+  cut into parts which meet two by two.  A task gives one row a member: the documents
+  linked to it there, and a root of a spanning forest of its links.  So rows and shuffle
+  grow with members, buckets and parts, never with pairs, and no link is lost.
 * A document's number of links is the sum of the sizes of the classes linked to its own,
   and the other rows of its own.
 
@@ -43,11 +42,9 @@ from .links import components
 from .op06_exact import AT, located
 
 CELL_BITS = 20
-#: Members and shingles of a bucket's part; rows of a comparison; shingles that a task verifies at once.
+#: Members and shingles of a part of a bucket or family; rows of a comparison; shingles that a task verifies at once.
 PART_ROWS, PART_SHINGLES, TILE_ROWS, HELD_SHINGLES = 4096, 4_000_000, 512, 2_000_000
-#: First buckets of a member that the second pass knows.
-LEAD = 16
-#: Buckets under so many members are compared many at a time.
+#: Buckets and families under so many members are compared many at a time.
 SMALL_ROWS = 48
 #: Classes whose numbers may be broadcast to fetch their texts.
 FETCH_ROWS = 100_000
@@ -326,14 +323,14 @@ def _couples(t: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.
 def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], enough) -> Iterator[tuple[dict, pa.Table]]:
     """Sorted batches put together to whole buckets: long columns as arrays, with ``key`` numbering the buckets.
 
-    A row that repeats a class within its bucket is dropped.
+    The first three names tell the bucket.  A row that repeats a class within its bucket is dropped.
     """
     held: list[pa.RecordBatch] = []
 
     def arrays(table: pa.Table) -> dict[str, np.ndarray]:
         t = {c: table[c].to_numpy().astype(np.int64) for c in names}
         change = np.zeros(len(table), bool)
-        for c in ("token", "low", "high"):
+        for c in names[:3]:
             change[1:] |= t[c][1:] != t[c][:-1]
         t["key"] = np.cumsum(change)
         return t
@@ -361,8 +358,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], en
         yield sound(arrays(table), table)
 
 
-def _hopeful(num: int, den: int, leads: bool):
-    """Rows of buckets with a partner by size, position and sketch; with ``leads`` one that shares none of those with it."""
+def _relatives(num: int, den: int):
+    """Rows of buckets: links (u, v) of a spanning forest of the pairs that pass by size, position and sketch."""
     names = ("token", "low", "high", "part", "pos", "sid", "n")
 
     def apart(t, sketches, folded8, i, j) -> tuple[np.ndarray, np.ndarray]:
@@ -383,19 +380,14 @@ def _hopeful(num: int, den: int, leads: bool):
         for t, table in _whole_buckets(batches, names, lambda held: sum(b.num_rows for b in held) >= 20_000):
             sketches = table["sketch"].chunk(0)
             folded8 = _fold8(sketches)
-            ahead = Lists(*_longs(table["leads"].chunk(0))) if leads else None
-            hope = np.zeros(len(table), bool)
+            sids, of = np.unique(t["sid"], return_inverse=True)
+            root = np.arange(len(sids))
             for i, j in _couples(t, num, den):
-                i, j = apart(t, sketches, folded8, i, j)
-                new = ~hope[i] | ~hope[j]
-                i, j = i[new], j[new]
-                if leads and len(i):
-                    sole = ahead.shared(i, j) == 0
-                    i, j = i[sole], j[sole]
-                hope[i] = hope[j] = True
-            row = np.flatnonzero(hope)
-            yield pa.RecordBatch.from_pydict({c: t[c][row].astype(np.int64 if c in ("token", "sid") else np.int32)
-                                              for c in names[:-1]})
+                new = root[of[i]] != root[of[j]]
+                i, j = apart(t, sketches, folded8, i[new], j[new])
+                root = _forest(root, of[i], of[j])
+            low = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_pydict({"u": sids[low], "v": sids[root[low]]})
     return run
 
 
@@ -413,20 +405,17 @@ def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _verified(num: int, den: int):
-    """Rows of buckets with whole sets: per member the rows linked to it here, and a member that its links lead to."""
-    names = ("token", "low", "high", "part", "pos", "sid", "n", "copies")
+    """Rows of families with whole sets: per member the rows linked to it here, and a member that its links lead to."""
+    names = ("family", "low", "high", "part", "sid", "n", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def enough(held: list[pa.RecordBatch]) -> bool:
-            return sum(b.column("shingles").flatten().__len__() for b in held) >= HELD_SHINGLES
+            return sum(len(b.column("shingles").flatten()) for b in held) >= HELD_SHINGLES
         for t, table in _whole_buckets(batches, names, enough):
-            values, sizes = _longs(table["shingles"].chunk(0))
-            sets = Lists(values, sizes)
-            ahead = Lists(values[ragged(sets.at, t["pos"])], t["pos"])
+            sets = Lists(*_longs(table["shingles"].chunk(0)))
+            t["pos"] = np.zeros(len(table), np.int64)
             linked, root = np.zeros(len(table), np.int64), np.arange(len(table))
             for i, j in _couples(t, num, den):
-                sole = ahead.shared(i, j) == 0
-                i, j = i[sole], j[sole]
                 both = sets.shared(i, j)
                 ok = den * both >= num * (t["n"][i] + t["n"][j] - both)
                 i, j = i[ok], j[ok]
@@ -438,10 +427,11 @@ def _verified(num: int, den: int):
     return run
 
 
-def _sets(words: int, cells, bits: int):
-    """Whole sets in the order of all shingles, of the texts that are those of their class."""
+def _sets(words: int):
+    """Whole sets of the texts that are those of their class."""
+    given = ["family", "parts", "sid", "copies"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(cells.value, np.uint32)
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             wanted = np.stack([batch.column(c).to_numpy() for c in ("d1", "d2")], axis=1)
@@ -450,10 +440,9 @@ def _sets(words: int, cells, bits: int):
                 for k, s in enumerate(shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words), a):
                     if (_digest(s) == wanted[k]).all():
                         rows.append(k)
-                        lists.append(_ordered(s, counts, bits).view(np.int64))
+                        lists.append(s.view(np.int64))
                 part = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), _list_array(lists)],
-                                                 ["sid", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in given], _list_array(lists)], [*given, "shingles"])
     return run
 
 
@@ -503,22 +492,22 @@ def link(rows: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFra
         "_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "token", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "pos", "sid")
     bucket = ["token", "low", "high"]
-    rows_of, light = "token long, low int, high int, part int, pos int, sid long", classes.select("sid", "n", "sketch")
-
-    def hopeful_of(meeting: DataFrame, *leads: str) -> DataFrame:
-        given = meeting.select(*bucket, "part", "pos", "sid", "n", "sketch", *leads).repartition(*bucket)
-        return stash(given.sortWithinPartitions(*bucket, "n", "sid").mapInArrow(_hopeful(num, den, bool(leads)), rows_of), "hopeful")
-    first = hopeful_of(spread.join(light, "sid"))
-    leads = first.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "token"))), 1, LEAD).alias("_lead"))
-    before = F.transform(F.filter("_lead", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
-    hopeful = hopeful_of(first.join(leads.join(light, "sid"), "sid").withColumn("leads", before), "leads")
-    asked = stash(hopeful.select("sid").distinct().join(classes.select("sid", "copies", "d1", "d2", "spot"), "sid"), "asked")
+    meeting = spread.join(classes.select("sid", "n", "sketch"), "sid").select(*bucket, "part", "pos", "sid", "n", "sketch")
+    related = meeting.repartition(*bucket).sortWithinPartitions(*bucket, "n", "sid").mapInArrow(_relatives(num, den), "u long, v long")
+    families = stash(components(related), "families").join(classes.select(F.col("sid").alias("id"), "n", "copies", "d1", "d2", "spot"), "id")
+    size = families.groupBy(F.col("root").alias("family")).agg(F.greatest(
+        F.lit(1), F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    asked = stash(families.withColumnRenamed("root", "family").join(size, "family").select(
+        "family", "parts", F.col("id").alias("sid"), "copies", "d1", "d2", "spot"), "asked")
     small = asked.count() <= FETCH_ROWS
-    sets = stash(rows.select(spot.alias("spot"), "text").join(F.broadcast(asked) if small else asked, "spot").select(
-        "sid", "copies", "d1", "d2", "text").mapInArrow(_sets(words, cells, CELL_BITS), "sid long, copies long, shingles array<long>"),
-        "sets")
-    found = stash(hopeful.join(sets, "sid").select(*bucket, "part", "pos", "sid", F.size("shingles").alias("n"), "copies", "shingles")
-                  .repartition(*bucket).sortWithinPartitions(*bucket, "n", "sid")
+    fetched = rows.select(spot.alias("spot"), "text").join(F.broadcast(asked) if small else asked, "spot").select(
+        "family", "parts", "sid", "copies", "d1", "d2", "text")
+    sets = fetched.mapInArrow(_sets(words), "family long, parts int, sid long, copies long, shingles array<long>")
+    pieces = sets.withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "family", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "sid",
+        F.size("shingles").alias("n"), "copies", "shingles")
+    family = ["family", "low", "high"]
+    found = stash(pieces.repartition(*family).sortWithinPartitions(*family, "n", "sid")
                   .mapInArrow(_verified(num, den), "u long, linked long, v long"), "links")
     roots = stash(components(found.select("u", "v")), "roots")
     linked = found.groupBy(F.col("u").alias("sid")).agg(F.sum("linked").alias("_linked"))
