@@ -6,6 +6,8 @@ NumPy.  Both byte-pair encoders use it; the cuts differ.
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +18,6 @@ from .common import LONG_BYTES, ragged, same_stretches, stretch_hashes
 #: Distinct pieces whose ids a Python worker keeps, half of them in the newer of two generations.
 MEMORY = 300_000
 
-_workers: dict[tuple, tuple] = {}
-
-
 class Memory:
     """Ids (four bytes each) of pieces by their bytes, in two generations: what is used again moves to the newer one, the older is dropped."""
 
@@ -39,11 +38,16 @@ class Memory:
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> tuple[object, Memory]:
-    """A tokenizer and its memory of pieces, made once in each Python worker."""
+    """A tokenizer and its memory of pieces, made once in each Python worker.
+
+    Helpers come anew with every task, their globals too; what is to outlive a task is kept in the process.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if key not in _workers:
-        _workers[key] = (make(), Memory())
-    return _workers[key]
+    home = sys.modules.setdefault("voxloom_worker", types.ModuleType("voxloom_worker"))
+    held = home.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = (make(), Memory())
+    return held[key]
 
 
 def distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
