@@ -106,6 +106,49 @@ def test_mix_targets_against_brute_force(spark, docs):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def pareto(rows, target, most=2.0):
+    """Copies by the definition: (key, size, weight, u) of one source."""
+    scale = target / sum(s * w for _, s, w, _ in rows)
+    out, open_, total = {}, [], 0.0
+    for k, s, w, u in rows:
+        t = min(most, scale * w)
+        out[k] = int(t)
+        total += out[k] * s
+        if t > out[k]:
+            p = t - out[k]
+            open_.append((u / (1 - u) / (p / (1 - p)), k, s))
+    for _, k, s in sorted(open_):
+        if total + s / 2 <= target:
+            out[k] += 1
+            total += s
+    return out, total
+
+
+@pytest.mark.parametrize("bucket_rows,coarse", [(2000, 1024), (40, 2)])
+def test_mix_draws_by_the_definition(spark, monkeypatch, bucket_rows, coarse):
+    """Unequal weights: ranks, whole copies and the taken set of each source against a plain loop."""
+    monkeypatch.setattr(op02_mix, "COARSE", coarse)
+    monkeypatch.setattr(op02_mix, "LOOK", 10 ** 6)
+    rows = [(i, " ".join(["w"] * (1 + i % 13)), "ab"[i % 3 > 0], float(i % 5) if i % 11 else None) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, worth double")
+    got = op02_mix.mix_report(frame, weights=(2, 1), share=0.4, bucket_rows=bucket_rows, weight="worth").collect()
+    u = {r.doc_id: r.u for r in frame.select("doc_id", op02_mix.draw(20).alias("u")).collect()}
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        want, total = pareto([(r.doc_id, r.size, max(0.0, rows[r.doc_id][3] or 0.0), u[r.doc_id]) for r in mine], mine[0].target)
+        assert {r.doc_id: r.copies for r in mine} == want and sum(r.taken for r in mine) == total
+        assert abs(total - mine[0].target) <= 7
+    times = Counter(r.doc_id for r in op02_mix.mix(frame, weights=(2, 1), share=0.4, bucket_rows=bucket_rows, weight="worth").collect())
+    assert times == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def test_pareto_inclusion_follows_the_weights(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "'one two three' AS text", "'a' AS source", "cast(1 + id % 4 AS double) AS worth")
+    got = op02_mix.mix_report(rows, weights=(1,), share=0.4, weight="worth").toPandas()
+    share = got.groupby(got.doc_id % 4).copies.mean()
+    assert np.abs(share.to_numpy() - 0.4 * np.arange(1, 5) / 2.5).max() < 0.04
+
+
 def test_mix_repeats_rows_as_reported(docs):
     copies = {r.doc_id: r.copies for r in op02_mix.mix_report(docs).collect() if r.size}
     times = Counter(r.doc_id for r in op02_mix.mix(docs).collect())
