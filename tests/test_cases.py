@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,20 @@ def test_attach_is_the_same_join_with_and_without_broadcast(spark):
         small, plain = (attach(big, per, ["k"], how, max_rows=m) for m in (100, 0))
         assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_exact_rank_sums_equal_enumeration(spark):
+    """Every way to sign the ranks, for up to 12 pairs; larger ones add up to one."""
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 12):
+        d = (np.arange(n) + 1) * np.where(rng.random(n) < 0.4, -1, 1) / 100.0
+        frame = spark.createDataFrame([("p", i, float(x), 0.0) for i, x in enumerate(d)], "pair string, case_id int, a double, b double")
+        got = S.wilcoxon_auto(frame).first()
+        signs = (np.arange(2 ** n)[:, None] >> np.arange(n)) & 1
+        sums = signs @ (np.arange(n) + 1)
+        assert got.exact and got.p == pytest.approx(min(1.0, 2 * (sums <= got.w).mean()))
+    even = spark.range(1).select(S.exact_tail(F.lit(50), F.lit(637)).alias("p")).first().p
+    assert even == pytest.approx(1.0, abs=1e-2)
+    tied = spark.createDataFrame([("p", i, x, 0.0) for i, x in enumerate([0.1, -0.1, 0.2])], "pair string, case_id int, a double, b double")
+    zero = spark.createDataFrame([("p", i, x, 0.0) for i, x in enumerate([0.0, -0.1, 0.2])], "pair string, case_id int, a double, b double")
+    assert not S.wilcoxon_auto(tied).first().exact and not S.wilcoxon_auto(zero).first().exact

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.voxel import effect_size
+from voxloom.session import bounded
 
 
 def running(df: DataFrame, group: list[str], value: str, weights: list[str], width: float = 1 / 256) -> DataFrame:
@@ -119,6 +120,10 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
 
     Zeros are dropped, no continuity correction.
     """
+    return _signed_rank(pairs).drop("ties")
+
+
+def _signed_rank(pairs: DataFrame) -> DataFrame:
     r = ranked_differences(pairs)
     t = F.col("t").cast("double")
     sums = r.groupBy("pair").agg(
@@ -127,7 +132,7 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     w = F.least("w_pos", "w_neg")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
-    return sums.select("pair", "n", "w_pos", "w_neg", w.alias("w"),
+    return sums.select("pair", "n", "w_pos", "w_neg", "ties", w.alias("w"),
                        ((F.col("w_pos") - F.col("w_neg")) / (F.col("w_pos") + F.col("w_neg"))).alias("rank_biserial"),
                        ((w - n * (n + 1) / 4.0) / sd).alias("z"))
 
@@ -146,17 +151,48 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return signed_rank(pairs).withColumn("p", two_sided_p(F.col("z")))
 
 
+#: Pairs of values up to which the exact distribution of the rank sum is taken.
+EXACT_PAIRS = 50
+
+
+def exact_tail(n: Column, w: Column) -> Column:
+    """Two-sided p of the smaller rank sum w of n untied differences, from the distribution of all 2**n signs.
+
+    The chances of the sums 0, 1, ... are one array; rank r moves half of each chance up by r.
+    """
+    start = F.transform(F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int")), lambda i: (i == 0).cast("double"))
+    def with_rank(chance: Column, r: Column) -> Column:
+        return F.transform(chance, lambda x, i: (x + F.when(i >= r, F.element_at(chance, (i - r + 1).cast("int"))).otherwise(0.0)) / 2)
+    chances = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, with_rank)
+    upto = F.slice(chances, 1, w.cast("int") + 1)
+    return F.least(F.lit(1.0), 2 * F.aggregate(upto, F.lit(0.0), lambda s, x: s + x))
+
+
+def wilcoxon_auto(pairs: DataFrame, most: int = EXACT_PAIRS) -> DataFrame:
+    """``wilcoxon`` with ``exact``: up to ``most`` pairs without ties or zeros take p from the exact distribution."""
+    test, untied = _signed_rank(pairs), F.col("ties") == 0
+    asked = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("_asked"))
+    exact = untied & (F.col("_asked") == F.col("n")) & (F.col("n") <= most)
+    return test.join(asked, "pair").withColumn("exact", exact).withColumn(
+        "p", F.when(F.col("exact"), exact_tail(F.col("n"), F.col("w"))).otherwise(two_sided_p(F.col("z")))).drop("_asked", "ties")
+
+
 def failed_sets(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Failed cases of each series pair compared as sets: sizes, common cases, equal, disjoint."""
+    """Failed cases of each series pair compared as sets: sizes, common cases, equal, disjoint.
+
+    Every pair of series is a row of the answer, so the names (a row a series) are counted
+    and meet by broadcast; more of them than may be broadcast are an error.  Cases only
+    meet where both failed.
+    """
     one = _one_value(metrics, "dice").withColumn("failed", (F.col("dice") < limit).cast("long"))
-    sizes = one.groupBy("series").agg(F.sum("failed").alias("k")).withColumn("_all", F.lit(0))
-    p = sizes.select("_all", F.col("series").alias("p"), F.col("k").alias("n_a"))
-    q = sizes.select("_all", F.col("series").alias("q"), F.col("k").alias("n_b"))
+    sizes, fits = bounded(one.groupBy("series").agg(F.sum("failed").alias("k")))
+    if not fits:
+        raise ValueError("too many series to compare every two of them")
+    p, q = sizes.select(F.col("series").alias("p"), F.col("k").alias("n_a")), sizes.select(F.col("series").alias("q"), F.col("k").alias("n_b"))
     bad = one.where("failed = 1").select("case_id", "series")
     both = (bad.withColumnRenamed("series", "p").join(bad.withColumnRenamed("series", "q"), "case_id").where("p < q")
             .groupBy("p", "q").agg(F.count(F.lit(1)).alias("n_shared")))
-    # Every pair of series is a row of the answer; cases only meet where both failed.
-    named = p.join(q, "_all").where("p < q").join(both, ["p", "q"], "left").select(
+    named = p.join(F.broadcast(q), F.col("p") < F.col("q")).join(both, ["p", "q"], "left").select(
         F.concat_ws(" vs ", "p", "q").alias("pair"), "n_a", "n_b", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
     return named.select("*", ((F.col("n_a") == F.col("n_b")) & (F.col("n_shared") == F.col("n_a"))).alias("equal"),
                         (F.col("n_shared") == 0).alias("disjoint"))

@@ -616,6 +616,13 @@ def q_wilcoxon(spark, d):
         "pair", "n", "w", F.round("z", 6).alias("z"), F.round("p", 5).alias("p"))
 
 
+@query
+def q_wilcoxon_exact(spark, d):
+    """Ten strata of cases, few enough for the exact distribution where nothing ties."""
+    pairs = S.paired(case_metrics(spark, d)).withColumn("pair", F.concat_ws(" #", "pair", (F.col("case_id") % 10).cast("string")))
+    return S.wilcoxon_auto(pairs).select("pair", "n", "w", "exact", F.round("p", 5).alias("p"))
+
+
 @query
 def q_failed_sets(spark, d):
     return S.failed_sets(case_metrics(spark, d), 0.95)

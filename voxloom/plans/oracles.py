@@ -463,6 +463,16 @@ _ERF = ("2.0::DOUBLE / sqrt(pi()) * xx / 3000.0::DOUBLE * (SELECT sum((CASE WHEN
         "* exp(-(i * xx / 1000.0::DOUBLE) * (i * xx / 1000.0::DOUBLE))) FROM range(0, 1001) AS strips(i))")
 cases("q_wilcoxon", f"SELECT pair, n, w, round(zz, 6) AS z, round(1.0::DOUBLE - {_ERF}, 5) + 0.0 AS p FROM (SELECT *, abs(zz) / sqrt(2.0::DOUBLE) AS xx FROM ("
       "SELECT pair, n, least(w_pos, w_neg) AS w, (least(w_pos, w_neg) - n::DOUBLE * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS zz FROM sm))", PAIRS, RANKS)
+# All signs of up to 13 ranks, one row each.
+SIGNS = ("sg(k, s) AS (SELECT 0, 0 UNION ALL SELECT k + 1, s + b * (k + 1) FROM sg, (VALUES (0), (1)) AS v(b) WHERE k < 13), "
+         "wy AS MATERIALIZED (SELECT k, s, count(*) AS c FROM sg GROUP BY k, s), "
+         "sz AS (SELECT pair, count(*) AS asked FROM pr GROUP BY pair)")
+SQL["q_wilcoxon_exact"] = (
+    f"WITH RECURSIVE {METRICS}, {PAIRS.replace('a.series || ' + chr(39) + ' vs ' + chr(39) + ' || b.series', 'a.series || ' + chr(39) + ' vs ' + chr(39) + ' || b.series || ' + chr(39) + ' #' + chr(39) + ' || (a.case_id % 10)')}, {RANKS}, {SIGNS} "
+    f"SELECT pair, n, w, exact, CASE WHEN exact THEN round(least(1.0::DOUBLE, 2 * (SELECT sum(c) FROM wy WHERE k = n AND s <= w) / pow(2.0::DOUBLE, n)), 5) "
+    f"ELSE round(1.0::DOUBLE - {_ERF}, 5) + 0.0 END AS p FROM (SELECT *, abs(zz) / sqrt(2.0::DOUBLE) AS xx FROM ("
+    "SELECT pair, n, least(w_pos, w_neg) AS w, ties = 0 AND asked = n AND n <= 13 AS exact, (least(w_pos, w_neg) - n::DOUBLE * (n + 1) / 4.0::DOUBLE) "
+    "/ sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS zz FROM sm JOIN sz USING (pair)))")
 cases("q_failed_sets", "SELECT a.series || ' vs ' || b.series AS pair, a.k AS n_a, b.k AS n_b, len(list_intersect(a.f, b.f)) AS n_shared, list_sort(a.f) = list_sort(b.f) AS equal, len(list_intersect(a.f, b.f)) = 0 AS disjoint FROM fs a JOIN fs b ON a.series < b.series",
       "fs AS MATERIALIZED (SELECT series, coalesce(list(case_id) FILTER (dice < 0.95), []) AS f, count(*) FILTER (dice < 0.95) AS k FROM m GROUP BY series)")
 SQL["q_pair_semi"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
