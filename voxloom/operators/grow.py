@@ -11,9 +11,8 @@ from voxloom.functions.voxel import above, in_band
 from voxloom.operators.connect import components, lateral_border, touched_labels, without_exterior
 from voxloom.operators.measure import adaptive_threshold, gate, hybrid_abort, prune_slices, with_bbox
 from voxloom.operators.resample import downsample2
-from voxloom.operators.runs import close, cover, dilate, to_runs, upsample2, voxel_count
+from voxloom.operators.runs import cells, close, cover, dilate, slice_runs, sweep_runs, upsample2, voxel_count
 from voxloom.operators.seeds import axis_seeds, axis_seeds_robust
-from voxloom.operators.stencils import positions
 from voxloom.session import attach, cut
 from voxloom.sources.tables import DIMS
 
@@ -78,20 +77,24 @@ class GateParams:
     close_margin: int = 0
 
 
-def relaxed_envelope(vox: DataFrame, core: DataFrame, margin: int, lo: float, prob: str = "prob",
+def relaxed_envelope(slices: DataFrame, core: DataFrame, margin: int, lo: float, prob: str = "prob",
                      keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Core plus the voxels above ``lo`` that lie within ``margin`` of it."""
-    loose = to_runs(vox.where(above(F.col(prob), lo)), keys)
+    loose = slice_runs(slices, cells(lambda p: above(p, lo), prob), keys)
     return union(core, intersect(loose, dilate(core, margin, keys), keys), keys)
 
 
-def gate_components(vox: DataFrame, bbox: DataFrame | None = None, p: GateParams = GateParams(),
+def _values(slices: DataFrame, plane: str, keys: tuple[str, ...]) -> DataFrame:
+    return slices.select(*keys, F.explode(plane).alias(plane))
+
+
+def gate_components(slices: DataFrame, bbox: DataFrame | None = None, p: GateParams = GateParams(),
                     prob: str = "prob", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Per-key gated threshold, optional refinements, then the centrally seeded components."""
-    thr = gate(vox, p.lo, p.hi, p.ratio, prob, keys).select(*keys, "thr")
-    core = to_runs(attach(vox, thr, list(keys)).where(above(F.col(prob), F.col("thr"))), keys)
+    thr = gate(_values(slices, prob, keys), p.lo, p.hi, p.ratio, prob, keys).select(*keys, "thr")
+    core = slice_runs(attach(slices, thr, list(keys)), cells(lambda v: above(v, F.col("thr")), prob), keys)
     if p.relax_margin > 0 and p.relax_lo < p.model_thr:
-        core = relaxed_envelope(vox, core, p.relax_margin, p.relax_lo, prob, keys)
+        core = relaxed_envelope(slices, core, p.relax_margin, p.relax_lo, prob, keys)
     core = cut(close(core, p.close_margin, keys))
     return seeded(core, axis_seeds_robust(core, bbox, keys=keys), core, keys)
 
@@ -105,21 +108,22 @@ class HybridParams:
     abort: float = 0.8
 
 
-def hybrid_candidate(p: HybridParams, prob: str = "prob", hu: str = "hu", aborted: Column | None = None) -> Column:
+def hybrid_candidate(p: HybridParams, prob: Column, hu: Column, aborted: Column | None = None) -> Column:
     """Confident core, plus uncertain voxels in the HU band unless the key is aborted."""
-    loose = above(F.col(prob), p.floor) & in_band(F.col(hu), p.hu_lo, p.hu_hi)
-    return above(F.col(prob), p.core) | (loose if aborted is None else (~aborted & loose))
+    loose = above(prob, p.floor) & in_band(hu, p.hu_lo, p.hu_hi)
+    return above(prob, p.core) | (loose if aborted is None else (~aborted & loose))
 
 
-def hybrid_grow(vox: DataFrame, bbox: DataFrame | None = None, p: HybridParams = HybridParams(),
-                prob: str = "prob", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+def hybrid_grow(slices: DataFrame, bbox: DataFrame | None = None, p: HybridParams = HybridParams(),
+                prob: str = "prob", hu: str = "data", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Growth from the core through the uncertain band; aborted keys stay in the core.
 
     Both branches are one candidate expression, so all keys share one labelling.
     """
-    flag = hybrid_abort(vox, p.core, p.floor, p.abort, prob, keys).select(*keys, "abort")
-    core = cut(to_runs(vox.where(above(F.col(prob), p.core)), keys))
-    candidate = to_runs(attach(vox, flag, list(keys)).where(hybrid_candidate(p, prob, aborted=F.col("abort"))), keys)
+    flag = hybrid_abort(_values(slices, prob, keys), p.core, p.floor, p.abort, prob, keys).select(*keys, "abort")
+    core = cut(slice_runs(slices, cells(lambda v: above(v, p.core), prob), keys))
+    candidate = slice_runs(attach(slices, flag, list(keys)),
+                           cells(lambda v, h: hybrid_candidate(p, v, h, F.col("abort")), prob, hu), keys)
     return seeded(candidate, axis_seeds_robust(core, bbox, keys=keys), core, keys)
 
 
@@ -144,19 +148,19 @@ def feedback_trunk(coarse: DataFrame, thr: DataFrame, p: PyramidParams = Pyramid
                    keys: tuple[str, ...] = ("case_id",)) -> tuple[DataFrame, DataFrame]:
     """Coarse trunk of each key under the loosest threshold whose growth stays under the cap.
 
-    All tightening attempts are grown together (attempt number as a second key); the
-    choice per key is then a small aggregate instead of a loop of jobs.
+    All tightening attempts are grown together (attempt number as a second key, runs cut from
+    one array a slice); the choice per key is then a small aggregate instead of a loop of jobs.
     Returns (trunk runs, choice per key).
     """
     tries = p.tries if p.feedback else 1
     attempt = (*keys, "attempt")
-    vox = attach(positions(coarse, ["data"], list(keys)), thr.select(*keys, "thr"), list(keys))
-    room = F.floor((F.col("thr") - F.col("value")) / F.lit(p.step))
-    cand = (vox.where((F.col("value") >= p.coarse_low) & (room >= 0))
-            .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.least(room, F.lit(tries - 1)).cast("int")))))
-    inner = interior2d(to_runs(cand, attempt), None, attempt)
+    tightened = attach(coarse, thr.select(*keys, "thr"), list(keys))
+    # A cell takes part in attempt t as long as the threshold, t steps lower, is not under it.
+    need = cells(lambda v: F.when(v >= p.coarse_low, -F.floor((F.col("thr") - v) / F.lit(p.step))), "data")
+    cand = sweep_runs(tightened, need, {t: -t for t in range(tries)}, "attempt", keys)
+    inner = interior2d(cand, None, attempt)
     trunk = cut(seeded(inner, axis_seeds(inner, None, keys=attempt), None, attempt))
-    cells = coarse.where("z = 0").select(*keys, F.floor(
+    caps = coarse.where("z = 0").select(*keys, F.floor(
         F.lit(p.cap_share) * F.col("nx").cast("long") * F.col("ny") * F.col("nz")).alias("cap"))
     sizes = voxel_count(trunk, attempt).groupBy(*keys).agg(
         *[F.sum(F.when(F.col("attempt") == t, F.col("voxels")).otherwise(0)).alias(f"s{t}") for t in range(tries)])
@@ -167,7 +171,7 @@ def feedback_trunk(coarse: DataFrame, thr: DataFrame, p: PyramidParams = Pyramid
     best = F.array_min(F.filter(F.array(*[F.struct(s.alias("s"), F.lit(t).alias("t")) for t, s in enumerate(size)]),
                                 lambda e: e["s"] > 0))
     last = best["t"] if p.keep_best else F.lit(tries - 1)
-    choice = cells.join(sizes, list(keys), "left").select(
+    choice = caps.join(sizes, list(keys), "left").select(
         *keys, "cap", F.coalesce(first_ok, last).cast("int").alias("attempt"),
         F.coalesce(*[F.when(F.coalesce(first_ok, last) == t, size[t]) for t in range(tries)]).alias("voxels"))
     chosen = attach(trunk, choice.select(*keys, F.col("attempt").alias("_pick")), list(keys))

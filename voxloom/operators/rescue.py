@@ -1,8 +1,8 @@
 """Search for a tube-shaped component over a sweep of thresholds.
 
-The sweep is one labelling: the threshold is a second key next to the case, and a
-voxel takes part in every threshold it passes.  The accepted threshold of a case is
-then a plain minimum.
+The sweep is one labelling: the threshold is a second key next to the case, and the runs
+of all thresholds are cut from one pass over a slice.  The accepted threshold of a case
+is then a plain minimum.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.connect import component_stats, components
 from voxloom.operators.measure import with_bbox
-from voxloom.operators.runs import to_runs
+from voxloom.operators.runs import cells, sweep_runs
 from voxloom.session import attach, cut
 
 
@@ -32,9 +32,9 @@ class RescueParams:
     min_aspect: float = 1.5
 
 
-def search_window(vox: DataFrame, bbox: DataFrame | None, p: RescueParams, keys: tuple[str, ...]) -> DataFrame:
+def search_window(slices: DataFrame, bbox: DataFrame | None, p: RescueParams, keys: tuple[str, ...]) -> DataFrame:
     """Add the window ``wx0..wz1``: low-z end of the body, around its centre."""
-    out = with_bbox(vox, bbox, keys)
+    out = with_bbox(slices, bbox, keys)
     depth = F.greatest(F.lit(p.min_depth), (F.lit(p.z_share).cast("float") * (F.col("bz1") - F.col("bz0") + 1)).cast("int"))
     cols = [F.col("bz0").alias("wz0"), F.least(F.col("bz0") + depth - 1, F.col("bz1")).alias("wz1")]
     for a in "xy":
@@ -66,18 +66,15 @@ def tube_score(stats: DataFrame, p: RescueParams) -> DataFrame:
         .withColumn("score", aspect * F.sqrt(F.col("size").cast("double")) / (1.0 + 0.05 * off))
 
 
-def rescue_sweep(vox: DataFrame, bbox: DataFrame | None = None, p: RescueParams = RescueParams(),
+def rescue_sweep(slices: DataFrame, bbox: DataFrame | None = None, p: RescueParams = RescueParams(),
                  keys: tuple[str, ...] = ("case_id",)) -> tuple[DataFrame, DataFrame]:
     """(accepted component per key, its seeds): lowest threshold with a tube wins."""
     sweep = (*keys, "thr")
-    windowed = search_window(vox, bbox, p, keys)
-    inside = F.lit(True)
-    for a in "xyz":
-        inside = inside & F.col(a).between(F.col(f"w{a}0"), F.col(f"w{a}1"))
-    steps = F.array(*[F.lit(t) for t in p.thresholds])
-    air = windowed.where(inside & (F.col("hu") <= max(p.thresholds))).withColumn(
-        "thr", F.explode(F.filter(steps, lambda t: t >= F.col("hu"))))
-    labelled = components(to_runs(air, sweep), sweep)
+    windowed = search_window(slices, bbox, p, keys)
+    need = cells(lambda v, x, y: F.when(x.between(F.col("wx0"), F.col("wx1")) & y.between(F.col("wy0"), F.col("wy1")), v), "data")
+    air = sweep_runs(windowed.where(F.col("z").between(F.col("wz0"), F.col("wz1"))), need,
+                     {float(t): float(t) for t in p.thresholds}, "thr", keys)
+    labelled = components(air, sweep)
     window = windowed.groupBy(*keys).agg(*[F.first(f"w{a}{n}").alias(f"w{a}{n}") for a in "xyz" for n in "01"])
     tubes = tube_score(attach(component_stats(labelled, sweep), window, list(keys)), p)
     best = tubes.groupBy(*sweep).agg(F.min(F.struct(

@@ -209,14 +209,15 @@ def _tubes(volume: np.ndarray, z: np.ndarray, own: np.ndarray, nz: int, scale: f
 
 def vesselness(slices: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0),
                incremental: bool = False, keys: tuple[str, ...] = ("case_id",),
-               slab: int = SLAB, carry: bool = False) -> DataFrame:
+               slab: int = SLAB, carry: bool = False, marks: DataFrame | None = None) -> DataFrame:
     """Multi-scale dark-tube measure in [0, 1]: voxel rows with ``vness``.
 
     Each slab is smoothed at all scales and reduced to two numbers per voxel and scale,
     in one shuffle.  (As columns, three scales of eigenvalues make generated methods
     too long for the JIT, about ten times slower.)  The only global quantity, the
     largest structure strength per key and scale, is taken slice by slice without
-    exploding voxels and comes back by a size-checked broadcast.  ``carry`` adds ``hu``.
+    exploding voxels and comes back by a size-checked broadcast.  ``carry`` adds ``hu``, ``marks`` (keys, z, an array a slice)
+    the cell's ``_in``: slices meet slices, voxel rows are made after the join.
     """
     kernels = scale_kernels(sigmas, incremental)
     count = range(len(sigmas))
@@ -235,12 +236,16 @@ def vesselness(slices: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0),
     parts = cut(per_slab(slices, planes, reach_of(kernels) + 1, compute, keys, slab, carry=carry))
     top = parts.groupBy(*keys).agg(*[F.max(F.array_max(f"str{i}")).alias(f"top{i}") for i in count])
     extra = ["data"] if carry else []
-    vox = positions(attach(parts, top, list(keys)), [*planes, *extra], [*keys, *[f"top{i}" for i in count]])
+    whole = attach(parts, top, list(keys))
+    if marks is not None:
+        whole = whole.join(marks, [*keys, "z"], "left")
+        extra.append("marks")
+    vox = positions(whole, [*planes, *extra], [*keys, *[f"top{i}" for i in count]])
     # c is half the largest strength S, so 2*c*c = S*S/2.
     scores = [F.when(F.col(f"top{i}") > 0, at(f"shape{i}") * (
         1.0 - F.exp(-at(f"str{i}") / (0.5 * F.col(f"top{i}"))))).otherwise(F.lit(0.0)) for i in count]
-    hu = [at("data").alias("hu")] if carry else []
-    return vox.select(*keys, "x", "y", "z", *DIMS, *hu, F.greatest(F.lit(0.0), *scores).alias("vness"))
+    more = ([at("data").alias("hu")] if carry else []) + ([at("marks").alias("_in")] if marks is not None else [])
+    return vox.select(*keys, "x", "y", "z", *DIMS, *more, F.greatest(F.lit(0.0), *scores).alias("vness"))
 
 
 def slice_triplet(slices: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:

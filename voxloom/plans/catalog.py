@@ -28,7 +28,7 @@ from voxloom.plans.rules import SafetyParams, decide
 from voxloom.plans.segment import segment
 from voxloom.session import cut
 from voxloom.sources import logs
-from voxloom.sources.tables import (DIMS, case_metrics, table, to_voxels, truth_of, volume, voxels, with_prob)
+from voxloom.sources.tables import (DIMS, case_metrics, prob_of, table, to_voxels, truth_of, volume, voxels, with_prob)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -61,15 +61,19 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, d: str, thr: int) -> DataFrame:
-    return run_mask(voxels(spark, d), thr)
+    return run_mask(volume(spark, d), thr)
 
 
-def run_mask(vox: DataFrame, thr: int) -> DataFrame:
-    return N.to_runs(vox.where(F.col("hu") <= thr))
+def run_mask(slices: DataFrame, thr: int) -> DataFrame:
+    return N.slice_runs(slices, N.cells(lambda v: v <= thr, "data"))
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    return N.to_runs(voxels(spark, d).where(truth_of(F.col("hu"), F.col("x"), F.col("y"))))
+    return N.slice_runs(volume(spark, d), N.cells(truth_of, "data"))
+
+
+def prob_slices(slices: DataFrame) -> DataFrame:
+    return slices.withColumn("prob", N.cells(prob_of, "data"))
 
 
 def prob_voxels(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +112,7 @@ def q_hardset(spark, d):
 @query
 def q_hybrid_candidate(spark, d):
     p = G.HybridParams(0.5, 0.3, -560.0, -520.0)
-    return prob_voxels(spark, d).where(G.hybrid_candidate(p)).select(*XYZ, "hu")
+    return prob_voxels(spark, d).where(G.hybrid_candidate(p, F.col("prob"), F.col("hu"))).select(*XYZ, "hu")
 
 
 @query
@@ -140,38 +144,42 @@ def q_linear_index(spark, d):
 
 @query
 def q_mask_and(spark, d):
-    vox = to_voxels(stored(spark, d))
-    return xyz(G.intersect(run_mask(vox, -500), N.dilate(run_mask(vox, -620), 1)))
+    slices = stored(spark, d)
+    return xyz(G.intersect(run_mask(slices, -500), N.dilate(run_mask(slices, -620), 1)))
+
+
+def holed(spark: SparkSession, d: str, thr: int) -> DataFrame:
+    return N.slice_runs(volume(spark, d), N.cells(lambda v, x, y: (v <= thr) & (x != 3), "data"))
 
 
 @query
 def q_dilate(spark, d):
-    return xyz(N.dilate(N.to_runs(voxels(spark, d).where("hu <= -600 and x <> 3")), 1))
+    return xyz(N.dilate(holed(spark, d, -600), 1))
 
 
 @query
 def q_close(spark, d):
-    return xyz(N.close(N.to_runs(voxels(spark, d).where("hu <= -570 and x <> 3")), 1))
+    return xyz(N.close(holed(spark, d, -570), 1))
 
 
 @query
 def q_upsample(spark, d):
-    coarse = N.to_runs(voxels(spark, d).where("hu <= -600")).select(
+    coarse = mask(spark, d, -600).select(
         "*", (F.col("nx") * 2).alias("fx"), (F.col("ny") * 2 + 1).alias("fy"), (F.col("nz") * 2 + 1).alias("fz"))
     return xyz(N.upsample2(coarse))
 
 
 @query
 def q_relaxed_envelope(spark, d):
-    vox = with_prob(to_voxels(stored(spark, d)))
-    core = N.to_runs(vox.where(V.above(F.col("prob"), 0.6)))
-    return xyz(G.relaxed_envelope(vox, core, 1, 0.45))
+    slices = prob_slices(stored(spark, d))
+    core = N.slice_runs(slices, N.cells(lambda p: V.above(p, 0.6), "prob"))
+    return xyz(G.relaxed_envelope(slices, core, 1, 0.45))
 
 
 @query
 def q_exterior2d(spark, d):
-    vox = to_voxels(stored(spark, d))
-    return xyz(G.interior2d(run_mask(vox, -500), tissue_box(vox)))
+    slices = stored(spark, d)
+    return xyz(G.interior2d(run_mask(slices, -500), tissue_box(to_voxels(slices))))
 
 
 @query
@@ -391,40 +399,40 @@ def q_lut_apply(spark, d):
 
 @query
 def q_axis_seeds(spark, d):
-    vox = to_voxels(stored(spark, d))
-    return D.axis_seeds(run_mask(vox, -550), tissue_box(vox), 0.3)
+    slices = stored(spark, d)
+    return D.axis_seeds(run_mask(slices, -550), tissue_box(to_voxels(slices)), 0.3)
 
 
 @query
 def q_axis_seeds_robust(spark, d):
-    vox = to_voxels(stored(spark, d))
-    return D.axis_seeds_robust(run_mask(vox, -600), tissue_box(vox))
+    slices = stored(spark, d)
+    return D.axis_seeds_robust(run_mask(slices, -600), tissue_box(to_voxels(slices)))
 
 
 @query
 def q_gate_cc(spark, d):
-    vox = with_prob(to_voxels(stored(spark, d)))
-    return xyz(G.gate_components(vox, tissue_box(vox)))
+    slices = prob_slices(stored(spark, d))
+    return xyz(G.gate_components(slices, tissue_box(to_voxels(slices))))
 
 
 @query
 def q_gate_cc_closed(spark, d):
     p = G.GateParams(lo=0.45, hi=0.55, relax_margin=1, relax_lo=0.4, model_thr=0.55, close_margin=1)
-    vox = with_prob(to_voxels(stored(spark, d)))
-    return xyz(G.gate_components(vox, tissue_box(vox), p))
+    slices = prob_slices(stored(spark, d))
+    return xyz(G.gate_components(slices, tissue_box(to_voxels(slices)), p))
 
 
 @query
 def q_hybrid(spark, d):
     p = G.HybridParams(0.5, 0.4, -530.0, -490.0, 1.7)
-    vox = with_prob(to_voxels(stored(spark, d)))
-    return xyz(G.hybrid_grow(vox, tissue_box(vox), p))
+    slices = prob_slices(stored(spark, d))
+    return xyz(G.hybrid_grow(slices, tissue_box(to_voxels(slices)), p))
 
 
 @query
 def q_rescue(spark, d):
-    vox = to_voxels(stored(spark, d))
-    found, seeds = Q.rescue_sweep(vox, tissue_box(vox), TUBE)
+    slices = stored(spark, d)
+    found, seeds = Q.rescue_sweep(slices, tissue_box(to_voxels(slices)), TUBE)
     return seeds.join(found.select("case_id", "thr", "voxels"), "case_id")
 
 
@@ -441,8 +449,7 @@ def q_pyramid(spark, d):
                         body_thr=AIR["body_thr"], core_frac=AIR["core_frac"], air_k=AIR["k"],
                         air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")))
     slices = stored(spark, d)
-    vox = to_voxels(slices)
-    return xyz(G.pyramid_mask(slices, run_mask(vox, -500), tissue_box(vox), p))
+    return xyz(G.pyramid_mask(slices, run_mask(slices, -500), tissue_box(to_voxels(slices)), p))
 
 
 @query

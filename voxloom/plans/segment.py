@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.voxel import above, clamp, in_band
 from voxloom.operators.grow import (SPAN, gate_components, hybrid_grow, interior2d, interior3d, intersect,
-                                    pyramid_constraint, seeded, within)
+                                    pyramid_constraint, seeded)
 from voxloom.operators.lut import LutSpec, lut_apply
 from voxloom.operators.measure import body_bbox, dice
 from voxloom.operators.resample import resampled_size, trilinear
 from voxloom.operators.rescue import rescue_sweep
-from voxloom.operators.runs import dilate, to_runs, voxel_count
+from voxloom.operators.runs import cells, dilate, painted, slice_runs, to_runs, voxel_count
 from voxloom.operators.seeds import axis_seeds, axis_seeds_robust
-from voxloom.operators.stencils import gaussian, gradient_magnitude, positions, vesselness
+from voxloom.operators.stencils import at, gaussian, gradient_magnitude, positions, vesselness
 from voxloom.operators.tiles import Scorer, score_slices, score_tiles
 from voxloom.operators.wavefront import wavefront_grow
 from voxloom.plans.presets import SegmentConfig
@@ -56,12 +56,8 @@ def clamped(slices: DataFrame, cfg: SegmentConfig) -> DataFrame:
     return slices.withColumn("data", F.transform("data", lambda v: clamp(v, cfg.hu_min, cfg.hu_max)))
 
 
-def joint_voxels(slices: DataFrame) -> DataFrame:
-    """Voxel rows with ``hu`` and ``prob`` from one explode of the paired slices."""
-    both = slices.select(*KEYS, "z", *DIMS, F.posexplode(F.arrays_zip("data", "prob")).alias("_p", "_v"))
-    return both.select(*KEYS, (F.col("_p") % F.col("nx")).cast("int").alias("x"),
-                       F.expr("cast(_p div nx as int)").alias("y"), "z", *DIMS,
-                       F.col("_v.data").alias("hu"), F.col("_v.prob").alias("prob"))
+def _confident(slices: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    return slice_runs(slices, cells(lambda p: above(p, cfg.model_thr), "prob"))
 
 
 def _candidate(slices: DataFrame, cfg: SegmentConfig, lut: DataFrame | None) -> DataFrame:
@@ -71,7 +67,7 @@ def _candidate(slices: DataFrame, cfg: SegmentConfig, lut: DataFrame | None) ->
     if cfg.lut:
         vox = lut_apply(gradient_magnitude(smooth, "smoothed"), lut, LutSpec())
         return to_runs(vox.where(F.col("p") >= cfg.prob_thresh))
-    return to_runs(positions(smooth, ["smoothed"], list(KEYS)).where(in_band(F.col("value"), cfg.band_lo, cfg.band_hi)))
+    return slice_runs(smooth, cells(lambda v: in_band(v, cfg.band_lo, cfg.band_hi), "smoothed"))
 
 
 def _size(mask: DataFrame, name: str) -> DataFrame:
@@ -84,45 +80,48 @@ def segment(slices: DataFrame, cfg: SegmentConfig, lut: DataFrame | None = None)
     hu = positions(slices, ["data"], list(KEYS)).withColumnRenamed("value", "hu")
     bbox = cut(body_bbox(hu, cfg.body_thr, cfg.roi_margin)) if cfg.use_roi else None
     if cfg.components_only and cfg.hybrid:
-        return hybrid_grow(joint_voxels(slices), bbox, cfg.hybrid_params())
+        return hybrid_grow(slices, bbox, cfg.hybrid_params())
     if cfg.components_only:
-        return gate_components(joint_voxels(slices), bbox, cfg.gate_params())
+        return gate_components(slices, bbox, cfg.gate_params())
     if not cfg.pyramid and not cfg.prob_hardset:
         full = _candidate(slices, cfg, lut)
         inner = interior2d(full, bbox) if cfg.use_roi else interior3d(full)
         mask = seeded(inner, axis_seeds(inner, bbox))
-        return _after_growth(slices, hu, bbox, mask, None, cfg)
+        return _after_growth(slices, bbox, mask, None, cfg)
     if cfg.pyramid:
         envelope = cut(pyramid_constraint(slices, cfg.pyramid_params()))
         core = cut(intersect(_candidate(slices, cfg, lut), envelope))
     else:
-        core = cut(to_runs(joint_voxels(slices).where(above(F.col("prob"), cfg.model_thr))))
+        core = cut(_confident(slices, cfg))
         envelope = dilate(core, 3)
     pick = axis_seeds_robust if cfg.guards else axis_seeds
     seeds = cut(pick(core, bbox))
     anchored = cut(seeded(core, seeds))
     if not cfg.vessel:
-        return _after_growth(slices, hu, bbox, anchored, None, cfg)
+        return _after_growth(slices, bbox, anchored, None, cfg)
+    marks = painted([core, envelope])
     if cfg.prob_score or cfg.prob_hardset:
-        scored = joint_voxels(slices).withColumn("vness", F.col("prob"))
+        scored = positions(slices.join(marks, [*KEYS, "z"], "left"), ["data", "prob", "marks"], list(KEYS)).select(
+            *KEYS, "x", "y", "z", *DIMS, F.col("value").alias("hu"), at("prob").alias("vness"), at("marks").alias("_in"))
     else:
-        scored = vesselness(slices, incremental=cfg.incremental_scales, carry=True)
-    marked = within(within(scored, core, "hard"), envelope, "roi")
+        scored = vesselness(slices, incremental=cfg.incremental_scales, carry=True, marks=marks)
+    inside = F.coalesce("_in", F.lit(0))
+    marked = scored.select("*", (inside.bitwiseAND(1) > 0).alias("hard"), (inside.bitwiseAND(2) > 0).alias("roi")).drop("_in")
     grown = to_runs(wavefront_grow(marked, seeds, cfg.wavefront_params())).select(*KEYS, *SPAN)
-    return _after_growth(slices, hu, bbox, cut(grown), anchored if cfg.guards else None, cfg)
+    return _after_growth(slices, bbox, cut(grown), anchored if cfg.guards else None, cfg)
 
 
-def _rescued(hu: DataFrame, bbox: DataFrame | None, cases: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def _rescued(slices: DataFrame, bbox: DataFrame | None, cases: DataFrame, cfg: SegmentConfig) -> DataFrame:
     """Re-grow the given cases from a tube found by the threshold sweep."""
-    weak = hu.join(cases, list(KEYS), "left_semi")
+    weak = slices.join(cases, list(KEYS), "left_semi")
     found, seeds = rescue_sweep(weak, bbox, cfg.rescue_params())
-    loose = attach(weak, found.select(*KEYS, "thr"), list(KEYS)) \
-        .where(F.col("hu") <= F.col("thr") + F.lit(cfg.rescue_slack))
-    inner = interior2d(to_runs(loose), bbox)
+    loose = slice_runs(attach(weak, found.select(*KEYS, "thr"), list(KEYS)),
+                       cells(lambda v: v <= F.col("thr") + F.lit(cfg.rescue_slack), "data"))
+    inner = interior2d(loose, bbox)
     return seeded(inner, seeds.unionByName(axis_seeds(inner, bbox)))
 
 
-def _after_growth(slices: DataFrame, hu: DataFrame, bbox: DataFrame | None, grown: DataFrame,
+def _after_growth(slices: DataFrame, bbox: DataFrame | None, grown: DataFrame,
                   pyramid: DataFrame | None, cfg: SegmentConfig) -> DataFrame:
     """Safety revert, rescue and model swap: one summary row per case picks the mask."""
     params = cfg.safety_params()
@@ -150,10 +149,10 @@ def _after_growth(slices: DataFrame, hu: DataFrame, bbox: DataFrame | None, grow
     summary = cut(filled(summary))
     if cfg.rescue:
         weak = decide(summary, params).where(F.col("final_voxels") < cfg.rescue_min).select(*KEYS)
-        masks["rescue"] = cut(_rescued(hu, bbox, cut(weak), cfg))
+        masks["rescue"] = cut(_rescued(slices, bbox, cut(weak), cfg))
         summary = summary.drop("rescue").join(_size(masks["rescue"], "rescue"), list(KEYS), "left")
     if cfg.anchored_swap:
-        hard = cut(to_runs(joint_voxels(slices).where(above(F.col("prob"), cfg.model_thr))))
+        hard = cut(_confident(slices, cfg))
         masks["anchored"] = cut(seeded(hard, axis_seeds_robust(hard, bbox), hard))
         summary = summary.drop("anchored").join(_size(masks["anchored"], "anchored"), list(KEYS), "left")
     if len(masks) == 1:

@@ -83,9 +83,13 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_voxels(volume(spark, sf_dir))
 
 
+def prob_of(hu: Column) -> Column:
+    """Stand-in probability, exact in float: (hu + 720) / 512."""
+    return ((hu + 720) / F.lit(512.0)).cast("float")
+
+
 def with_prob(vox: DataFrame) -> DataFrame:
-    """Stand-in probability map, exact in float: (hu + 720) / 512."""
-    return vox.withColumn("prob", ((F.col("hu") + 720) / F.lit(512.0)).cast("float"))
+    return vox.withColumn("prob", prob_of(F.col("hu")))
 
 
 def truth_of(hu: Column, x: Column, y: Column) -> Column:
