@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.voxel import effect_size
-from voxloom.session import bounded
+from voxloom.session import attach, bounded
 
 
 def running(df: DataFrame, group: list[str], value: str, weights: list[str], width: float = 1 / 256) -> DataFrame:
@@ -87,6 +87,37 @@ def slope_origin(df: DataFrame, x: Column, y: Column, by: str = "series") -> Dat
     return df.groupBy(by).agg((F.sum(x * y) / F.sum(x * x)).alias("slope"))
 
 
+def voxel_cost(metrics: DataFrame, dims: DataFrame, seconds: str = "total_s", by: str = "series") -> DataFrame:
+    """Time a voxel: slope through the origin of seconds over grid size, in s per 1e8 voxels and in ns a voxel.
+
+    Grid sizes are looked up per case (``dims``: case_id, nx, ny, nz); cases without a size take no part.
+    """
+    size = dims.select("case_id", (F.col("nx").cast("long") * F.col("ny") * F.col("nz") / 1e8).alias("_size"))
+    return slope_origin(attach(metrics, size, ["case_id"]), F.col("_size"), F.col(seconds), by).select(
+        by, "slope", (F.col("slope") * 10.0).alias("ns_per_voxel"))
+
+
+def throughput(metrics: DataFrame, seconds: str = "total_s", by: str = "series") -> DataFrame:
+    """Cases a second over the seconds they took together; null where these are none or zero."""
+    wall = F.sum(seconds)
+    return metrics.groupBy(by).agg(F.count(F.lit(1)).alias("n"), wall.alias("wall_s")).withColumn(
+        "per_s", F.when(F.col("wall_s") > 0, F.col("n") / F.col("wall_s")))
+
+
+def max_error(got: DataFrame, want: DataFrame, on: list[str], value: str = "v", tolerance: float = 1e-4) -> DataFrame:
+    """Largest difference of two fields, relative to the largest wanted value, and the verdict.
+
+    A place that only one of them has, and a value that is null or not a number, fails the check.
+    """
+    both = got.select(*on, F.col(value).alias("_g")).join(want.select(*on, F.col(value).alias("_w")), on, "full")
+    gap = F.abs(F.col("_g") - F.col("_w"))
+    sums = both.agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_error"), F.max(F.abs("_w")).alias("max_abs"),
+                    F.sum((gap.isNull() | F.isnan(gap)).cast("long")).alias("_bad"))
+    relative = F.col("max_error") / F.when(F.col("max_abs") > 0, F.col("max_abs")).otherwise(1.0)
+    return sums.select("n", "max_error", "max_abs", relative.alias("relative"),
+                       ((F.coalesce("_bad", F.lit(0)) == 0) & (F.coalesce(relative, F.lit(0.0)) < tolerance)).alias("ok"))
+
+
 def cliffs_delta(pairs: DataFrame) -> DataFrame:
     """All-pairs dominance from running counts: (#a>b - #a<b) / (n*m), without pairing rows."""
     both = pairs.select("pair", F.explode(F.array(
@@ -228,6 +259,39 @@ def best_so_far(history: DataFrame, order: str, score: str, by: str, width: int
                       (F.col("_before").isNull() | (F.col(score) > F.col("_before"))).alias("improved"))
 
 
+def early_stop(history: DataFrame, order: str, score: str, by: str, patience: int, margin: float = 1e-4,
+               start: float = 0.0, width: int = 4096) -> DataFrame:
+    """Where training stops: (by, epochs, best, best_at, stop_at); ``stop_at`` is null where it runs to its end.
+
+    A row is taken as the best if its score is over the last one taken (at first ``start``) by more than
+    ``margin``; after ``patience`` rows without one the history ends, and later rows take no part.  A null
+    score never counts as better.  Only rows above all earlier scores can be taken - a lower one is below a
+    best that was taken, or within the margin of a best that was not - so just those records are folded in
+    order; rows are numbered and records found block by block.  Rows of one order value count by score.
+    """
+    blocks = history.select(by, F.col(order).alias("_at"), F.col(score).alias("_v"), F.floor(F.col(order) / F.lit(width)).alias("_b"))
+    prior = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        by, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_base"))
+    rows = blocks.join(base, [by, "_b"]).withColumn(
+        "_pos", F.col("_base") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_at", "_v"))).select(by, "_at", "_v", "_pos")
+    records = best_so_far(rows.where(F.col("_v").isNotNull()), "_pos", "_v", by, width).where("improved")
+    state = F.struct(F.lit(float(start)).alias("best"), F.lit(0).cast("long").alias("pos"))
+
+    def take(s: Column, r: Column) -> Column:
+        better = (r["pos"] <= s["pos"] + patience) & (r["v"] > s["best"] + F.lit(margin))
+        return F.when(better, F.struct(r["v"].alias("best"), r["pos"].alias("pos"))).otherwise(s)
+
+    folded = records.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_v").cast("double").alias("v")))).alias("_r")) \
+        .select(by, F.aggregate("_r", state, take).alias("_s"))
+    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("epochs")).join(folded, by, "left").select(
+        by, "epochs", F.coalesce("_s", state).alias("_s"))
+    ends = rows.join(total, by).where((F.col("_pos") == F.col("_s.pos")) | (F.col("_pos") == F.col("_s.pos") + patience))
+    at = ends.groupBy(by).agg(F.max(F.when(F.col("_pos") == F.col("_s.pos"), F.col("_at"))).alias("best_at"),
+                              F.max(F.when(F.col("_pos") > F.col("_s.pos"), F.col("_at"))).alias("stop_at"))
+    return total.join(at, by, "left").select(by, "epochs", F.col("_s.best").alias("best"), "best_at", "stop_at")
+
+
 def pair_semi(images: DataFrame, labels: DataFrame, on: str) -> DataFrame:
     """Images that have a label."""
     return images.join(labels, on, "left_semi")

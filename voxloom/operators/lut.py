@@ -57,20 +57,29 @@ def lut_apply(vox: DataFrame, lut: DataFrame, spec: LutSpec = LutSpec(), value:
     base = vox.columns
     out = vox.select("*", *axis(F.col(value), spec.imin, spec.imax, spec.ibins, "i"),
                      *axis(F.col(grad), 0.0, spec.gmax, spec.gbins, "g"))
-    table = lut.select("gbin", "ibin", "prob")
-    if spec.ibins * spec.gbins <= BROADCAST_ROWS:       # one row per bin at most
-        table = F.broadcast(table)
-    for g in "01":
-        for i in "01":
-            corner = table.select(F.col("gbin").alias(f"_g{g}"), F.col("ibin").alias(f"_i{i}"),
-                                  F.col("prob").alias(f"_p{g}{i}"))
+    corners = [(g, i) for g in "01" for i in "01"]
+    if spec.ibins * spec.gbins <= BROADCAST_ROWS:
+        out = out.join(F.broadcast(packed(lut, spec)))       # one row
+        p = {g + i: F.get("_table", F.col(f"_g{g}") * spec.ibins + F.col(f"_i{i}")) for g, i in corners}
+    else:
+        for g, i in corners:
+            corner = lut.select(F.col("gbin").alias(f"_g{g}"), F.col("ibin").alias(f"_i{i}"), F.col("prob").alias(f"_p{g}{i}"))
             out = out.join(corner, [f"_g{g}", f"_i{i}"], "left")
-    p = {gi: F.coalesce(F.col(f"_p{gi}"), F.lit(0.0)) for gi in ("00", "01", "10", "11")}
+        p = {g + i: F.coalesce(F.col(f"_p{g}{i}"), F.lit(0.0)) for g, i in corners}
     i, g = F.col("_if"), F.col("_gf")
     return out.select(*base, ((p["00"] * (1 - i) + p["01"] * i) * (1 - g)
                               + (p["10"] * (1 - i) + p["11"] * i) * g).alias("p"))
 
 
+def packed(lut: DataFrame, spec: LutSpec) -> DataFrame:
+    """The whole table as one row ``_table``: probabilities by ``gbin * ibins + ibin``, 0 where a bin is missing."""
+    bins = lut.sparkSession.range(spec.ibins * spec.gbins).withColumnRenamed("id", "bin")
+    filled = bins.join(lut.select((F.col("gbin").cast("long") * spec.ibins + F.col("ibin")).alias("bin"), "prob"), "bin", "left")
+    entry = F.struct("bin", F.coalesce("prob", F.lit(0.0)).alias("prob"))
+    return filled.agg(F.sort_array(F.collect_list(entry)).alias("_t")).select(
+        F.transform("_t", lambda e: e["prob"]).alias("_table"))
+
+
 def update_store(spark, path: str, fresh: DataFrame) -> None:
     """Accumulate counts over runs in an append-only Parquet table.
 

@@ -309,6 +309,18 @@ def q_validate_gauss(spark, d):
     return to_voxels(soft, "v", "smoothed").select(*XYZ, F.round("v", 6).alias("v"))
 
 
+@query
+def q_gauss_check(spark, d):
+    """Line passes against the direct sum over all 27 neighbours, with a verdict."""
+    taps = V.gaussian_taps(1, 1.0)
+    slices = stored(spark, d)
+    planes = {-1: "data_m1", 0: "data", 1: "data_p1"}
+    cube = [F.lit(taps[i + 1] * taps[j + 1] * taps[k + 1]) * K.at(planes[k], i, j) for i in planes for j in planes for k in planes]
+    direct = K.positions(K.with_z_neighbours(slices), list(planes.values()), ["case_id"]).select(*XYZ, sum(cube[1:], cube[0]).alias("v"))
+    passes = to_voxels(K.gaussian(slices, 1, 1.0), "v", "smoothed").select(*XYZ, "v")
+    return S.max_error(passes, direct, XYZ).select("n", F.round("max_abs", 6).alias("max_abs"), F.round("relative", 6).alias("relative"), "ok")
+
+
 @query
 def q_gradient(spark, d):
     return K.gradient_magnitude(volume(spark, d)).select(*XYZ, F.round("grad", 6).alias("grad"))
@@ -600,6 +612,18 @@ def q_slope_origin(spark, d):
         "series", F.round("slope", 6).alias("slope"))
 
 
+@query
+def q_voxel_cost(spark, d):
+    return S.voxel_cost(case_metrics(spark, d), volume(spark, d).where("z = 0").select("case_id", *DIMS)).select(
+        "series", F.round("ns_per_voxel", 3).alias("ns_per_voxel"))
+
+
+@query
+def q_throughput(spark, d):
+    return S.throughput(case_metrics(spark, d)).select(
+        "series", "n", F.round("wall_s", 6).alias("wall_s"), F.round("per_s", 9).alias("per_s"))
+
+
 @query
 def q_speedup(spark, d):
     return S.relative_to_first(case_metrics(spark, d), "series", "case_id", "total_s").select(
@@ -646,6 +670,11 @@ def q_training_best(spark, d):
     return S.best_so_far(case_metrics(spark, d).select("series", "case_id", "dice"), "case_id", "dice", "series", 16)
 
 
+@query
+def q_early_stop(spark, d):
+    return S.early_stop(case_metrics(spark, d).select("series", "case_id", "dice"), "case_id", "dice", "series", 12, width=16)
+
+
 def index(spark, d):
     return S.slice_index(volume(spark, d), truth(spark, d).where("x1 - x0 >= 2"))
 

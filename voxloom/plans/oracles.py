@@ -191,6 +191,8 @@ vox("q_gauss3d", "SELECT case_id, x, y, z, v FROM gz", V0, *smooth3(Q.DYADIC))
 vox("q_gauss_threshold", "SELECT case_id, x, y, z FROM gz WHERE v BETWEEN -520 AND -505", V0, *smooth3(Q.DYADIC))
 vox("q_validate_gauss", "SELECT case_id, x, y, z, round(v, 6) AS v FROM gz", V0, *smooth3(bell(2, 1.0)))
 
+vox("q_gauss_check", "SELECT count(*) AS n, round(max(abs(v)), 6) AS max_abs, 0.0::DOUBLE AS relative, true AS ok FROM gz", V0, *smooth3(bell(1, 1.0)))
+
 
 def cell(x: str, y: str, z: str) -> str:
     return f"((CAST(case_id AS BIGINT) * 100000 + {z}) * 64 + {y} * 8 + {x})"
@@ -449,6 +451,9 @@ cases("q_timing_ci", "SELECT series, n, round(a, 6) AS mean_s, round(s, 6) AS st
 cases("q_stage_breakdown", "SELECT series, stage, round(k * t, 6) AS mean_s, round(k * t / t, 6) AS share FROM (SELECT series, avg(total_s) AS t FROM m GROUP BY series), "
       "(VALUES ('load_s', 0.125::DOUBLE), ('infer_s', 0.5::DOUBLE), ('region_grow_s', 0.25::DOUBLE), ('other', 0.125::DOUBLE)) AS w(stage, k)")
 cases("q_slope_origin", "SELECT series, round(sum(n * total_s) / sum(n::DOUBLE * n), 6) AS slope FROM m GROUP BY series")
+cases("q_voxel_cost", "SELECT series, round(10.0::DOUBLE * sum(sz * total_s) / sum(sz * sz), 3) AS ns_per_voxel FROM m JOIN "
+      "(SELECT label AS case_id, count(*) * 64 / 1e8::DOUBLE AS sz FROM embeddings GROUP BY label) USING (case_id) GROUP BY series")
+cases("q_throughput", "SELECT series, count(*) AS n, round(sum(total_s), 6) AS wall_s, round(count(*) / sum(total_s), 9) AS per_s FROM m GROUP BY series")
 cases("q_speedup", "SELECT series, case_id, round(total_s, 6) AS total_s, round(f / total_s, 6) AS speedup, round(100.0::DOUBLE * (total_s - f) / f, 6) AS change_pct "
       "FROM (SELECT *, first_value(total_s) OVER (PARTITION BY series ORDER BY case_id) AS f FROM m)")
 PAIRS = "pr AS MATERIALIZED (SELECT a.series || ' vs ' || b.series AS pair, a.case_id, a.dice AS a, b.dice AS b FROM m a JOIN m b ON a.case_id = b.case_id AND a.series < b.series)"
@@ -477,6 +482,13 @@ cases("q_failed_sets", "SELECT a.series || ' vs ' || b.series AS pair, a.k AS n_
       "fs AS MATERIALIZED (SELECT series, coalesce(list(case_id) FILTER (dice < 0.95), []) AS f, count(*) FILTER (dice < 0.95) AS k FROM m GROUP BY series)")
 SQL["q_pair_semi"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
 cases("q_training_best", "SELECT series, case_id, dice, coalesce(greatest(b, dice), dice) AS best, b IS NULL OR dice > b AS improved FROM (SELECT *, max(dice) OVER (PARTITION BY series ORDER BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m)")
+SQL["q_early_stop"] = f"""WITH RECURSIVE {METRICS}, e AS MATERIALIZED (SELECT series, case_id, dice, row_number() OVER (PARTITION BY series ORDER BY case_id) AS i FROM m),
+f AS (SELECT DISTINCT series, 0::BIGINT AS i, 0.0::DOUBLE AS best, 0::BIGINT AS pos FROM m UNION ALL
+ SELECT f.series, e.i, CASE WHEN e.dice > f.best + 0.0001::DOUBLE THEN e.dice ELSE f.best END, CASE WHEN e.dice > f.best + 0.0001::DOUBLE THEN e.i ELSE f.pos END
+ FROM f JOIN e ON e.series = f.series AND e.i = f.i + 1 WHERE f.i - f.pos < 12)
+SELECT g.series, c.n AS epochs, g.best, b.case_id AS best_at, CASE WHEN g.i - g.pos >= 12 THEN a.case_id END AS stop_at
+FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY i DESC) = 1) g JOIN (SELECT series, count(*) AS n FROM m GROUP BY series) c USING (series)
+LEFT JOIN e b ON b.series = g.series AND b.i = g.pos LEFT JOIN e a ON a.series = g.series AND a.i = g.i"""
 cases("q_safety_rules", """SELECT * EXCLUDE (v, v2), CASE WHEN swapped THEN 'anchored' WHEN rescued THEN 'rescue' WHEN reverted THEN 'pyramid' ELSE 'wavefront' END AS source,
  CASE WHEN swapped THEN anchored ELSE v2 END AS final_voxels FROM (SELECT *, anchored >= 80 AND (v2 > floor(1.1::DOUBLE * anchored) OR (rescued AND v2 > floor(1.05::DOUBLE * anchored))) AS swapped FROM (
  SELECT *, CASE WHEN rescued THEN rescue ELSE v END AS v2 FROM (SELECT *, v < 100 AND rescue <= 300 AND rescue > v AS rescued FROM (SELECT *, CASE WHEN reverted THEN pyramid ELSE wavefront END AS v FROM (
