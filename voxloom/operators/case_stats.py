@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.voxel import effect_size
+from voxloom.operators.measure import exact_median
 from voxloom.session import attach, bounded
 
 
@@ -56,10 +57,14 @@ def shared_cases(metrics: DataFrame, value: str = "dice") -> DataFrame:
 
 
 def case_summary(metrics: DataFrame, limit: float = 0.8) -> DataFrame:
+    """Cases, mean and exact median score, and how many are below the limit, per series (without a name: no median)."""
     d = F.col("dice")
-    return metrics.groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_dice"), F.median(d).alias("median_dice"),
+    sums = metrics.groupBy("series").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_dice"),
         F.sum((d < limit).cast("long")).alias("n_below"), F.sum((d >= limit).cast("long")).alias("n_ok"))
+    middle = exact_median(metrics.select("series", "dice"), "dice", ("series",))
+    return sums.join(middle, "series", "left").select(
+        "series", "n", "mean_dice", F.col("median").alias("median_dice"), "n_below", "n_ok")
 
 
 def timing_ci(metrics: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.voxel import above
 from voxloom.operators.resample import downsample2
 from voxloom.operators.stencils import gradient, positions, with_z_neighbours
-from voxloom.session import attach
+from voxloom.session import attach, cut
 from voxloom.sources.tables import DIMS
 
 BBOX = ["bx0", "bx1", "by0", "by1", "bz0", "bz1"]
@@ -116,19 +116,49 @@ def slice_profile(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), carry:
         *[F.first(c).alias(c) for c in carry])
 
 
-def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]) -> DataFrame:
-    """Exact order statistic: the value at 0-based ``rank`` (a function of ``n``).
+def rank_values(values: DataFrame, value: str, ranks: list[Column], keys: tuple[str, ...], buckets: int = 4096,
+                finish: int = 65_536) -> DataFrame:
+    """Exact order statistics (keys, n, k, value): the value at each 0-based rank, ranks being functions of ``n``.
 
-    Values are counted first, so equal values travel as one row and only distinct
-    values of a key are put in order.
+    Equal values are counted first.  Then the range that holds a rank narrows, for all keys and ranks in one job a
+    round: its values are counted in ``buckets`` equal parts, the part with the rank becomes the next range, until
+    no range has more than ``finish`` distinct values.  So no task orders more than ``finish`` or ``buckets`` + 1
+    rows of a key.  Nulls and NaN are no values; ranks outside 0..n-1 and null keys have no row.
     """
-    counted = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-    placed = counted.select(*keys, value, "_c", upto.alias("_upto"), n.alias("n"))
-    return placed.where((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))) \
-        .select(*keys, "n", value)
+    present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counted = cut(values.where(present).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    state = ["k", "n", "_r", "_lo", "_hi", "_d"]
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r.cast("long").alias("_r")) for k, r in enumerate(ranks)]))
+    ranges = cut(counted.groupBy(*keys).agg(
+        F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"))
+        .select("*", asked.alias("_a")).select(*keys, "_a.k", "n", "_a._r", "_lo", "_hi", "_d").where("_r >= 0 and _r < n"))
+    low, high, at = (F.col(c).cast("double") * 0.5 for c in ("_lo", "_hi", "_v"))
+    # Both ends are parts of their own, so a range always narrows, infinite ends included.
+    part = F.coalesce(F.floor(F.try_divide(at - low, high - low) * buckets), F.lit(1).cast("long"))
+    part = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), buckets) \
+        .otherwise(F.least(F.greatest(part, F.lit(1)), F.lit(buckets - 1)))
+    while not (wide := ranges.where(F.col("_d") > finish)).isEmpty():
+        inside = attach(counted, cut(wide), list(keys)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        parts = inside.groupBy(*keys, "k", "n", "_r", part.alias("_p")).agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "k").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+        held = parts.withColumn("_below", upto - F.col("_c")).where("_r >= _below and _r < _below + _c") \
+            .withColumn("_r", F.col("_r") - F.col("_below"))
+        ranges = cut(ranges.where(F.col("_d") <= finish).unionByName(held.select(*keys, *state)))
+    inside = attach(counted, ranges, list(keys)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_upto", upto).where("_r >= _upto - _c and _r < _upto").select(*keys, "n", "k", F.col("_v").alias(value))
+
+
+def rank_pick(values: DataFrame, value: str, rank: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Exact order statistic: the value at 0-based ``rank`` (a function of ``n``)."""
+    return rank_values(values, value, [rank], keys).drop("k")
+
+
+def exact_median(values: DataFrame, value: str, keys: tuple[str, ...], **kw) -> DataFrame:
+    """(keys, median): the mean of the two middle values, or the middle one."""
+    middle = rank_values(values, value, [F.expr("(n - 1) div 2"), F.expr("n div 2")], keys, **kw)
+    return middle.groupBy(*keys).agg(F.avg(value).alias("median"))
 
 
 def prune_slices(runs: DataFrame, keys: tuple[str, ...] = ("case_id",), factor: int = 8,
