@@ -6,7 +6,8 @@ sequence.  Two forms compute the same result:
 * keys whose *eligible* voxels (a sparse set: only what could ever be accepted) are
   counted and found to fit one task are grown as independent Arrow groups;
 * keys above that count run layer by layer as joins over the cluster, all such keys
-  in one loop, each layer checkpointed.
+  in one loop, each layer checkpointed.  Their books (cap, recent layer sizes) are a
+  frame with a row a key, brought up to date by an aggregate of each layer.
 """
 
 from __future__ import annotations
@@ -123,14 +124,37 @@ def _grow_in_task(p: WavefrontParams):
     return grow
 
 
+def _opened(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...]) -> DataFrame:
+    """The book of every key before its first layer; its rows are counted once, as their number never changes."""
+    book = cut(cells.groupBy(*keys).agg(F.sum(F.col("hard").cast("long")).alias("_n")).select(
+        *keys, ((F.lit(p.leak_ratio) * F.col("_n")).cast("long") + p.cap_base).alias("_cap"),
+        F.lit(0).cast("long").alias("_added"), F.lit(False).alias("_closed"), F.lit(False).alias("_burst"),
+        F.array().cast("array<double>").alias("_recent")))
+    book._rows = book.count()
+    return book
+
+
+def _entered(book: DataFrame, layer: DataFrame, p: WavefrontParams, keys: tuple[str, ...]) -> DataFrame:
+    """The books after a layer: one aggregate of the layer, joined by key.  ``_burst`` tells whose layer exploded."""
+    sizes = layer.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("hard").cast("long")).alias("_h"))
+    kept, met = F.size("_recent"), F.col("_n").isNotNull()
+    mean = F.when(kept > 0, F.aggregate("_recent", F.lit(0.0), lambda a, v: a + v) / kept).otherwise(F.lit(0.0))
+    burst = F.coalesce((F.col("_n") > p.leak_base) & ((mean <= 0) | (F.col("_n") > p.leak_factor * mean)), F.lit(False))
+    stored = F.array(F.when(F.col("_burst"), F.col("_h")).otherwise(F.col("_n")).cast("double"))
+    added = F.col("_added") + F.when(met & ~F.col("_burst"), F.col("_n") - F.col("_h")).otherwise(F.lit(0))
+    out = cut(book.join(sizes, list(keys), "left").withColumn("_burst", burst).withColumn("_added", added).select(
+        *keys, "_cap", "_added",
+        (F.col("_closed") | (met & ~F.col("_burst") & (F.col("_added") > F.col("_cap")))).alias("_closed"), "_burst",
+        F.when(~met, F.col("_recent")).when(kept < SLOTS, F.concat("_recent", stored))
+        .otherwise(F.concat(stored, F.slice("_recent", 2, SLOTS - 1))).alias("_recent")))
+    out._rows = book._rows
+    return out
+
+
 def _grow_by_layers(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...]) -> DataFrame:
-    spark = cells.sparkSession
+    """All keys in one loop; only the number of voxels of a layer reaches the driver."""
     cells = cut(cells)
-    totals = {tuple(r[k] for k in keys): r["n"] for r in
-              cells.groupBy(*keys).agg(F.sum(F.col("hard").cast("long")).alias("n")).collect()}
-    book = {k: {"cap": int(p.leak_ratio * n) + p.cap_base, "added": 0, "closed": False, "recent": Baseline()}
-            for k, n in totals.items()}
-    key_schema = T.StructType([cells.schema[k] for k in keys])
+    book = _opened(cells, p, keys)
     soft = F.col("tubular") & (F.col("hu") <= p.hu_abs_max)
     ident = [*keys, "idx"]
     front = cut(cells.where(F.col("seed") & (F.col("hard") | (soft & (F.col("hu") <= p.ceiling(0)))))
@@ -151,37 +175,17 @@ def _grow_by_layers(cells: DataFrame, p: WavefrontParams, keys: tuple[str, ...])
             # A counted, small front goes to the voxels: both big frames are only scanned.
             reach = F.broadcast(reach)
         near = cells.join(reach, ident, "left_semi").join(seen.join(reach, ident, "left_semi"), ident, "left_anti")
-        relaxed = soft & (F.col("hu") <= p.ceiling(depth))
-        closed = [k for k, b in book.items() if b["closed"]]
-        if closed:
-            shut = spark.createDataFrame(closed, key_schema).withColumn("_shut", F.lit(True))
-            near = near.join(F.broadcast(shut), list(keys), "left")
-            relaxed = relaxed & F.col("_shut").isNull()
-        layer = cut(near.where(F.col("hard") | relaxed).select(*ident, *DIMS, "hard"))
-        sizes = {tuple(r[k] for k in keys): (r["n"], r["h"]) for r in layer.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("hard").cast("long")).alias("h")).collect()}
-        if not sizes:
-            break
-        width = sum(n for n, _ in sizes.values())
-        burst = []
-        for k, (n, h) in sizes.items():
-            b = book[k]
-            if b["recent"].explodes(n, p):
-                burst.append(k)
-                n = h
-            else:
-                b["added"] += n - h
-                b["closed"] = b["closed"] or b["added"] > b["cap"]
-            b["recent"].store(n)
+        relaxed = soft & (F.col("hu") <= p.ceiling(depth)) & ~F.col("_closed")
+        layer = cut(attach(near, book, list(keys)).where(F.col("hard") | relaxed).select(*ident, *DIMS, "hard"))
+        width = layer.count()
+        if not width:
+            return kept
+        book = _entered(book, layer, p, keys)
         seen = seen.unionByName(layer.select(*ident))
-        if burst:
-            layer = layer.join(F.broadcast(spark.createDataFrame(burst, key_schema).withColumn("_b", F.lit(True))),
-                               list(keys), "left").where(F.col("hard") | F.col("_b").isNull()).drop("_b")
-        front = layer.select(*ident, *DIMS)
+        front = attach(layer, book, list(keys)).where(F.col("hard") | ~F.col("_burst")).select(*ident, *DIMS)
         kept = kept.unionByName(front.withColumn("level", F.lit(depth)))
         if depth % 16 == 0:
             seen, kept = cut(seen), cut(kept)
-    return kept
 
 
 def wavefront_grow(vox: DataFrame, seeds: DataFrame, p: WavefrontParams = WavefrontParams(),

@@ -43,6 +43,9 @@ SAFETY = SafetyParams(pyramid_floor=400, abs_cap=900, rescue_min=700, rescue_cap
 FEEDBACK = G.PyramidParams(coarse_low=-800.0, coarse_high=-490.0, adaptive=False, cap_share=0.01, step=4.0)
 AIR = dict(body_thr=-520.0, k=0.5, core_frac=0.9, air_ceiling=-480.0, grad_max=20.0, limits=(-560.0, -470.0),
            fallback=-500.0, few=10)
+FRONT_HARD = -560
+FRONT = W.WavefrontParams(thr_trunk=-540.0, thr_periph=-505.0, max_level=6, vmin=0.2, leak_factor=1.5, leak_base=40,
+                          leak_ratio=0.5, cap_base=60, hu_abs_max=-500.0)
 PATCH, STRIDE = 5, 3
 UNIT = (-1024.0, 0.0)  # a power-of-two range, so model inputs are exact in single precision
 
@@ -464,15 +467,23 @@ def q_pyramid(spark, d):
     return xyz(G.pyramid_mask(slices, run_mask(slices, -500), tissue_box(to_voxels(slices)), p))
 
 
-@query
-def q_wavefront(spark, d):
+def _front(spark, d, task_voxels: int) -> DataFrame:
     base = to_voxels(stored(spark, d))
-    vox = base.select(*XYZ, *DIMS, "hu", (F.col("hu") <= -560).alias("hard"), F.lit(True).alias("roi"),
+    vox = base.select(*XYZ, *DIMS, "hu", (F.col("hu") <= FRONT_HARD).alias("hard"), F.lit(True).alias("roi"),
                       ((-F.col("hu") - 480) / 100.0).alias("vness"))
     seeds = base.where("z % 8 = 0 and x in (3, 4) and y in (3, 4)").select(*XYZ)
-    p = W.WavefrontParams(thr_trunk=-540.0, thr_periph=-505.0, max_level=6, vmin=0.2, leak_factor=1.5, leak_base=40,
-                          leak_ratio=0.5, cap_base=60, hu_abs_max=-500.0)
-    return W.wavefront_grow(vox, seeds, p).select(*XYZ, "level")
+    return W.wavefront_grow(vox, seeds, FRONT, task_voxels=task_voxels).select(*XYZ, "level")
+
+
+@query
+def q_wavefront(spark, d):
+    return _front(spark, d, W.TASK_VOXELS)
+
+
+@query
+def q_wavefront_layers(spark, d):
+    """The form for keys that fit no task: every layer is a join over the cluster."""
+    return _front(spark, d, 0)
 
 
 @query

@@ -429,6 +429,29 @@ vox("q_score_tiles", "SELECT case_id, x, y, z, CAST(CAST(avg(CAST(CAST(exp(l - g
 vox("q_score_slices", "SELECT case_id, x, y, z, CAST(CAST(exp(l - greatest(l, 0)) / (exp(0 - greatest(l, 0)) + exp(l - greatest(l, 0))) AS FLOAT) AS DOUBLE) AS prob FROM ("
     f"SELECT c.case_id, c.x, c.y, c.z, ({nb(0, 0, -1)} + 2 * c.v - {nb(0, 0, 1)} + 2048) / 1024.0::DOUBLE AS l " + near("v0", [(0, 0, -1), (0, 0, 1)]) + ")", V0)
 
+# --- layered growth --------------------------------------------------------------------------
+F = Q.FRONT
+CEILING = (f"CAST(CAST({F.thr_trunk} AS FLOAT) + least(CAST({{level}} AS FLOAT) * (CAST(1 AS FLOAT) / CAST({F.max_level} AS FLOAT)), CAST(1 AS FLOAT)) "
+           f"* CAST({F.thr_periph - F.thr_trunk} AS FLOAT) AS DOUBLE)")
+#: A row is a voxel at a layer, with the book of its case: each layer gives all voxels of the cases that still grow anew.
+FRONT = (
+    f"fc AS MATERIALIZED (SELECT *, CAST(floor({F.leak_ratio} * count(*) FILTER (hard) OVER (PARTITION BY case_id)) AS BIGINT) + {F.cap_base} AS cap FROM ("
+    f"SELECT case_id, x, y, z, hu, hu <= {Q.FRONT_HARD} AS hard, (-hu - 480) / 100.0::DOUBLE >= {F.vmin} AND hu <= {F.hu_abs_max} AS soft FROM vox "
+    f"WHERE hu <= {Q.FRONT_HARD} OR (hu <= least(greatest({F.thr_trunk}, {F.thr_periph}), {F.hu_abs_max}) AND (-hu - 480) / 100.0::DOUBLE >= {F.vmin})))",
+    "st AS (SELECT fc.*, CASE WHEN z % 8 = 0 AND x IN (3, 4) AND y IN (3, 4) AND (hard OR (soft AND hu <= " + CEILING.format(level=0) + ")) THEN 0 END AS level, "
+    "false AS shut, 0 AS depth, CAST(0 AS BIGINT) AS added, false AS closed, CAST([] AS DOUBLE[]) AS recent FROM fc "
+    "UNION ALL SELECT case_id, x, y, z, hu, hard, soft, cap, CASE WHEN fresh AND (hard OR NOT burst) THEN depth + 1 ELSE level END, shut OR (fresh AND burst AND NOT hard), depth + 1, "
+    "added + CASE WHEN burst THEN 0 ELSE n - h END, closed OR (NOT burst AND added + n - h > cap), "
+    f"CASE WHEN len(recent) < 5 THEN list_append(recent, CAST(CASE WHEN burst THEN h ELSE n END AS DOUBLE)) "
+    "ELSE list_prepend(CAST(CASE WHEN burst THEN h ELSE n END AS DOUBLE), recent[2:5]) END FROM ("
+    f"SELECT *, n > {F.leak_base} AND (coalesce(list_avg(recent), 0) <= 0 OR n > {F.leak_factor} * list_avg(recent)) AS burst FROM ("
+    "SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY case_id) AS n, count(*) FILTER (fresh AND hard) OVER (PARTITION BY case_id) AS h FROM ("
+    "SELECT s.*, r.case_id IS NOT NULL AND s.level IS NULL AND NOT s.shut AND (s.hard OR (s.soft AND NOT s.closed AND s.hu <= " + CEILING.format(level="s.depth + 1") + ")) AS fresh "
+    f"FROM st s LEFT JOIN (SELECT DISTINCT f.case_id, f.x + o.dx AS x, f.y + o.dy AS y, f.z + o.dz AS z FROM st f, {STEP3} WHERE f.level = f.depth) r "
+    "ON s.case_id = r.case_id AND s.x = r.x AND s.y = r.y AND s.z = r.z))) WHERE n > 0)")
+for _name in ("q_wavefront", "q_wavefront_layers"):
+    vox(_name, "SELECT case_id, x, y, z, level FROM st WHERE level = depth", *FRONT, recursive=True)
+
 # --- case analytics --------------------------------------------------------------------------
 METRICS = """m AS MATERIALIZED (SELECT case_id, series, n, round(1 - d / (100.0::DOUBLE * n), 4) AS dice, q / n::DOUBLE AS total_s FROM (
   SELECT CAST(o_custkey % 120 AS INT) AS case_id, l_returnflag AS series, count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d,
