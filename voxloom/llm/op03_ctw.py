@@ -20,7 +20,8 @@ whose size is bounded by 256 * 255 decisions:
    the block are scored one after another.
 
 So memory follows a block and a pair of context bytes, never the corpus, while the model
-grows with it.  Words travel as 64-bit hashes for the base score.
+grows with it.  Words travel as 64-bit hashes for the base score, their counts in full;
+prices are rounded to single precision.
 
 Cases: null texts are empty: the end alone; the ids of held-out documents have a CRC-32
 divisible by 10, a null id is text ``null``; without training documents counts are 0 and
@@ -257,7 +258,7 @@ def _priced(depth: int, top: Top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _groups(batches, 8 * (depth - 1)):
             yield pa.RecordBatch.from_pydict({"key": keys, "kind": np.zeros(len(keys), np.int32),
-                                              "value": top.mix(keys, deep(keys, counts, depth, 2)[1], depth).astype(np.float32)})
+                                              "value": top.mix(keys, deep(keys, counts, depth, 2)[1], depth).astype(np.float32).astype(float)})
     return run
 
 
@@ -323,12 +324,12 @@ def score(docs: DataFrame, depth: int = DEPTH, block_docs: int = BLOCK_DOCS) ->
              .repartition("_at").sortWithinPartitions("key").select("key", "n"))
     tops = model.mapInArrow(_summits(depth), "last long, node long, zeros double, ones double, log_w double").groupBy(
         "last", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("log_w")).toPandas()
-    prices = model.mapInArrow(_priced(depth, Top(tops)), "key long, kind int, value float")
-    counts = sums.where("kind = 1").select("key", "kind", F.col("n").cast("float").alias("value"))
+    prices = model.mapInArrow(_priced(depth, Top(tops)), "key long, kind int, value double")
+    counts = sums.where("kind = 1").select("key", "kind", F.col("n").cast("double").alias("value"))
     known = tally.select("block", "kind", "key").join(prices.unionByName(counts), ["kind", "key"])
     nothing = {"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "held_out": F.lit(None).cast("boolean")}
     both = known.select("block", "kind", "key", "value", *[v.alias(k) for k, v in nothing.items()]).unionByName(rows.select(
-        "block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("float").alias("value"),
+        "block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("double").alias("value"),
         F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out"))
     return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
         _scorer(depth, words[0], words[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, "
