@@ -46,6 +46,9 @@ AIR = dict(body_thr=-520.0, k=0.5, core_frac=0.9, air_ceiling=-480.0, grad_max=2
 FRONT_HARD = -560
 FRONT = W.WavefrontParams(thr_trunk=-540.0, thr_periph=-505.0, max_level=6, vmin=0.2, leak_factor=1.5, leak_base=40,
                           leak_ratio=0.5, cap_base=60, hu_abs_max=-500.0)
+PYRAMID = G.PyramidParams(coarse_low=-800.0, coarse_high=-490.0, adaptive=True, cap_share=0.05, step=4.0, dilate=3,
+                          body_thr=AIR["body_thr"], core_frac=AIR["core_frac"], air_k=AIR["k"],
+                          air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")))
 PATCH, STRIDE = 5, 3
 UNIT = (-1024.0, 0.0)  # a power-of-two range, so model inputs are exact in single precision
 
@@ -460,11 +463,8 @@ def q_feedback(spark, d):
 
 @query
 def q_pyramid(spark, d):
-    p = G.PyramidParams(coarse_low=-800.0, coarse_high=-490.0, adaptive=True, cap_share=0.05, step=4.0, dilate=3,
-                        body_thr=AIR["body_thr"], core_frac=AIR["core_frac"], air_k=AIR["k"],
-                        air=tuple((k, v) for k, v in AIR.items() if k not in ("body_thr", "core_frac", "k")))
     slices = stored(spark, d)
-    return xyz(G.pyramid_mask(slices, run_mask(slices, -500), tissue_box(to_voxels(slices)), p))
+    return xyz(G.pyramid_mask(slices, run_mask(slices, -500), tissue_box(to_voxels(slices)), PYRAMID))
 
 
 def _front(spark, d, task_voxels: int) -> DataFrame:

@@ -152,10 +152,10 @@ vox("q_hybrid_abort", "SELECT case_id, n_hi AS n_core, n_lo AS n_gate, round(rat
 vox("q_prob_stats", f"SELECT case_id, round(avg(CAST(prob AS DOUBLE)), 9) AS mean_prob, CAST(max(prob) AS DOUBLE) AS max_prob, "
     f"CAST(sum(CAST({above(0.5)} AS INT)) AS BIGINT) AS n_above FROM vox GROUP BY case_id")
 PROFILE = ("pr AS MATERIALIZED (SELECT case_id, z, count(*) AS area, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM m GROUP BY case_id, z)")
+TYPICAL = "md AS (SELECT case_id, area AS med FROM (SELECT case_id, area, row_number() OVER (PARTITION BY case_id ORDER BY area) AS r, count(*) OVER (PARTITION BY case_id) AS n FROM pr) WHERE r = n // 2 + 1)"
 vox("q_slice_profile", "SELECT * FROM pr", member("m", "hu <= -550"), PROFILE)
 vox("q_prune_slices", "SELECT m.case_id, m.x, m.y, m.z FROM m JOIN pr USING (case_id, z) JOIN md USING (case_id) "
-    "WHERE NOT (area > 1 * med + 3 AND (width > 4 OR height > 4 OR area / (width * height)::DOUBLE < 0.5))", member("m", "hu <= -550"), PROFILE,
-    "md AS (SELECT case_id, area AS med FROM (SELECT case_id, area, row_number() OVER (PARTITION BY case_id ORDER BY area) AS r, count(*) OVER (PARTITION BY case_id) AS n FROM pr) WHERE r = n // 2 + 1)")
+    "WHERE NOT (area > 1 * med + 3 AND (width > 4 OR height > 4 OR area / (width * height)::DOUBLE < 0.5))", member("m", "hu <= -550"), PROFILE, TYPICAL)
 
 
 # --- stencils --------------------------------------------------------------------------------
@@ -311,9 +311,7 @@ trilinear()
 
 # --- adaptive threshold ----------------------------------------------------------------------
 A = Q.AIR
-vox("q_adaptive_thr", f"""SELECT k.case_id, coalesce(n, 0) AS n_air, CASE WHEN coalesce(n, 0) < {A['few']} THEN {A['fallback']}::DOUBLE
- ELSE least(greatest(val + 30.0::DOUBLE * {A['k']}::DOUBLE, {A['limits'][0]}::DOUBLE), {A['limits'][1]}::DOUBLE) END AS thr
- FROM (SELECT DISTINCT case_id FROM vox) k LEFT JOIN (SELECT case_id, n, v AS val FROM rk WHERE r = floor(0.05::DOUBLE * n)) USING (case_id)""",
+AIR = [
     POOL,
     "cb AS (SELECT case_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM dn WHERE v > " + str(A["body_thr"]) + " GROUP BY case_id)",
     "cw AS (SELECT d.case_id, coalesce(x0, 0) AS x0, coalesce(x1, 3) AS x1, coalesce(y0, 0) AS y0, coalesce(y1, 3) AS y1, coalesce(z0, 0) AS z0, coalesce(z1, d.nz - 1) AS z1, d.nz "
@@ -322,7 +320,11 @@ vox("q_adaptive_thr", f"""SELECT k.case_id, coalesce(n, 0) AS n_air, CASE WHEN c
     f"greatest(1, z0) AS cz0, least(nz - 2, z1) AS cz1 FROM (SELECT *, CAST(floor({0.5 * A['core_frac']}::DOUBLE * (x1 - x0 + 1)) AS INT) + 1 AS hx, CAST(floor({0.5 * A['core_frac']}::DOUBLE * (y1 - y0 + 1)) AS INT) + 1 AS hy FROM cw))",
     grad_of("dn", "gd", 3),
     f"rk AS (SELECT g.case_id, v, row_number() OVER (PARTITION BY case_id ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY case_id) AS n FROM gd g JOIN cc USING (case_id) "
-    f"WHERE x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1 AND z BETWEEN cz0 AND cz1 AND v < {A['air_ceiling']} AND grad <= {A['grad_max']})")
+    f"WHERE x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1 AND z BETWEEN cz0 AND cz1 AND v < {A['air_ceiling']} AND grad <= {A['grad_max']})"]
+THR = (f"SELECT k.case_id, coalesce(n, 0) AS n_air, CASE WHEN coalesce(n, 0) < {A['few']} THEN {A['fallback']}::DOUBLE "
+       f"ELSE least(greatest(val + 30.0::DOUBLE * {A['k']}::DOUBLE, {A['limits'][0]}::DOUBLE), {A['limits'][1]}::DOUBLE) END AS thr "
+       "FROM (SELECT DISTINCT case_id FROM vox) k LEFT JOIN (SELECT case_id, n, v AS val FROM rk WHERE r = floor(0.05::DOUBLE * n)) USING (case_id)")
+vox("q_adaptive_thr", THR, *AIR)
 
 # --- look-up tables --------------------------------------------------------------------------
 L = Q.LUT
@@ -406,15 +408,38 @@ vox("q_rescue", "SELECT case_id, z, y, x, thr, voxels FROM (SELECT lab.*, size A
     label("lab", "m", "thr"), STATS.format(more=", thr"), tube("win"),
     "pick AS MATERIALIZED (SELECT case_id, thr, label, size, sum_x / size::DOUBLE AS cx, sum_y / size::DOUBLE AS cy FROM tb QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY thr, score DESC, label) = 1)",
     recursive=True)
-P = Q.FEEDBACK
-vox("q_feedback", f"""SELECT case_id, CAST(cap AS BIGINT) AS cap, attempt, voxels FROM (SELECT c.case_id, cap, t AS attempt, n AS voxels, row_number() OVER (PARTITION BY c.case_id ORDER BY
+
+
+def trunk(p, thr: str) -> list[str]:
+    """Growth at half resolution under every attempt; ``ch`` picks the loosest one under the cap, else the smallest."""
+    return [
+        f"cd AS MATERIALIZED (SELECT case_id, x, y, z, CAST(t AS INT) AS t FROM dn JOIN ({thr}) USING (case_id), range({p.tries}) k(t) WHERE v >= {p.coarse_low} AND v <= thr - {p.step} * t)",
+        "ed AS MATERIALIZED (SELECT * FROM cd WHERE x IN (0, 3) OR y IN (0, 3))", flood("fx", "ed", "cd", STEP2, "t"),
+        "it AS MATERIALIZED (SELECT cd.* FROM cd ANTI JOIN fx USING (case_id, x, y, z, t))",
+        "ax AS MATERIALIZED (SELECT * FROM it WHERE x = 2 AND y = 2)", flood("tr", "ax", "it", STEP3, "t"),
+        f"sz AS (SELECT c.case_id, CAST(k.t AS INT) AS t, (SELECT count(*) FROM tr WHERE tr.case_id = c.case_id AND tr.t = k.t) AS n FROM (SELECT DISTINCT case_id FROM dn) c, range({p.tries}) k(t))",
+        f"""ch AS MATERIALIZED (SELECT case_id, CAST(cap AS BIGINT) AS cap, attempt, voxels FROM (SELECT c.case_id, cap, t AS attempt, n AS voxels, row_number() OVER (PARTITION BY c.case_id ORDER BY
  CASE WHEN n <= cap THEN 0 WHEN n > 0 THEN 1 ELSE 2 END, CASE WHEN n <= cap THEN t ELSE n END, t) AS r
- FROM (SELECT DISTINCT case_id, floor({P.cap_share}::DOUBLE * 16 * nz) AS cap FROM dn) c JOIN sz USING (case_id)) WHERE r = 1""", POOL,
-    f"cd AS MATERIALIZED (SELECT case_id, x, y, z, CAST(t AS INT) AS t FROM dn, range({P.tries}) k(t) WHERE v >= {P.coarse_low} AND v <= {P.coarse_high} - {P.step} * t)",
-    "ed AS MATERIALIZED (SELECT * FROM cd WHERE x IN (0, 3) OR y IN (0, 3))", flood("fx", "ed", "cd", STEP2, "t"),
-    "it AS MATERIALIZED (SELECT cd.* FROM cd ANTI JOIN fx USING (case_id, x, y, z, t))",
-    "sd AS MATERIALIZED (SELECT * FROM it WHERE x = 2 AND y = 2)", flood("tr", "sd", "it", STEP3, "t"),
-    f"sz AS (SELECT c.case_id, CAST(k.t AS INT) AS t, (SELECT count(*) FROM tr WHERE tr.case_id = c.case_id AND tr.t = k.t) AS n FROM (SELECT DISTINCT case_id FROM dn) c, range({P.tries}) k(t))", recursive=True)
+ FROM (SELECT DISTINCT case_id, floor({p.cap_share}::DOUBLE * 16 * nz) AS cap FROM dn) c JOIN sz USING (case_id)) WHERE r = 1)"""]
+
+
+vox("q_feedback", "SELECT * FROM ch", POOL, *trunk(Q.FEEDBACK, f"SELECT DISTINCT case_id, {Q.FEEDBACK.coarse_high}::DOUBLE AS thr FROM dn"), recursive=True)
+
+
+def envelope(p) -> list[str]:
+    """The trunk without slices that explode, then every voxel whose coarse cell has one of it near."""
+    reach = (p.dilate + 1) // 2
+    return [
+        "pt AS MATERIALIZED (SELECT tr.case_id, tr.x, tr.y, tr.z FROM tr JOIN ch ON tr.case_id = ch.case_id AND tr.t = ch.attempt)", PROFILE.replace("FROM m ", "FROM pt "), TYPICAL,
+        "pu AS MATERIALIZED (SELECT pt.* FROM pt JOIN pr USING (case_id, z) JOIN md USING (case_id) "
+        "WHERE NOT (area > 8 * med + 50 AND (width > 2 OR height > 2 OR area / (width * height)::DOUBLE < 0.5)))",
+        f"ev AS MATERIALIZED (SELECT v.* FROM vox v WHERE EXISTS (SELECT 1 FROM pu WHERE pu.case_id = v.case_id AND abs(pu.x - v.x // 2) <= {reach} "
+        f"AND abs(pu.y - v.y // 2) <= {reach} AND abs(pu.z - least(v.z // 2, v.nz // 2 - 1)) <= {reach}))"]
+
+
+vox("q_pyramid", "SELECT * FROM f", BBOX, WINDOW, *AIR, *trunk(Q.PYRAMID, THR), *envelope(Q.PYRAMID),
+    "m AS MATERIALIZED (SELECT case_id, x, y, z FROM ev WHERE hu <= -500)", robust("sd", "m"),
+    "e AS MATERIALIZED (SELECT m.* FROM m SEMI JOIN sd USING (case_id, x, y, z))", flood("f", "e", "m"), recursive=True)
 
 # --- tiles -----------------------------------------------------------------------------------
 STARTS = ("ts AS MATERIALIZED (SELECT DISTINCT n, s FROM (SELECT n, unnest(CASE WHEN n <= {p} THEN [0] ELSE list_concat(range(0, n - {p} + 1, {q}), [n - {p}]) END) AS s FROM "
