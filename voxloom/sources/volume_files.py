@@ -128,7 +128,7 @@ def read_part(path: str, z0: int, z1: int, label: bool) -> Iterator[tuple[dict,
     with _open(path) as file:
         packed = file.read(2) == GZIP_MAGIC
         file.seek(0)
-        reader = _Reader(_stream(file))
+        reader = _Reader(_stream(file) if packed else _stream(file, HEADER_BYTES))
         head = parse_header(reader.take(HEADER_BYTES))
         dtype = voxel_type(head, label)
         plane = head["nx"] * head["ny"] * dtype.itemsize
@@ -139,13 +139,16 @@ def read_part(path: str, z0: int, z1: int, label: bool) -> Iterator[tuple[dict,
                 reader.take(plane)
         else:
             file.seek(HEADER_BYTES + skip + z0 * plane)
-            reader = _Reader(_stream_plain(file))
+            reader = _Reader(_stream_plain(file, plane * max(0, min(z1, head["nz"]) - z0)))
         for z in range(z0, min(z1, head["nz"])):
             yield head, z, decode_plane(reader.take(plane), dtype, head, label)
 
 
-def _stream_plain(file, chunk: int = 1 << 20) -> Iterator[bytes]:
-    return iter(lambda: file.read(chunk), b"")
+def _stream_plain(file, size: int, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """No more than ``size`` bytes from here on."""
+    while size > 0 and (piece := file.read(min(size, chunk))):
+        size -= len(piece)
+        yield piece
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
