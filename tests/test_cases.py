@@ -119,9 +119,19 @@ def test_counts_add_up_in_store_and_stream(spark, tmp_path):
     for part in (a, b):
         part.write.mode("append").parquet(landing)
     stream = lut_stream.voxel_stream(spark, landing, a.schema, 1)
-    q = lut_stream.keep_counts(stream, F.col("hit"), "counts", str(tmp_path / "ckpt"), spec)
-    q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("counts").collect()} == whole
+    counts = str(tmp_path / "counts")
+    lut_stream.keep_counts(stream, F.col("hit"), counts, str(tmp_path / "ckpt"), spec=spec).awaitTermination(120)
+    assert {tuple(r) for r in L.read_store(spark, counts).collect()} == whole
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    spec, store = L.LutSpec(16, 8), str(tmp_path / "store")
+    a, b = voxels(spark, 300), voxels(spark, 200, 5)
+    for number, part in ((0, a), (1, b), (1, b), (0, a)):
+        lut_stream.count_batch(part, number, F.col("hit"), store, "s", spec)
+    lut_stream.count_batch(a, 0, F.col("hit"), store, "other", spec)
+    want = {tuple(r) for r in L.lut_counts(a.unionByName(b).unionByName(a), F.col("hit"), spec).collect()}
+    assert {tuple(r) for r in L.read_store(spark, store).collect()} == want
 
 
 def test_stream_ingest(spark, tmp_path):

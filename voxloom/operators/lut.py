@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,13 +81,13 @@ def packed(lut: DataFrame, spec: LutSpec) -> DataFrame:
         F.transform("_t", lambda e: e["prob"]).alias("_table"))
 
 
-def update_store(spark, path: str, fresh: DataFrame) -> None:
-    """Accumulate counts over runs in an append-only Parquet table.
+def update_store(spark, path: str, fresh: DataFrame, run: str | None = None) -> None:
+    """Accumulate counts over runs, each in a folder of its own.
 
-    Each run only appends its own counts, so a failed job leaves earlier counts
-    intact; readers sum the parts.
+    A failed job leaves earlier counts intact; a run that is repeated under its name
+    replaces itself, so it counts once.  Readers sum the runs.
     """
-    fresh.write.mode("append").parquet(path)
+    fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run or uuid.uuid4().hex}")
 
 
 def read_store(spark, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Streaming extensions: table counts kept up to date, and ingest of a landing folder.
 
-Counts are additive, so the streaming state is the table itself: at most
-``ibins * gbins`` keys, whatever the number of slices seen.
+Counts are additive, so every micro-batch leaves its own counts, at most ``ibins * gbins``
+rows, as a run of the table store.  The run is named after the batch: a batch that is
+replayed after a failure replaces its run and counts once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxloom.operators.lut import LutSpec, lut_counts
+from voxloom.operators.lut import LutSpec, lut_counts, update_store
 
 
 def voxel_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
@@ -24,10 +25,16 @@ def streaming_counts(stream: DataFrame, label: Column, spec: LutSpec = LutSpec()
     return lut_counts(stream, label, spec)
 
 
-def keep_counts(stream: DataFrame, label: Column, name: str, checkpoint: str,
+def count_batch(batch: DataFrame, number: int, label: Column, store: str, name: str, spec: LutSpec = LutSpec()) -> None:
+    """Add one micro-batch to the store."""
+    update_store(batch.sparkSession, store, lut_counts(batch, label, spec), f"{name}-{number}")
+
+
+def keep_counts(stream: DataFrame, label: Column, store: str, checkpoint: str, name: str = "stream",
                 spec: LutSpec = LutSpec()) -> StreamingQuery:
-    return (streaming_counts(stream, label, spec).writeStream.outputMode("complete").format("memory")
-            .queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    """Count all that has arrived into ``store`` (``lut.read_store`` sums it); ``name`` tells streams of one store apart."""
+    return (stream.writeStream.foreachBatch(lambda batch, number: count_batch(batch, number, label, store, name, spec))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def ingest(spark: SparkSession, landing: str, table: str, schema: T.StructType, checkpoint: str) -> StreamingQuery:
