@@ -86,6 +86,23 @@ def test_constant_model_gives_a_constant_map(spark):
         assert len(rows) == v.size + v[:3].size and all(abs(r.p - 0.75) < 1e-6 for r in rows)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_tiles_share_model_calls(spark, batch):
+    rng = np.random.default_rng(1)
+    s = brute.slices_frame(spark, {k: rng.integers(-900, 500, (5 + k, 6, 7)).astype(float) for k in range(3)})
+
+    def ramp(tensor):
+        assert 1 <= len(tensor) <= batch
+        # A model that fits no tile alone would show here: the answer depends on the tile's own mean.
+        own = tensor[:, 0] + tensor[:, 0].mean(axis=(1, 2, 3), keepdims=True)
+        return np.stack([np.zeros_like(own), own * 4 - 2], axis=1)
+
+    def scored(n):
+        return {(r.case_id, r.z): r.data for r in T.score_tiles(s, ramp, 4, 3, batch=n).collect()}
+    got, want = scored(batch), scored(1)
+    assert got.keys() == want.keys() and len(got) == 18 and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_numbering_is_chunk_independent(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("k"))
     a = number_within(df, "g", "k", "pos", "n", chunk=10).collect()

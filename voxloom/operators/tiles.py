@@ -71,10 +71,39 @@ def class1(logits: np.ndarray) -> np.ndarray:
     return e[:, 1] / e.sum(axis=1)
 
 
+class _Tile:
+    """A tile being put together slice by slice: the model's input, and the rows that the answer goes back to."""
+
+    def __init__(self, row: pa.RecordBatch, patch: int):
+        ny, nx, ty, tx = (row.column(c)[0].as_py() for c in ("ny", "nx", "ty", "tx"))
+        self.h, self.w, self.d, self.rows = min(patch, ny - ty), min(patch, nx - tx), 0, []
+        self.values = np.zeros((patch,) * 3, np.float32)
+
+    def add(self, part: pa.RecordBatch, told: list[str], lo: float, hi: float) -> None:
+        raw = part.column("crop").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        unit = (np.clip(raw.reshape(part.num_rows, self.h, self.w), lo, hi) - np.float32(lo)) / np.float32(hi - lo)
+        self.values[:self.w, :self.h, self.d:self.d + part.num_rows] = unit.transpose(2, 1, 0)
+        self.d += part.num_rows
+        # A copy, which does not keep the crops' buffers alive.
+        self.rows.append(part.select(told).take(pa.array(np.arange(part.num_rows))))
+
+    def answer(self, prob: np.ndarray) -> pa.RecordBatch:
+        flat = np.ascontiguousarray(prob[:self.w, :self.h, :self.d].transpose(2, 1, 0), np.float32).reshape(-1)
+        offsets = pa.array(np.arange(self.d + 1, dtype=np.int32) * (self.h * self.w))
+        rows = pa.Table.from_batches(self.rows).combine_chunks().to_batches()[0]
+        return rows.append_column("p", pa.ListArray.from_arrays(offsets, pa.array(flat)))
+
+
 def score_tiles(slices: DataFrame, scorer: Scorer, patch: int = 128, stride: int = 128,
                 lo: float = MODEL_HU_RANGE[0], hi: float = MODEL_HU_RANGE[1],
-                keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Sliding-window inference: slice rows in, slice rows of probabilities out."""
+                keys: tuple[str, ...] = ("case_id",), batch: int = 1) -> DataFrame:
+    """Sliding-window inference: slice rows in, slice rows of probabilities out.
+
+    A task puts its tiles together one after another and asks the model for ``batch`` of
+    them at a time, of whatever cases they are; it holds no more than these.
+    """
+    if batch < 1:
+        raise ValueError("a batch has at least one tile")
     placed = slices.select(*keys, "z", *DIMS, "data")
     for a, at in (("z", F.col("z")), ("y", None), ("x", None)):
         starts = tile_starts(F.col(f"n{a}"), patch, stride) if at is None else \
@@ -90,21 +119,33 @@ def score_tiles(slices: DataFrame, scorer: Scorer, patch: int = 128, stride: int
     ints = [T.StructField(c, T.IntegerType()) for c in ("z", *DIMS, "ty", "tx")]
     scored_schema = T.StructType(fields + ints + [T.StructField("p", T.ArrayType(T.FloatType()))])
 
-    def score_tile(group: pa.Table) -> pa.Table:
-        group = group.sort_by("z").combine_chunks()
-        ny, nx, ty, tx = (group.column(c)[0].as_py() for c in ("ny", "nx", "ty", "tx"))
-        d, h, w = group.num_rows, min(patch, ny - ty), min(patch, nx - tx)
-        raw = group.column("crop").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        unit = (np.clip(raw.reshape(d, h, w), lo, hi) - np.float32(lo)) / np.float32(hi - lo)
-        tile = np.zeros((patch,) * 3, np.float32)
-        tile[:w, :h, :d] = unit.transpose(2, 1, 0)
-        prob = class1(np.asarray(scorer(tile[None, None])))[0, :w, :h, :d].transpose(2, 1, 0)
-        flat = pa.array(np.ascontiguousarray(prob, np.float32).reshape(-1))
-        offsets = pa.array(np.arange(d + 1, dtype=np.int32) * (h * w))
-        return group.select([*keys, "z", *DIMS, "ty", "tx"]).append_column(
-            "p", pa.ListArray.from_arrays(offsets, flat))
-
-    scored = crops.groupBy(*keys, "tz", "ty", "tx").applyInArrow(score_tile, scored_schema)
+    names = [*keys, "tz", "ty", "tx"]
+    told = [*keys, "z", *DIMS, "ty", "tx"]
+
+    def answers(tiles: list[_Tile]) -> Iterator[pa.RecordBatch]:
+        prob = class1(np.asarray(scorer(np.stack([t.values for t in tiles])[:, None])))
+        for tile, p in zip(tiles, prob, strict=True):
+            yield tile.answer(p)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile, waiting = None, None, []
+        for rows in batches:
+            places = list(zip(*(rows.column(c).to_pylist() for c in names)))
+            cuts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(places)]):
+                part = rows.slice(a, b - a)
+                if places[a] != at:
+                    waiting += [tile] if tile else []
+                    if len(waiting) == batch:
+                        yield from answers(waiting)
+                        waiting = []
+                    at, tile = places[a], _Tile(part, patch)
+                tile.add(part, told, lo, hi)
+        waiting += [tile] if tile else []
+        if waiting:
+            yield from answers(waiting)
+
+    scored = crops.repartition(*names).sortWithinPartitions(*names, "z").mapInArrow(score, scored_schema)
     out_schema = T.StructType(fields + ints[:4] + [T.StructField("data", T.ArrayType(T.FloatType()))])
 
     def average_slice(group: pa.Table) -> pa.Table:
@@ -181,5 +222,11 @@ class OnnxScorer:
             session = cache[self.path] = onnxruntime.InferenceSession(self.path, providers=list(self.providers))
         spec = session.get_inputs()[0]
         half = spec.type == "tensor(float16)"
-        out = session.run(None, {spec.name: tensor.astype(np.float16 if half else np.float32)})[0]
-        return out.astype(np.float32)
+        tensor = tensor.astype(np.float16 if half else np.float32)
+        size = spec.shape[0] if isinstance(spec.shape[0], int) else len(tensor)     # some models fix their batch
+        parts = []
+        for start in range(0, len(tensor), size):
+            part = tensor[start:start + size]
+            full = np.concatenate((part, np.zeros((size - len(part), *part.shape[1:]), part.dtype)))
+            parts.append(session.run(None, {spec.name: full})[0][:len(part)])
+        return np.concatenate(parts).astype(np.float32)

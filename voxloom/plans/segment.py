@@ -41,14 +41,14 @@ def with_model(slices: DataFrame, cfg: SegmentConfig, scorer: Scorer) -> DataFra
     if all(s > 0 for s in cfg.spacing):
         size = tuple(resampled_size(F.col(f"n{a}"), F.col(f"d{a}"), s) for a, s in zip("xyz", cfg.spacing))
         model_grid = to_slices(trilinear(slices, size))
-        scored = score_tiles(model_grid, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi)
+        scored = score_tiles(model_grid, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi, batch=cfg.batch)
         native = slices.where("z = 0").select("case_id", *[F.col(d).alias(f"to_{d}") for d in DIMS])
         back = trilinear(attach(scored, native, ["case_id"]), tuple(F.col(f"to_{d}") for d in DIMS))
         scored = to_slices(back)
     elif cfg.slice_model:
         scored = score_slices(slices, scorer, batch=cfg.batch, lo=cfg.model_hu_lo, hi=cfg.model_hu_hi)
     else:
-        scored = score_tiles(slices, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi)
+        scored = score_tiles(slices, scorer, cfg.patch, cfg.stride, cfg.model_hu_lo, cfg.model_hu_hi, batch=cfg.batch)
     return slices.join(scored.select("case_id", "z", F.col("data").alias("prob")), ["case_id", "z"])
 
 
