@@ -72,6 +72,22 @@ def test_tile_starts(spark, n, patch, stride, want):
     assert spark.range(1).select(T.tile_starts(F.lit(n), patch, stride).alias("s")).first().s == want
 
 
+def test_tiles_of_a_position_on_an_axis_of_any_length(spark):
+    # All starts of the longer axis would not fit an array.
+    n = 2 ** 31 - 1
+    ends = spark.createDataFrame([(n, 0), (n, 5), (n, n - 1)], "n int, at int")
+    got = [r.s for r in ends.select("at", T.holding(F.col("n"), F.col("at"), 5, 1).alias("s")).orderBy("at").collect()]
+    assert got == [[0], [1, 2, 3, 4, 5], [n - 5]]
+
+
+@pytest.mark.parametrize("patch,stride", [(5, 3), (4, 4), (3, 5), (1, 1), (7, 2)])
+def test_tiles_of_a_position_are_the_starts_around_it(spark, patch, stride):
+    cells = spark.range(1, 25).selectExpr("cast(id as int) as n").selectExpr("n", "explode(sequence(-2, n + 2)) as at")
+    rows = cells.select("at", T.tile_starts(F.col("n"), patch, stride).alias("all"),
+                        T.holding(F.col("n"), F.col("at"), patch, stride).alias("s")).collect()
+    assert len(rows) > 300 and all(r.s == [s for s in r.all if s <= r.at < s + patch] for r in rows)
+
+
 def test_constant_model_gives_a_constant_map(spark):
     v = np.arange(7 * 9 * 10, dtype=float).reshape(7, 9, 10)
     s = brute.slices_frame(spark, {0: v, 1: v[:3]})

@@ -43,26 +43,35 @@ def tile_grid(cases: DataFrame, patch: int, stride: int, keys: tuple[str, ...] =
 
 
 def holding(n: Column, at: Column, patch: int, stride: int) -> Column:
-    """Starts of the tiles that contain position ``at``: the range join as an explode."""
-    return F.filter(tile_starts(n, patch, stride), lambda s: (s <= at) & (at < s + patch))
+    """Starts of the tiles that contain position ``at``: the range join as an explode.
+
+    Only starts within a patch before ``at`` are formed, so the work does not grow with the axis.
+    """
+    last = F.greatest(n - patch, F.lit(0))
+    low = (F.ceil(F.greatest(at - patch + 1, F.lit(0)) / stride) * stride).cast("int")
+    high = F.least(at, last)
+    steps = F.when(low <= high, F.sequence(low, high, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    flush = F.when(last % stride != 0, F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.concat(steps, flush), lambda s: (s <= at) & (at < s + patch))
 
 
 def overlap_average(vox: DataFrame, patch: int, stride: int, score: Callable[..., Column],
                     keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Mean over all tiles that hold a voxel of ``score(lx, ly, lz)`` (tile-local position).
 
-    The tile list of a voxel is evaluated in place, so there is no join and no shuffle.
+    The tile list of a voxel is evaluated in place, once per axis, so there is no join and no shuffle.
     """
     def mean_over(axis: str, inner: Callable[[Column], Column]) -> Column:
-        return F.aggregate(holding(F.col(f"n{axis}"), F.col(axis), patch, stride), F.lit(0.0),
-                           lambda acc, s: acc + inner(s))
+        return F.aggregate(f"_s{axis}", F.lit(0.0), lambda acc, s: acc + inner(s))
 
+    held = vox.select(*keys, "x", "y", "z", *DIMS, *[
+        holding(F.col(f"n{a}"), F.col(a), patch, stride).alias(f"_s{a}") for a in "xyz"])
     hits = F.lit(1)
     for a in "xyz":
-        hits = hits * F.size(holding(F.col(f"n{a}"), F.col(a), patch, stride))
+        hits = hits * F.size(f"_s{a}")
     total = mean_over("z", lambda sz: mean_over("y", lambda sy: mean_over("x", lambda sx: score(
         F.col("x") - sx, F.col("y") - sy, F.col("z") - sz))))
-    return vox.select(*keys, "x", "y", "z", *DIMS, hits.alias("hits"), (total / hits).alias("prob"))
+    return held.select(*keys, "x", "y", "z", *DIMS, hits.alias("hits"), (total / hits).alias("prob"))
 
 
 def class1(logits: np.ndarray) -> np.ndarray:
