@@ -263,6 +263,35 @@ def test_base_scores(docs):
         assert got[i].base_score == pytest.approx(sum(log10((counts[w] + .1) / (n + .1 * (v + 1))) for w in t), rel=1e-9)
 
 
+@pytest.mark.parametrize("depth", [2, 5, 7])
+def test_grams_by_definition(depth):
+    bodies = [b"the cat", "z\u00e9 \U0001f600".encode(), b"", b"a"]
+    raw, start, stop = op03_ctw.stream(bodies, depth)
+    want = []
+    for body in bodies:
+        text = b"\n" * depth + body + b"\n"
+        want += [int.from_bytes(text[i - depth:i][::-1] + text[i:i + 1], "big") for i in range(depth, len(text))]
+    assert [k % 2 ** 64 for k in op03_ctw.grams(raw, start, stop, depth).tolist()] == want
+    assert len(op03_ctw.grams(*op03_ctw.stream([], depth), depth)) == 0
+
+
+@pytest.mark.parametrize("size,kinds", [(0, 1), (1, 1), (5_000, 40), (5_000, 2 ** 62)])
+def test_counts_and_look_ups_of_a_block(size, kinds):
+    rng = np.random.default_rng(size)
+    keys, train = rng.integers(-kinds, kinds, size), rng.random(size) < .7
+    want = dict.fromkeys(keys.tolist(), 0)
+    for k, t in zip(keys.tolist(), train.tolist(), strict=True):
+        want[k] += t
+    distinct, counts = op03_ctw.tallied(keys, train)
+    assert distinct.tolist() == sorted(want) and counts.tolist() == [want[k] for k in sorted(want)]
+    # A block whose rows lie in two tasks has its keys twice.
+    table = op03_ctw.Lookup(np.tile(distinct, 2), np.tile(counts.astype(float), 2))
+    assert table.of(keys).tolist() == [want[k] for k in keys.tolist()]
+    if size:
+        with pytest.raises(KeyError):
+            table.of(np.array([distinct[0], 2 ** 63 - 1]))
+
+
 def test_context_trees_beat_the_base_on_held_out(spark):
     got = op03_ctw.score(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()

@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, slices, stash, stretch_hashes, whole
+from .common import _KEEP, _ODD, _eights, buffers, slices, stash, stretch_hashes, whole
 from .op06_exact import AT, located
 
 DEPTH = 5
 #: Rows of a file that make a block.
 BLOCK_DOCS = 8192
+#: Bytes of text that are taken apart at once; what they hold is merged before it is kept.
+CHUNK_BYTES = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = 10   # the end byte; never inside a word
 _END_WORD = 0   # the hash that stands for the end token
@@ -61,14 +63,13 @@ def stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def grams(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """Per scored byte: the byte before it, the one before that, …, then the byte itself, as one number."""
-    keep = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(keep, start, 1)
-    np.add.at(keep, stop, -1)
-    at = np.flatnonzero(np.cumsum(keep[:-1]))
-    out = np.zeros(len(at), np.int64)
-    for back in range(1, depth + 1):
-        out = (out << 8) | raw[at - back]
-    return (out << 8) | raw[at]
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, stop, -1)
+    scored = np.cumsum(edge[:-1]) > 0
+    # Read as one number, the bytes before a byte have the nearest on top.
+    before = _eights(raw)[:max(len(raw) - depth, 0)] & _KEEP[depth]
+    return ((before << np.uint64(8)) | raw[depth:]).view(np.int64)[scored[depth:]]
 
 
 def words_of(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,19 +93,67 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of a sorted array begins."""
+    return np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, and the sums of their counts; quick if the keys of each part are sorted."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = _first(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs in training; plain sorts, without the places of the keys."""
+    parts = []
+    for counted in (True, False):
+        own = np.sort(keys[train == counted])
+        first = _first(own)
+        parts.append((own[first], np.diff(first, append=len(own)) * int(counted)))
+    return merged(parts)
+
+
+class Lookup:
+    """Values of the distinct keys of a block, found by hashing: a step or two into a table at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.bits = max(2 * len(keys), 2).bit_length()
+        self.owner = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(left):
+            free = self.owner[slot] < 0
+            self.owner[slot[free]] = left[free]
+            more = self.owner[slot] != left
+            left, slot = left[more], (slot[more] + 1) & (len(self.owner) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        bits = keys.view(np.uint64)
+        return (((bits ^ (bits >> np.uint64(32))) * _ODD) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        found = self.owner[slot]
+        other = np.flatnonzero(self.keys[found] != keys)
+        while len(other):
+            if (found[other] < 0).any():
+                raise KeyError("a text has grams or words that its block was not counted with")
+            slot[other] = (slot[other] + 1) & (len(self.owner) - 1)
+            found[other] = self.owner[slot[other]]
+            other = other[self.keys[found[other]] != keys[other]]
+        return self.values[found]
+
+
 def _tally(depth: int):
     """Distinct grams (kind 0) and words (kind 1) of each block with their counts in training documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
         size = 0
 
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(counts, first)
-
         def put() -> Iterator[pa.RecordBatch]:
             for block, kinds in held.items():
                 for kind, parts in enumerate(kinds):
@@ -117,7 +166,7 @@ def _tally(depth: int):
             held.clear()
         for batch in batches:
             _, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, CHUNK_BYTES):
                 part = batch.slice(a, b - a)
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 blocks = part.column("block").to_numpy()
@@ -128,12 +177,12 @@ def _tally(depth: int):
                         size = 0
                     mine = np.flatnonzero(blocks == block)
                     raw, start, stop = stream([texts[i] for i in mine.tolist()], depth)
-                    weight = train[mine].astype(np.int64)
+                    counted = train[mine]
                     words, per_text = words_of(raw, start, stop)
                     kinds = held.setdefault(block, [[], []])
-                    for kind, keys, w in ((0, grams(raw, start, stop, depth), np.repeat(weight, stop - start)),
-                                          (1, words, np.repeat(weight, per_text))):
-                        kinds[kind].append(merged([(keys, w)]))
+                    for kind, keys, t in ((0, grams(raw, start, stop, depth), np.repeat(counted, stop - start)),
+                                          (1, words, np.repeat(counted, per_text))):
+                        kinds[kind].append(tallied(keys, t))
                         size += len(kinds[kind][-1][0])
                         if len(kinds[kind]) > 8:
                             size -= sum(len(k) for k, _ in kinds[kind])
@@ -267,13 +316,12 @@ def _scorer(depth: int, train: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, tables = None, ([], []), None
 
-        def settle() -> list[tuple[np.ndarray, np.ndarray]]:
+        def settle() -> list[Lookup]:
             out = []
             for kind in (0, 1):
                 keys = np.concatenate([k for k, _ in parts[kind]]) if parts[kind] else np.zeros(0, np.int64)
                 values = np.concatenate([v for _, v in parts[kind]]) if parts[kind] else np.zeros(0)
-                order = np.argsort(keys, kind="stable")
-                out.append((keys[order], values[order]))
+                out.append(Lookup(keys, values))
                 parts[kind].clear()
             return out
         for batch in batches:
@@ -288,18 +336,18 @@ def _scorer(depth: int, train: int, distinct: int):
                     parts[0].clear()
                     parts[1].clear()
                 if kind < 2:
-                    parts[kind].append((part.column("key").to_numpy(), part.column("value").to_numpy()))
+                    # Copies, which do not keep the other columns alive.
+                    parts[kind].append((part.column("key").to_numpy().copy(), part.column("value").to_numpy().copy()))
                     continue
                 tables = tables or settle()
                 _, offsets = buffers(part.column("text"))
-                for c, d in slices(offsets):
+                for c, d in slices(offsets, CHUNK_BYTES):
                     raw, start, stop = stream(_texts(part.column("text").slice(c, d - c)), depth)
-                    keys = grams(raw, start, stop, depth)
-                    prices = tables[0][1][np.searchsorted(tables[0][0], keys)].astype(float)
+                    prices = tables[0].of(grams(raw, start, stop, depth))
                     sizes = stop - start
                     begin = np.cumsum(sizes) - sizes
                     words, per_text = words_of(raw, start, stop)
-                    seen = tables[1][1][np.searchsorted(tables[1][0], words)].astype(float)
+                    seen = tables[1].of(words)
                     base = np.log10((seen + 0.1) / (train + 0.1 * (distinct + 1)))
                     first = np.cumsum(per_text) - per_text
                     score = np.add.reduceat(prices, begin)
