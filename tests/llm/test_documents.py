@@ -7,6 +7,7 @@ from math import log10
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,65 @@ def test_context_trees_of_awkward_rows(odd, none):
     assert op03_ctw.score(none).count() == 0
 
 
+def test_counts_of_a_block_leave_before_the_next_is_read():
+    taken = []
+
+    def batches():
+        for n in range(6):      # blocks 0 0, 0 0, 0 1, 1 1, 1 1, 1 2
+            taken.append(n)
+            yield pa.RecordBatch.from_pydict({"block": [n // 3, (n + 1) // 3], "held_out": [False, n == 1],
+                                              "text": ["the cat sat", f"the {'dog' if n % 2 else 'cat'} ran"]})
+    got, read = {}, {}
+    for batch in op03_ctw._tally(3)(batches()):
+        for r in batch.to_pylist():
+            assert (key := (r["block"], r["kind"], r["key"])) not in got
+            got[key] = r["n"]
+            read.setdefault(r["block"], len(taken))
+    assert read == {0: 3, 1: 6, 2: 6}
+    end = op03_ctw._END_WORD
+    assert [got[b, 1, end] for b in range(3)] == [4, 6, 1]
+
+
+@pytest.mark.parametrize("kinds", [50, 2 ** 62])
+def test_parts_of_a_block_are_joined_in_little_room(kinds):
+    rng = np.random.default_rng(kinds % 7)
+    parts, want = [], Counter()
+    for _ in range(60):
+        keys, n = np.unique(rng.integers(-kinds, kinds, 5_000), return_counts=True)
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+        op03_ctw.added(parts, (keys, n))
+        assert sum(len(k) for k, _ in parts) < 2 * len(parts[0][0])
+    op03_ctw.added(parts)
+    [(keys, n)] = parts
+    assert keys.tolist() == sorted(want) and n.tolist() == [want[k] for k in keys.tolist()]
+
+
+def test_texts_reach_the_context_trees_some_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit, before = 100_000, spark.conf.get(key, None)
+    monkeypatch.setattr(op03_ctw, "BATCH_BYTES", limit)
+
+    def watched(make):
+        def made(*args):
+            run = make(*args)
+
+            def checked(batches):
+                def small():
+                    for batch in batches:
+                        if batch.nbytes > 2 * limit:
+                            raise ValueError(f"{batch.nbytes} bytes at once")
+                        yield batch
+                return run(small())
+            return checked
+        return made
+    for name in ("_tally", "_scorer"):
+        monkeypatch.setattr(op03_ctw, name, watched(getattr(op03_ctw, name)))
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 3000) as text").coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in op03_ctw.score(docs).collect()}
+    assert got == dict.fromkeys(range(60), 3001)
+    assert spark.conf.get(key, None) == before
+
+
 # --- exact deduplication ---
 
 def exact(rows):

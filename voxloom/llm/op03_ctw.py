@@ -20,7 +20,7 @@ whose size is bounded by 256 * 255 decisions:
    the block are scored one after another.
 
 So memory follows a block and a pair of context bytes, never the corpus, while the model
-grows with it.  Words travel as 64-bit hashes for the base score, their counts in full;
+grows with it; texts reach Python some MB at a time.  Words travel as 64-bit hashes for the base score, their counts in full;
 prices are rounded to single precision.
 
 Cases: null texts are empty: the end alone; the ids of held-out documents have a CRC-32
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _KEEP, _ODD, _eights, buffers, slices, stash, stretch_hashes, whole
+from .common import _KEEP, _ODD, _eights, buffers, settings, slices, stash, stretch_hashes, whole
 from .op06_exact import AT, located
 
 DEPTH = 5
@@ -46,6 +46,8 @@ DEPTH = 5
 BLOCK_DOCS = 8192
 #: Bytes of text that are taken apart at once; what they hold is merged before it is kept.
 CHUNK_BYTES = 500_000
+#: Bytes of rows that Spark hands to Python at once; whole texts are otherwise taken by the 10,000.
+BATCH_BYTES = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = 10   # the end byte; never inside a word
 _END_WORD = 0   # the hash that stands for the end token
@@ -107,6 +109,27 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def joined(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``merged`` for two parts, each of sorted distinct keys, with little room besides the result; takes over the counts of ``one``."""
+    (keys, counts), (more, n) = one, other
+    place = np.searchsorted(keys, more)
+    known = np.zeros(len(more), bool)
+    inside = place < len(keys)
+    known[inside] = keys[place[inside]] == more[inside]
+    counts[place[known]] += n[known]
+    place = place[~known]
+    return np.insert(keys, place, more[~known]), np.insert(counts, place, n[~known])
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]], part: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    """Add a part, sizes at least halving from one to the next, so all are under twice the largest; without a part, leave a single one."""
+    if part is not None:
+        parts.append(part)
+    while len(parts) > 1 and (part is None or 2 * len(parts[-1][0]) > len(parts[-2][0])):
+        last = parts.pop()
+        parts.append(joined(parts.pop(), last))
+
+
 def tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each occurs in training; plain sorts, without the places of the keys."""
     parts = []
@@ -149,45 +172,41 @@ class Lookup:
 
 
 def _tally(depth: int):
-    """Distinct grams (kind 0) and words (kind 1) of each block with their counts in training documents."""
+    """Distinct grams (kind 0) and words (kind 1) of each block with their counts in training documents.
+
+    The rows of a block follow one another, so a task holds the counts of one block only.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
-        size = 0
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        current = None
 
         def put() -> Iterator[pa.RecordBatch]:
-            for block, kinds in held.items():
-                for kind, parts in enumerate(kinds):
-                    keys, counts = merged(parts)
+            for kind, parts in enumerate(held):
+                added(parts)
+                for keys, counts in parts:
                     for a in range(0, len(keys), 100_000):
                         k = keys[a:a + 100_000]
                         yield pa.RecordBatch.from_pydict({
-                            "block": np.full(len(k), block), "kind": np.full(len(k), kind, np.int32), "key": k,
+                            "block": np.full(len(k), current), "kind": np.full(len(k), kind, np.int32), "key": k,
                             "n": counts[a:a + 100_000]})
-            held.clear()
+                parts.clear()
         for batch in batches:
             _, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets, CHUNK_BYTES):
-                part = batch.slice(a, b - a)
-                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                blocks = part.column("block").to_numpy()
-                texts = _texts(part.column("text"))
-                for block in np.unique(blocks).tolist():
-                    if block not in held and size > 4_000_000:
-                        yield from put()
-                        size = 0
-                    mine = np.flatnonzero(blocks == block)
-                    raw, start, stop = stream([texts[i] for i in mine.tolist()], depth)
-                    counted = train[mine]
+            blocks = batch.column("block").to_numpy()
+            edges = (np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist()
+            for begin, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if begin == end:
+                    continue
+                if blocks[begin] != current:
+                    yield from put()
+                    current = blocks[begin]
+                for a, b in slices(offsets[begin:end + 1], CHUNK_BYTES):
+                    part = batch.slice(begin + a, b - a)
+                    train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                    raw, start, stop = stream(_texts(part.column("text")), depth)
                     words, per_text = words_of(raw, start, stop)
-                    kinds = held.setdefault(block, [[], []])
-                    for kind, keys, t in ((0, grams(raw, start, stop, depth), np.repeat(counted, stop - start)),
-                                          (1, words, np.repeat(counted, per_text))):
-                        kinds[kind].append(tallied(keys, t))
-                        size += len(kinds[kind][-1][0])
-                        if len(kinds[kind]) > 8:
-                            size -= sum(len(k) for k, _ in kinds[kind])
-                            kinds[kind][:] = [merged(kinds[kind])]
-                            size += len(kinds[kind][0][0])
+                    added(held[0], tallied(grams(raw, start, stop, depth), np.repeat(train, stop - start)))
+                    added(held[1], tallied(words, np.repeat(train, per_text)))
         yield from put()
     return run
 
@@ -312,7 +331,7 @@ def _priced(depth: int, top: Top):
 
 
 def _scorer(depth: int, train: int, distinct: int):
-    """Rows of a partition sorted by block, values before texts: doc_id, held_out, counts and scores."""
+    """Rows of a partition sorted by block, values before texts (key: doc_id, value: held out): doc_id, held_out, counts and scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, tables = None, ([], []), None
 
@@ -352,7 +371,7 @@ def _scorer(depth: int, train: int, distinct: int):
                     first = np.cumsum(per_text) - per_text
                     score = np.add.reduceat(prices, begin)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": part.column("doc_id").slice(c, d - c), "held_out": part.column("held_out").slice(c, d - c),
+                        "doc_id": part.column("key").slice(c, d - c), "held_out": part.column("value").slice(c, d - c).cast(pa.bool_()),
                         "n_tokens": per_text.astype(np.int64), "n_known": np.add.reduceat((seen > 0).astype(np.int64), first),
                         "train_tokens": np.full(len(sizes), train), "base_score": np.add.reduceat(base, first),
                         "score": score, "bits_per_byte": -score / sizes / math.log10(2)})
@@ -361,6 +380,11 @@ def _scorer(depth: int, train: int, distinct: int):
 
 def score(docs: DataFrame, depth: int = DEPTH, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        return stash(_scored(docs, depth, block_docs), "scores")
+
+
+def _scored(docs: DataFrame, depth: int, block_docs: int) -> DataFrame:
     label = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = located(docs.select("doc_id", "text")).select(
         "doc_id", whole("text").alias("text"), (F.crc32(F.encode(label, "UTF-8")) % 10 == 0).alias("held_out"),
@@ -375,10 +399,9 @@ def score(docs: DataFrame, depth: int = DEPTH, block_docs: int = BLOCK_DOCS) ->
     prices = model.mapInArrow(_priced(depth, Top(tops)), "key long, kind int, value double")
     counts = sums.where("kind = 1").select("key", "kind", F.col("n").cast("double").alias("value"))
     known = tally.select("block", "kind", "key").join(prices.unionByName(counts), ["kind", "key"])
-    nothing = {"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "held_out": F.lit(None).cast("boolean")}
-    both = known.select("block", "kind", "key", "value", *[v.alias(k) for k, v in nothing.items()]).unionByName(rows.select(
-        "block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("double").alias("value"),
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out"))
+    columns = ["block", "kind", "key", "value"]
+    both = known.select(*columns, F.lit(None).cast("string").alias("text")).unionByName(rows.select(
+        "block", F.lit(2).alias("kind"), F.col("doc_id").cast("long").alias("key"), F.col("held_out").cast("double").alias("value"), "text"))
     return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
         _scorer(depth, words[0], words[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double, bits_per_byte double")
