@@ -222,6 +222,54 @@ def test_hard_negatives_of_awkward_rows(spark, monkeypatch, chunk, keep):
     assert sorted(map(tuple, got.collect()), key=str) == brute_negatives(rows)
 
 
+def broadcast_types(df):
+    """Types of the columns of every broadcast in the plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        if name == "BroadcastExchangeExec":
+            columns = node.output()
+            found.append([columns.apply(i).dataType().typeName() for i in range(columns.size())])
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_packed_vectors_are_never_broadcast(spark, monkeypatch):
+    frames, cells = [], []
+    kept, meet = op13_negatives.stash, op13_negatives._meet
+
+    def seen(df, name="stash"):
+        frames.append(df)
+        return kept(df, name)
+
+    def met(groups, blocks, found, *args):
+        cells.append((groups.count(), blocks.count(), found.count()))
+        return meet(groups, blocks, found, *args)
+    monkeypatch.setattr(op13_negatives, "stash", seen)
+    monkeypatch.setattr(op13_negatives, "_meet", met)
+    monkeypatch.setattr(op13_negatives, "KEPT_GROUPS", 2)
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=6).tolist(), int(rng.integers(0, 3))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    got = op13_negatives.mine(frame, every=20, block_rows=8, group_rows=4)
+    frames.append(got)
+    assert not [types for df in frames for types in broadcast_types(df) if {"binary", "array"} & set(types)]
+    assert len(cells) == 2 and all(0 < found < groups * blocks / 8 for groups, blocks, found in cells)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_negatives(rows, every=20, shift=False)
+
+
+@pytest.mark.parametrize("top", [5, 40_000, 3 * 10 ** 9, 1e150])
+def test_packed_components_come_back(top):
+    v = np.array([[top, -top, 0.0], [1.0, -1.0, 2.0]])
+    data = op13_negatives._narrow(v)
+    assert op13_negatives._wide(data, 2, 3).tolist() == v.tolist() and len(data) == 6 * {5: 2, 40_000: 4}.get(top, 8)
+    assert op13_negatives._wide(op13_negatives._narrow(v[:, :0]), 2, 0).shape == (2, 0)
+
+
 @given(st.integers(1, 6), st.integers(1, 9), st.integers(1, 5), st.sampled_from([3, 200, 10 ** 6, 10 ** 9, 10 ** 14]), st.integers(0, 99))
 def test_packed_products(n, m, dims, top, seed):
     rng = np.random.default_rng(seed)

@@ -1,15 +1,20 @@
 """Hard negatives by exact inner products of packed integers.
 
 Vectors become integers.  Rows, sorted by label, are packed into blocks, the anchors
-into groups of the same kind.  Every group meets blocks in tasks of their own:
+into groups of the same kind.  Neighbouring groups make a part, and so do neighbouring
+blocks; a part of groups and a part of blocks meet in a cell, which is one task's work:
 
-* first those that hold one of its labels, for the best rows of an anchor's own label (its
+* first where they share a label, for the best rows of an anchor's own label (its
   positives),
-* then all that hold another label, for the best rows of other labels whose scores lie in
-  the band that a positive's score sets (its hard negatives).
+* then all of them, for the best rows of other labels whose scores lie in the band that a
+  positive's score sets (its hard negatives).
 
-A task keeps the best of each group over all blocks that it sees, so what it gives does
-not grow with the blocks.
+A cell gets every group and block of its parts once, sorted, groups first; a task holds
+the groups and takes the blocks one after another.  So no row a pair is formed, vectors
+travel once a cell and are never broadcast: joins that carry them are hinted, as the
+planner knows neither what an explode adds nor how far packed vectors are compressed.  A
+task keeps the best of each group over all blocks that it sees, so what it gives does not
+grow with the blocks.
 
 Scores come from Kronecker-packed products.  Components are biased to be no less than
 zero; as many candidates as fit stand in separate fields of one wide integer, a component
@@ -34,11 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bring, settings, stash
 from .op05_topk import _NO_ID, best, matrix
 
 #: Rows of a block, anchors of a group, bits of a double, groups that a task keeps, candidates looked at together.
 BLOCK_ROWS, GROUP_ROWS, DOUBLE_BITS, KEPT_GROUPS, CHUNK = 4096, 512, 53, 64, 500_000
+#: Blocks of a cell, blocks that one sorted partition is cut into, tasks that cells are dealt to (more cells share them).
+CELL_BLOCKS, SORTED_BLOCKS, CELL_TASKS = 16, 4, 2000
+#: Packed rows reach Python so many bytes at a time; by Spark's own limit a batch takes 64 MB on either side.
+BATCH_BYTES = 4 << 20
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -81,15 +90,29 @@ def _wide_products(a: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Rows of integers held in doubles, in the fewest bytes that hold each of them."""
+    for kind in (np.int16, np.int32):
+        if not v.size or (v.min() >= np.iinfo(kind).min and v.max() <= np.iinfo(kind).max):
+            return v.astype(kind).tobytes()
+    return v.tobytes()
+
+
+def _wide(data: bytes, rows: int, dims: int) -> np.ndarray:
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(data) // (rows * dims) if rows * dims else 8]
+    return np.frombuffer(data, kind).reshape(rows, dims).astype(np.float64)
+
+
 def _pack(rows: int, dims: int):
     """Sorted rows put together: whole blocks of vectors, with the labels that they hold."""
     def put(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         labels, uids = t["label"].to_numpy(), t["uid"].to_numpy()
         return pa.RecordBatch.from_pydict({
-            "first": pa.array([int(uids[0])], pa.int64()), "held": pa.array([np.unique(labels).tolist()], pa.list_(pa.int64())),
+            "first": pa.array([int(uids[0])], pa.int64()), "low": pa.array([int(labels[0])], pa.int64()),
+            "rows": pa.array([len(uids)], pa.int64()), "held": pa.array([np.unique(labels).tolist()], pa.list_(pa.int64())),
             "uids": [uids.tobytes()], "ids": [t["vec_id"].fill_null(_NO_ID).to_numpy().astype(np.int64).tobytes()],
-            "labels": [labels.astype(np.int64).tobytes()], "v": [matrix(t["v"].chunk(0), dims).tobytes()]})
+            "labels": [labels.astype(np.int64).tobytes()], "v": [_narrow(matrix(t["v"].chunk(0), dims))]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -109,20 +132,23 @@ def _pack(rows: int, dims: int):
 _BLOCK = ("uids", "ids", "labels", "v")
 
 
-def _blocks(vectors: DataFrame, name: str, rows: int, dims: int, count: int) -> DataFrame:
-    """Blocks of rows sorted by label, numbered (``<name>_no``)."""
-    n = max(1, -(-count // rows))
+def _blocks(vectors: DataFrame, name: str, rows: int, dims: int, count: int, part_rows: int) -> DataFrame:
+    """Blocks of rows sorted by label, numbered (``no``); those that start within ``part_rows`` rows make a ``<name>_part``."""
+    # The driver sorts a sample of 300 rows a partition to place them.
+    n = max(1, -(-count // (SORTED_BLOCKS * rows)))
     packed = stash(vectors.repartitionByRange(n, "label", "uid").sortWithinPartitions("label", "uid").mapInArrow(
-        _pack(rows, dims), "first long, held array<long>, uids binary, ids binary, labels binary, v binary"), name)
+        _pack(rows, dims), "first long, low long, rows long, held array<long>, uids binary, ids binary, labels binary, v binary"), name)
     # A narrow row a block of thousands of rows.
-    numbers = stash(packed.select("first").withColumn(f"{name}_no", F.row_number().over(Window.orderBy("first")) - 1), "numbers")
-    return stash(packed.join(numbers, "first").select(
-        f"{name}_no", F.col("held").alias(f"{name}_held"), *[F.col(c).alias(f"{name}_{c}") for c in _BLOCK]), name)
+    order = Window.orderBy("low", "first")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = stash(packed.select("first", "low", "rows").select(
+        "first", (F.row_number().over(order) - 1).alias("no"), F.floor(before / part_rows).cast("int").alias(f"{name}_part")), "numbers")
+    return stash(bring(packed.drop("low", "rows").hint("merge"), numbers, ["first"]).drop("first"), name)
 
 
-def _side(batch: pa.RecordBatch, i: int, name: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    uids, ids, labels = (np.frombuffer(batch.column(f"{name}_{c}")[i].as_py(), np.int64) for c in ("uids", "ids", "labels"))
-    return uids, ids, labels, np.frombuffer(batch.column(f"{name}_v")[i].as_py()).reshape(len(uids), dims)
+def _side(batch: pa.RecordBatch, i: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    uids, ids, labels = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("uids", "ids", "labels"))
+    return uids, ids, labels, _wide(batch.column("v")[i].as_py(), len(uids), dims)
 
 
 class _Best:
@@ -151,58 +177,88 @@ class _Best:
 _FOUND = "q_no int, ask long, score long, id long, uid long"
 
 
-def _positives(k: int, dims: int):
-    """Best rows of an anchor's own label; a question is the number of an anchor's row."""
+def _cells(k: int, dims: int, asked, find):
+    """Groups of a cell are held (``asked`` makes them ready), each of its blocks meets them in ``find``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Best(k)
+        kept, held, cell, part = _Best(k), [], None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                q_uids, _, q_labels, q = _side(batch, i, "q", dims)
-                c_uids, c_ids, c_labels, c = _side(batch, i, "c", dims)
-                rows, cols = np.isin(q_labels, c_labels), np.isin(c_labels, q_labels)
-                q_uids, q_labels, c_uids, c_ids, c_labels = q_uids[rows], q_labels[rows], c_uids[cols], c_ids[cols], c_labels[cols]
-                scores = packed_products(q[rows], c[cols])
-                step = max(1, CHUNK // max(1, len(c_uids)))
-                for a in range(0, len(q_uids), step):
-                    same = (q_labels[a:a + step, None] == c_labels[None, :]) & (q_uids[a:a + step, None] != c_uids[None, :])
-                    x, y = np.nonzero(same)
-                    kept.add(batch.column("q_no")[i].as_py(), q_uids[a + x], scores[a + x, y], c_ids[y], c_uids[y])
-                if len(kept.held) > KEPT_GROUPS:
+                if batch.column("cell")[i].as_py() != cell:
+                    held, cell = [], batch.column("cell")[i].as_py()
+                if batch.column("q_part")[i].as_py() != part:
                     yield from kept.take()
+                    part = batch.column("q_part")[i].as_py()
+                side = _side(batch, i, dims)
+                if batch.column("block")[i].as_py():
+                    for group in held:
+                        find(kept, group, side)
+                else:
+                    held.append((batch.column("no")[i].as_py(), asked(side, batch.column("asks").slice(i, 1))))
         yield from kept.take()
     return run
 
 
+def _positives(k: int, dims: int):
+    """Best rows of an anchor's own label; a question is the number of an anchor's row."""
+    def find(kept: _Best, group: tuple, block: tuple) -> None:
+        no, (q_uids, _, q_labels, q) = group
+        c_uids, c_ids, c_labels, c = block
+        rows, cols = np.isin(q_labels, c_labels), np.isin(c_labels, q_labels)
+        if not rows.any():
+            return
+        q_uids, q_labels, c_uids, c_ids, c_labels = q_uids[rows], q_labels[rows], c_uids[cols], c_ids[cols], c_labels[cols]
+        scores = packed_products(q[rows], c[cols])
+        step = max(1, CHUNK // max(1, len(c_uids)))
+        for a in range(0, len(q_uids), step):
+            same = (q_labels[a:a + step, None] == c_labels[None, :]) & (q_uids[a:a + step, None] != c_uids[None, :])
+            x, y = np.nonzero(same)
+            kept.add(no, q_uids[a + x], scores[a + x, y], c_ids[y], c_uids[y])
+    return _cells(k, dims, lambda side, _: side, find)
+
+
 def _negatives(k: int, dims: int, low: int, high: int):
     """Best rows of other labels inside the band of each positive; a question is the number of a positive."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Best(k)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_uids, _, q_labels, q = _side(batch, i, "q", dims)
-                c_uids, c_ids, c_labels, c = _side(batch, i, "c", dims)
-                asks = batch.column("asks")[i].as_py()
-                place = {u: n for n, u in enumerate(q_uids.tolist())}
-                at = np.array([place[x["anchor"]] for x in asks], np.int64)
-                number = np.array([x["ask"] for x in asks], np.int64)
-                # whole scores n with low * p <= 100 * n <= high * p
-                least = np.array([max(-(-low * x["score"] // 100), _LOW) for x in asks], np.int64)
-                most = np.array([min(max(high * x["score"] // 100, _LOW), _HIGH) for x in asks], np.int64)
-                rows = np.unique(at)
-                scores = packed_products(q[rows], c)
-                row_of = np.searchsorted(rows, at)
-                step = max(1, CHUNK // max(1, len(c_uids)))
-                for a in range(0, len(asks), step):
-                    s = scores[row_of[a:a + step]]
-                    fit = (s >= least[a:a + step, None]) & (s <= most[a:a + step, None])
-                    fit &= q_labels[at[a:a + step], None] != c_labels[None, :]
-                    x, y = np.nonzero(fit)
-                    if len(x):
-                        kept.add(batch.column("q_no")[i].as_py(), number[a + x], s[x, y], c_ids[y], c_uids[y])
-                if len(kept.held) > KEPT_GROUPS:
-                    yield from kept.take()
-        yield from kept.take()
-    return run
+    def asked(side: tuple, asks: pa.Array) -> tuple:
+        q_uids, _, q_labels, q = side
+        number, anchor, score = (asks.flatten().field(c).to_numpy() for c in ("ask", "anchor", "score"))
+        place = np.argsort(q_uids)
+        at = place[np.searchsorted(q_uids, anchor, sorter=place)]
+        # whole scores n with low * p <= 100 * n <= high * p
+        least = np.array([max(-(-low * x // 100), _LOW) for x in score.tolist()], np.int64)
+        most = np.array([min(max(high * x // 100, _LOW), _HIGH) for x in score.tolist()], np.int64)
+        rows, row_of = np.unique(at, return_inverse=True)
+        return number, least, most, row_of, q_labels[at], q[rows]
+
+    def find(kept: _Best, group: tuple, block: tuple) -> None:
+        no, (number, least, most, row_of, labels, q) = group
+        c_uids, c_ids, c_labels, c = block
+        if (labels == labels[0]).all() and (c_labels == labels[0]).all():
+            return
+        scores = packed_products(q, c)
+        step = max(1, CHUNK // max(1, len(c_uids)))
+        for a in range(0, len(number), step):
+            s = scores[row_of[a:a + step]]
+            fit = (s >= least[a:a + step, None]) & (s <= most[a:a + step, None])
+            fit &= labels[a:a + step, None] != c_labels[None, :]
+            x, y = np.nonzero(fit)
+            if len(x):
+                kept.add(no, number[a + x], s[x, y], c_ids[y], c_uids[y])
+    return _cells(k, dims, asked, find)
+
+
+_ASKS = "array<struct<ask: bigint, anchor: bigint, score: bigint>>"
+
+
+def _meet(groups: DataFrame, blocks: DataFrame, cells: DataFrame, run, parts: int, n_cells: int) -> DataFrame:
+    """Rows that ``run`` finds in the cells (q_part, c_part): a task gets whole cells, the groups of each before its blocks."""
+    cells = stash(cells.withColumn("cell", F.col("q_part") * parts + F.col("c_part")), "cells")
+    count = cells.count()
+    sides = [bring(side.hint("merge"), cells, [on], rows=count).select("cell", "q_part", F.lit(block).alias("block"), "no", *_BLOCK,
+                                                                       asks.cast(_ASKS).alias("asks"))
+             for side, on, block, asks in ((groups, "q_part", False, F.col("asks")), (blocks, "c_part", True, F.lit(None)))]
+    tasks = min(n_cells, CELL_TASKS)
+    return sides[0].unionByName(sides[1]).repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions(
+        "cell", "block", "no").mapInArrow(run, _FOUND)
 
 
 def mine(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95,
@@ -222,29 +278,35 @@ def mine(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int
     n_anchors = anchors.count()
     if not count or not n_anchors:
         return spark.createDataFrame([], out)
-    blocks, groups = _blocks(ready, "c", block_rows, dims, count), _blocks(anchors, "q", group_rows, dims, n_anchors)
-    held = blocks.select("c_no", F.explode("c_held").alias("label"))
-    near = groups.select("q_no", F.explode("q_held").alias("label")).join(held, "label").select("q_no", "c_no").distinct()
-    met = near.join(groups, "q_no").repartition("q_no", "c_no").join(blocks, "c_no")
+    q_rows = max(1, KEPT_GROUPS) * group_rows
+    q_parts = -(-n_anchors // q_rows)
+    # As many cells as the session has partitions in a shuffle, more if they grow too long.
+    c_rows = min(CELL_BLOCKS * block_rows, max(block_rows, -(-count * q_parts // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    c_parts = -(-count // c_rows)
+    blocks, groups = _blocks(ready, "c", block_rows, dims, count, c_rows), _blocks(anchors, "q", group_rows, dims, n_anchors, q_rows)
+    held = [side.select(f"{name}_part", F.explode("held").alias("label")).distinct() for side, name in ((groups, "q"), (blocks, "c"))]
+    near = held[0].hint("merge").join(held[1], "label").select("q_part", "c_part").distinct()
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "id", "uid")
-    found = met.mapInArrow(_positives(positives, dims), _FOUND).withColumn("_r", F.row_number().over(order)).where(
-        F.col("_r") <= positives)
-    # Positives have numbers: the anchor's row has room for as many.
-    asks = stash(found.select("q_no", F.col("ask").alias("anchor"), F.col("id").alias("positive_id"),
-                              F.col("score").alias("positive_score")).withColumn("ask", F.monotonically_increasing_id()), "positives")
-    of_group = asks.groupBy("q_no").agg(F.collect_list(F.struct("ask", "anchor", F.col("positive_score").alias("score"))).alias("asks"))
-    n_blocks = blocks.count()
-    pairs = of_group.join(groups, "q_no").withColumn("c_no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    labels = F.array_union("q_held", "c_held")
-    met = pairs.repartition("q_no", "c_no").join(blocks, "c_no").where(F.size(labels) > 1)
-    best_of = met.mapInArrow(_negatives(negatives, dims, low, high), _FOUND).withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
+
+    def first(met: DataFrame, k: int) -> DataFrame:
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        found = first(_meet(groups.withColumn("asks", F.lit(None)), blocks, near, _positives(positives, dims), c_parts,
+                            q_parts * c_parts), positives)
+        # Positives have numbers: the anchor's row has room for as many.
+        asks = stash(found.select("q_no", F.col("ask").alias("anchor"), F.col("id").alias("positive_id"),
+                                  F.col("score").alias("positive_score")).withColumn("ask", F.monotonically_increasing_id()), "positives")
+        of_group = asks.groupBy(F.col("q_no").alias("no")).agg(
+            F.collect_list(F.struct("ask", "anchor", F.col("positive_score").alias("score"))).alias("asks"))
+        every_cell = groups.select("q_part").distinct().withColumn("c_part", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))))
+        best_of = stash(first(_meet(groups.hint("merge").join(of_group, "no"), blocks, every_cell,
+                                    _negatives(negatives, dims, low, high), c_parts, q_parts * c_parts), negatives), "negatives")
     names = ready.select(F.col("uid").alias("anchor"), F.col("vec_id").alias("anchor_id")).where(F.col("vec_id") % every == 0)
 
     def id_of(c: str):
         return F.when(F.col(c) != _NO_ID, F.col(c))
     return (best_of.select("ask", "rank", id_of("id").alias("negative_id"), F.col("score").alias("negative_score"))
-            .join(asks.drop("q_no"), "ask").join(names, "anchor")
+            .hint("merge").join(asks.drop("q_no"), "ask").hint("merge").join(names, "anchor")
             .select("anchor_id", id_of("positive_id").alias("positive_id"), "rank", "negative_id", "positive_score", "negative_score"))
 
 
