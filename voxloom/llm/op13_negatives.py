@@ -155,19 +155,43 @@ class _Best:
     """The k best of each question of the groups that a task meets: question, score, id and number of a row."""
 
     def __init__(self, k: int):
-        self.k, self.held = k, {}
+        self.k, self.held, self.waiting, self.rows = k, {}, {}, 0
 
     def add(self, group: int, ask: np.ndarray, score: np.ndarray, ids: np.ndarray, uids: np.ndarray) -> None:
-        old = self.held.get(group)
-        new = (ask, score, ids, uids)
-        if old is not None:
-            new = tuple(np.concatenate(x) for x in zip(old, new, strict=True))
-        # best() keeps the order of rows that tie in score and id: put small numbers first.
-        new = tuple(x[np.argsort(new[3], kind="stable")] for x in new)
-        top = best(new[1], new[2], new[0], self.k)
-        self.held[group] = tuple(x[top] for x in new)
+        self.waiting.setdefault(group, []).append((ask, score, ids, uids))
+        self.rows += len(ask)
+        if self.rows > CHUNK:
+            self._merge(*self.waiting)
+
+    def _merge(self, *groups: int) -> None:
+        for group in groups:
+            parts = self.waiting.pop(group, None)
+            if parts is None:
+                continue
+            self.rows -= sum(len(x[0]) for x in parts)
+            if group in self.held:
+                parts.insert(0, self.held[group])
+            new = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            # best() keeps the order of rows that tie in score and id: put small numbers first.
+            order = np.argsort(new[3], kind="stable")
+            new = tuple(x[order] for x in new)
+            top = best(new[1], new[2], new[0], self.k)
+            self.held[group] = tuple(x[top] for x in new)
+
+    def floor(self, group: int, ask: np.ndarray) -> np.ndarray:
+        """Scores below which a row is none of the k best of a question: its k-th so far."""
+        self._merge(group)
+        out = np.full(len(ask), _LOW, np.int64)
+        if group in self.held:
+            asks, scores = self.held[group][:2]      # by question, best first
+            last = np.searchsorted(asks, ask) + self.k - 1
+            full = last < len(asks)
+            full[full] = asks[last[full]] == ask[full]
+            out[full] = scores[last[full]]
+        return out
 
     def take(self) -> Iterator[pa.RecordBatch]:
+        self._merge(*self.waiting)
         for group, (ask, score, ids, uids) in self.held.items():
             yield pa.RecordBatch.from_pydict({"q_no": np.full(len(ask), group, np.int32), "ask": ask, "score": score, "id": ids,
                                               "uid": uids})
@@ -208,11 +232,14 @@ def _positives(k: int, dims: int):
             return
         q_uids, q_labels, c_uids, c_ids, c_labels = q_uids[rows], q_labels[rows], c_uids[cols], c_ids[cols], c_labels[cols]
         scores = packed_products(q[rows], c[cols])
+        floor = kept.floor(no, q_uids)
         step = max(1, CHUNK // max(1, len(c_uids)))
         for a in range(0, len(q_uids), step):
             same = (q_labels[a:a + step, None] == c_labels[None, :]) & (q_uids[a:a + step, None] != c_uids[None, :])
+            same &= scores[a:a + step] >= floor[a:a + step, None]
             x, y = np.nonzero(same)
-            kept.add(no, q_uids[a + x], scores[a + x, y], c_ids[y], c_uids[y])
+            if len(x):
+                kept.add(no, q_uids[a + x], scores[a + x, y], c_ids[y], c_uids[y])
     return _cells(k, dims, lambda side, _: side, find)
 
 
@@ -235,10 +262,11 @@ def _negatives(k: int, dims: int, low: int, high: int):
         if (labels == labels[0]).all() and (c_labels == labels[0]).all():
             return
         scores = packed_products(q, c)
+        floor = np.maximum(least, kept.floor(no, number))
         step = max(1, CHUNK // max(1, len(c_uids)))
         for a in range(0, len(number), step):
             s = scores[row_of[a:a + step]]
-            fit = (s >= least[a:a + step, None]) & (s <= most[a:a + step, None])
+            fit = (s >= floor[a:a + step, None]) & (s <= most[a:a + step, None])
             fit &= labels[a:a + step, None] != c_labels[None, :]
             x, y = np.nonzero(fit)
             if len(x):
